@@ -31,14 +31,25 @@ def drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     return df.na.drop(subset=subset)
 
 
-def sample_n(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
+def portable_hash(id_col: str, seed: int):
+    """Integer id -> [0, 2^31): a multiplicative hash any SQL engine can repeat:
+    ``((id mod 2147483647) * 1103515245 + seed) mod 2147483648``."""
+    x = F.pmod(F.col(id_col).cast("bigint"), F.lit(2147483647))
+    return F.pmod(x * F.lit(1103515245) + F.lit(seed), F.lit(2147483648))
+
+
+def sample_n(df: DataFrame, n: int, seed: int, id_col: str, method: str = "xxhash64") -> DataFrame:
     """Exactly ``min(n, rows)`` rows, chosen by a seeded hash of the id.
 
     Top-n by hash (TakeOrderedAndProject: per-partition top-n, then a merge of
     n rows per partition) — no full sort, no driver round-trip, and the choice
-    does not depend on partitioning.
+    does not depend on partitioning.  ``method="portable"`` uses
+    :func:`portable_hash` so another engine can draw the same sample.
     """
-    h = F.xxhash64(F.col(id_col).cast("bigint"), F.lit(seed).cast("bigint"))
+    if method == "portable":
+        h = portable_hash(id_col, seed)
+    else:
+        h = F.xxhash64(F.col(id_col).cast("bigint"), F.lit(seed).cast("bigint"))
     return df.orderBy(h, F.col(id_col)).limit(n)
 
 
