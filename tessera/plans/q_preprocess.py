@@ -1 +1,138 @@
-"""(filled in below)"""
+"""Preprocessing queries: imputation, capping, scaling, binning, PCA."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import preprocess as PP
+from tessera.plans.common import LINEITEM_NULLS_SQL, lineitem_nulls
+from tessera.plans.registry import register
+from tessera.sources.tables import load
+
+IMP_COLS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _impute_sql(strategy):
+    if strategy == "drop":
+        return f"""WITH t AS ({LINEITEM_NULLS_SQL})
+SELECT l_orderkey, l_linenumber, {", ".join(f"round({c}, 6) AS {c}" for c in IMP_COLS)}
+FROM t WHERE {" AND ".join(f"{c} IS NOT NULL" for c in IMP_COLS)}"""
+    if strategy == "mean":
+        fills = {c: f"(SELECT avg({c}) FROM t)" for c in IMP_COLS}
+    elif strategy == "median":
+        fills = {c: f"(SELECT quantile_cont({c}, 0.5) FROM t)" for c in IMP_COLS}
+    else:
+        fills = {c: f"""(SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM t WHERE {c} IS NOT NULL
+                 GROUP BY 1) ORDER BY n DESC, v LIMIT 1)""" for c in IMP_COLS}
+    sel = ", ".join(f"round(coalesce({c}, {fills[c]}), 6) AS {c}" for c in IMP_COLS)
+    return f"WITH t AS ({LINEITEM_NULLS_SQL})\nSELECT l_orderkey, l_linenumber, {sel} FROM t"
+
+
+def _make_impute(strategy):
+    @register(f"impute_{'mode' if strategy == 'most_frequent' else strategy}", _impute_sql(strategy))
+    def q(spark, sf_dir):
+        d = lineitem_nulls(spark, sf_dir).select("l_orderkey", "l_linenumber", *IMP_COLS)
+        out = PP.impute(d, IMP_COLS, strategy)
+        return out.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in IMP_COLS])
+    return q
+
+
+for _s in ["mean", "median", "most_frequent", "drop"]:
+    _make_impute(_s)
+
+
+@register("cap_iqr", """
+WITH s AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, round(CASE WHEN value < q1 - 1.5 * (q3 - q1) THEN q1 - 1.5 * (q3 - q1)
+                            WHEN value > q3 + 1.5 * (q3 - q1) THEN q3 + 1.5 * (q3 - q1)
+                            ELSE value END, 6) AS value
+FROM events, s""")
+def q_cap_iqr(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", "value")
+    return PP.cap_outliers(e, ["value"], "iqr", 1.5).select("event_id", F.round("value", 6).alias("value"))
+
+
+@register("cap_zscore", """
+WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM events)
+SELECT event_id, round(CASE WHEN value < m - 3 * sd THEN m - 3 * sd
+                            WHEN value > m + 3 * sd THEN m + 3 * sd ELSE value END, 6) AS value
+FROM events, s""")
+def q_cap_zscore(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", "value")
+    return PP.cap_outliers(e, ["value"], "zscore", 3.0).select("event_id", F.round("value", 6).alias("value"))
+
+
+SCALE_COLS = ["c_acctbal", "c_nationkey"]
+_SCALE_SQL = {
+    "minmax": ("min({c})", "CASE WHEN max({c}) - min({c}) = 0 THEN 1 ELSE max({c}) - min({c}) END"),
+    "standard": ("avg({c})", "CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END"),
+    "robust": ("quantile_cont({c}, 0.5)",
+               "CASE WHEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) = 0 THEN 1 "
+               "ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END"),
+}
+
+
+def _scale_sql(method):
+    a, b = _SCALE_SQL[method]
+    stats = ", ".join(f"{a.format(c=c)} AS a_{c}, {b.format(c=c)} AS b_{c}" for c in SCALE_COLS)
+    sel = ", ".join(f"round((CAST({c} AS DOUBLE) - a_{c}) / b_{c}, 6) AS {c}" for c in SCALE_COLS)
+    return f"WITH s AS (SELECT {stats} FROM customer)\nSELECT c_custkey, {sel} FROM customer, s"
+
+
+def _make_scale(method):
+    @register(f"scale_{method}", _scale_sql(method))
+    def q(spark, sf_dir):
+        c = load(spark, sf_dir, "customer").select("c_custkey", *SCALE_COLS)
+        out = PP.scale(c, SCALE_COLS, method)
+        return out.select("c_custkey", *[F.round(x, 6).alias(x) for x in SCALE_COLS])
+    return q
+
+
+for _m in _SCALE_SQL:
+    _make_scale(_m)
+
+
+@register("bin_uniform", """
+WITH s AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)
+SELECT p_partkey, CAST((p_retailprice >= 1 * ((hi - lo) / 5) + lo)::INT + (p_retailprice >= 2 * ((hi - lo) / 5) + lo)::INT
+       + (p_retailprice >= 3 * ((hi - lo) / 5) + lo)::INT + (p_retailprice >= 4 * ((hi - lo) / 5) + lo)::INT AS DOUBLE)
+       AS p_retailprice_binned
+FROM part, s""")
+def q_bin_uniform(spark, sf_dir):
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    return PP.discretise(p, "p_retailprice", 5, "uniform").select("p_partkey", "p_retailprice_binned")
+
+
+@register("bin_quantile", """
+WITH s AS (SELECT quantile_cont(p_retailprice, 0.2) AS e1, quantile_cont(p_retailprice, 0.4) AS e2,
+                  quantile_cont(p_retailprice, 0.6) AS e3, quantile_cont(p_retailprice, 0.8) AS e4 FROM part)
+SELECT p_partkey, CAST((p_retailprice >= e1)::INT + (p_retailprice >= e2)::INT + (p_retailprice >= e3)::INT
+       + (p_retailprice >= e4)::INT AS DOUBLE) AS p_retailprice_binned
+FROM part, s""")
+def q_bin_quantile(spark, sf_dir):
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    return PP.discretise(p, "p_retailprice", 5, "quantile").select("p_partkey", "p_retailprice_binned")
+
+
+PCA_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("pca")
+def q_pca(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem")
+    return PP.pca(li, PCA_COLS, 2, keep=["l_orderkey", "l_linenumber"])
+
+
+@register("pca_variance")
+def q_pca_variance(spark, sf_dir):
+    _, _, ratios = PP.pca_fit(load(spark, sf_dir, "lineitem"), PCA_COLS, 3)
+    return PP.pca_variance(spark, ratios)
+
+
+@register("preprocess_pipeline")
+def q_preprocess_pipeline(spark, sf_dir):
+    d = lineitem_nulls(spark, sf_dir)
+    out, _ = PP.preprocess(d, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+                           impute_strategy="median", cap="iqr", scaler="standard",
+                           bin_col="l_extendedprice", n_bins=5, pca_k=2)
+    return out
