@@ -1 +1,76 @@
-"""(filled in below)"""
+"""Outlier queries over the customer RFM features."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import outlier as O
+from tessera.plans.q_retail import CLEAN_SQL, rfm_base_sql, rfm_frame
+from tessera.plans.registry import register
+
+FEATS = ["Recency", "Frequency", "Monetary", "AvgOrderValue"]
+
+_FLAGS_SQL = f"""
+WITH r AS ({rfm_base_sql(CLEAN_SQL)}),
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}, quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}" for c in FEATS)} FROM r),
+f AS (SELECT CustomerID, {", ".join(FEATS)},
+        CAST(({" OR ".join(f"abs({c} - m_{c}) > 3 * s_{c}" for c in FEATS)}) AS INTEGER) AS zscore,
+        CAST(({" OR ".join(f"{c} < a_{c} - 1.5 * (b_{c} - a_{c}) OR {c} > b_{c} + 1.5 * (b_{c} - a_{c})" for c in FEATS)}) AS INTEGER) AS iqr
+      FROM r, st)
+"""
+
+
+def flags_frame(spark, sf_dir):
+    rfm = rfm_frame(spark, sf_dir)
+    return rfm, O.outlier_flags(rfm, "CustomerID", FEATS, zscore=3.0, iqr=1.5)
+
+
+@register("outlier_flags", _FLAGS_SQL + "SELECT CustomerID, zscore, iqr, zscore + iqr AS total_methods FROM f")
+def q_outlier_flags(spark, sf_dir):
+    return flags_frame(spark, sf_dir)[1]
+
+
+@register("outlier_summary", _FLAGS_SQL + """
+SELECT 'zscore' AS method, CAST(sum(zscore) AS BIGINT) AS outliers, round(sum(zscore) * 100.0 / count(*), 2) AS pct FROM f
+UNION ALL
+SELECT 'iqr', CAST(sum(iqr) AS BIGINT), round(sum(iqr) * 100.0 / count(*), 2) FROM f""")
+def q_outlier_summary(spark, sf_dir):
+    return O.outlier_summary(flags_frame(spark, sf_dir)[1], ["zscore", "iqr"])
+
+
+@register("agreement_counts", _FLAGS_SQL + """
+SELECT zscore + iqr AS total_methods, count(*) AS "rows" FROM f GROUP BY 1""")
+def q_agreement_counts(spark, sf_dir):
+    return O.agreement_counts(flags_frame(spark, sf_dir)[1])
+
+
+@register("consensus", _FLAGS_SQL + """
+SELECT CAST(sum(CASE WHEN zscore + iqr >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS outliers,
+       round(avg(CASE WHEN zscore + iqr >= 2 THEN 1 ELSE 0 END) * 100.0, 2) AS pct FROM f""")
+def q_consensus(spark, sf_dir):
+    return O.consensus_summary(flags_frame(spark, sf_dir)[1], 2)
+
+
+@register("drop_clean", _FLAGS_SQL + """
+SELECT CustomerID, Recency, Frequency, round(Monetary, 6) AS Monetary FROM f WHERE zscore + iqr < 2""")
+def q_drop_clean(spark, sf_dir):
+    rfm, flags = flags_frame(spark, sf_dir)
+    kept = O.drop_outliers(rfm, flags, "CustomerID", 2)
+    return kept.select("CustomerID", "Recency", "Frequency", F.round("Monetary", 6).alias("Monetary"))
+
+
+def _impact_sql():
+    parts = []
+    for scope, cond in [("all", "TRUE"), ("cleaned", "zscore + iqr < 2")]:
+        for c in FEATS:
+            parts.append(f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 6) AS mean,
+  round(stddev_samp({c}), 6) AS std, round(min({c}) + 0.0, 6) AS "min", round(quantile_cont({c}, 0.25), 6) AS p25,
+  round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75,
+  round(max({c}) + 0.0, 6) AS "max", '{scope}' AS scope FROM f WHERE {cond}""")
+    return _FLAGS_SQL + "\nUNION ALL\n".join(parts)
+
+
+@register("impact", _impact_sql())
+def q_impact(spark, sf_dir):
+    rfm, flags = flags_frame(spark, sf_dir)
+    return O.impact(rfm, flags, "CustomerID", FEATS, 2, digits=6)

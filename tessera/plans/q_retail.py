@@ -24,7 +24,8 @@ def q_retail_clean(spark, sf_dir):
     return clean_retail(retail_view(spark, sf_dir))
 
 
-def rfm_sql(clean_sql: str) -> str:
+def rfm_base_sql(clean_sql: str) -> str:
+    """Unrounded RFM table as SQL (columns as in :func:`derive_rfm`)."""
     return f"""
 WITH c AS ({clean_sql}),
 per AS (SELECT CustomerID, max(InvoiceDate) AS last_ts, count(DISTINCT InvoiceNo) AS Frequency,
@@ -32,14 +33,20 @@ per AS (SELECT CustomerID, max(InvoiceDate) AS last_ts, count(DISTINCT InvoiceNo
 s AS (SELECT max(last_ts) + INTERVAL 1 DAY AS snap, quantile_cont(Monetary, 0.75) AS thr FROM per)
 SELECT CustomerID,
        CAST(floor(epoch(snap - last_ts) / 86400) AS BIGINT) AS Recency,
-       Frequency,
-       round(Monetary, 6) AS Monetary,
-       round(Monetary / Frequency, 6) AS AvgOrderValue,
+       Frequency, Monetary, Monetary / Frequency AS AvgOrderValue,
        CAST(Monetary >= thr AS INTEGER) AS HighValue
 FROM per, s
 """
 
 
+def rfm_sql(clean_sql: str) -> str:
+    return f"""
+SELECT CustomerID, Recency, Frequency, round(Monetary, 6) AS Monetary,
+       round(AvgOrderValue, 6) AS AvgOrderValue, HighValue
+FROM ({rfm_base_sql(clean_sql)})
+"""
+
+
 def rounded_rfm(rfm):
     return rfm.select("CustomerID", "Recency", "Frequency",
                       F.round("Monetary", 6).alias("Monetary"),
