@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.quantile import quantiles
+from tessera.session import materialize
 
 # Formats tried, in order, when InvoiceDate arrives as text.
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
@@ -78,6 +79,9 @@ def derive_rfm(df: DataFrame, customer: str = "CustomerID", invoice: str = "Invo
              .agg(F.max(date).alias("_last"),
                   F.count_distinct(invoice).alias("Frequency"),
                   F.sum(total).alias("Monetary")))
+    # the per-customer table feeds three passes (snapshot + quantile fit and
+    # the final projection): compute the big aggregation once
+    per = materialize(per, "rfm")
     res = quantiles(per, [], [high_value_q], value="Monetary",
                     extra={"snapshot": F.max("_last")})
     snapshot = res.get(("__extra__", "snapshot"))

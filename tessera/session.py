@@ -64,3 +64,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def local_scratch() -> str:
     """Fresh scratch folder for tests and local runs only."""
     return tempfile.mkdtemp(prefix="tessera-run-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back.
+
+    Used where a fitted operator needs several passes over an expensive
+    intermediate (an aggregate over a large join): the input is computed
+    once, later passes read a compact columnar copy, and the lineage is cut
+    so a lost executor re-reads files instead of recomputing the join.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
