@@ -1,0 +1,35 @@
+"""Running totals along a global order without a single-partition window.
+
+Rows are first reduced to one row per distinct order key (partial
+aggregation), distinct keys are cut into ranges at approximate quantiles,
+a window runs inside each range, and a ranges-sized table of lower-range
+totals supplies the offsets.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def cumulative(df: DataFrame, order: str, sums: list[str], desc: bool = False,
+               buckets: int = 256) -> DataFrame:
+    """``(order, sum(s)..., cum_<s>...)`` per distinct ``order`` value, where
+    ``cum_<s>`` includes every row up to and including that value."""
+    g = df.groupBy(order).agg(*[F.sum(s).alias(s) for s in sums])
+    o = (-F.col(order) if desc else F.col(order)).cast("double")
+    g = g.withColumn("_o", o)
+    probs = [i / buckets for i in range(1, buckets)]
+    b = g.agg(F.percentile_approx("_o", probs, 10 * buckets).alias("_b")).first()["_b"] or []
+    g = g.withColumn("_bk", F.size(F.filter(F.array(*[F.lit(float(x)) for x in b]).cast("array<double>"),
+                                            lambda x: x < F.col("_o"))))
+    tot = g.groupBy("_bk").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    # at most ``buckets`` rows: this window is tiny
+    wb = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_bk", *[F.coalesce(F.sum(f"_t_{s}").over(wb), F.lit(0)).alias(f"_off_{s}")
+                              for s in sums])
+    wi = Window.partitionBy("_bk").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    inner = g.select(order, "_bk", "_o", *sums, *[F.sum(s).over(wi).alias(f"_c_{s}") for s in sums])
+    res = inner.join(F.broadcast(off), "_bk")
+    return res.select(order, "_o", *sums, *[(F.col(f"_off_{s}") + F.col(f"_c_{s}")).alias(f"cum_{s}")
+                                            for s in sums])

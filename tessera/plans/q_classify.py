@@ -1 +1,207 @@
-"""(filled in below)"""
+"""Classification queries: naive Bayes with SQL oracles for the metrics,
+MLlib models and the model battery (property-tested)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import classify as C
+from tessera.operators import metrics as M
+from tessera.plans.q_retail import CLEAN_SQL, rfm_base_sql, rfm_frame
+from tessera.plans.registry import register
+from tessera.sources.tables import load
+
+NB_FEATS = ["Recency", "Frequency", "AvgOrderValue"]
+EMB_DIMS = 8
+
+
+def rfm_split(spark, sf_dir):
+    rfm = rfm_frame(spark, sf_dir)
+    d, _ = C.encode_label(rfm, "HighValue")
+    return C.train_test_split(d, "CustomerID", 0.25, 42, method="portable")
+
+
+def nb_predictions(spark, sf_dir):
+    d = rfm_split(spark, sf_dir)
+    m = C.gaussian_nb_fit(d.where(~F.col("is_test")), NB_FEATS)
+    p = C.gaussian_nb_predict(d.where(F.col("is_test")), m)
+    return p.select("CustomerID", "label", "prediction",
+                    F.element_at("probability", 2).alias("score"))
+
+
+def _nb_sql(src: str, id_col: str, label_expr: str, feats: list[str], n_classes: int) -> str:
+    k = len(feats)
+    m = ", ".join(f"avg(x{i}) AS m{i}, var_pop(x{i}) + eps AS v{i}" for i in range(k))
+    j = " ".join(f"- 0.5 * ln(2 * pi() * v{i}) - (x{i} - m{i}) * (x{i} - m{i}) / (2.0 * v{i})"
+                 for i in range(k))
+    xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(feats))
+    return f"""
+d AS (SELECT {id_col} AS id, CAST({label_expr} AS DOUBLE) AS label, {xs},
+             (((CAST({id_col} AS BIGINT) % 2147483647) * 1103515245 + 42) % 2147483648) / 2147483648.0 < 0.25
+             AS is_test FROM {src}),
+tr AS (SELECT * FROM d WHERE NOT is_test),
+ev AS (SELECT 1e-9 * greatest({", ".join(f"var_pop(x{i})" for i in range(k))}) AS eps FROM tr),
+cls AS (SELECT label AS c, count(*) * 1.0 / (SELECT count(*) FROM tr) AS prior, {m} FROM tr, ev GROUP BY label, eps),
+jl AS (SELECT d.id, d.label, cls.c, ln(prior) {j} AS j FROM d, cls WHERE d.is_test),
+mx AS (SELECT id, max(j) AS mj, sum(exp(j - (SELECT max(j) FROM jl x WHERE x.id = jl.id))) AS z FROM jl GROUP BY id),
+pred AS (SELECT jl.id, jl.label, min(CASE WHEN jl.j = mx.mj THEN jl.c END) AS prediction,
+                max(CASE WHEN jl.c = 1 THEN exp(jl.j - mx.mj) / mx.z END) AS score
+         FROM jl JOIN mx ON jl.id = mx.id GROUP BY jl.id, jl.label)"""
+
+
+NB_CTE = f"WITH r AS ({rfm_base_sql(CLEAN_SQL)}),\n" + _nb_sql("r", "CustomerID", "HighValue", NB_FEATS, 2)
+
+
+@register("gaussian_nb", NB_CTE + """
+SELECT id AS CustomerID, label, prediction, round(score, 6) AS score FROM pred""")
+def q_gaussian_nb(spark, sf_dir):
+    p = nb_predictions(spark, sf_dir)
+    return p.select("CustomerID", "label", "prediction", F.round("score", 6).alias("score"))
+
+
+@register("confusion", NB_CTE + """,
+lab AS (SELECT label AS l FROM pred UNION SELECT prediction FROM pred)
+SELECT a.l AS label, b.l AS prediction,
+       (SELECT count(*) FROM pred WHERE pred.label = a.l AND pred.prediction = b.l) AS "count"
+FROM lab a, lab b""")
+def q_confusion(spark, sf_dir):
+    return M.confusion(nb_predictions(spark, sf_dir))
+
+
+_PRF = """,
+pc AS (SELECT l AS label,
+         (SELECT count(*) FROM pred WHERE pred.label = l) AS support,
+         (SELECT count(*) FROM pred WHERE pred.label = l AND pred.prediction = l) AS tp,
+         (SELECT count(*) FROM pred WHERE pred.prediction = l) AS predicted
+       FROM (SELECT label AS l FROM pred UNION SELECT prediction FROM pred)),
+prf AS (SELECT label, support, coalesce(tp * 1.0 / nullif(predicted, 0), 0) AS precision,
+               coalesce(tp * 1.0 / nullif(support, 0), 0) AS recall,
+               coalesce(2.0 * tp / nullif(predicted + support, 0), 0) AS f1 FROM pc)"""
+
+
+@register("class_metrics", NB_CTE + _PRF + """
+SELECT round((SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FROM pred), 6) AS accuracy,
+       round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1
+FROM prf WHERE label = (SELECT max(label) FROM prf)""")
+def q_class_metrics(spark, sf_dir):
+    m = M.classification_metrics(nb_predictions(spark, sf_dir))
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+def _report_sql(cte):
+    return cte + _PRF + """
+SELECT CAST(label AS VARCHAR) AS class, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, support FROM prf
+UNION ALL SELECT 'accuracy', NULL, NULL, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6),
+       count(*) FROM pred
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+       sum(support) FROM prf
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+       round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+       sum(support) FROM prf"""
+
+
+def _round_report(r):
+    return r.select("class", *[F.round(c, 6).alias(c) for c in ["precision", "recall", "f1"]], "support")
+
+
+@register("class_report", _report_sql(NB_CTE))
+def q_class_report(spark, sf_dir):
+    return _round_report(M.classification_report(nb_predictions(spark, sf_dir)))
+
+
+@register("roc", NB_CTE + """
+SELECT 'inf'::DOUBLE AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL
+SELECT DISTINCT score, round(sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) OVER w * 1.0
+                        / (SELECT sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) FROM pred), 6),
+       round(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER w * 1.0
+             / (SELECT sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) FROM pred), 6)
+FROM pred WINDOW w AS (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_roc(spark, sf_dir):
+    r = M.roc_curve(nb_predictions(spark, sf_dir), "label", "score", 1.0)
+    return r.select("threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+
+
+@register("auc", NB_CTE + """,
+pts AS (SELECT DISTINCT score,
+          sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) OVER w * 1.0 / (SELECT sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) FROM pred) AS fpr,
+          sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER w * 1.0 / (SELECT sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) FROM pred) AS tpr
+        FROM pred WINDOW w AS (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+seg AS (SELECT fpr, tpr, lag(fpr, 1, 0.0) OVER (ORDER BY score DESC) AS f0,
+               lag(tpr, 1, 0.0) OVER (ORDER BY score DESC) AS t0 FROM pts)
+SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS auc FROM seg""")
+def q_auc(spark, sf_dir):
+    a = M.auc_frame(nb_predictions(spark, sf_dir), "label", "score", 1.0)
+    return a.select(F.round("auc", 6).alias("auc"))
+
+
+@register("class_counts", f"""
+SELECT HighValue, count(*) AS "count" FROM ({rfm_base_sql(CLEAN_SQL)}) GROUP BY HighValue""")
+def q_class_counts(spark, sf_dir):
+    return M.class_counts(rfm_frame(spark, sf_dir), "HighValue")
+
+
+# ---- multi-class: embeddings (10 labels), first dimensions as features
+def emb_frame(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label",
+                    *[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(EMB_DIMS)])
+
+
+EMB_FEATS = [f"e{i}" for i in range(EMB_DIMS)]
+EMB_SRC = ("(SELECT vec_id, label, " +
+           ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(EMB_DIMS)) +
+           " FROM embeddings)")
+NB_MULTI_CTE = f"WITH src AS {EMB_SRC},\n" + _nb_sql("src", "vec_id", "label", EMB_FEATS, 10)
+
+
+def nb_multi_predictions(spark, sf_dir):
+    d = C.train_test_split(emb_frame(spark, sf_dir).withColumn("label", F.col("label").cast("double")),
+                           "vec_id", 0.25, 42, method="portable")
+    m = C.gaussian_nb_fit(d.where(~F.col("is_test")), EMB_FEATS)
+    return C.gaussian_nb_predict(d.where(F.col("is_test")), m).select("vec_id", "label", "prediction")
+
+
+@register("class_report_multi", _report_sql(NB_MULTI_CTE))
+def q_class_report_multi(spark, sf_dir):
+    return _round_report(M.classification_report(nb_multi_predictions(spark, sf_dir)))
+
+
+@register("class_metrics_multi", NB_MULTI_CTE + _PRF + """
+SELECT round((SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FROM pred), 6) AS accuracy,
+       round(sum(precision * support) / sum(support), 6) AS precision,
+       round(sum(recall * support) / sum(support), 6) AS recall,
+       round(sum(f1 * support) / sum(support), 6) AS f1 FROM prf""")
+def q_class_metrics_multi(spark, sf_dir):
+    m = M.classification_metrics(nb_multi_predictions(spark, sf_dir))
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+# ---- MLlib / iterative models: rows-only here, property tests in tests/
+def _model_query(kind, params=None):
+    @register(f"model_{kind}")
+    def q(spark, sf_dir):
+        d = rfm_split(spark, sf_dir)
+        tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+        feats = ["Recency", "Frequency", "Monetary", "AvgOrderValue"]
+        sp = C.fit_scaler(tr, feats)
+        from tessera.operators.preprocess import scale
+        _, pr = C.fit_predict(kind, scale(tr, feats, params=sp), scale(te, feats, params=sp), feats,
+                              "label", params, keep=["CustomerID"])
+        return pr
+    return q
+
+
+for _k, _p in [("dt", None), ("rf", {"n_estimators": 30}), ("gbt", {"n_estimators": 20}),
+               ("svm_linear", None), ("ada", {"n_estimators": 10}), ("svm_rbf", {"n_components": 50}),
+               ("svm_poly", None), ("logreg", None)]:
+    _model_query(_k, _p)
+
+
+@register("leaderboard")
+def q_leaderboard(spark, sf_dir):
+    board, _ = C.compare_models(rfm_frame(spark, sf_dir), "CustomerID",
+                                ["Recency", "Frequency", "AvgOrderValue"], "HighValue",
+                                models=["dt", "nb", "rf", "svm_linear"], params={"rf": {"n_estimators": 20}})
+    return board
