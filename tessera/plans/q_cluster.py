@@ -1 +1,89 @@
-"""(filled in below)"""
+"""Clustering queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import cluster as K
+from tessera.operators.preprocess import scale
+from tessera.plans.q_retail import rfm_frame
+from tessera.plans.registry import register
+from tessera.sources.tables import load
+
+RFM_FEATS = ["Recency", "Frequency", "Monetary", "AvgOrderValue"]
+SIL_COLS = ["c_acctbal", "c_nationkey"]
+
+
+def rfm_scaled(spark, sf_dir):
+    r = rfm_frame(spark, sf_dir)
+    return scale(r, RFM_FEATS, "standard")
+
+
+@register("kmeans")
+def q_kmeans(spark, sf_dir):
+    lab, _, _ = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=3, n_init=3, keep=["CustomerID"])
+    return lab
+
+
+@register("elbow")
+def q_elbow(spark, sf_dir):
+    return K.elbow(rfm_scaled(spark, sf_dir), RFM_FEATS, k_max=6, n_init=2)
+
+
+_SIL_SQL = """
+WITH c AS (SELECT c_custkey AS id, c_mktsegment AS lab, CAST(c_acctbal AS DOUBLE) AS x1,
+                  CAST(c_nationkey AS DOUBLE) AS x2 FROM customer),
+sz AS (SELECT lab, count(*) AS size FROM c GROUP BY lab),
+pr AS (SELECT a.id, a.lab, b.lab AS olab, sum(sqrt(power(a.x1 - b.x1, 2) + power(a.x2 - b.x2, 2))) AS s,
+              count(*) AS n
+       FROM c a JOIN c b ON a.id <> b.id GROUP BY a.id, a.lab, b.lab),
+ab AS (SELECT pr.id, pr.lab, sz.size,
+              sum(CASE WHEN olab = pr.lab THEN s / (sz.size - 1) END) AS a,
+              min(CASE WHEN olab <> pr.lab THEN s / n END) AS b
+       FROM pr JOIN sz ON pr.lab = sz.lab GROUP BY pr.id, pr.lab, sz.size),
+sv AS (SELECT id, lab, CASE WHEN size <= 1 OR b IS NULL THEN 0.0
+                            ELSE (b - coalesce(a, 0.0)) / greatest(coalesce(a, 0.0), b) END AS silhouette FROM ab)
+"""
+
+
+@register("silhouette_samples", _SIL_SQL + """
+SELECT id AS c_custkey, lab AS c_mktsegment, round(silhouette, 6) AS silhouette FROM sv""")
+def q_silhouette_samples(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    s = K.silhouette_samples(c, "c_custkey", SIL_COLS, "c_mktsegment")
+    return s.select("c_custkey", "c_mktsegment", F.round("silhouette", 6).alias("silhouette"))
+
+
+@register("silhouette", _SIL_SQL + "SELECT round(avg(silhouette), 6) AS silhouette FROM sv")
+def q_silhouette(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    v = K.silhouette(c, "c_custkey", SIL_COLS, "c_mktsegment")
+    return spark.createDataFrame([(round(v, 6),)], "silhouette double")
+
+
+@register("silhouette_sq")
+def q_silhouette_sq(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    v = K.silhouette(c, "c_custkey", SIL_COLS, "c_mktsegment", method="squared")
+    return spark.createDataFrame([(float(v),)], "silhouette double")
+
+
+@register("cluster_profile", """
+SELECT c_mktsegment AS cluster, feature, round(avg(v), 2) AS mean, round(stddev_samp(v), 2) AS std,
+       count(v) AS "count"
+FROM (SELECT c_mktsegment, 'c_acctbal' AS feature, CAST(c_acctbal AS DOUBLE) AS v FROM customer
+      UNION ALL SELECT c_mktsegment, 'c_nationkey', CAST(c_nationkey AS DOUBLE) FROM customer)
+GROUP BY 1, 2""")
+def q_cluster_profile(spark, sf_dir):
+    return K.cluster_profile(load(spark, sf_dir, "customer"), "c_mktsegment", SIL_COLS)
+
+
+@register("cluster_counts", """
+SELECT count(DISTINCT CASE WHEN l <> -1 THEN l END) AS clusters, count(*) FILTER (WHERE l = -1) AS noise,
+       round(avg(CASE WHEN l = -1 THEN 1.0 ELSE 0.0 END) * 100.0, 2) AS noise_pct
+FROM (SELECT CASE WHEN c_acctbal < 0 THEN -1 ELSE c_nationkey // 5 END AS l FROM customer)""")
+def q_cluster_counts(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    lab = c.select(F.when(F.col("c_acctbal") < 0, F.lit(-1))
+                   .otherwise(F.floor(F.col("c_nationkey") / 5)).cast("int").alias("l"))
+    return K.cluster_counts(lab, "l")
