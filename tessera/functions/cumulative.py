@@ -1,9 +1,9 @@
 """Running totals along a global order without a single-partition window.
 
 Rows are first reduced to one row per distinct order key (partial
-aggregation), distinct keys are cut into ranges at approximate quantiles,
-a window runs inside each range, and a ranges-sized table of lower-range
-totals supplies the offsets.
+aggregation).  If there are more distinct keys than one task should sort,
+they are cut into ranges at approximate quantiles, a window runs inside each
+range, and a ranges-sized table of lower-range totals supplies the offsets.
 """
 
 from __future__ import annotations
@@ -11,18 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.rank import PER_TASK, bucket_expr, n_buckets
+
 
 def cumulative(df: DataFrame, order: str, sums: list[str], desc: bool = False,
-               buckets: int = 256) -> DataFrame:
+               per_task: int = PER_TASK) -> DataFrame:
     """``(order, sum(s)..., cum_<s>...)`` per distinct ``order`` value, where
     ``cum_<s>`` includes every row up to and including that value."""
     g = df.groupBy(order).agg(*[F.sum(s).alias(s) for s in sums])
-    o = (-F.col(order) if desc else F.col(order)).cast("double")
-    g = g.withColumn("_o", o)
-    probs = [i / buckets for i in range(1, buckets)]
-    b = g.agg(F.percentile_approx("_o", probs, 10 * buckets).alias("_b")).first()["_b"] or []
-    g = g.withColumn("_bk", F.size(F.filter(F.array(*[F.lit(float(x)) for x in b]).cast("array<double>"),
-                                            lambda x: x < F.col("_o"))))
+    g = g.withColumn("_o", (-F.col(order) if desc else F.col(order)).cast("double"))
+    buckets = n_buckets(g.count(), per_task)
+    if buckets == 1:
+        g = g.withColumn("_bk", F.lit(0))
+    else:
+        probs = [i / buckets for i in range(1, buckets)]
+        b = g.agg(F.percentile_approx("_o", probs, 20 * buckets).alias("_b")).first()["_b"]
+        arr = "array(" + ", ".join(f"{float(x)!r}D" for x in b) + ")"
+        g = g.withColumn("_bk", F.expr(bucket_expr("_o", arr, len(b))))
     tot = g.groupBy("_bk").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     # at most ``buckets`` rows: this window is tiny
     wb = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,45 +3,74 @@
 A window ordered over a whole column runs in one task.  Instead:
 
 1. count rows per distinct value (partial aggregation absorbs hot values);
-2. cut the distinct values of each series into ``buckets`` ranges at
-   approximate quantiles (one small aggregate);
+2. when a series has more distinct values than one task should sort
+   (``per_task``), cut them into ranges at approximate quantiles and find
+   each value's range with a binary search written as nested CASE over the
+   boundary array (stays in generated code);
 3. running counts inside each range (window partitioned by series x range),
-   plus the total of all lower ranges (a buckets-sized table).
+   plus the total of all lower ranges (a ranges-sized table).
 
 rank(v) = rows below v + (count(v) + 1) / 2, 1-based like pandas ``rank()``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+PER_TASK = 500_000
+
+
+def bucket_expr(value: str, bounds: str, n_bounds: int) -> str:
+    """SQL: number of elements of the sorted array ``bounds`` (length
+    ``n_bounds``) that are < ``value`` — a binary search as nested CASE."""
+    def rec(lo: int, hi: int) -> str:  # answer in [lo, hi]
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2  # is bounds[mid] (0-based) < value ?
+        return f"CASE WHEN element_at({bounds}, {mid + 1}) < {value} THEN {rec(mid + 1, hi)} ELSE {rec(lo, mid)} END"
+    return rec(0, n_bounds)
+
+
+def n_buckets(max_distinct: int, per_task: int = PER_TASK) -> int:
+    if max_distinct <= per_task:
+        return 1
+    return min(4096, 2 ** math.ceil(math.log2(max_distinct / per_task)))
+
 
-def avg_rank(long_df: DataFrame, keys: list[str], value: str = "value",
-             buckets: int = 256, desc: bool = False) -> DataFrame:
+def avg_rank(long_df: DataFrame, keys: list[str], value: str = "value", desc: bool = False,
+             per_task: int = PER_TASK) -> DataFrame:
     """``(keys..., value)`` rows -> ``(keys..., value, count, rank)`` per distinct value.
 
     ``rank`` is the average 1-based rank; ``desc=True`` ranks the largest first.
     """
-    vc = long_df.where(F.col(value).isNotNull()).groupBy(*keys, value) \
+    kk = list(keys or [])
+    vc = long_df.where(F.col(value).isNotNull()).groupBy(*kk, value) \
         .agg(F.count(F.lit(1)).alias("count"))
-    ov = -F.col(value) if desc else F.col(value)
-    vc = vc.withColumn("_o", ov.cast("double"))
+    vc = vc.withColumn("_o", (-F.col(value) if desc else F.col(value)).cast("double"))
+    sizes = vc.groupBy(*kk).count().agg(F.max("count")).first()[0] or 0
+    buckets = n_buckets(sizes, per_task)
+    if buckets == 1:
+        w = Window.partitionBy(*kk).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0) if kk \
+            else Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+        # every series fits one task (<= per_task distinct values)
+        return vc.select(*kk, value, "count",
+                         (F.sum("count").over(w) - F.col("count") + (F.col("count") + 1) / 2.0).alias("rank"))
     probs = [i / buckets for i in range(1, buckets)]
-    kk = keys or []
-    bnd = vc.groupBy(*kk).agg(F.percentile_approx("_o", probs, 10 * buckets).alias("_bnd")) \
-        if kk else vc.agg(F.percentile_approx("_o", probs, 10 * buckets).alias("_bnd"))
-    # one row per series: bounded by the caller's number of series
-    if kk:
-        j = vc.join(F.broadcast(bnd), kk)
+    grp = vc.groupBy(*kk) if kk else vc.groupBy(F.lit(0).alias("_k"))
+    bnd = grp.agg(F.percentile_approx("_o", probs, 20 * buckets).alias("_bnd"))
+    if not kk:
+        b = bnd.first()["_bnd"]
+        j = vc.withColumn("_bnd", F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in b) + ")"))
     else:
-        b = bnd.first()["_bnd"] or []
-        j = vc.withColumn("_bnd", F.array(*[F.lit(float(x)) for x in b]).cast("array<double>"))
-    j = j.withColumn("_bk", F.size(F.filter("_bnd", lambda x: x < F.col("_o")))).drop("_bnd")
+        j = vc.join(F.broadcast(bnd), kk)  # one row per series
+    j = j.withColumn("_bk", F.expr(bucket_expr("_o", "_bnd", buckets - 1))).drop("_bnd")
     tot = j.groupBy(*kk, "_bk").agg(F.sum("count").alias("_bt"))
     wb = Window.partitionBy(*kk).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1) \
         if kk else Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    # tot has at most buckets rows per series (small); its window is cheap
+    # ``tot`` has at most ``buckets`` rows per series: its window is small
     off = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(wb), F.lit(0))).drop("_bt")
     wi = Window.partitionBy(*kk, "_bk").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
     inner = j.withColumn("_cum", F.sum("count").over(wi))

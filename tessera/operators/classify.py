@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.sqltext import dlit, ident
 from tessera.operators.core import portable_hash
 from tessera.operators.preprocess import scale, scale_params
 
@@ -85,20 +86,20 @@ def gaussian_nb_fit(train: DataFrame, features: list[str], label: str = "label",
     return model
 
 
-def _nb_jll(model: dict, cls: dict) -> Column:
-    e = F.lit(math.log(cls["prior"]))
+def _nb_jll_sql(model: dict, cls: dict) -> str:
+    e = dlit(math.log(cls["prior"]))
     for c, m, v in zip(model["features"], cls["mean"], cls["var"]):
-        d = F.col(c).cast("double") - F.lit(m)
-        e = e - F.lit(0.5 * math.log(2 * math.pi * v)) - d * d / F.lit(2.0 * v)
+        d = f"(CAST({ident(c)} AS DOUBLE) - {dlit(m)})"
+        e += f" - {dlit(0.5 * math.log(2 * math.pi * v))} - {d} * {d} / {dlit(2.0 * v)}"
     return e
 
 
 def gaussian_nb_predict(df: DataFrame, model: dict, out: str = "prediction") -> DataFrame:
     """Adds ``prediction`` (largest joint log-likelihood, smallest label on
     ties) and ``probability`` (array, classes in label order)."""
-    jll = [_nb_jll(model, c) for c in model["classes"]]
     labels = [c["label"] for c in model["classes"]]
-    d = df.withColumn("_jll", F.array(*jll))
+    jll = "array(" + ", ".join(_nb_jll_sql(model, c) for c in model["classes"]) + ")"
+    d = df.withColumn("_jll", F.expr(jll))
     mx = F.array_max("_jll")
     pred = F.element_at(F.array(*[F.lit(float(l)) for l in labels]),
                         F.array_position("_jll", mx).cast("int"))
@@ -277,14 +278,15 @@ def kernel_svm_fit(train: DataFrame, features: list[str], label: str = "label",
 
 def _feature_map(df: DataFrame, features: list[str], fmap: dict) -> DataFrame:
     from pyspark.ml.feature import PolynomialExpansion
-    x = [F.col(c).cast("double") for c in features]
     if fmap["kind"] == "rbf":
         W, b = fmap["W"], fmap["b"]
         D = W.shape[0]
-        comps = [F.lit(math.sqrt(2.0 / D)) * F.cos(sum((x[j] * F.lit(float(W[i, j])) for j in range(len(x))),
-                                                       F.lit(float(b[i])))) for i in range(D)]
+        xs = [f"CAST({ident(c)} AS DOUBLE)" for c in features]
+        comps = [f"{dlit(math.sqrt(2.0 / D))} * cos(" +
+                 " + ".join(f"{x} * {dlit(W[i, j])}" for j, x in enumerate(xs)) + f" + {dlit(b[i])})"
+                 for i in range(D)]
         from pyspark.ml.functions import array_to_vector
-        return df.withColumn("_z", array_to_vector(F.array(*comps)))
+        return df.withColumn("_z", array_to_vector(F.expr("array(" + ", ".join(comps) + ")")))
     a = _assemble(df, features, "_x")
     return PolynomialExpansion(degree=fmap["degree"], inputCol="_x", outputCol="_z").transform(a).drop("_x")
 

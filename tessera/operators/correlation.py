@@ -43,42 +43,40 @@ def pearson(df: DataFrame, cols: list[str]) -> DataFrame:
     return _long_matrix(df.agg(*aggs), cols)
 
 
-def _ranked(df: DataFrame, col: str, rank_name: str) -> DataFrame:
-    """Replace ``col`` by its average rank; rows keep their other columns."""
-    r = avg_rank(df.select(F.col(col).cast("double").alias("value")), [], "value")
-    # join back on the value: a shuffle keyed by value; AQE splits a hot value
-    return df.join(r.select(F.col("value").alias(col), F.col("rank").alias(rank_name)), col)
-
-
 def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson on average ranks.
+    """Pearson on average ranks, pairwise-complete (pandas semantics).
 
-    Without missing values every column is ranked once; with missing values
-    each pair is ranked on its own complete rows (pandas semantics).
+    All pairs are ranked together: rows are stacked once per column pair
+    (keeping only rows where both are present), each side is ranked per
+    pair with the distributed :func:`avg_rank`, ranks are joined back by
+    (pair, value) and one grouped aggregation yields every coefficient.
+    The job count does not grow with the number of columns.
     """
-    nulls = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")))
-                     .alias(c) for c in cols]).first()
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    if not any(nulls[c] for c in cols):
-        r = base
-        for i, c in enumerate(cols):
-            r = _ranked(r, c, f"_r{i}")
-        return pearson(r.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)]), cols)
-    aggs_rows = {}
     spark = df.sparkSession
-    for i, j in combinations(range(len(cols)), 2):
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    pairs = list(combinations(range(len(cols)), 2))
+    stacked = None
+    for pid, (i, j) in enumerate(pairs):
         a, b = cols[i], cols[j]
-        sub = base.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()
-                                      & ~F.isnan(a) & ~F.isnan(b))
-        sub = _ranked(_ranked(sub, a, "_ra"), b, "_rb")
-        aggs_rows[(i, j)] = sub.agg(_pair_corr(F.col("_ra"), F.col("_rb")).alias("r")).first()["r"]
-    diag = df.agg(*[_pair_corr(F.col(c).cast("double"), F.col(c).cast("double")).alias(f"_d{i}")
-                    for i, c in enumerate(cols)]).first()
+        part = base.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)) \
+            .select(F.lit(pid).alias("pair"), F.col(a).alias("va"), F.col(b).alias("vb"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    out = {}
+    if stacked is not None:
+        ra = avg_rank(stacked.select("pair", F.col("va").alias("value")), ["pair"], "value") \
+            .select("pair", F.col("value").alias("va"), F.col("rank").alias("ra"))
+        rb = avg_rank(stacked.select("pair", F.col("vb").alias("value")), ["pair"], "value") \
+            .select("pair", F.col("value").alias("vb"), F.col("rank").alias("rb"))
+        # join keys (pair, value): AQE splits a hot value's partition
+        j = stacked.join(ra, ["pair", "va"]).join(rb, ["pair", "vb"])
+        for r in j.groupBy("pair").agg(_pair_corr(F.col("ra"), F.col("rb")).alias("r")).collect():
+            out[pairs[r["pair"]]] = r["r"]
+    diag = base.agg(*[_pair_corr(F.col(c), F.col(c)).alias(f"_d{i}") for i, c in enumerate(cols)]).first()
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            v = diag[f"_d{i}"] if i == j else aggs_rows[(min(i, j), max(i, j))]
-            rows.append((a, b, v))
+            v = diag[f"_d{i}"] if i == j else out.get((min(i, j), max(i, j)))
+            rows.append((a, b, None if v is None else float(v)))
     return spark.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.colstats import column_stats
 from tessera.functions.columns import numeric_cols, stack_long
 from tessera.functions.mode import modes
+from tessera.functions.sqltext import dlit, ident
 
 
 def _replace(df: DataFrame, exprs: dict) -> DataFrame:
@@ -158,10 +159,11 @@ def discretise(df: DataFrame, col: str, n_bins: int = 5, strategy: str = "unifor
                out_col: str | None = None, edges: list[float] | None = None) -> DataFrame:
     """Ordinal bin code 0..bins-1 in ``<col>_binned``; missing stays missing."""
     edges = edges if edges is not None else bin_edges(df, col, n_bins, strategy)
-    v = _num(col)
     inner = edges[1:-1]
-    code = sum(((v >= F.lit(e)).cast("int") for e in inner), F.lit(0))
-    return df.withColumn(out_col or f"{col}_binned", F.when(v.isNotNull(), code.cast("double")))
+    x = f"CAST({ident(col)} AS DOUBLE)"
+    code = " + ".join([f"CAST({x} >= {dlit(e)} AS INT)" for e in inner] or ["0"])
+    return df.withColumn(out_col or f"{col}_binned",
+                         F.expr(f"CASE WHEN isnan({x}) OR {x} IS NULL THEN NULL ELSE CAST({code} AS DOUBLE) END"))
 
 
 # ----------------------------------------------------------------------- PCA
@@ -189,11 +191,11 @@ def pca_fit(df: DataFrame, cols: list[str], k: int):
 def pca_transform(df: DataFrame, cols: list[str], params: dict, pc, prefix: str = "PC",
                   keep: list[str] | None = None) -> DataFrame:
     """Scores as plain column arithmetic (stays in whole-stage codegen)."""
-    z = {c: (_num(c) - F.lit(params[c][0])) / F.lit(params[c][1]) for c in cols}
+    z = {c: f"((CAST({ident(c)} AS DOUBLE) - {dlit(params[c][0])}) / {dlit(params[c][1])})" for c in cols}
     scores = []
     for j in range(pc.shape[1]):
-        e = sum((z[c] * F.lit(float(pc[i, j])) for i, c in enumerate(cols)), F.lit(0.0))
-        scores.append(e.alias(f"{prefix}{j + 1}"))
+        e = " + ".join(f"{z[c]} * {dlit(pc[i, j])}" for i, c in enumerate(cols))
+        scores.append(F.expr(e).alias(f"{prefix}{j + 1}"))
     return df.na.drop(subset=cols).select(*(keep or []), *scores)
 
 

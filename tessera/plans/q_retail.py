@@ -42,15 +42,17 @@ FROM per, s
 def rfm_sql(clean_sql: str) -> str:
     return f"""
 SELECT CustomerID, Recency, Frequency, round(Monetary, 6) AS Monetary,
-       round(AvgOrderValue, 6) AS AvgOrderValue, HighValue
+       round(Monetary, 6) / Frequency AS AvgOrderValue, HighValue
 FROM ({rfm_base_sql(clean_sql)})
 """
 
 
 def rounded_rfm(rfm):
-    return rfm.select("CustomerID", "Recency", "Frequency",
-                      F.round("Monetary", 6).alias("Monetary"),
-                      F.round("AvgOrderValue", 6).alias("AvgOrderValue"), "HighValue")
+    """Money rounded to 6 dp; the ratio is recomputed from the rounded sum so
+    both engines divide identical operands (no rounding ties)."""
+    m = F.round("Monetary", 6)
+    return rfm.select("CustomerID", "Recency", "Frequency", m.alias("Monetary"),
+                      (m / F.col("Frequency")).alias("AvgOrderValue"), "HighValue")
 
 
 def rfm_frame(spark, sf_dir):
