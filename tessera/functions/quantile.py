@@ -3,21 +3,22 @@
 pandas' ``quantile`` (linear interpolation between order statistics) is the
 semantics to match.  Spark's exact ``percentile`` aggregate keeps a
 value->count map per group and merges it in one task: fine for a few million
-values, fatal for a 100 TB column.  So:
-
-* pass 1: ``count`` per series (one cheap aggregate);
-* every series small enough (``small_n``): the built-in exact ``percentile``;
-* otherwise distributed selection: each target order statistic keeps a value
-  interval known to contain it; one pass histograms the rows inside the
-  intervals into ``buckets`` equal-width buckets (count, min, max per bucket),
-  the bucket holding the target rank becomes the new interval.  When the
-  interval holds few rows (``collect_rows``) or one distinct value, its
-  ``(value, count)`` pairs are fetched and the rank resolved exactly.
-  Memory per task is bounded by ``buckets`` x targets; hot values are
-  absorbed by partial aggregation.
-
-Results come back as a small table (series x probabilities), the size of
-which is bounded by the caller's choice of columns / groups.
+values, fatal for a 100 TB column.  Instead, distributed selection:
+
+* pass 1 (one aggregation): count, min, max and an approximate quantile
+  sketch (``percentile_approx``, mergeable, bounded memory) per series.  For
+  each target order statistic the sketch gives a narrow value bracket;
+* pass 2..: one aggregation per pass over the rows at or below the brackets:
+  rows strictly below (a count) and the rows inside, either as exact
+  ``(value, count)`` pairs when the bracket is small (``collect_rows``) or as
+  ``buckets`` equal-width sub-ranges (count, min, max).  The sub-range holding
+  the target rank becomes the next bracket.  A bracket that missed the rank
+  (sketch error) is widened to the side the rank lies on.
+
+Two passes suffice for millions of rows per series; each further pass shrinks
+a bracket by ~``buckets``x.  Memory per task is bounded by the sketch and by
+``buckets`` x targets; hot values are absorbed by partial aggregation.
+Results come back as a small table (series x probabilities).
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SMALL_N = 2_000_000
-BUCKETS = 8192
-COLLECT_ROWS = 50_000
+ACCURACY = 10_000
+BUCKETS = 4096
+COLLECT_ROWS = 20_000
 
 
 def _interp(lo: float, hi: float, pos: float) -> float:
@@ -42,13 +43,9 @@ def _interp(lo: float, hi: float, pos: float) -> float:
     return (fl + 1 - pos) * lo + (pos - fl) * hi
 
 
-def _series_key(keys: list[str]):
-    return F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-
-
 def quantiles(long_df: DataFrame, keys: list[str], probs: list[float],
-              value: str = "value", small_n: int = SMALL_N, buckets: int = BUCKETS,
-              collect_rows: int = COLLECT_ROWS, extra: dict | None = None) -> dict:
+              value: str = "value", accuracy: int = ACCURACY, buckets: int = BUCKETS,
+              collect_rows: int = COLLECT_ROWS, extra: dict | None = None, **_ignored) -> dict:
     """Exact quantiles of ``value`` per ``keys`` group.
 
     Returns ``{key_tuple: [q(p) for p in probs]}`` plus the count under key
@@ -57,10 +54,9 @@ def quantiles(long_df: DataFrame, keys: list[str], probs: list[float],
     ``extra`` (single series only): ``{name: aggregate Column}`` evaluated over
     the input in the first pass; results under key ``("__extra__", name)``.
     """
-    spark = long_df.sparkSession
     if not keys:  # one series: give it a constant key so every join stays an equi-join
         res = quantiles(long_df.withColumn("_series", F.lit(0)), ["_series"], probs, value,
-                        small_n, buckets, collect_rows, extra)
+                        accuracy, buckets, collect_rows, extra)
         out = {(() if k == (0,) else ("__n__", ())): v for k, v in res.items()
                if k == (0,) or k == ("__n__", (0,))}
         out.update({k: v for k, v in res.items() if k[0] == "__extra__"})
@@ -68,10 +64,13 @@ def quantiles(long_df: DataFrame, keys: list[str], probs: list[float],
     extra = extra or {}
     v = F.col(value).cast("double")
     valid = v.isNotNull() & ~F.isnan(v)
-    # pass 1: size and range of every series (plus caller's extra aggregates)
+    margin = 3.0 / accuracy
+    sk = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
+    # pass 1: size, range and a quantile sketch of every series (+ extras)
     stats = long_df.groupBy(*keys).agg(
         F.count(F.when(valid, F.lit(1))).alias("_n"),
         F.min(F.when(valid, v)).alias("_lo"), F.max(F.when(valid, v)).alias("_hi"),
+        F.percentile_approx(F.when(valid, v), sk, accuracy).alias("_sk"),
         *[c.alias(f"_x_{n}") for n, c in extra.items()]).collect()
     out: dict = {}
     for r in stats:
@@ -81,80 +80,87 @@ def quantiles(long_df: DataFrame, keys: list[str], probs: list[float],
     if not stats:
         return out
     data = long_df.select(*keys, v.alias("_v")).where(valid)
-    max_n = max(r["_n"] for r in stats)
-    if max_n <= small_n:
-        rows = data.groupBy(*keys).agg(
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q")).collect()
-        for r in rows:
-            out[tuple(r[k] for k in keys)] = [float(x) for x in r["_q"]]
-        for r in stats:
-            out[("__n__", tuple(r[k] for k in keys))] = r["_n"]
-        return out
-    out.update(_select(spark, data, keys, probs, stats, buckets, collect_rows))
+    out.update(_select(long_df.sparkSession, data, keys, probs, stats, sk, margin,
+                       buckets, collect_rows))
     return out
 
 
 def _select(spark: SparkSession, data: DataFrame, keys: list[str], probs: list[float],
-            stats, buckets: int, collect_rows: int) -> dict:
-    # targets: (tid, key, rank) with interval [lo, hi] and rows strictly below lo
+            stats, sk: list[float], margin: float, buckets: int, collect_rows: int) -> dict:
     targets = {}
     need = defaultdict(list)
     for r in stats:
         key = tuple(r[k] for k in keys)
         n = r["_n"]
+        sketch = dict(zip(sk, r["_sk"]))
         for p in probs:
             pos = p * (n - 1)
+            lo = sketch[min(1.0, max(0.0, p - margin))]
+            hi = sketch[min(1.0, max(0.0, p + margin))]
             for rank in {math.floor(pos), math.ceil(pos)}:
                 tid = len(targets)
-                targets[tid] = {"key": key, "rank": rank, "lo": r["_lo"], "hi": r["_hi"],
-                                "below": 0, "value": None, "est": n}
+                targets[tid] = {"key": key, "rank": rank, "lo": max(lo, r["_lo"]), "hi": min(hi, r["_hi"]),
+                                "min": r["_lo"], "max": r["_hi"], "value": None,
+                                "est": 3 * margin * n + 2, "fetch": True}
                 need[(key, p)].append(tid)
     key_fields = [T.StructField(k, data.schema[k].dataType) for k in keys]
     schema = T.StructType(key_fields + [T.StructField("_tid", T.LongType()),
                                         T.StructField("_tlo", T.DoubleType()),
-                                        T.StructField("_thi", T.DoubleType())])
+                                        T.StructField("_thi", T.DoubleType()),
+                                        T.StructField("_f", T.BooleanType())])
     while True:
         open_t = {t: s for t, s in targets.items() if s["value"] is None}
         if not open_t:
             break
-        fetch = {t for t, s in open_t.items() if s["est"] <= collect_rows or s["lo"] == s["hi"]}
+        for s in open_t.values():
+            s["fetch"] = s["est"] <= collect_rows or s["lo"] == s["hi"]
+        # targets sharing a bracket (e.g. the two ranks around one quantile)
+        # share one exploded copy of the rows
+        brackets: dict = {}
+        for t, s in open_t.items():
+            s["bid"] = brackets.setdefault((s["key"], s["lo"], s["hi"], s["fetch"]), len(brackets))
         tdf = spark.createDataFrame(
-            [(*s["key"], t, float(s["lo"]), float(s["hi"])) for t, s in open_t.items()], schema)
-        # targets table is tiny (series x probabilities x 2): broadcast equi-join
+            [(*key, b, float(lo), float(hi), f) for (key, lo, hi, f), b in brackets.items()], schema)
+        # bracket table is tiny (series x probabilities): broadcast equi-join
         cond = [data[k].eqNullSafe(tdf[k]) for k in keys]
-        joined = data.join(F.broadcast(tdf), cond, "inner").drop(*[tdf[k] for k in keys])
-        inside = joined.where((F.col("_v") >= F.col("_tlo")) & (F.col("_v") <= F.col("_thi")))
+        j = data.join(F.broadcast(tdf), cond, "inner").drop(*[tdf[k] for k in keys]) \
+            .where(F.col("_v") <= F.col("_thi"))
+        below = F.col("_v") < F.col("_tlo")
         width = (F.col("_thi") - F.col("_tlo")) / buckets
-        bucket = F.when(F.col("_tid").isin(list(fetch)) if fetch else F.lit(False),
-                        F.lit(-1)).otherwise(
-            F.least(F.lit(buckets - 1),
-                    F.floor(F.try_divide(F.col("_v") - F.col("_tlo"), width)).cast("int")))
-        # fetched targets: group by exact value; the others: by bucket
-        grp = inside.select("_tid", bucket.alias("_b"),
-                            F.when(bucket == -1, F.col("_v")).alias("_ev"), "_v")
+        bucket = (F.when(below, F.lit(-2)).when(F.col("_f"), F.lit(-1))
+                  .otherwise(F.least(F.lit(buckets - 1), F.floor(
+                      F.try_divide(F.col("_v") - F.col("_tlo"), width)).cast("int"))))
+        grp = j.select("_tid", bucket.alias("_b"),
+                       F.when(bucket == -1, F.col("_v")).alias("_ev"), "_v")
         agg = grp.groupBy("_tid", "_b", "_ev").agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"),
-            F.max("_v").alias("_mx")).collect()
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx")).collect()
         per = defaultdict(list)
         for r in agg:
             per[r["_tid"]].append(r)
         for t, s in open_t.items():
-            rows = per.get(t, [])
-            if t in fetch:
-                vals = sorted((r["_ev"], r["_c"]) for r in rows)
-                cum = s["below"]
-                for v, c in vals:
+            rows = per.get(s["bid"], [])
+            nb = sum(r["_c"] for r in rows if r["_b"] == -2)
+            inside = [r for r in rows if r["_b"] != -2]
+            n_in = sum(r["_c"] for r in inside)
+            if s["rank"] < nb:  # sketch bracket too high: search below it
+                s["hi"] = math.nextafter(s["lo"], -math.inf)
+                s["lo"], s["est"] = s["min"], nb
+                continue
+            if s["rank"] >= nb + n_in:  # sketch bracket too low: search above it
+                s["lo"] = math.nextafter(s["hi"], math.inf)
+                s["hi"], s["est"] = s["max"], float("inf")
+                continue
+            cum = nb
+            if s["fetch"]:
+                for val, c in sorted((r["_ev"], r["_c"]) for r in inside):
                     if cum + c > s["rank"]:
-                        s["value"] = v
+                        s["value"] = val
                         break
                     cum += c
-                if s["value"] is None:  # defensive: cannot happen with exact counts
-                    s["value"] = vals[-1][0] if vals else s["hi"]
             else:
-                cum = s["below"]
-                for r in sorted(rows, key=lambda r: r["_b"]):
+                for r in sorted(inside, key=lambda r: r["_b"]):
                     if cum + r["_c"] > s["rank"]:
-                        s["lo"], s["hi"], s["below"], s["est"] = r["_mn"], r["_mx"], cum, r["_c"]
+                        s["lo"], s["hi"], s["est"] = r["_mn"], r["_mx"], r["_c"]
                         break
                     cum += r["_c"]
     out: dict = {}
@@ -163,8 +169,7 @@ def _select(spark: SparkSession, data: DataFrame, keys: list[str], probs: list[f
         n = r["_n"]
         qs = []
         for p in probs:
-            tids = need[(key, p)]
-            vals = {targets[t]["rank"]: targets[t]["value"] for t in tids}
+            vals = {targets[t]["rank"]: targets[t]["value"] for t in need[(key, p)]}
             pos = p * (n - 1)
             qs.append(_interp(vals[math.floor(pos)], vals[math.ceil(pos)], pos))
         out[key] = qs
@@ -178,5 +183,5 @@ def quantile_table(spark: SparkSession, result: dict, keys: list[str], probs: li
     key_types = key_types or [T.StringType()] * len(keys)
     schema = T.StructType([T.StructField(k, t) for k, t in zip(keys, key_types)] +
                           [T.StructField(n, T.DoubleType()) for n in names])
-    rows = [(*k, *v) for k, v in result.items() if not (k and k[0] == "__n__")]
+    rows = [(*k, *v) for k, v in result.items() if not (k and k[0] in ("__n__", "__extra__"))]
     return spark.createDataFrame(rows, schema)

@@ -36,7 +36,7 @@ def test_quantiles_match_numpy(spark, small_n):
     g = rng.integers(0, 3, len(xs))
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, xs)], "g int, value double")
     probs = [0, 0.1, 0.25, 0.5, 0.75, 0.99, 1]
-    res = quantiles(df, ["g"], probs, small_n=small_n, buckets=8, collect_rows=50)
+    res = quantiles(df, ["g"], probs, accuracy=(10000 if small_n else 20), buckets=8, collect_rows=50)
     for k in range(3):
         assert np.allclose(res[(k,)], np.quantile(xs[g == k], probs), rtol=0, atol=1e-9)
 
