@@ -1,0 +1,136 @@
+"""Agglomerative clustering (K-05, K-06) over micro-cluster summaries.
+
+Exact agglomeration needs the full n x n distance matrix.  The engine
+instead summarises the rows into at most ``m`` micro-clusters (k-means in
+Spark; every distinct row is its own micro-cluster when there are <= m of
+them, which makes the result exact), agglomerates the summaries with the
+Lance-Williams recurrences in one bounded task (``applyInPandas`` over an
+m-row table), and maps each row's micro-cluster to its final cluster with a
+join against an m-row table.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+LINKAGES = ("ward", "complete", "average", "single")
+
+
+def _pairwise(X: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "euclidean":
+        sq = (X * X).sum(1)
+        d2 = np.maximum(sq[:, None] + sq[None, :] - 2 * X @ X.T, 0.0)
+        return np.sqrt(d2)
+    if metric in ("manhattan", "cityblock"):
+        return np.abs(X[:, None, :] - X[None, :, :]).sum(-1)
+    if metric == "cosine":
+        nrm = np.linalg.norm(X, axis=1)
+        nrm[nrm == 0] = 1.0
+        return 1.0 - (X @ X.T) / (nrm[:, None] * nrm[None, :])
+    raise ValueError(metric)
+
+
+def agglomerate(X: np.ndarray, w: np.ndarray, linkage: str = "ward", metric: str = "euclidean"):
+    """Merge table ``[(left, right, height, size)]`` over weighted points.
+
+    Node ids follow the usual convention: leaves 0..m-1, merge i creates
+    node m+i.  Ward uses Euclidean distances and the point weights.
+    """
+    m = len(X)
+    D = _pairwise(X, "euclidean" if linkage == "ward" else metric).astype(float)
+    if linkage == "ward":
+        D = D * np.sqrt(2.0 * np.outer(w, w) / (w[:, None] + w[None, :]))  # Ward distance of weighted points
+    np.fill_diagonal(D, np.inf)
+    size = w.astype(float).copy()
+    ids = list(range(m))
+    alive = np.ones(m, dtype=bool)
+    merges = []
+    for step in range(m - 1):
+        sub = np.where(alive[:, None] & alive[None, :], D, np.inf)
+        i, j = np.unravel_index(np.argmin(sub), sub.shape)
+        if i > j:
+            i, j = j, i
+        h = D[i, j]
+        ni, nj = size[i], size[j]
+        merges.append((ids[i], ids[j], float(h), float(ni + nj)))
+        if linkage == "single":
+            new = np.minimum(D[i], D[j])
+        elif linkage == "complete":
+            new = np.maximum(D[i], D[j])
+        elif linkage == "average":
+            new = (ni * D[i] + nj * D[j]) / (ni + nj)
+        else:  # ward (Lance-Williams)
+            nk = size
+            new = np.sqrt(((ni + nk) * D[i] ** 2 + (nj + nk) * D[j] ** 2 - nk * h ** 2) / (ni + nj + nk))
+        D[i, :] = new
+        D[:, i] = new
+        D[i, i] = np.inf
+        alive[j] = False
+        D[j, :] = np.inf
+        D[:, j] = np.inf
+        size[i] = ni + nj
+        ids[i] = m + step
+    return merges
+
+
+def cut(merges, m: int, k: int) -> np.ndarray:
+    """Leaf -> cluster 0..k-1 after undoing the last k-1 merges (clusters
+    numbered by their smallest leaf)."""
+    parent = list(range(m))
+
+    def find(a):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+    node_leaf = {i: i for i in range(m)}
+    for step, (a, b, _, _) in enumerate(merges[: m - k]):
+        ra, rb = find(node_leaf[a]), find(node_leaf[b])
+        parent[max(ra, rb)] = min(ra, rb)
+        node_leaf[m + step] = min(ra, rb)
+    roots = [find(i) for i in range(m)]
+    order = {r: c for c, r in enumerate(sorted(set(roots)))}
+    return np.array([order[r] for r in roots])
+
+
+def hierarchical(df: DataFrame, id_col: str, cols: list[str], k: int = 3, linkage: str = "ward",
+                 metric: str = "euclidean", m: int = 500, seed: int = 42):
+    """Returns ``(labels DataFrame(id, cluster), merge table DataFrame)``."""
+    spark = df.sparkSession
+    data = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
+    distinct = data.select(*cols).distinct()
+    nd = distinct.limit(m + 1).count()
+    if nd <= m:  # exact: each distinct point is a micro-cluster
+        # at most m rows here, so a global window is cheap
+        micro = distinct.withColumn("_mc", F.dense_rank().over(Window.orderBy(*cols)) - 1)
+        assign = data.join(micro, cols)  # m-row table
+        summ = assign.groupBy("_mc").agg(F.count(F.lit(1)).alias("_w"), *[F.first(c).alias(c) for c in cols])
+    else:
+        from tessera.operators.cluster import kmeans
+        lab, _, _ = kmeans(data, cols, k=m, n_init=1, seed=seed, max_iter=50, keep=[id_col])
+        assign = lab.withColumnRenamed("cluster", "_mc")
+        summ = assign.groupBy("_mc").agg(F.count(F.lit(1)).alias("_w"), *[F.avg(c).alias(c) for c in cols])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_mc").reset_index(drop=True)
+        X = pdf[cols].to_numpy(dtype=float)
+        mg = agglomerate(X, pdf["_w"].to_numpy(dtype=float), linkage, metric)
+        lab = cut(mg, len(pdf), min(k, len(pdf)))
+        rows = [("label", int(pdf["_mc"][i]), int(lab[i]), 0.0, 0.0) for i in range(len(pdf))]
+        rows += [("merge", int(a), int(b), h, s) for a, b, h, s in mg]
+        return pd.DataFrame(rows, columns=["kind", "a", "b", "height", "size"])
+    # all summaries in one group: at most m rows by construction
+    res = summ.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(
+        lambda p: run(p.drop(columns=["_g"])), "kind string, a long, b long, height double, size double")
+    res = res.toPandas()  # m labels + m-1 merges: bounded by m
+    lab_pdf = res[res.kind == "label"][["a", "b"]].rename(columns={"a": "_mc", "b": "cluster"})
+    lab_df = spark.createDataFrame(lab_pdf.astype({"_mc": "int64", "cluster": "int64"}))
+    labels = assign.select(id_col, F.col("_mc").cast("long").alias("_mc")) \
+        .join(F.broadcast(lab_df), "_mc").select(id_col, F.col("cluster").cast("int").alias("cluster"))
+    mt = res[res.kind == "merge"][["a", "b", "height", "size"]].rename(columns={"a": "left", "b": "right"})
+    merge_df = spark.createDataFrame(mt.reset_index(drop=True)) if len(mt) else \
+        spark.createDataFrame([], "left long, right long, height double, size double")
+    return labels, merge_df
