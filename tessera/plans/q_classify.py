@@ -205,3 +205,29 @@ def q_leaderboard(spark, sf_dir):
                                 ["Recency", "Frequency", "AvgOrderValue"], "HighValue",
                                 models=["dt", "nb", "rf", "svm_linear"], params={"rf": {"n_estimators": 20}})
     return board
+
+
+KNN_FEATS = ["Recency", "Frequency", "AvgOrderValue"]
+
+
+@register("knn_classify", f"""
+WITH r AS ({rfm_base_sql(CLEAN_SQL)}),
+d AS (SELECT CustomerID AS id, CAST(HighValue AS DOUBLE) AS label, CAST(Recency AS DOUBLE) AS x1,
+             CAST(Frequency AS DOUBLE) AS x2, AvgOrderValue AS x3,
+             (((CAST(CustomerID AS BIGINT) % 2147483647) * 1103515245 + 42) % 2147483648) / 2147483648.0 < 0.25
+             AS is_test FROM r),
+pr AS (SELECT te.id, tr.label, tr.id AS tid,
+              sqrt(power(te.x1 - tr.x1, 2) + power(te.x2 - tr.x2, 2) + power(te.x3 - tr.x3, 2)) AS dist
+       FROM d te JOIN d tr ON te.is_test AND NOT tr.is_test),
+nn AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, tid) AS rn FROM pr) WHERE rn <= 5),
+v AS (SELECT id, label, count(*) AS n FROM nn GROUP BY id, label),
+b AS (SELECT id, label, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS rk FROM v)
+SELECT b.id AS CustomerID, b.label AS prediction,
+       round(coalesce((SELECT n FROM v WHERE v.id = b.id AND v.label = 1), 0) / 5.0, 6) AS score
+FROM b WHERE rk = 1""")
+def q_knn_classify(spark, sf_dir):
+    from tessera.operators.knn import knn_classify
+    d = rfm_split(spark, sf_dir)
+    tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    p = knn_classify(tr, te.select("CustomerID", *KNN_FEATS), "CustomerID", KNN_FEATS, "label", k=5)
+    return p.select("CustomerID", "prediction", F.round("score", 6).alias("score"))

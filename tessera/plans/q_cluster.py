@@ -87,3 +87,39 @@ def q_cluster_counts(spark, sf_dir):
     lab = c.select(F.when(F.col("c_acctbal") < 0, F.lit(-1))
                    .otherwise(F.floor(F.col("c_nationkey") / 5)).cast("int").alias("l"))
     return K.cluster_counts(lab, "l")
+
+
+@register("dbscan")
+def q_dbscan(spark, sf_dir):
+    from tessera.operators.dbscan import dbscan
+    return dbscan(rfm_scaled(spark, sf_dir), "CustomerID", RFM_FEATS, eps=0.5, min_samples=5)
+
+
+@register("hierarchical")
+def q_hierarchical(spark, sf_dir):
+    from tessera.operators.hierarchical import hierarchical
+    lab, _ = hierarchical(rfm_scaled(spark, sf_dir), "CustomerID", RFM_FEATS, k=3, linkage="ward", m=200)
+    return lab
+
+
+@register("linkage_table")
+def q_linkage_table(spark, sf_dir):
+    from tessera.operators.hierarchical import hierarchical
+    _, merges = hierarchical(rfm_scaled(spark, sf_dir), "CustomerID", RFM_FEATS, k=3,
+                             linkage="average", metric="manhattan", m=200)
+    return merges
+
+
+@register("compare_clusterings")
+def q_compare_clusterings(spark, sf_dir):
+    from tessera.operators.dbscan import dbscan
+    from tessera.operators.hierarchical import hierarchical
+    z = rfm_scaled(spark, sf_dir)
+    km, _, _ = K.kmeans(z, RFM_FEATS, k=3, n_init=2, keep=["CustomerID"])
+    db = dbscan(z, "CustomerID", RFM_FEATS, 0.5, 5).join(z, "CustomerID")
+    hc = hierarchical(z, "CustomerID", RFM_FEATS, 3, "ward", m=200)[0].join(z, "CustomerID")
+    res = []
+    for name, d in [("kmeans", km), ("dbscan", db), ("hierarchical", hc)]:
+        n_cl = d.where(F.col("cluster") != -1).select("cluster").distinct().count()
+        res.append((name, n_cl, K.silhouette(d, "CustomerID", RFM_FEATS, "cluster", method="squared")))
+    return K.compare_clusterings(spark, res)

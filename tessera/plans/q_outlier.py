@@ -74,3 +74,43 @@ def _impact_sql():
 def q_impact(spark, sf_dir):
     rfm, flags = flags_frame(spark, sf_dir)
     return O.impact(rfm, flags, "CustomerID", FEATS, 2, digits=6)
+
+
+# ---- neighbour / tree based detectors
+LOF_FEATS = ["Monetary", "AvgOrderValue", "Recency"]
+
+
+@register("outlier_lof", f"""
+WITH r AS ({rfm_base_sql(CLEAN_SQL)}),
+p AS (SELECT CustomerID AS id, Monetary AS x1, AvgOrderValue AS x2, CAST(Recency AS DOUBLE) AS x3 FROM r),
+d AS (SELECT a.id AS a, b.id AS b, sqrt(power(a.x1 - b.x1, 2) + power(a.x2 - b.x2, 2) + power(a.x3 - b.x3, 2)) AS dist
+      FROM p a JOIN p b ON a.id <> b.id),
+nn AS (SELECT a, b, dist FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rn FROM d) WHERE rn <= 20),
+kd AS (SELECT a, max(dist) AS kdist FROM nn GROUP BY a),
+lrd AS (SELECT nn.a, 1.0 / (avg(greatest(kd.kdist, nn.dist)) + 1e-10) AS lrd FROM nn JOIN kd ON nn.b = kd.a GROUP BY nn.a),
+lf AS (SELECT nn.a, avg(lb.lrd) / la.lrd AS lof FROM nn JOIN lrd lb ON nn.b = lb.a JOIN lrd la ON nn.a = la.a
+       GROUP BY nn.a, la.lrd)
+SELECT a AS CustomerID, round(lof, 6) AS lof, CAST(lof > 1.5 AS INTEGER) AS lof_flag FROM lf""")
+def q_outlier_lof(spark, sf_dir):
+    from tessera.operators.knn import outlier_lof
+    o = outlier_lof(rfm_frame(spark, sf_dir), "CustomerID", LOF_FEATS, k=20)
+    return o.select("CustomerID", F.round("lof", 6).alias("lof"), "lof_flag")
+
+
+@register("outlier_iforest")
+def q_outlier_iforest(spark, sf_dir):
+    from tessera.operators.iforest import outlier_iforest
+    return outlier_iforest(rfm_frame(spark, sf_dir), "CustomerID", FEATS, contamination=0.05, n_trees=50)
+
+
+@register("outlier_battery")
+def q_outlier_battery(spark, sf_dir):
+    """All four detectors as columns of one frame, plus the agreement count."""
+    from tessera.operators.iforest import outlier_iforest
+    from tessera.operators.knn import outlier_lof
+    from tessera.operators.preprocess import scale
+    rfm = rfm_frame(spark, sf_dir)
+    z = scale(rfm, FEATS, "standard")
+    lof = outlier_lof(z, "CustomerID", FEATS, k=20).select("CustomerID", "lof_flag")
+    ifo = outlier_iforest(z, "CustomerID", FEATS, 0.05, n_trees=50).select("CustomerID", "iforest")
+    return O.outlier_flags(rfm, "CustomerID", FEATS, extra={"lof": lof, "iforest": ifo})
