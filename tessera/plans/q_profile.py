@@ -256,3 +256,28 @@ FROM s a JOIN s b ON a.id < b.id"""
 
 for _m in _DIST_EXPR:
     _make_dist(_m)
+
+
+KENDALL_COLS = ["c_acctbal", "c_nationkey", "c_custkey"]
+
+
+def _kendall_sql():
+    parts = []
+    for a in KENDALL_COLS:
+        for b in KENDALL_COLS:
+            if a == b:
+                parts.append(f"""SELECT '{a}' AS col_a, '{b}' AS col_b,
+  CASE WHEN count(DISTINCT {a}) > 1 THEN 1.0 END AS corr FROM customer""")
+            else:
+                parts.append(f"""SELECT '{a}' AS col_a, '{b}' AS col_b,
+  round(sum(sign(p.{a} - q.{a}) * sign(p.{b} - q.{b}))
+        / sqrt(count(*) FILTER (WHERE p.{a} <> q.{a}) * count(*) FILTER (WHERE p.{b} <> q.{b})), 6) AS corr
+FROM customer p JOIN customer q ON p.c_custkey < q.c_custkey""")
+    return union_sql(parts)
+
+
+@register("corr_kendall", _kendall_sql())
+def q_corr_kendall(spark, sf_dir):
+    from tessera.operators.kendall import kendall
+    c = kendall(load(spark, sf_dir, "customer"), KENDALL_COLS)
+    return c.select("col_a", "col_b", F.round("corr", 6).alias("corr"))

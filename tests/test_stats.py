@@ -86,3 +86,20 @@ def test_histogram_counts(spark):
     df = one_col(spark, list(range(10)))
     h = P.histogram(df, ["x"], 3).orderBy("bin").collect()
     assert [r["count"] for r in h] == [3, 3, 4] and math.isclose(h[0]["lo"], 0.0)
+
+
+@pytest.mark.parametrize("per_group", [10**9, 50])
+def test_kendall_tau_b_bruteforce(spark, per_group):
+    from tessera.operators.kendall import kendall_tau
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 15, 400).astype(float)
+    y = (x + rng.integers(0, 10, 400)).astype(float)
+    x[:100] = 3.0
+    s = tx = ty = 0
+    for i in range(len(x)):
+        dx, dy = np.sign(x[i] - x[i + 1:]), np.sign(y[i] - y[i + 1:])
+        s += (dx * dy).sum()
+        tx += (dx != 0).sum()
+        ty += (dy != 0).sum()
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "a double, b double")
+    assert kendall_tau(df, "a", "b", per_group=per_group) == pytest.approx(s / np.sqrt(tx * ty), abs=1e-12)
