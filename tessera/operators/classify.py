@@ -340,7 +340,7 @@ def importances(model, features: list[str]) -> list[tuple[str, float]]:
         vals = adaboost_importances(model)
     else:
         vals = list(model.featureImportances.toArray())
-    return sorted(zip(features, vals), key=lambda t: (t[1], t[0]))
+    return sorted(((f, float(v)) for f, v in zip(features, vals)), key=lambda t: (t[1], t[0]))
 
 
 def tree_text(model, max_depth: int = 5) -> str:

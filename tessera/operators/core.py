@@ -53,12 +53,16 @@ def sample_n(df: DataFrame, n: int, seed: int, id_col: str, method: str = "xxhas
     return df.orderBy(h, F.col(id_col)).limit(n)
 
 
-def head(df: DataFrame, n: int, order_by: str) -> DataFrame:
-    return df.orderBy(F.col(order_by)).limit(n)
+def head(df: DataFrame, n: int, order_by: str | list[str]) -> DataFrame:
+    """First ``n`` rows in an explicit order (TakeOrderedAndProject, no full sort)."""
+    keys = [order_by] if isinstance(order_by, str) else order_by
+    return df.orderBy(*[F.col(k) for k in keys]).limit(n)
 
 
-def tail(df: DataFrame, n: int, order_by: str) -> DataFrame:
-    return df.orderBy(F.col(order_by).desc()).limit(n)
+def tail(df: DataFrame, n: int, order_by: str | list[str]) -> DataFrame:
+    """Last ``n`` rows of that order (returned last-first)."""
+    keys = [order_by] if isinstance(order_by, str) else order_by
+    return df.orderBy(*[F.col(k).desc() for k in keys]).limit(n)
 
 
 def melt(df: DataFrame, ids: list[str], values: list[str] | None = None,

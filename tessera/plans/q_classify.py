@@ -231,3 +231,45 @@ def q_knn_classify(spark, sf_dir):
     tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
     p = knn_classify(tr, te.select("CustomerID", *KNN_FEATS), "CustomerID", KNN_FEATS, "label", k=5)
     return p.select("CustomerID", "prediction", F.round("score", 6).alias("score"))
+
+
+@register("importances")
+def q_importances(spark, sf_dir):
+    d = rfm_split(spark, sf_dir)
+    feats = ["Recency", "Frequency", "Monetary", "AvgOrderValue"]
+    model, _ = C.fit_predict("dt", d.where(~F.col("is_test")), d.where(F.col("is_test")), feats, "label")
+    return spark.createDataFrame(C.importances(model, feats), "feature string, importance double")
+
+
+@register("tree_text")
+def q_tree_text(spark, sf_dir):
+    d = rfm_split(spark, sf_dir)
+    feats = ["Recency", "Frequency", "Monetary", "AvgOrderValue"]
+    model, _ = C.fit_predict("dt", d.where(~F.col("is_test")), d.where(F.col("is_test")), feats, "label",
+                             params={"max_depth": 4})
+    return spark.createDataFrame([(line,) for line in C.tree_text(model).splitlines()], "line string")
+
+
+@register("leaderboard_long")
+def q_leaderboard_long(spark, sf_dir):
+    from tessera.operators.core import melt
+    board, _ = C.compare_models(rfm_frame(spark, sf_dir), "CustomerID", NB_FEATS, "HighValue",
+                                models=["nb", "dt"])
+    return melt(board, ["model"], ["accuracy", "precision", "recall", "f1"], "metric", "value")
+
+
+@register("score_grid")
+def q_score_grid(spark, sf_dir):
+    """Decision surface of naive Bayes over standardised (Recency, Frequency):
+    a regular grid with step 0.3 spanning the data with a margin of 1."""
+    from tessera.operators.preprocess import scale
+    d = rfm_split(spark, sf_dir)
+    feats = ["Recency", "Frequency"]
+    tr = d.where(~F.col("is_test"))
+    sp = C.fit_scaler(tr, feats)
+    z = scale(d, feats, params=sp)
+    m = C.gaussian_nb_fit(z.where(~F.col("is_test")), feats)
+    b = z.agg(F.min("Recency"), F.max("Recency"), F.min("Frequency"), F.max("Frequency")).first()
+    bounds = (b[0] - 1.0, b[1] + 1.0, b[2] - 1.0, b[3] + 1.0)
+    return C.score_grid(lambda g: C.gaussian_nb_predict(g, m).drop("probability"), bounds, 0.3,
+                        spark=spark, names=("Recency", "Frequency"))

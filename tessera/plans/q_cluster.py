@@ -123,3 +123,9 @@ def q_compare_clusterings(spark, sf_dir):
         n_cl = d.where(F.col("cluster") != -1).select("cluster").distinct().count()
         res.append((name, n_cl, K.silhouette(d, "CustomerID", RFM_FEATS, "cluster", method="squared")))
     return K.compare_clusterings(spark, res)
+
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, sf_dir):
+    lab, _, _ = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=4, n_init=2, keep=["CustomerID"])
+    return K.cluster_sizes(lab, "cluster")

@@ -281,3 +281,54 @@ def q_corr_kendall(spark, sf_dir):
     from tessera.operators.kendall import kendall
     c = kendall(load(spark, sf_dir, "customer"), KENDALL_COLS)
     return c.select("col_a", "col_b", F.round("corr", 6).alias("corr"))
+
+
+# ---- previews, sampling, unpivot, compact describe
+from tessera.operators import core as CORE  # noqa: E402
+
+
+@register("head_rows", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+ORDER BY l_orderkey, l_linenumber LIMIT 20""")
+def q_head_rows(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return CORE.head(li, 20, ["l_orderkey", "l_linenumber"])
+
+
+@register("tail_rows", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+ORDER BY l_orderkey DESC, l_linenumber DESC LIMIT 20""")
+def q_tail_rows(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return CORE.tail(li, 20, ["l_orderkey", "l_linenumber"])
+
+
+@register("sample_n", """
+SELECT c_custkey, c_acctbal FROM customer
+ORDER BY ((c_custkey % 2147483647) * 1103515245 + 7) % 2147483648, c_custkey LIMIT 100""")
+def q_sample_n(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return CORE.sample_n(c, 100, 7, "c_custkey", method="portable")
+
+
+@register("melt", f"WITH t AS ({LINEITEM_NULLS_SQL})\n" + union_sql([
+    f"SELECT l_orderkey, l_linenumber, '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM t"
+    for c in LINEITEM_NUM]))
+def q_melt(spark, sf_dir):
+    return CORE.melt(lineitem_nulls(spark, sf_dir).select("l_orderkey", "l_linenumber", *LINEITEM_NUM),
+                     ["l_orderkey", "l_linenumber"], LINEITEM_NUM)
+
+
+def _describe_numeric_sql():
+    parts = []
+    for c in LINEITEM_NUM:
+        parts.append(f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 6) AS mean,
+  round(stddev_samp({c}), 6) AS std, round(min({c}) + 0.0, 6) AS "min", round(quantile_cont({c}, 0.25), 6) AS p25,
+  round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75,
+  round(max({c}) + 0.0, 6) AS "max" FROM t""")
+    return f"WITH t AS ({LINEITEM_NULLS_SQL})\n" + union_sql(parts)
+
+
+@register("describe_numeric", _describe_numeric_sql())
+def q_describe_numeric(spark, sf_dir):
+    return P.describe_numeric(lineitem_nulls(spark, sf_dir), LINEITEM_NUM, digits=6)
