@@ -25,7 +25,8 @@ HEADLINE = [
     "corr_pearson", "corr_spearman", "pairwise_euclidean", "impute_median", "cap_iqr", "scale_robust",
     "bin_quantile", "pca", "outlier_flags", "impact", "baskets", "itemsets_type", "rules_type",
     "itemsets_brand", "gaussian_nb", "class_report", "roc", "auc", "cluster_profile", "kmeans",
-    "model_dt",
+    "model_dt", "corr_kendall", "outlier_lof", "knn_classify", "dbscan", "hierarchical",
+    "outlier_iforest",
 ]
 
 

@@ -69,7 +69,6 @@ def knn(queries: DataFrame, build: DataFrame, cols: list[str], k: int, self_join
     todo = queries.select(F.col("vid").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
     offs = [list(o) for o in product([-1, 0, 1], repeat=g)]
     done = []
-    diam = None
     for r in range(max_rounds):
         h = h0 * (GROWTH ** r)
         cell = lambda p: [F.floor(F.col(f"{p}{c}") / F.lit(h)).cast("long") for c in cols[:g]]
@@ -99,14 +98,6 @@ def knn(queries: DataFrame, build: DataFrame, cols: list[str], k: int, self_join
         left = todo.count()
         if left == 0:
             break
-        if diam is None:
-            rng = build.agg(*[F.min(c) for c in cols], *[F.max(c) for c in cols]).first()
-            diam = math.sqrt(sum((rng[len(cols) + i] - rng[i]) ** 2 for i in range(len(cols))))
-            # past the data diameter every query sees every build vertex
-            h_all = max(diam, h0) * 1.0000001
-            # jump straight to a resolution covering everything if rounds would be many
-            if h_all / h > GROWTH ** 8:
-                h0 = h_all / (GROWTH ** (r + 1))
     out = done[0]
     for s in done[1:]:
         out = out.unionByName(s)
