@@ -30,22 +30,22 @@ from tessera.session import materialize
 
 
 def neighbour_pairs(vertices: DataFrame, cols: list[str], eps: float) -> DataFrame:
-    """``(a, b, wb)`` for every ordered pair of distinct vertices within eps
-    (Euclidean), ``wb`` = weight of b."""
+    """``(a, b, wa, wb)`` for every pair of distinct vertices within eps
+    (Euclidean), each pair once (a < b), with both weights."""
     g = min(3, len(cols))
     cell = [F.floor(F.col(c) / F.lit(eps)).cast("long").alias(f"_c{i}") for i, c in enumerate(cols[:g])]
     v = vertices.select("vid", "w", *cols, *cell)
     offs = [list(o) for o in product([-1, 0, 1], repeat=g)]
-    probe = v.select(F.col("vid").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols],
+    probe = v.select(F.col("vid").alias("a"), F.col("w").alias("wa"), *[F.col(c).alias(f"a_{c}") for c in cols],
                      F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offs])).alias("_o"),
                      *[F.col(f"_c{i}") for i in range(g)]) \
-        .select("a", *[f"a_{c}" for c in cols],
+        .select("a", "wa", *[f"a_{c}" for c in cols],
                 *[(F.col(f"_c{i}") + F.col("_o")[i]).alias(f"_c{i}") for i in range(g)])
     build = v.select(F.col("vid").alias("b"), F.col("w").alias("wb"), *[F.col(c).alias(f"b_{c}") for c in cols],
                      *[F.col(f"_c{i}") for i in range(g)])
     j = probe.join(build, [f"_c{i}" for i in range(g)])
     d2 = reduce(add, [(F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in cols])
-    return j.where((F.col("a") != F.col("b")) & (d2 <= F.lit(eps * eps))).select("a", "b", "wb")
+    return j.where((F.col("a") < F.col("b")) & (d2 <= F.lit(eps * eps))).select("a", "b", "wa", "wb")
 
 
 def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
@@ -54,7 +54,8 @@ def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.5, min_sa
     vmap = data.groupBy(*cols).agg(F.min("_id").alias("vid"), F.count(F.lit(1)).alias("w"))
     vmap = materialize(vmap, "dbscan_v")
     pairs = materialize(neighbour_pairs(vmap, cols, eps), "dbscan_p")
-    cnt = pairs.groupBy("a").agg(F.sum("wb").alias("_nw"))
+    cnt = pairs.select("a", F.col("wb").alias("_w")).unionByName(
+        pairs.select(F.col("b").alias("a"), F.col("wa").alias("_w"))).groupBy("a").agg(F.sum("_w").alias("_nw"))
     core = vmap.join(cnt, vmap.vid == cnt.a, "left") \
         .select("vid", ((F.col("w") + F.coalesce("_nw", F.lit(0))) >= min_samples).alias("is_core"))
     core = materialize(core, "dbscan_c")
@@ -70,7 +71,8 @@ def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.5, min_sa
     lab_core = comp_all.join(ranks.select(F.col("value").alias("component"),
                                           (F.col("rank") - 1).cast("int").alias("cluster")), "component") \
         .select("vid", "cluster")
-    border = pairs.join(lab_core.withColumnRenamed("vid", "b"), "b") \
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    border = both.join(lab_core.withColumnRenamed("vid", "b"), "b") \
         .groupBy(F.col("a").alias("vid")).agg(F.min("cluster").alias("_bc"))
     lab = core.join(lab_core, "vid", "left").join(border, "vid", "left") \
         .select("vid", "is_core", F.coalesce("cluster", F.when(~F.col("is_core"), F.col("_bc")), F.lit(-1))

@@ -70,6 +70,9 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.02, max_len: in
     """
     from pyspark.ml.fpm import FPGrowth
 
+    from tessera.session import materialize
+    # baskets feed two jobs (count, FP-growth): build them once
+    baskets = materialize(baskets.select(items_col), "baskets")
     n = baskets.count()
     if n == 0:
         return baskets.sparkSession.createDataFrame([], "items array<string>, support double, length int")
