@@ -85,7 +85,9 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.02, max_len: in
     fi = fi.where(F.col("support") >= F.lit(min_support)).withColumn("length", F.size("items"))
     if max_len is not None:
         fi = fi.where(F.col("length") <= max_len)
-    return fi
+    # FP-growth's result is a lazy RDD that re-mines on every use; rules read
+    # it three times, so write it once
+    return materialize(fi, "itemsets")
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.3) -> DataFrame:
