@@ -268,8 +268,10 @@ def kernel_svm_fit(train: DataFrame, features: list[str], label: str = "label",
         fmap = {"kind": "rbf", "W": W, "b": b}
     else:
         fmap = {"kind": "poly", "degree": degree}
+    from tessera.session import materialize
     k = train.select(label).distinct().count()
-    z = _feature_map(train, features, fmap)
+    # the mapped features are read once per optimiser iteration: write them once
+    z = materialize(_feature_map(train.select(*features, label), features, fmap), "svm_features")
     svc = LinearSVC(regParam=1.0 / (max(n, 1) * C), maxIter=100, labelCol=label, featuresCol="_z")
     est = svc if k <= 2 else OneVsRest(classifier=svc, labelCol=label, featuresCol="_z")
     model = est.fit(z)

@@ -1,0 +1,56 @@
+"""Algorithm battery on a labelled 2-D point set (the playground page):
+clusterers compared by silhouette and agreement with the true labels,
+classifiers by test metrics.  Inputs come from ``tessera.sources.synth`` or
+any ``(id, f1, f2, label)`` table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators import classify as C
+from tessera.operators import cluster as K
+from tessera.operators.dbscan import dbscan
+from tessera.operators.hierarchical import hierarchical
+from tessera.operators.knn import knn_classify
+from tessera.operators.metrics import classification_metrics
+from tessera.operators.preprocess import scale
+
+
+def cluster_battery(points: DataFrame, k: int = 2, eps: float = 0.3, min_samples: int = 5,
+                    linkage: str = "ward") -> DataFrame:
+    """(method, clusters, silhouette) for k-means, DBSCAN and agglomerative
+    clustering on standardised features (noise counts as its own group)."""
+    z = scale(points, ["f1", "f2"], "standard")
+    km, _, _ = K.kmeans(z, ["f1", "f2"], k, n_init=3, keep=["id"])
+    db = dbscan(z, "id", ["f1", "f2"], eps, min_samples).select("id", "cluster")
+    hc, _ = hierarchical(z, "id", ["f1", "f2"], k, linkage)
+    res = []
+    for name, lab in [("kmeans", km.select("id", "cluster")), ("dbscan", db), ("hierarchical", hc)]:
+        d = lab.join(z, "id")
+        n_cl = d.where(F.col("cluster") != -1).select("cluster").distinct().count()
+        res.append((name, n_cl, K.silhouette(d, "id", ["f1", "f2"], "cluster")))
+    return K.compare_clusterings(points.sparkSession, res)
+
+
+def classifier_battery(points: DataFrame, models: list[str] | None = None, test_ratio: float = 0.3,
+                       seed: int = 42, k: int = 5) -> DataFrame:
+    """(model, accuracy, precision, recall, f1) on a hashed train/test split;
+    ``knn`` uses the exact grid kNN, the rest :func:`classify.fit_predict`."""
+    models = models or ["dt", "nb", "rf", "svm_rbf", "knn"]
+    d = C.train_test_split(points.withColumn("label", F.col("label").cast("double")), "id", test_ratio, seed)
+    tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    sp = C.fit_scaler(tr, ["f1", "f2"])
+    tr, te = scale(tr, ["f1", "f2"], params=sp), scale(te, ["f1", "f2"], params=sp)
+    rows = []
+    for m in models:
+        if m == "knn":
+            p = knn_classify(tr, te.select("id", "f1", "f2"), "id", ["f1", "f2"], "label", k) \
+                .join(te.select("id", "label"), "id")
+        else:
+            _, p = C.fit_predict(m, tr, te, ["f1", "f2"], "label", keep=["id"],
+                                 n_classes=points.select("label").distinct().count())
+        r = classification_metrics(p, "label", "prediction").first()
+        rows.append((m, r["accuracy"], r["precision"], r["recall"], r["f1"]))
+    return points.sparkSession.createDataFrame(
+        rows, "model string, accuracy double, precision double, recall double, f1 double")

@@ -97,3 +97,12 @@ def test_pairwise_distance_blocks(spark):
     d1 = {(r["id_a"], r["id_b"]): r["dist"] for r in pairwise_distance(frame(spark, X), "id", ["x", "y"], n=60).collect()}
     assert len(d1) == 60 * 59 // 2
     assert d1[(0, 1)] == pytest.approx(np.linalg.norm(X[0] - X[1]))
+
+
+def test_playground_circles(spark):
+    from tessera.operators.playground import classifier_battery, cluster_battery
+    pts = SHAPES["circles"](spark, 300, 0.03, 3)
+    cl = {r["method"]: r for r in cluster_battery(pts, 2, eps=0.3, min_samples=5).collect()}
+    assert set(cl) == {"kmeans", "dbscan", "hierarchical"} and cl["kmeans"]["clusters"] == 2
+    cb = {r["model"]: r["accuracy"] for r in classifier_battery(pts, ["nb", "knn"]).collect()}
+    assert cb["knn"] > 0.9
