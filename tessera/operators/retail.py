@@ -56,6 +56,18 @@ def clean_retail(df: DataFrame) -> DataFrame:
 RFM_COLUMNS = ["CustomerID", "InvoiceNo", "InvoiceDate", "TotalPrice"]
 
 
+def _to_portable(c, dt):
+    """A timestamp scalar that survives the trip to the driver unchanged by
+    time zones: wall-clock text for TIMESTAMP_NTZ, epoch micros otherwise."""
+    return c.cast("string") if isinstance(dt, T.TimestampNTZType) else F.unix_micros(c)
+
+
+def _from_portable(v, dt):
+    if isinstance(dt, T.TimestampNTZType):
+        return F.lit(v).cast("timestamp_ntz")
+    return F.timestamp_micros(F.lit(v))
+
+
 def derive_rfm(df: DataFrame, customer: str = "CustomerID", invoice: str = "InvoiceNo",
                date: str = "InvoiceDate", total: str = "TotalPrice",
                high_value_q: float = 0.75) -> DataFrame | None:
@@ -83,11 +95,10 @@ def derive_rfm(df: DataFrame, customer: str = "CustomerID", invoice: str = "Invo
     # the final projection): compute the big aggregation once
     per = materialize(per, "rfm")
     res = quantiles(per, [], [high_value_q], value="Monetary",
-                    extra={"snapshot": F.max("_last")})
+                    extra={"snapshot": _to_portable(F.max("_last"), per.schema["_last"].dataType)})
     snapshot = res.get(("__extra__", "snapshot"))
     thr = res.get((), [None])[0]
-    ts_type = per.schema["_last"].dataType.simpleString()
-    snap = F.lit(snapshot).cast(ts_type) + F.expr("INTERVAL 1 DAY")
+    snap = _from_portable(snapshot, per.schema["_last"].dataType) + F.expr("INTERVAL 1 DAY")
     aov = F.when(F.col("Frequency") == 0,
                  F.when(F.col("Monetary") == 0, F.lit(None)).otherwise(F.lit(0.0))) \
         .otherwise(F.col("Monetary") / F.col("Frequency"))
