@@ -10,6 +10,10 @@ classifier (C-10).
   distance h_r of the query lie in those cells, so once the candidate weight
   within h_r reaches k the k nearest are exactly known.  Unresolved queries
   (sparse regions) go on to the next, coarser round; resolved ones leave.
+* The first cell size follows the average density, refined until no cell
+  holds more than ``max_cell`` (default 4k) vertices, so a dense cluster of
+  distinct points is resolved at a fine level: a query's candidates are
+  bounded by 3^g x max_cell in its first round.
 * The k nearest are taken in (distance, vertex id) order with weights (a
   vertex of weight w counts as w neighbours at the same distance).
 """
@@ -52,7 +56,7 @@ def _h0(v: DataFrame, cols: list[str], k: int) -> float:
 
 
 def knn(queries: DataFrame, build: DataFrame, cols: list[str], k: int, self_join: bool,
-        h0: float | None = None, max_rounds: int = 40) -> DataFrame:
+        h0: float | None = None, max_rounds: int = 60, max_cell: int | None = None) -> DataFrame:
     """``(a, b, dist, used)`` — for each query vertex ``a`` its nearest build
     vertices with the weight ``used`` each contributes (sum = k per query,
     or all available weight when fewer exist).
@@ -62,6 +66,15 @@ def knn(queries: DataFrame, build: DataFrame, cols: list[str], k: int, self_join
     """
     g = min(3, len(cols))
     h0 = h0 or _h0(build, cols, k)
+    # dense regions: start finer so no first-round cell holds more than
+    # ``max_cell`` vertices (sparse queries simply take a few more rounds)
+    max_cell = max_cell or max(64, 4 * k)
+    for _ in range(30):
+        cells = build.groupBy(*[F.floor(F.col(c) / F.lit(h0)) for c in cols[:g]]).count()
+        densest = cells.agg(F.max("count")).first()[0] or 0
+        if densest <= max_cell:
+            break
+        h0 = h0 / (GROWTH ** max(1, math.ceil(math.log(densest / max_cell) / (g * math.log(GROWTH)))))
     total = build.agg(F.sum("w")).first()[0] or 0
     need = min(k, total - 1 if self_join else total)
     if need <= 0:
