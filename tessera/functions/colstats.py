@@ -30,6 +30,19 @@ def column_stats(df: DataFrame, cols: list[str], stats: list[str],
     """``{col: {stat: value, "q<p>": quantile...}}``; NaN counts as missing."""
     out = {c: {} for c in cols}
     mom = [s for s in stats if s in MOMENTS]
+    if mom and probs:
+        # moments ride along in the quantile sketch pass: one job fewer
+        long = stack_long(df, cols)
+        v = F.when(~F.isnan("value"), F.col("value"))
+        q = quantiles(long, ["column"], probs, extra={s: MOMENTS[s](v) for s in mom})
+        for c in cols:
+            vals = q.get((c,))
+            for s in mom:
+                x = q.get(("__extra__", s, (c,)))
+                out[c][s] = float(x) if x is not None else None
+            for j, p in enumerate(probs):
+                out[c][f"q{p}"] = vals[j] if vals else None
+        return out
     if mom:
         row = df.agg(*[MOMENTS[s](_valid(c)).alias(f"{s}__{i}")
                        for i, c in enumerate(cols) for s in mom]).first()

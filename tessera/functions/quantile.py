@@ -51,15 +51,16 @@ def quantiles(long_df: DataFrame, keys: list[str], probs: list[float],
     Returns ``{key_tuple: [q(p) for p in probs]}`` plus the count under key
     ``("__n__", key_tuple)``; series with no non-null value are absent.
     The number of groups must be modest (it is held on the driver).
-    ``extra`` (single series only): ``{name: aggregate Column}`` evaluated over
-    the input in the first pass; results under key ``("__extra__", name)``.
+    ``extra``: ``{name: aggregate Column}`` evaluated per series in the first
+    pass (saves a separate job); results under ``("__extra__", name, key)``
+    (``("__extra__", name)`` for a single series).
     """
     if not keys:  # one series: give it a constant key so every join stays an equi-join
         res = quantiles(long_df.withColumn("_series", F.lit(0)), ["_series"], probs, value,
                         accuracy, buckets, collect_rows, extra)
         out = {(() if k == (0,) else ("__n__", ())): v for k, v in res.items()
                if k == (0,) or k == ("__n__", (0,))}
-        out.update({k: v for k, v in res.items() if k[0] == "__extra__"})
+        out.update({k[:2]: v for k, v in res.items() if k[0] == "__extra__"})
         return out
     extra = extra or {}
     v = F.col(value).cast("double")
@@ -75,7 +76,7 @@ def quantiles(long_df: DataFrame, keys: list[str], probs: list[float],
     out: dict = {}
     for r in stats:
         for n in extra:
-            out[("__extra__", n)] = r[f"_x_{n}"]
+            out[("__extra__", n, tuple(r[k] for k in keys))] = r[f"_x_{n}"]
     stats = [r for r in stats if r["_n"] > 0]
     if not stats:
         return out

@@ -20,21 +20,21 @@ def _num(c: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def zscore_flag(df: DataFrame, cols: list[str], threshold: float = 3.0) -> Column:
+def zscore_flag(df: DataFrame, cols: list[str], threshold: float = 3.0, st: dict | None = None) -> Column:
     """1 when any feature has |x - mean| > threshold * std (ddof=1).
 
     Written without a division: a constant column never flags and ANSI mode
     never sees 0/0.
     """
-    st = column_stats(df, cols, ["mean", "std"])
+    st = st or column_stats(df, cols, ["mean", "std"])
     preds = [F.abs(_num(c) - F.lit(st[c]["mean"])) > F.lit(threshold) * F.lit(st[c]["std"])
              for c in cols if st[c]["std"] is not None]
     return any_of(preds).cast("int") if preds else F.lit(0)
 
 
-def iqr_flag(df: DataFrame, cols: list[str], k: float = 1.5) -> Column:
+def iqr_flag(df: DataFrame, cols: list[str], k: float = 1.5, st: dict | None = None) -> Column:
     """1 when any feature lies outside [Q1 - k·IQR, Q3 + k·IQR]."""
-    st = column_stats(df, cols, [], probs=[0.25, 0.75])
+    st = st or column_stats(df, cols, [], probs=[0.25, 0.75])
     preds = []
     for c in cols:
         q1, q3 = st[c]["q0.25"], st[c]["q0.75"]
@@ -57,11 +57,14 @@ def outlier_flags(df: DataFrame, id_col: str, cols: list[str], zscore: float | N
     data = df.na.drop(subset=cols)
     flags = []
     cols_out = [F.col(id_col)] + [F.col(c) for c in (keep or [])]
+    # one statistics fit for both rules (moments ride in the quantile pass)
+    st = column_stats(data, cols, ["mean", "std"] if zscore is not None else [],
+                      probs=[0.25, 0.75] if iqr is not None else None)
     if zscore is not None:
-        cols_out.append(zscore_flag(data, cols, zscore).alias("zscore"))
+        cols_out.append(zscore_flag(data, cols, zscore, st).alias("zscore"))
         flags.append("zscore")
     if iqr is not None:
-        cols_out.append(iqr_flag(data, cols, iqr).alias("iqr"))
+        cols_out.append(iqr_flag(data, cols, iqr, st).alias("iqr"))
         flags.append("iqr")
     out = data.select(*cols_out)
     for name, fdf in (extra or {}).items():
