@@ -110,29 +110,37 @@ def q_class_report(spark, sf_dir):
     return _round_report(M.classification_report(nb_predictions(spark, sf_dir)))
 
 
-@register("roc", NB_CTE + """
+# ROC / AUC run on scores rounded to 6 dp in both engines, so thresholds are
+# identical values (probabilities from two engines differ in the last bits)
+_ROUNDED = """,
+pr AS (SELECT id, label, round(score, 6) AS score FROM pred)"""
+
+
+@register("roc", NB_CTE + _ROUNDED + """
 SELECT 'inf'::DOUBLE AS threshold, 0.0 AS fpr, 0.0 AS tpr
 UNION ALL
 SELECT DISTINCT score, round(sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) OVER w * 1.0
-                        / (SELECT sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) FROM pred), 6),
+                        / (SELECT sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) FROM pr), 6),
        round(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER w * 1.0
-             / (SELECT sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) FROM pred), 6)
-FROM pred WINDOW w AS (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+             / (SELECT sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) FROM pr), 6)
+FROM pr WINDOW w AS (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_roc(spark, sf_dir):
-    r = M.roc_curve(nb_predictions(spark, sf_dir), "label", "score", 1.0)
+    p = nb_predictions(spark, sf_dir).withColumn("score", F.round("score", 6))
+    r = M.roc_curve(p, "label", "score", 1.0)
     return r.select("threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
 
 
-@register("auc", NB_CTE + """,
+@register("auc", NB_CTE + _ROUNDED + """,
 pts AS (SELECT DISTINCT score,
-          sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) OVER w * 1.0 / (SELECT sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) FROM pred) AS fpr,
-          sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER w * 1.0 / (SELECT sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) FROM pred) AS tpr
-        FROM pred WINDOW w AS (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+          sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) OVER w * 1.0 / (SELECT sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) FROM pr) AS fpr,
+          sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER w * 1.0 / (SELECT sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) FROM pr) AS tpr
+        FROM pr WINDOW w AS (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 seg AS (SELECT fpr, tpr, lag(fpr, 1, 0.0) OVER (ORDER BY score DESC) AS f0,
                lag(tpr, 1, 0.0) OVER (ORDER BY score DESC) AS t0 FROM pts)
 SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS auc FROM seg""")
 def q_auc(spark, sf_dir):
-    a = M.auc_frame(nb_predictions(spark, sf_dir), "label", "score", 1.0)
+    p = nb_predictions(spark, sf_dir).withColumn("score", F.round("score", 6))
+    a = M.auc_frame(p, "label", "score", 1.0)
     return a.select(F.round("auc", 6).alias("auc"))
 
 
