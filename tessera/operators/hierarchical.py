@@ -110,7 +110,8 @@ def hierarchical(df: DataFrame, id_col: str, cols: list[str], k: int = 3, linkag
         summ = assign.groupBy("_mc").agg(F.count(F.lit(1)).alias("_w"), *[F.first(c).alias(c) for c in cols])
     else:
         from tessera.operators.cluster import kmeans
-        lab, _, _ = kmeans(data, cols, k=m, n_init=1, seed=seed, max_iter=50, keep=[id_col])
+        # summaries only need to be compact, not converged: few iterations
+        lab, _, _ = kmeans(data, cols, k=m, n_init=1, seed=seed, max_iter=20, keep=[id_col])
         assign = lab.withColumnRenamed("cluster", "_mc")
         summ = assign.groupBy("_mc").agg(F.count(F.lit(1)).alias("_w"), *[F.avg(c).alias(c) for c in cols])
 
