@@ -51,8 +51,11 @@ def silhouette_squared(df: DataFrame, cols: list[str], label: str) -> float:
                                distanceMeasure="squaredEuclidean").evaluate(v)
 
 
+EXACT_SILHOUETTE_MAX_ROWS = 500_000
+
+
 def silhouette_samples(df: DataFrame, id_col: str, cols: list[str], label: str,
-                       blocks: int | None = None) -> DataFrame:
+                       blocks: int | None = None, max_rows: int = EXACT_SILHOUETTE_MAX_ROWS) -> DataFrame:
     """Per-row silhouette with plain Euclidean distance (exact).
 
     Needs the distance of every pair: n(n-1)/2 evaluations, spread over
@@ -62,7 +65,11 @@ def silhouette_samples(df: DataFrame, id_col: str, cols: list[str], label: str,
     """
     lab = df.select(F.col(id_col).alias("_id"), F.col(label).alias("_lab"))
     n = df.count()
-    blocks = blocks or max(1, min(64, n // 2000))
+    if n > max_rows:
+        # n^2/2 distances: refuse rather than launch a job that cannot finish
+        raise ValueError(f"exact silhouette over {n} rows needs {n * (n - 1) // 2} distances; "
+                         "use method='squared' (linear time) or raise max_rows deliberately")
+    blocks = blocks or max(1, min(256, n // 2000))
     pairs = pair_distances(df, id_col, cols, "euclidean", blocks=blocks)
     both = pairs.select(F.col("id_a").alias("_id"), F.col("id_b").alias("_o"), "dist") \
         .unionByName(pairs.select(F.col("id_b").alias("_id"), F.col("id_a").alias("_o"), "dist"))
