@@ -61,11 +61,20 @@ def q_silhouette(spark, sf_dir):
     return spark.createDataFrame([(round(v, 6),)], "silhouette double")
 
 
-@register("silhouette_sq")
+@register("silhouette_sq", """
+WITH c AS (SELECT c_custkey AS id, c_mktsegment AS lab, CAST(c_acctbal AS DOUBLE) AS x1,
+                  CAST(c_nationkey AS DOUBLE) AS x2 FROM customer),
+st AS (SELECT lab, count(*) AS n, sum(x1) AS y1, sum(x2) AS y2, sum(x1 * x1 + x2 * x2) AS psi FROM c GROUP BY lab),
+d AS (SELECT c.id, c.lab AS own, st.lab AS other, st.n,
+             (st.n * (c.x1 * c.x1 + c.x2 * c.x2) - 2 * (c.x1 * st.y1 + c.x2 * st.y2) + st.psi) / st.n AS dis
+      FROM c, st),
+ab AS (SELECT id, max(CASE WHEN own = other THEN CASE WHEN n = 1 THEN 0.0 ELSE dis * n / (n - 1) END END) AS a,
+              min(CASE WHEN own <> other THEN dis END) AS b FROM d GROUP BY id)
+SELECT round(avg(CASE WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0.0 END), 6) AS silhouette FROM ab""")
 def q_silhouette_sq(spark, sf_dir):
     c = load(spark, sf_dir, "customer")
     v = K.silhouette(c, "c_custkey", SIL_COLS, "c_mktsegment", method="squared")
-    return spark.createDataFrame([(float(v),)], "silhouette double")
+    return spark.createDataFrame([(round(float(v), 6),)], "silhouette double")
 
 
 @register("cluster_profile", """

@@ -50,3 +50,8 @@ def test_kmeans_finds_blobs(spark):
     lab, inertia, _ = K.kmeans(df, ["x", "y"], k=2, n_init=2, keep=["id"])
     groups = {r["id"] < 50: r["cluster"] for r in lab.collect()}
     assert len(set(groups.values())) == 2 and inertia < 1.0
+
+
+def test_silhouette4_squared(spark):
+    df = spark.createDataFrame([(1, 0.0, 0), (2, 1.0, 0), (3, 5.0, 1), (4, 7.0, 1)], "id int, x double, l int")
+    assert K.silhouette(df, "id", ["x"], "l", method="squared") == pytest.approx(0.9113, abs=1e-4)
