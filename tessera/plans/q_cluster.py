@@ -138,3 +138,29 @@ def q_compare_clusterings(spark, sf_dir):
 def q_cluster_sizes(spark, sf_dir):
     lab, _, _ = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=4, n_init=2, keep=["CustomerID"])
     return K.cluster_sizes(lab, "cluster")
+
+
+# DBSCAN over raw customer features: (account balance, nation key), eps 25
+_DB_EPS, _DB_MIN = 25.0, 4
+_DBSCAN_SQL = f"""
+WITH RECURSIVE
+p AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS x1, CAST(c_nationkey AS DOUBLE) AS x2 FROM customer),
+nb AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b
+       ON a.id <> b.id AND power(a.x1 - b.x1, 2) + power(a.x2 - b.x2, 2) <= {_DB_EPS * _DB_EPS}),
+core AS (SELECT p.id FROM p LEFT JOIN nb ON p.id = nb.a GROUP BY p.id HAVING count(nb.b) + 1 >= {_DB_MIN}),
+ce AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+cc(id, comp) AS (SELECT id, id FROM core UNION SELECT ce.b, cc.comp FROM cc JOIN ce ON cc.id = ce.a),
+comp AS (SELECT id, min(comp) AS comp FROM cc GROUP BY id),
+lab AS (SELECT id, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster FROM comp),
+border AS (SELECT nb.a AS id, min(lab.cluster) AS cluster FROM nb JOIN lab ON nb.b = lab.id
+           WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a)
+SELECT p.id AS c_custkey, CAST(coalesce(lab.cluster, border.cluster, -1) AS INTEGER) AS cluster,
+       lab.id IS NOT NULL AS is_core
+FROM p LEFT JOIN lab ON p.id = lab.id LEFT JOIN border ON p.id = border.id"""
+
+
+@register("dbscan_customer", _DBSCAN_SQL)
+def q_dbscan_customer(spark, sf_dir):
+    from tessera.operators.dbscan import dbscan
+    return dbscan(load(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"],
+                  eps=_DB_EPS, min_samples=_DB_MIN)
