@@ -153,6 +153,12 @@ def as_text(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[F.array_join(F.col(c), ", ").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def rule_text(rules: DataFrame) -> DataFrame:
+    """Adds ``rule`` = "A, B → C" (display form of a rule)."""
+    return rules.withColumn("rule", F.concat(F.array_join("antecedents", ", "), F.lit(" → "),
+                                             F.array_join("consequents", ", ")))
+
+
 def mine_rules(df: DataFrame, t: str | None = None, i: str | None = None, min_support: float = 0.02,
                max_len: int = 3, min_confidence: float = 0.3, min_lift: float = 1.0,
                sort_by: str = "lift", top: int | None = None):

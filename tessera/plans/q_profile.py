@@ -331,3 +331,24 @@ def _describe_numeric_sql():
 @register("describe_numeric", _describe_numeric_sql())
 def q_describe_numeric(spark, sf_dir):
     return P.describe_numeric(lineitem_nulls(spark, sf_dir), LINEITEM_NUM, digits=6)
+
+
+def _box_by_sql():
+    parts = []
+    for c in ["l_extendedprice", "l_quantity"]:
+        parts.append(f"""SELECT f AS l_returnflag, '{c}' AS "column", round(q1, 6) AS q1, round(med, 6) AS median,
+  round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr,
+  (SELECT min({c}) + 0.0 FROM t WHERE l_returnflag = f AND {c} >= q1 - 1.5 * (q3 - q1) AND {c} <= q3 + 1.5 * (q3 - q1)) AS lower_whisker,
+  (SELECT max({c}) + 0.0 FROM t WHERE l_returnflag = f AND {c} >= q1 - 1.5 * (q3 - q1) AND {c} <= q3 + 1.5 * (q3 - q1)) AS upper_whisker,
+  (SELECT count(*) FROM t WHERE l_returnflag = f AND {c} IS NOT NULL
+     AND ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))) AS n_outside
+FROM (SELECT l_returnflag AS f, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med,
+             quantile_cont({c}, 0.75) AS q3 FROM t GROUP BY l_returnflag)""")
+    return f"WITH t AS ({LINEITEM_NULLS_SQL})\n" + union_sql(parts)
+
+
+@register("box_stats_by_flag", _box_by_sql())
+def q_box_stats_by_flag(spark, sf_dir):
+    b = P.box_stats(lineitem_nulls(spark, sf_dir), ["l_extendedprice", "l_quantity"], by="l_returnflag")
+    return b.select("l_returnflag", "column", *[F.round(c, 6).alias(c) for c in ["q1", "median", "q3", "iqr"]],
+                    "lower_whisker", "upper_whisker", "n_outside")
