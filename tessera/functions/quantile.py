@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 ACCURACY = 10_000
 BUCKETS = 4096
 COLLECT_ROWS = 20_000
+DRIVER_BUDGET = 1_000_000  # rows one refinement pass may return, over all brackets
 
 
 def _interp(lo: float, hi: float, pos: float) -> float:
@@ -113,8 +114,11 @@ def _select(spark: SparkSession, data: DataFrame, keys: list[str], probs: list[f
         open_t = {t: s for t, s in targets.items() if s["value"] is None}
         if not open_t:
             break
+        # keep what one pass brings back to the driver bounded for many series
+        share = max(64, DRIVER_BUDGET // len(open_t))
+        n_buckets, fetch_rows = min(buckets, share), min(collect_rows, share)
         for s in open_t.values():
-            s["fetch"] = s["est"] <= collect_rows or s["lo"] == s["hi"]
+            s["fetch"] = s["est"] <= fetch_rows or s["lo"] == s["hi"]
         # targets sharing a bracket (e.g. the two ranks around one quantile)
         # share one exploded copy of the rows
         brackets: dict = {}
@@ -127,9 +131,9 @@ def _select(spark: SparkSession, data: DataFrame, keys: list[str], probs: list[f
         j = data.join(F.broadcast(tdf), cond, "inner").drop(*[tdf[k] for k in keys]) \
             .where(F.col("_v") <= F.col("_thi"))
         below = F.col("_v") < F.col("_tlo")
-        width = (F.col("_thi") - F.col("_tlo")) / buckets
+        width = (F.col("_thi") - F.col("_tlo")) / n_buckets
         bucket = (F.when(below, F.lit(-2)).when(F.col("_f"), F.lit(-1))
-                  .otherwise(F.least(F.lit(buckets - 1), F.floor(
+                  .otherwise(F.least(F.lit(n_buckets - 1), F.floor(
                       F.try_divide(F.col("_v") - F.col("_tlo"), width)).cast("int"))))
         grp = j.select("_tid", bucket.alias("_b"),
                        F.when(bucket == -1, F.col("_v")).alias("_ev"), "_v")
