@@ -17,6 +17,7 @@ connected components of core-core edges -> border assignment.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 from operator import add
@@ -48,20 +49,63 @@ def neighbour_pairs(vertices: DataFrame, cols: list[str], eps: float) -> DataFra
     return j.where((F.col("a") < F.col("b")) & (d2 <= F.lit(eps * eps))).select("a", "b", "wa", "wb")
 
 
+def _subcell_pairs(v: DataFrame, cols: list[str], eps: float, side: float) -> DataFrame:
+    """Pairs within eps between vertices of *different* sub-cells (a < b)."""
+    d = len(cols)
+    r = math.ceil(eps / side)
+    offs = [o for o in product(range(-r, r + 1), repeat=d)
+            if any(o) and side * math.sqrt(sum(max(abs(x) - 1, 0) ** 2 for x in o)) <= eps]
+    probe = v.select(F.col("vid").alias("a"), F.col("w").alias("wa"), *[F.col(c).alias(f"a_{c}") for c in cols],
+                     F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offs])).alias("_o"),
+                     *[F.col(f"_s{i}") for i in range(d)]) \
+        .select("a", "wa", *[f"a_{c}" for c in cols],
+                *[(F.col(f"_s{i}") + F.col("_o")[i]).alias(f"_s{i}") for i in range(d)])
+    build = v.select(F.col("vid").alias("b"), F.col("w").alias("wb"), *[F.col(c).alias(f"b_{c}") for c in cols],
+                     *[F.col(f"_s{i}") for i in range(d)])
+    j = probe.join(build, [f"_s{i}" for i in range(d)])
+    d2 = reduce(add, [(F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in cols])
+    return j.where((F.col("a") < F.col("b")) & (d2 <= F.lit(eps * eps))).select("a", "b", "wa", "wb")
+
+
 def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """``(id, cluster)``: cluster 0.. or -1 for noise; also ``is_core``."""
+    """``(id, cluster)``: cluster 0.. or -1 for noise; also ``is_core``.
+
+    With at most three features the grid uses sub-cells of side eps/sqrt(d):
+    every pair inside one sub-cell is within eps, so same-sub-cell pairs are
+    never emitted — counts come from sub-cell weights, connectivity from a
+    star to the sub-cell's smallest core vertex.  A tight cluster therefore
+    costs linear work; only pairs across sub-cells are distance-checked.
+    """
     data = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
     vmap = data.groupBy(*cols).agg(F.min("_id").alias("vid"), F.count(F.lit(1)).alias("w"))
+    sub = len(cols) <= 3
+    if sub:
+        side = eps / math.sqrt(len(cols)) * (1 - 1e-9)  # strictly inside: same sub-cell => within eps
+        vmap = vmap.select("*", *[F.floor(F.col(c) / F.lit(side)).cast("long").alias(f"_s{i}")
+                                  for i, c in enumerate(cols)])
     vmap = materialize(vmap, "dbscan_v")
-    pairs = materialize(neighbour_pairs(vmap, cols, eps), "dbscan_p")
+    skeys = [f"_s{i}" for i in range(len(cols))] if sub else []
+    pairs = materialize(_subcell_pairs(vmap, cols, eps, side) if sub else neighbour_pairs(vmap, cols, eps),
+                        "dbscan_p")
     cnt = pairs.select("a", F.col("wb").alias("_w")).unionByName(
         pairs.select(F.col("b").alias("a"), F.col("wa").alias("_w"))).groupBy("a").agg(F.sum("_w").alias("_nw"))
-    core = vmap.join(cnt, vmap.vid == cnt.a, "left") \
-        .select("vid", ((F.col("w") + F.coalesce("_nw", F.lit(0))) >= min_samples).alias("is_core"))
+    if sub:  # the whole own sub-cell is within eps (its weight includes the vertex itself)
+        sw = vmap.groupBy(*skeys).agg(F.sum("w").alias("_sw"))
+        base = vmap.join(sw, skeys).select("vid", *skeys, F.col("_sw").alias("_own"))
+    else:
+        base = vmap.select("vid", F.col("w").alias("_own"))
+    core = base.join(cnt, base.vid == cnt.a, "left") \
+        .select("vid", *skeys, ((F.col("_own") + F.coalesce("_nw", F.lit(0))) >= min_samples).alias("is_core"))
     core = materialize(core, "dbscan_c")
     core_ids = core.where("is_core").select("vid")
     cc_edges = pairs.join(core_ids.withColumnRenamed("vid", "a"), "a") \
         .join(core_ids.withColumnRenamed("vid", "b"), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    if sub:  # core vertices sharing a sub-cell are mutually within eps: star edges
+        cs = core.where("is_core").select("vid", *skeys)
+        head = cs.groupBy(*skeys).agg(F.min("vid").alias("_h"))
+        star = cs.join(head, skeys).where(F.col("vid") != F.col("_h")) \
+            .select(F.col("_h").alias("src"), F.col("vid").alias("dst"))
+        cc_edges = cc_edges.unionByName(star)
     comp = connected_components(cc_edges, "src", "dst")
     # isolated core vertices form their own component
     comp_all = core_ids.join(comp.withColumnRenamed("vertex", "vid"), "vid", "left") \
@@ -74,6 +118,11 @@ def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.5, min_sa
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     border = both.join(lab_core.withColumnRenamed("vid", "b"), "b") \
         .groupBy(F.col("a").alias("vid")).agg(F.min("cluster").alias("_bc"))
+    if sub:  # plus the core vertices of the same sub-cell
+        sc = core.join(lab_core, "vid").groupBy(*skeys).agg(F.min("cluster").alias("_sc"))
+        border = border.unionByName(
+            core.where(~F.col("is_core")).join(sc, skeys).select("vid", F.col("_sc").alias("_bc"))) \
+            .groupBy("vid").agg(F.min("_bc").alias("_bc"))
     lab = core.join(lab_core, "vid", "left").join(border, "vid", "left") \
         .select("vid", "is_core", F.coalesce("cluster", F.when(~F.col("is_core"), F.col("_bc")), F.lit(-1))
                 .cast("int").alias("cluster"))
