@@ -106,3 +106,15 @@ def test_playground_circles(spark):
     assert set(cl) == {"kmeans", "dbscan", "hierarchical"} and cl["kmeans"]["clusters"] == 2
     cb = {r["model"]: r["accuracy"] for r in classifier_battery(pts, ["nb", "knn"]).collect()}
     assert cb["knn"] > 0.9
+
+
+@pytest.mark.parametrize("d", [1, 3, 4])
+def test_dbscan_tight_cluster_dims(spark, d):
+    rng = np.random.default_rng(9)
+    X = np.round(np.concatenate([rng.normal(0, 0.02, (200, d)), rng.normal(1, 0.3, (100, d)),
+                                 rng.uniform(-2, 3, (30, d))]), 3)
+    cols = [f"c{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)],
+                               "id long, " + ", ".join(f"{c} double" for c in cols))
+    got = {r["id"]: r["cluster"] for r in dbscan(df, "id", cols, 0.2, 6).collect()}
+    assert [got[i] for i in range(len(X))] == list(brute_dbscan(X, 0.2, 6))
