@@ -215,14 +215,16 @@ def pca_variance(spark: SparkSession, ratios: list[float]) -> DataFrame:
 def preprocess(df: DataFrame, cols: list[str] | None = None, impute_strategy: str | None = "mean",
                cap: str | None = None, cap_k: float | None = None, scaler: str | None = None,
                bin_col: str | None = None, n_bins: int = 5, bin_strategy: str = "uniform",
-               pca_k: int | None = None, include_binned: bool = True):
+               pca_k: int | None = None, include_binned: bool = True, keep: list[str] | None = None):
     """missing -> outliers -> scale -> bin -> PCA, each step optional.
 
     Returns ``(DataFrame, steps DataFrame)`` — the log lists what each step did.
+    ``keep`` columns (ids) ride along unchanged.
     """
     spark = df.sparkSession
-    cols = cols or numeric_cols(df)
-    work = df.select(*cols)
+    keep = keep or []
+    cols = cols or [c for c in numeric_cols(df) if c not in keep]
+    work = df.select(*keep, *cols)
     steps = []
     if impute_strategy:
         n = imputed_count(work, cols, impute_strategy)
@@ -244,7 +246,7 @@ def preprocess(df: DataFrame, cols: list[str] | None = None, impute_strategy: st
             pca_cols.append(f"{bin_col}_binned")
     if pca_k:
         params, pc, ratios = pca_fit(work, pca_cols, pca_k)
-        work = pca_transform(work, pca_cols, params, pc)
+        work = pca_transform(work, pca_cols, params, pc, keep=keep)
         steps.append(("pca", f"{pca_k} components, {100 * sum(ratios):.1f}% variance"))
     log = spark.createDataFrame([(i + 1, s, d) for i, (s, d) in enumerate(steps)],
                                 "step int, operation string, detail string")

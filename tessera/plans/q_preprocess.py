@@ -136,3 +136,38 @@ def q_preprocess_pipeline(spark, sf_dir):
                            impute_strategy="median", cap="iqr", scaler="standard",
                            bin_col="l_extendedprice", n_bins=5, pca_k=2)
     return out
+
+
+_PIPE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _pipeline_sql():
+    med = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in _PIPE)
+    imp = ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in _PIPE)
+    qs = ", ".join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}" for c in _PIPE)
+    cap = ", ".join(f"""CASE WHEN {c} < a_{c} - 1.5 * (b_{c} - a_{c}) THEN a_{c} - 1.5 * (b_{c} - a_{c})
+        WHEN {c} > b_{c} + 1.5 * (b_{c} - a_{c}) THEN b_{c} + 1.5 * (b_{c} - a_{c}) ELSE {c} END AS {c}""" for c in _PIPE)
+    st = ", ".join(f"avg({c}) AS u_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}"
+                   for c in _PIPE)
+    z = ", ".join(f"({c} - u_{c}) / s_{c} AS {c}" for c in _PIPE)
+    code = " + ".join(f"CAST(l_extendedprice >= {i} * ((hi - lo) / 5) + lo AS INT)" for i in range(1, 5))
+    out = ", ".join(f"round({c}, 6) AS {c}" for c in _PIPE)
+    return f"""WITH t AS ({LINEITEM_NULLS_SQL}),
+m AS (SELECT {med} FROM t),
+i AS (SELECT l_orderkey, l_linenumber, {imp} FROM t, m),
+q AS (SELECT {qs} FROM i),
+c AS (SELECT l_orderkey, l_linenumber, {cap} FROM i, q),
+s AS (SELECT {st} FROM c),
+z AS (SELECT l_orderkey, l_linenumber, {z} FROM c, s),
+e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM z)
+SELECT l_orderkey, l_linenumber, {out}, CAST({code} AS DOUBLE) AS l_extendedprice_binned FROM z, e"""
+
+
+@register("preprocess_steps", _pipeline_sql())
+def q_preprocess_steps(spark, sf_dir):
+    """impute (median) -> cap (IQR) -> standardise -> bin (5, uniform), ids kept."""
+    d = lineitem_nulls(spark, sf_dir)
+    out, _ = PP.preprocess(d, _PIPE, impute_strategy="median", cap="iqr", scaler="standard",
+                           bin_col="l_extendedprice", n_bins=5, keep=["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in _PIPE],
+                      "l_extendedprice_binned")
