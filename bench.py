@@ -4,6 +4,10 @@ Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (8),
 BENCH_QUERIES (comma list, optional), BENCH_REPEAT (1).  Each query is built
 and fully executed (noop sink, no collect) in a warm session; prints one JSON
 line with per-query seconds (median over repeats) and their sum.
+
+The modelling queries share the per-session RFM table (derived once by the
+first of them, like the reference's session state); the ``rfm`` query itself
+always derives it afresh.
 """
 
 from __future__ import annotations
