@@ -8,3 +8,10 @@ Spark plan (DataFrame / SQL API); model-fitting operators run Spark jobs
 from tessera.session import get_spark, checkpoint_dir  # noqa: F401
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions sent to executors carry their helpers with them, so workers need no copy of the package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -1,10 +1,10 @@
-"""Connected components of an edge list (used by DBSCAN).
+"""Connected components of an edge list.
 
 Alternating large-star / small-star rounds (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014): every round is a grouped min and
 a join, converges in O(log^2 n) rounds, and each vertex ends pointing at the
-smallest vertex id of its component.  Lineage is cut every few rounds by
-writing the edge table to the shared checkpoint folder.
+smallest vertex id of its component.  Each round's edge table is written to
+the shared checkpoint folder and the one before it is deleted.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     out = both.where(F.col("v") > F.col("u")).join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where(F.col("u") != F.col("v")).distinct()
 
@@ -31,17 +31,18 @@ def _small_star(e: DataFrame) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
-                         max_rounds: int = 100, checkpoint_every: int = 2) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(vertex, component)`` for every vertex that appears in an edge;
-    ``component`` is the smallest vertex id of its component."""
+    ``component`` is the smallest vertex id of its component.  Runs until the
+    edge set no longer changes."""
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u") != F.col("v")) \
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     e = materialize(e, "cc")
     prev = None
-    for r in range(max_rounds):
-        e = _small_star(_large_star(e))
-        e = materialize(e, "cc")
+    while True:
+        new = materialize(_small_star(_large_star(e)), "cc")
+        discard(e)
+        e = new
         # converged when the edge set no longer changes
         sig = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         key = (sig["n"], sig["h"])

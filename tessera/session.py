@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,27 +44,25 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster configuration wins.  Only when nothing is configured (tests,
-    local runs) a private scratch folder is created and registered.
+    The cluster configuration wins.  Only on a local master, where executors
+    and driver share one disk, an unset folder is replaced by a scratch one;
+    elsewhere an unset folder is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        require_local(sc.master)
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def local_scratch() -> str:
-    """Fresh scratch folder for tests and local runs only."""
-    return tempfile.mkdtemp(prefix="tessera-run-", dir=os.environ.get("TMPDIR", "/tmp"))
+def require_local(master: str) -> None:
+    """Refuse a machine-local scratch folder on a cluster."""
+    if not re.match(r"local($|\[)", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share "
+                           f"(master {master})")
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -75,9 +74,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     once, later passes read a compact columnar copy, and the lineage is cut
     so a lost executor re-reads files instead of recomputing the join.
     """
-    import uuid
-
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the files behind a materialized frame once nothing reads it any more."""
+    path = getattr(df, "_tessera_path", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
