@@ -26,3 +26,22 @@ def op7(spark, sf_dir):
     r = reshard(docs, old, OLD_SHARDS, 8)
     return r.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+@register("op5_language_id")
+def op5(spark, sf_dir):
+    from tessera.llm.common import doc_crc
+    from tessera.llm.langid import learn_profiles, predict
+    docs = table(spark, sf_dir, "documents")
+    held_out = doc_crc() % 4 == 2
+    return predict(docs, learn_profiles(docs.where(~held_out)), [F.col("doc_id"), held_out.alias("held_out")])
+
+
+@register("op10_quality")
+def op10(spark, sf_dir):
+    from tessera.llm.common import doc_crc
+    from tessera.llm.quality import fit, score
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = doc_crc() % 5 == 0
+    model = fit(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
+    return score(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
