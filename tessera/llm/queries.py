@@ -45,3 +45,21 @@ def op10(spark, sf_dir):
     held_out = doc_crc() % 5 == 0
     model = fit(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
     return score(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+@register("op9_fingerprint")
+def op9(spark, sf_dir):
+    from tessera.llm.sketch import compare_neighbours
+    return compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def tokenizer() -> dict:
+    """Where the public byte-level BPE file lies, and its pre-token pattern."""
+    import public_tokenizers
+    return {"tokenizer_path": str(public_tokenizers.path("byte_bpe_50k.json")), "pattern": public_tokenizers.PATTERN}
+
+
+@register("op3_pack")
+def op3(spark, sf_dir):
+    from tessera.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), **tokenizer(), capacity=2048)
