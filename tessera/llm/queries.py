@@ -63,3 +63,15 @@ def tokenizer() -> dict:
 def op3(spark, sf_dir):
     from tessera.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), **tokenizer(), capacity=2048)
+
+
+@register("op4_nearest")
+def op4(spark, sf_dir):
+    from tessera.llm.ann import search
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@register("op2_simhash")
+def op2(spark, sf_dir):
+    from tessera.llm.simhash import components
+    return components(table(spark, sf_dir, "documents"), size=4, max_bits=4)
