@@ -75,3 +75,9 @@ def op4(spark, sf_dir):
 def op2(spark, sf_dir):
     from tessera.llm.simhash import components
     return components(table(spark, sf_dir, "documents"), size=4, max_bits=4)
+
+
+@register("op8_substring_dedup")
+def op8(spark, sf_dir):
+    from tessera.llm.substring import dedup_substrings
+    return dedup_substrings(table(spark, sf_dir, "documents"), [F.col("doc_id")])
