@@ -81,3 +81,11 @@ def op2(spark, sf_dir):
 def op8(spark, sf_dir):
     from tessera.llm.substring import dedup_substrings
     return dedup_substrings(table(spark, sf_dir, "documents"), [F.col("doc_id")])
+
+
+@register("op6_ngram_score")
+def op6(spark, sf_dir):
+    from tessera.llm.common import doc_crc
+    from tessera.llm.ngram_lm import score
+    held_out = doc_crc() % 10 == 0
+    return score(table(spark, sf_dir, "documents"), ~held_out, [F.col("doc_id"), held_out.alias("held_out")])
