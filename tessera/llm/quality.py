@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,3 +147,15 @@ def score(docs: DataFrame, model: dict, keep: list[Column], text: str = "text",
             yield (*ids, p, int(p >= threshold))
 
     return stream(kept, run, f"{fields}, score double, predicted int", binary=(at,))
+
+
+def score_of(model: dict, text: str = "text") -> Column:
+    """The score as a column expression (Arrow batches of texts alone go to
+    Python, other columns stay where they are)."""
+    def run(texts: pd.Series) -> pd.Series:
+        cache: dict = {}
+        f = [logits(model, *features(None if t is None else t.encode("utf-8", "surrogatepass"), cache))
+             for t in texts]
+        return pd.Series(1 / (1 + np.exp(-np.clip(f, -30, 30))), dtype="float64")
+
+    return F.pandas_udf(run, "double")(F.col(text))

@@ -30,6 +30,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import n_partitions, stream
 from tessera.operators.graph import connected_components
@@ -258,8 +259,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, col: str = "_fp") -> Da
 def components(docs: DataFrame, keep: list[Column] = (), row_id: str = "doc_id", text: str = "text",
                size: int = 4, max_bits: int = 4) -> DataFrame:
     """Fingerprint and component of every row: ``row_id``, the ``keep``
-    columns, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest
-    id reachable over fingerprints at ``max_bits`` differing bits or fewer.
+    columns, ``fingerprint`` (16 hex digits), ``component_id``, the smallest id
+    reachable over fingerprints at ``max_bits`` differing bits or fewer, and
+    ``component_root``, which is never null.
 
     Null and empty texts have fingerprint zero and link like any other.  Rows
     without an id link by their text; a component without any id has a null
@@ -273,9 +275,26 @@ def components(docs: DataFrame, keep: list[Column] = (), row_id: str = "doc_id",
         .select("_fp", "_least", F.coalesce("component", "_fp").alias("_root"))
     root = materialize(root, "simhash-roots")
     least = root.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    root = root.join(least, "_root").select("_fp", "component_id")
+    root = root.join(least, "_root").select("_fp", "component_id", F.col("_root").alias("component_root"))
     hexed = F.lpad(F.lower(F.hex(F.col("_fp"))), 16, "0")
     return d.join(root, "_fp").select(F.col("_id").alias(row_id), *[c for c in d.columns if c not in ("_id", "_fp")],
-                                      hexed.alias("fingerprint"), "component_id")
+                                      hexed.alias("fingerprint"), "component_id", "component_root")
+
+
+def keep_first(docs: DataFrame, row_id: str = "doc_id", text: str = "text", size: int = 4,
+               max_bits: int = 4) -> DataFrame:
+    """The rows of ``docs``, one of each component: the one with the smallest
+    id (null last), of several texts under that id the one with the smallest
+    hash, of rows equal in id and text any one."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    keys = [F.xxhash64(F.col(row_id), t).alias("_key"), F.crc32(t).alias("_crc")]
+    comp = components(docs, keys, row_id, text, size, max_bits)
+    best = comp.groupBy("component_root").agg(F.min(F.struct(
+        F.col(row_id).isNull().alias("n"), F.col(row_id).alias("i"), "_key", "_crc")).alias("b"))
+    keep = best.select("b._key", "b._crc")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *keys) \
+        .join(keep, ["_key", "_crc"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("_key", "_crc").orderBy("_key"))
+    return rows.withColumn("_n", one).where(F.col("_n") == 1).select("_row.*")
 
 
