@@ -117,7 +117,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1.
     state = materialize(state, "mix-state")
     sid = ranked.select(F.col("_src").alias("_src2"), "_sid")
     hist = materialize(cells.join(sid, F.col("_src").eqNullSafe(F.col("_src2"))).drop("_src", "_src2"), "mix-hist")
-    lam = _solve(hist, state, cap).select("_sid", "T", "lam", "m")
+    # rounded, so that the order in which sums were added cannot show in a rerun
+    lam = _solve(hist, state, cap).select("_sid", "T", F.round("lam", 9).alias("lam"), "m")
 
     tilt = F.col("lam") * F.col("size") / F.col("m")
     rate = F.when(F.col("lam").isNull() | (F.col("size") == 0), 1.0) \
