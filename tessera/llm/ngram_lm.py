@@ -257,7 +257,7 @@ def score_block(block: Block, answers, stats: np.ndarray):
     d1 = np.concatenate(([0.0], discounts(m)))
     cont = table[1]
     left = (d1[1] * m[0] + d1[2] * m[1] + d1[3] * stats[7]) / n_cont if n_cont else 1.0
-    p_word = (np.maximum(cont - d1[np.minimum(cont, 3)], 0) / n_cont if n_cont else 0) + left / (vocab + 1)
+    p_word = np.maximum(cont - d1[np.minimum(cont, 3)], 0) / max(1, n_cont) + left / (vocab + 1)
     d2 = np.concatenate(([0.0], discounts(n)))
     seen = np.maximum(table[2], 1)
     back = np.where(table[2] > 0, (table[3:].T @ d2[1:]) / seen, 1.0)
