@@ -1,80 +1,56 @@
-"""Average ranks (ties share the mean of their positions) without a global window.
+"""Running totals and average ranks in a global order, without a global window.
 
-A window ordered over a whole column runs in one task.  Instead:
-
-1. count rows per distinct value (partial aggregation absorbs hot values);
-2. when a series has more distinct values than one task should sort
-   (``per_task``), cut them into ranges at approximate quantiles and find
-   each value's range with a binary search written as nested CASE over the
-   boundary array (stays in generated code);
-3. running counts inside each range (window partitioned by series x range),
-   plus the total of all lower ranges (a ranges-sized table).
-
-rank(v) = rows below v + (count(v) + 1) / 2, 1-based like pandas ``rank()``.
+Rows are first reduced to one per distinct value (partial aggregation absorbs
+hot values).  Spark range-partitions them by series and value; totals run
+inside each range, and the totals of the lower ranges of the series, one row
+per range, are added by a join.  The ranges are written once, so that both
+sides see the same ones.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_TASK = 500_000
-
-
-def bucket_expr(value: str, bounds: str, n_bounds: int) -> str:
-    """SQL: number of elements of the sorted array ``bounds`` (length
-    ``n_bounds``) that are < ``value`` — a binary search as nested CASE."""
-    def rec(lo: int, hi: int) -> str:  # answer in [lo, hi]
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2  # is bounds[mid] (0-based) < value ?
-        return f"CASE WHEN element_at({bounds}, {mid + 1}) < {value} THEN {rec(mid + 1, hi)} ELSE {rec(lo, mid)} END"
-    return rec(0, n_bounds)
-
-
-def n_buckets(max_distinct: int, per_task: int = PER_TASK) -> int:
-    if max_distinct <= per_task:
-        return 1
-    return min(4096, 2 ** math.ceil(math.log2(max_distinct / per_task)))
+from tessera.session import materialize
+
+
+def running_totals(df: DataFrame, keys: list[str], value: str, sums: list[str], desc: bool = False,
+                   ranges: int | None = None) -> DataFrame:
+    """Add ``cum_<s>`` for every column in ``sums``: its total over the rows of
+    the same series up to and including this one, in order of ``value``.
+    ``df`` has one row per series and value, both not null."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = F.col(value).desc() if desc else F.col(value).asc()
+    s = materialize(df.repartitionByRange(n, *[F.col(k) for k in keys], by)
+                    .withColumn("_p", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(*keys, "_p").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1) if keys \
+        else Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    tot = s.groupBy(*keys, "_p").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    off = tot.select(*keys, "_p", *[F.coalesce(F.sum(f"_t_{c}").over(below), F.lit(0)).alias(f"_off_{c}") for c in sums])
+    s = s.select("*", *[F.sum(c).over(inside).alias(f"_c_{c}") for c in sums]).join(off, [*keys, "_p"])
+    for c in sums:
+        s = s.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.col(f"_c_{c}")).drop(f"_off_{c}", f"_c_{c}")
+    return s.drop("_p")
 
 
 def avg_rank(long_df: DataFrame, keys: list[str], value: str = "value", desc: bool = False,
-             per_task: int = PER_TASK) -> DataFrame:
+             ranges: int | None = None) -> DataFrame:
     """``(keys..., value)`` rows -> ``(keys..., value, count, rank)`` per distinct value.
 
-    ``rank`` is the average 1-based rank; ``desc=True`` ranks the largest first.
+    ``rank`` is the average 1-based rank (ties share the mean of their
+    positions, like pandas ``rank()``); ``desc=True`` ranks the largest first.
+    Values keep their type: text and large integers are ordered as they are.
     """
-    kk = list(keys or [])
-    vc = long_df.where(F.col(value).isNotNull()).groupBy(*kk, value) \
-        .agg(F.count(F.lit(1)).alias("count"))
-    vc = vc.withColumn("_o", (-F.col(value) if desc else F.col(value)).cast("double"))
-    sizes = vc.groupBy(*kk).count().agg(F.max("count")).first()[0] or 0
-    buckets = n_buckets(sizes, per_task)
-    if buckets == 1:
-        w = Window.partitionBy(*kk).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0) if kk \
-            else Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
-        # every series fits one task (<= per_task distinct values)
-        return vc.select(*kk, value, "count",
-                         (F.sum("count").over(w) - F.col("count") + (F.col("count") + 1) / 2.0).alias("rank"))
-    probs = [i / buckets for i in range(1, buckets)]
-    grp = vc.groupBy(*kk) if kk else vc.groupBy(F.lit(0).alias("_k"))
-    bnd = grp.agg(F.percentile_approx("_o", probs, 20 * buckets).alias("_bnd"))
-    if not kk:
-        b = bnd.first()["_bnd"]
-        j = vc.withColumn("_bnd", F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in b) + ")"))
-    else:
-        j = vc.join(F.broadcast(bnd), kk)  # one row per series
-    j = j.withColumn("_bk", F.expr(bucket_expr("_o", "_bnd", buckets - 1))).drop("_bnd")
-    tot = j.groupBy(*kk, "_bk").agg(F.sum("count").alias("_bt"))
-    wb = Window.partitionBy(*kk).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1) \
-        if kk else Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    # ``tot`` has at most ``buckets`` rows per series: its window is small
-    off = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(wb), F.lit(0))).drop("_bt")
-    wi = Window.partitionBy(*kk, "_bk").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
-    inner = j.withColumn("_cum", F.sum("count").over(wi))
-    res = inner.join(F.broadcast(off), kk + ["_bk"])
-    return res.select(*kk, value, "count",
-                      (F.col("_off") + F.col("_cum") - F.col("count")
-                       + (F.col("count") + 1) / 2.0).alias("rank"))
+    vc = long_df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("count"))
+    r = running_totals(vc, list(keys), value, ["count"], desc, ranges)
+    return r.select(*keys, value, "count", (F.col("cum_count") - (F.col("count") - 1) / 2.0).alias("rank"))
+
+
+def cumulative(df: DataFrame, order: str, sums: list[str], desc: bool = False,
+               ranges: int | None = None) -> DataFrame:
+    """``(order, sum(s)..., cum_<s>...)`` per distinct ``order`` value, where
+    ``cum_<s>`` includes every row up to and including that value."""
+    g = df.where(F.col(order).isNotNull()).groupBy(order).agg(*[F.sum(s).alias(s) for s in sums])
+    return running_totals(g, [], order, sums, desc, ranges)

@@ -12,7 +12,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.rank import avg_rank
+from tessera.functions.rank import running_totals
+from tessera.session import materialize
 
 
 def _pair_corr(a, b):
@@ -32,9 +33,15 @@ def _long_matrix(wide: DataFrame, cols: list[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
+def _value(col: str):
+    """The column as double; NaN counts as missing."""
+    c = F.col(col).cast("double")
+    return F.when(~F.isnan(c), c)
+
+
 def pearson(df: DataFrame, cols: list[str]) -> DataFrame:
     """All pairs in one aggregation pass."""
-    c = [F.col(x).cast("double") for x in cols]
+    c = [_value(x) for x in cols]
     aggs = []
     for i in range(len(cols)):
         aggs.append(_pair_corr(c[i], c[i]).alias(f"_c{i}_{i}"))
@@ -46,32 +53,36 @@ def pearson(df: DataFrame, cols: list[str]) -> DataFrame:
 def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson on average ranks, pairwise-complete (pandas semantics).
 
-    All pairs are ranked together: rows are stacked once per column pair
-    (keeping only rows where both are present), each side is ranked per
-    pair with the distributed :func:`avg_rank`, ranks are joined back by
-    (pair, value) and one grouped aggregation yields every coefficient.
-    The job count does not grow with the number of columns.
+    One scan stacks every row once per column pair (both values present) and
+    collapses equal value pairs to a count, so hot values are few rows before
+    anything is joined.  Each side is ranked per pair with the distributed
+    :func:`avg_rank` over the counts, ranks are joined back by (pair, value)
+    and one grouped aggregation gives every coefficient; the mean rank is
+    (n + 1) / 2.  The job count does not grow with the number of columns.
     """
     spark = df.sparkSession
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     pairs = list(combinations(range(len(cols)), 2))
-    stacked = None
-    for pid, (i, j) in enumerate(pairs):
-        a, b = cols[i], cols[j]
-        part = base.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)) \
-            .select(F.lit(pid).alias("pair"), F.col(a).alias("va"), F.col(b).alias("vb"))
-        stacked = part if stacked is None else stacked.unionByName(part)
+    base = df.select(*[_value(c).alias(f"_v{i}") for i, c in enumerate(cols)])
     out = {}
-    if stacked is not None:
-        ra = avg_rank(stacked.select("pair", F.col("va").alias("value")), ["pair"], "value") \
-            .select("pair", F.col("value").alias("va"), F.col("rank").alias("ra"))
-        rb = avg_rank(stacked.select("pair", F.col("vb").alias("value")), ["pair"], "value") \
-            .select("pair", F.col("value").alias("vb"), F.col("rank").alias("rb"))
-        # join keys (pair, value): AQE splits a hot value's partition
-        j = stacked.join(ra, ["pair", "va"]).join(rb, ["pair", "vb"])
-        for r in j.groupBy("pair").agg(_pair_corr(F.col("ra"), F.col("rb")).alias("r")).collect():
+    if pairs:
+        stack = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(f"_v{i}").alias("va"), F.col(f"_v{j}").alias("vb"))
+                          for k, (i, j) in enumerate(pairs)])
+        n = materialize(base.select(F.explode(stack).alias("s")).select("s.*").na.drop()
+                        .groupBy("pair", "va", "vb").agg(F.count(F.lit(1)).alias("n")), "spearman")
+
+        def ranks(side: str, out_col: str) -> DataFrame:
+            c = n.groupBy("pair", side).agg(F.sum("n").alias("c"))
+            r = running_totals(c, ["pair"], side, ["c"])
+            return r.select("pair", side, (F.col("cum_c") - (F.col("c") - 1) / 2.0).alias(out_col))
+
+        mid = n.groupBy("pair").agg(((F.sum("n") + 1) / 2.0).alias("mid"))  # one row per pair of columns
+        j = n.join(ranks("va", "ra"), ["pair", "va"]).join(ranks("vb", "rb"), ["pair", "vb"]).join(mid, "pair")
+        da, db = F.col("ra") - F.col("mid"), F.col("rb") - F.col("mid")
+        sums = j.groupBy("pair").agg(F.sum(F.col("n") * da * db).alias("ab"), F.sum(F.col("n") * da * da).alias("aa"),
+                                     F.sum(F.col("n") * db * db).alias("bb"))
+        for r in sums.select("pair", F.try_divide(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb"))).alias("r")).collect():
             out[pairs[r["pair"]]] = r["r"]
-    diag = base.agg(*[_pair_corr(F.col(c), F.col(c)).alias(f"_d{i}") for i, c in enumerate(cols)]).first()
+    diag = base.agg(*[_pair_corr(F.col(f"_v{i}"), F.col(f"_v{i}")).alias(f"_d{i}") for i in range(len(cols))]).first()
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

@@ -1,131 +1,173 @@
-"""DBSCAN (K-07) as Spark joins: grid epsilon-join -> core points ->
-connected components of core-core edges -> border assignment.
+"""DBSCAN (K-07) over cells: core cells -> connected components -> borders.
 
 * Identical feature vectors are merged first (vertex = smallest id, weight
-  = multiplicity), so a heavily repeated point costs one vertex, not a
-  quadratic block of pairs.
-* Neighbour pairs: vertices are placed in cells of side eps over the first
-  (at most three) features; each vertex visits the 3^g adjacent cells, an
-  equi-join on the cell key finds the candidates, and the exact distance
-  filter keeps pairs within eps.  Exact for any number of features.
-* A vertex is core when the weights within eps (itself included) reach
-  ``min_samples``.  Clusters are connected components of core vertices,
-  numbered 0.. by their smallest core id (the order an index-order scan
-  discovers them); a border point takes the smallest cluster among its core
-  neighbours; the rest is noise (-1).
+  = multiplicity).
+* Space is cut into cells of side eps/sqrt(d) over all features, so any two
+  points of a cell are within eps.  A cell that holds ``min_samples`` weight
+  is core as a whole, without a distance test, and all core points of a cell
+  share a cluster.  Dense regions have many points but few cells.
+* Cells near each other are found through leaves (``leaves.py``) over cell
+  positions, with the boxes of their points.
+* Only points of thin cells count neighbours; blocks of points meet blocks of
+  points and return one number per point, never pairs.
+* Two core cells are joined if one close pair of core points exists: their
+  first blocks are tried, then all blocks of those that found none.
+* Connected components run over cells.  Clusters are numbered 0.. by their
+  smallest core id (the order an index-order scan discovers them); a border
+  point takes the smallest cluster among its core neighbours; the rest is
+  noise (-1).
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
-from itertools import product
-from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.rank import avg_rank
 from tessera.operators.graph import connected_components
+from tessera.operators.leaves import matrix, measure_leaves, plan_leaves, with_leaf
 from tessera.session import materialize
 
+#: Points of a cell that lie in one block.
+BLOCK = 1_000
 
-def neighbour_pairs(vertices: DataFrame, cols: list[str], eps: float) -> DataFrame:
-    """``(a, b, wa, wb)`` for every pair of distinct vertices within eps
-    (Euclidean), each pair once (a < b), with both weights."""
-    g = min(3, len(cols))
-    cell = [F.floor(F.col(c) / F.lit(eps)).cast("long").alias(f"_c{i}") for i, c in enumerate(cols[:g])]
-    v = vertices.select("vid", "w", *cols, *cell)
-    offs = [list(o) for o in product([-1, 0, 1], repeat=g)]
-    probe = v.select(F.col("vid").alias("a"), F.col("w").alias("wa"), *[F.col(c).alias(f"a_{c}") for c in cols],
-                     F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offs])).alias("_o"),
-                     *[F.col(f"_c{i}") for i in range(g)]) \
-        .select("a", "wa", *[f"a_{c}" for c in cols],
-                *[(F.col(f"_c{i}") + F.col("_o")[i]).alias(f"_c{i}") for i in range(g)])
-    build = v.select(F.col("vid").alias("b"), F.col("w").alias("wb"), *[F.col(c).alias(f"b_{c}") for c in cols],
-                     *[F.col(f"_c{i}") for i in range(g)])
-    j = probe.join(build, [f"_c{i}" for i in range(g)])
-    d2 = reduce(add, [(F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in cols])
-    return j.where((F.col("a") < F.col("b")) & (d2 <= F.lit(eps * eps))).select("a", "b", "wa", "wb")
-
-
-def _subcell_pairs(v: DataFrame, cols: list[str], eps: float, side: float) -> DataFrame:
-    """Pairs within eps between vertices of *different* sub-cells (a < b)."""
-    d = len(cols)
-    r = math.ceil(eps / side)
-    offs = [o for o in product(range(-r, r + 1), repeat=d)
-            if any(o) and side * math.sqrt(sum(max(abs(x) - 1, 0) ** 2 for x in o)) <= eps]
-    probe = v.select(F.col("vid").alias("a"), F.col("w").alias("wa"), *[F.col(c).alias(f"a_{c}") for c in cols],
-                     F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offs])).alias("_o"),
-                     *[F.col(f"_s{i}") for i in range(d)]) \
-        .select("a", "wa", *[f"a_{c}" for c in cols],
-                *[(F.col(f"_s{i}") + F.col("_o")[i]).alias(f"_s{i}") for i in range(d)])
-    build = v.select(F.col("vid").alias("b"), F.col("w").alias("wb"), *[F.col(c).alias(f"b_{c}") for c in cols],
-                     *[F.col(f"_s{i}") for i in range(d)])
-    j = probe.join(build, [f"_s{i}" for i in range(d)])
-    d2 = reduce(add, [(F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in cols])
-    return j.where((F.col("a") < F.col("b")) & (d2 <= F.lit(eps * eps))).select("a", "b", "wa", "wb")
+
+def _near_cells(cells: DataFrame, d: int, eps: float, side: float) -> DataFrame:
+    """Directed pairs ``(a, b)`` of different cells whose points' boxes are
+    within eps.  A cell visits the leaves within reach of its position."""
+    grid = [f"g{i}" for i in range(d)]
+    box = [f"l{i}" for i in range(d)] + [f"h{i}" for i in range(d)]
+    leaves = plan_leaves(cells, grid)
+    at = materialize(with_leaf(cells.select("cid", *grid, *box), grid, leaves), "dbscan_at")
+    measure_leaves(leaves, at, grid)
+
+    def length(gap: np.ndarray) -> np.ndarray:  # cells at position difference g are at least (g - 1) sides apart
+        g = np.maximum(gap - 1, 0) * side
+        return np.sqrt((g * g).sum(axis=-1)) * (1 - 1e-9)
+
+    def visit(it):
+        for pdf in it:
+            row, leaf = leaves.near(matrix(pdf, grid), np.full(len(pdf), eps), length)
+            yield pdf.iloc[row].assign(_leaf=leaf)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        lo, hi, ids = matrix(right, box[:d]), matrix(right, box[d:]), right["cid"].to_numpy()
+        a_lo, a_hi, a_ids = matrix(left, box[:d]), matrix(left, box[d:]), left["cid"].to_numpy()
+        for i in range(len(left)):
+            gap = np.maximum(0, np.maximum(lo - a_hi[i], a_lo[i] - hi))
+            for j in np.flatnonzero(((gap * gap).sum(axis=1) <= eps * eps * (1 + 1e-9)) & (ids != a_ids[i])).tolist():
+                out.append((a_ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.schema.fields)
+    kind = cells.schema["cid"].dataType.simpleString()
+    return at.mapInPandas(visit, fields).groupBy("_leaf").cogroup(at.groupBy("_leaf")) \
+        .applyInPandas(meet, f"a {kind}, b {kind}")
+
+
+def _blocks(points: DataFrame, cols: list[str]) -> DataFrame:
+    """``(cid, blk, vids, ws, xs)``: a cell's points in blocks of about ``BLOCK``."""
+    n = points.groupBy("cid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    p = points.join(n, "cid").withColumn("blk", F.pmod(F.xxhash64("vid"), F.col("_n")).cast("int"))
+    one = F.struct("vid", "w", F.array(*cols).alias("x"))
+    g = p.groupBy("cid", "blk").agg(F.sort_array(F.collect_list(one)).alias("p"))
+    return g.select("cid", "blk", F.col("p.vid").alias("vids"), F.col("p.w").alias("ws"), F.col("p.x").alias("xs"))
+
+
+def _meet(left: DataFrame, right: DataFrame, pairs: DataFrame, eps: float, fn, schema: str,
+          extra: list[str] | None = None) -> DataFrame:
+    """``fn(a vids, b ws, near matrix, extra...)`` for the blocks of every pair of cells."""
+    extra = extra or []
+    j = pairs.join(left.select(F.col("cid").alias("a"), F.col("vids").alias("av"), F.col("xs").alias("ax")), "a") \
+        .join(right.select(F.col("cid").alias("b"), F.col("ws").alias("bw"), F.col("xs").alias("bx"),
+                           *extra), "b")
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for r in pdf.itertuples(index=False):
+                x, y = np.stack([np.asarray(v, float) for v in r.ax]), np.stack([np.asarray(v, float) for v in r.bx])
+                d2 = np.zeros((len(x), len(y)))
+                for i in range(x.shape[1]):
+                    d2 += (x[:, None, i] - y[None, :, i]) ** 2
+                out += fn(r, d2 <= eps * eps)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return j.mapInPandas(run, schema)
 
 
 def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """``(id, cluster)``: cluster 0.. or -1 for noise; also ``is_core``.
-
-    With at most three features the grid uses sub-cells of side eps/sqrt(d):
-    every pair inside one sub-cell is within eps, so same-sub-cell pairs are
-    never emitted — counts come from sub-cell weights, connectivity from a
-    star to the sub-cell's smallest core vertex.  A tight cluster therefore
-    costs linear work; only pairs across sub-cells are distance-checked.
-    """
-    data = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    vmap = data.groupBy(*cols).agg(F.min("_id").alias("vid"), F.count(F.lit(1)).alias("w"))
-    sub = len(cols) <= 3
-    if sub:
-        side = eps / math.sqrt(len(cols)) * (1 - 1e-9)  # strictly inside: same sub-cell => within eps
-        vmap = vmap.select("*", *[F.floor(F.col(c) / F.lit(side)).cast("long").alias(f"_s{i}")
-                                  for i, c in enumerate(cols)])
-    vmap = materialize(vmap, "dbscan_v")
-    skeys = [f"_s{i}" for i in range(len(cols))] if sub else []
-    pairs = materialize(_subcell_pairs(vmap, cols, eps, side) if sub else neighbour_pairs(vmap, cols, eps),
-                        "dbscan_p")
-    cnt = pairs.select("a", F.col("wb").alias("_w")).unionByName(
-        pairs.select(F.col("b").alias("a"), F.col("wa").alias("_w"))).groupBy("a").agg(F.sum("_w").alias("_nw"))
-    if sub:  # the whole own sub-cell is within eps (its weight includes the vertex itself)
-        sw = vmap.groupBy(*skeys).agg(F.sum("w").alias("_sw"))
-        base = vmap.join(sw, skeys).select("vid", *skeys, F.col("_sw").alias("_own"))
-    else:
-        base = vmap.select("vid", F.col("w").alias("_own"))
-    core = base.join(cnt, base.vid == cnt.a, "left") \
-        .select("vid", *skeys, ((F.col("_own") + F.coalesce("_nw", F.lit(0))) >= min_samples).alias("is_core"))
-    core = materialize(core, "dbscan_c")
-    core_ids = core.where("is_core").select("vid")
-    cc_edges = pairs.join(core_ids.withColumnRenamed("vid", "a"), "a") \
-        .join(core_ids.withColumnRenamed("vid", "b"), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    if sub:  # core vertices sharing a sub-cell are mutually within eps: star edges
-        cs = core.where("is_core").select("vid", *skeys)
-        head = cs.groupBy(*skeys).agg(F.min("vid").alias("_h"))
-        star = cs.join(head, skeys).where(F.col("vid") != F.col("_h")) \
-            .select(F.col("_h").alias("src"), F.col("vid").alias("dst"))
-        cc_edges = cc_edges.unionByName(star)
-    comp = connected_components(cc_edges, "src", "dst")
-    # isolated core vertices form their own component
-    comp_all = core_ids.join(comp.withColumnRenamed("vertex", "vid"), "vid", "left") \
-        .select("vid", F.coalesce("component", "vid").alias("component"))
-    # number components 0..k-1 by their smallest core id (distributed rank)
-    ranks = avg_rank(comp_all.select(F.col("component").alias("value")).distinct(), [], "value")
-    lab_core = comp_all.join(ranks.select(F.col("value").alias("component"),
-                                          (F.col("rank") - 1).cast("int").alias("cluster")), "component") \
-        .select("vid", "cluster")
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    border = both.join(lab_core.withColumnRenamed("vid", "b"), "b") \
-        .groupBy(F.col("a").alias("vid")).agg(F.min("cluster").alias("_bc"))
-    if sub:  # plus the core vertices of the same sub-cell
-        sc = core.join(lab_core, "vid").groupBy(*skeys).agg(F.min("cluster").alias("_sc"))
-        border = border.unionByName(
-            core.where(~F.col("is_core")).join(sc, skeys).select("vid", F.col("_sc").alias("_bc"))) \
-            .groupBy("vid").agg(F.min("_bc").alias("_bc"))
-    lab = core.join(lab_core, "vid", "left").join(border, "vid", "left") \
-        .select("vid", "is_core", F.coalesce("cluster", F.when(~F.col("is_core"), F.col("_bc")), F.lit(-1))
-                .cast("int").alias("cluster"))
-    out = data.join(vmap.select(*cols, "vid"), cols).join(lab, "vid") \
-        .select(F.col("_id").alias(id_col), "cluster", "is_core")
-    return out
+    """``(id, cluster)``: cluster 0.. or -1 for noise; also ``is_core``.  Rows
+    with a missing feature take no part."""
+    d = len(cols)
+    side = eps / math.sqrt(d) * (1 - 1e-9)  # strictly inside: same cell => within eps
+    data = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]) \
+        .na.drop()
+    xs = [f"x{i}" for i in range(d)]
+    kind = df.schema[id_col].dataType.simpleString()
+    grid = [F.rint(F.floor(F.col(c) / F.lit(side)).cast("double")).alias(f"g{i}") for i, c in enumerate(xs)]
+    v = materialize(data.groupBy(*xs).agg(F.min("_id").alias("vid"), F.count(F.lit(1)).alias("w")).select("*", *grid),
+                    "dbscan_v")
+    keys = [f"g{i}" for i in range(d)]
+    cells = v.groupBy(*keys).agg(
+        F.min("vid").alias("cid"), F.sum("w").alias("cw"), *[F.min(c).alias(f"l{i}") for i, c in enumerate(xs)],
+        *[F.max(c).alias(f"h{i}") for i, c in enumerate(xs)])
+    cells = materialize(cells, "dbscan_cells")
+    if cells.limit(1).count() == 0:
+        return df.sparkSession.createDataFrame([], f"`{id_col}` {kind}, cluster int, is_core boolean")
+    v = materialize(v.join(cells.select("cid", "cw", *keys), keys).select("vid", "w", "cid", "cw", *xs), "dbscan_vc")
+    near = materialize(_near_cells(cells, d, eps, side), "dbscan_near")
+    thin = cells.where(F.col("cw") < min_samples).select("cid")
+    blocks = materialize(_blocks(v, xs), "dbscan_blocks")
+    thin_blocks = blocks.join(thin, "cid", "left_semi")
+
+    # weight near each point of a thin cell: its whole own cell and what adjacent cells add
+    from_thin = near.join(thin.select(F.col("cid").alias("a")), "a", "left_semi")
+    counted = _meet(thin_blocks, blocks, from_thin, eps,
+                    lambda r, m: [(vid, int(n)) for vid, n in zip(r.av, m @ np.asarray(r.bw, float)) if n],
+                    f"vid {kind}, n long").groupBy("vid").agg(F.sum("n").alias("n"))
+    core = v.join(counted, "vid", "left").select(
+        "vid", "cid", "w", *xs, ((F.col("cw") + F.coalesce("n", F.lit(0))) >= min_samples).alias("is_core"))
+    core = materialize(core, "dbscan_core")
+    core_blocks = materialize(_blocks(core.where("is_core"), xs), "dbscan_core_blocks")
+    core_cells = core.where("is_core").groupBy("cid").agg(F.min("vid").alias("least"))
+
+    # core cells with one close pair of core points
+    pairs = near.where(F.col("a") < F.col("b")).join(core_cells.select(F.col("cid").alias("a")), "a", "left_semi") \
+        .join(core_cells.select(F.col("cid").alias("b")), "b", "left_semi")
+    pairs = materialize(pairs, "dbscan_pairs")
+    edge = f"src {kind}, dst {kind}"
+    first = core_blocks.join(core_blocks.groupBy("cid").agg(F.min("blk").alias("blk")), ["cid", "blk"])
+    touch = lambda r, m: [(r.a, r.b)] if m.any() else []
+    linked = materialize(_meet(first, first, pairs, eps, touch, edge), "dbscan_edges")
+    rest = pairs.join(linked.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
+    more = core_blocks.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cid")
+    big = rest.join(more.select(F.col("cid").alias("a")), "a", "left_semi").unionByName(
+        rest.join(more.select(F.col("cid").alias("b")), "b", "left_semi")).distinct()
+    linked = linked.unionByName(_meet(core_blocks, core_blocks, big, eps, touch, edge).distinct())
+    comp = connected_components(linked, "src", "dst")
+    root = core_cells.join(comp.withColumnRenamed("vertex", "cid"), "cid", "left") \
+        .select("cid", "least", F.coalesce("component", "cid").alias("component"))
+    least = root.groupBy("component").agg(F.min("least").alias("value"))
+    ranks = avg_rank(least.select("value"), [], "value")
+    label = root.join(least, "component").join(ranks, "value") \
+        .select("cid", (F.col("rank") - 1).cast("int").alias("cluster"))
+    label = materialize(label, "dbscan_label")
+
+    # borders: points that are not core take the smallest cluster of a core point within eps
+    labelled = core_blocks.join(label.withColumnRenamed("cluster", "bc"), "cid")
+    edge_blocks = _blocks(core.where(~F.col("is_core")), xs)
+    border = _meet(edge_blocks, labelled, from_thin, eps,
+                   lambda r, m: [(vid, int(r.bc)) for vid, any_ in zip(r.av, m.any(axis=1)) if any_],
+                   f"vid {kind}, bc int", ["bc"])
+    own = core.where(~F.col("is_core")).join(label, "cid").select("vid", F.col("cluster").alias("bc"))
+    border = border.unionByName(own).groupBy("vid").agg(F.min("bc").alias("bc"))
+    lab = core.join(label, "cid", "left").join(border, "vid", "left").select(
+        *xs, "is_core", F.coalesce(F.when(F.col("is_core"), F.col("cluster")), F.when(~F.col("is_core"), F.col("bc")),
+                                   F.lit(-1)).cast("int").alias("cluster"))
+    return data.join(lab, xs).select(F.col("_id").alias(id_col), "cluster", "is_core")

@@ -2,18 +2,14 @@
 
 tau_b = (C - D) / sqrt((n0 - n1)(n0 - n2)); with n0 all pairs, n1 / n2 pairs
 tied in x / y and n3 tied in both, C = n0 - n1 - n2 + n3 - D, so only the
-discordant count D (pairs with x_i < x_j and y_i > y_j) needs pair logic:
-
-* rows collapse to weighted distinct (x, y) points;
-* x and y are cut into ranges at approximate quantiles; a value equal to a
-  cut gets a range of its own (so a hot value is isolated: pairs inside a
-  single-value range are tied and never discordant);
-* D = pairs in different x-ranges and different y-ranges (from the small
-  range x range histogram, prefix sums on the driver)
-    + pairs inside one x-range (weighted inversion count per range)
-    + pairs in different x-ranges but one y-range (inversion count per range),
-  the per-range counts run in ``applyInPandas`` on groups bounded by the
-  range size (Fenwick tree over y ranks, O(m log m)).
+discordant count D (pairs with x_i < x_j and y_i > y_j) needs pair logic.
+
+Rows collapse to weighted distinct (x, y) points and x to its dense rank.  Any
+two ranks first differ in exactly one bit: for every bit, points that share
+the higher bits form a series, and each point with a 0 there is discordant
+with those of the series that have a 1 and a smaller y.  These are running
+totals in order of y, so D is one grouped sum over points x bits, with no
+range, group or driver limit.
 """
 
 from __future__ import annotations
@@ -21,50 +17,30 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.rank import bucket_expr
-from tessera.session import materialize
-
-PER_GROUP = 200_000
-MAX_RANGES = 256  # histogram of (2R+1)^2 range cells stays small on the driver
-
+from tessera.functions.rank import running_totals
+from tessera.session import discard, materialize
 
-def _inversions(key: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Weighted count of pairs i before j in (key, y) order with y_i > y_j."""
-    order = np.lexsort((y, key))
-    y, w = y[order], w[order]
-    ranks = np.unique(y, return_inverse=True)[1] + 1
-    size = int(ranks.max()) if len(ranks) else 0
-    tree = [0.0] * (size + 1)
-    total = 0.0
-    d = 0.0
-    for r, wt in zip(ranks.tolist(), w.tolist()):
-        s, i = 0.0, r
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        d += wt * (total - s)
-        i = r
-        while i <= size:
-            tree[i] += wt
-            i += i & -i
-        total += wt
-    return d
 
+def discordant(pts: DataFrame, ranges: int | None = None) -> float:
+    """Weighted number of pairs with x_i < x_j and y_i > y_j of ``(x, y, w)``."""
+    xs = running_totals(pts.select("x").distinct().withColumn("one", F.lit(1)), [], "x", ["one"], ranges=ranges) \
+        .select("x", (F.col("cum_one") - 1).alias("i"))
+    m = xs.agg(F.max("i")).first()[0]
+    if not m:
+        return 0.0
+    p = pts.join(xs, "x").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(int(m).bit_length() - 1))))
+    one = F.expr("shiftright(i, b) & 1")
+    s = p.groupBy("b", F.expr("shiftright(i, b + 1)").alias("prefix"), "y").agg(
+        F.sum(F.when(one == 0, F.col("w")).otherwise(0.0)).alias("w0"),
+        F.sum(F.when(one == 1, F.col("w")).otherwise(0.0)).alias("w1"))
+    r = running_totals(s, ["b", "prefix"], "y", ["w1"], ranges=ranges)
+    return r.agg(F.sum(F.col("w0") * (F.col("cum_w1") - F.col("w1")))).first()[0] or 0.0
 
-def _range_code(col: str, bounds: list[float]) -> str:
-    """2 * (#bounds < v) + (v is a bound): monotone in v, one code per bound value."""
-    if not bounds:
-        return "0"
-    arr = "array(" + ", ".join(f"{float(b)!r}D" for b in bounds) + ")"
-    return f"(2 * ({bucket_expr(col, arr, len(bounds))}) + CAST(array_contains({arr}, {col}) AS INT))"
 
-
-def kendall_tau(df: DataFrame, a: str, b: str, per_group: int = PER_GROUP) -> float | None:
+def kendall_tau(df: DataFrame, a: str, b: str, ranges: int | None = None) -> float | None:
     d = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) \
         .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     pts = materialize(d.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")), "kendall")
@@ -76,40 +52,8 @@ def kendall_tau(df: DataFrame, a: str, b: str, per_group: int = PER_GROUP) -> fl
     n0 = n * (n - 1) / 2
     if n0 - n1 <= 0 or n0 - n2 <= 0:
         return None
-    ranges = min(MAX_RANGES, max(1, math.ceil(n / per_group)))
-    if ranges > 1:
-        probs = [i / ranges for i in range(1, ranges)]
-        q = d.agg(F.percentile_approx("x", probs, 20 * ranges).alias("bx"),
-                  F.percentile_approx("y", probs, 20 * ranges).alias("by")).first()
-        bx, by = sorted(set(q["bx"])), sorted(set(q["by"]))
-    else:
-        bx, by = [], []
-    p = pts.select("x", "y", "w", F.expr(_range_code("x", bx)).alias("rx"),
-                   F.expr(_range_code("y", by)).alias("ry"))
-    # (a) different x-range and different y-range: histogram of ranges
-    h = p.groupBy("rx", "ry").agg(F.sum("w").alias("w")).toPandas()
-    d_a = 0.0
-    if len(h) > 1:
-        nx, ny = int(h.rx.max()) + 1, int(h.ry.max()) + 1
-        H = np.zeros((nx, ny))
-        H[h.rx.to_numpy(int), h.ry.to_numpy(int)] = h.w.to_numpy()
-        # G[i, j] = sum of H over rows < i and columns > j
-        above = np.cumsum(H[:, ::-1], axis=1)[:, ::-1]  # columns >= j
-        above = np.concatenate([above[:, 1:], np.zeros((nx, 1))], axis=1)  # columns > j
-        G = np.cumsum(above, axis=0)
-        G = np.concatenate([np.zeros((1, ny)), G[:-1]], axis=0)  # rows < i
-        d_a = float((H * G).sum())
-
-    def inv_by(key_col):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            v = _inversions(pdf[key_col].to_numpy(float), pdf["y"].to_numpy(float), pdf["w"].to_numpy(float))
-            return pd.DataFrame({"d": [v]})
-        return run
-    # (b) inside one x-range: pairs ordered by x (ties in x never count)
-    d_b = p.groupBy("rx").applyInPandas(inv_by("x"), "d double").agg(F.sum("d")).first()[0] or 0.0
-    # (c) one y-range, different x-ranges: pairs ordered by x-range
-    d_c = p.groupBy("ry").applyInPandas(inv_by("rx"), "d double").agg(F.sum("d")).first()[0] or 0.0
-    disc = d_a + d_b + d_c
+    disc = discordant(pts, ranges)
+    discard(pts)
     conc = n0 - n1 - n2 + n3 - disc
     return (conc - disc) / math.sqrt((n0 - n1) * (n0 - n2))
 

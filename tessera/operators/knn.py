@@ -4,33 +4,28 @@ classifier (C-10).
 
 * Identical feature vectors are merged into weighted vertices, so a value
   repeated by a third of the rows is one vertex.
-* Candidates come from a grid over the first (at most three) features:
-  round r uses cells of side h_r = h0·3^(r-1); every unresolved query visits
-  its 3^g adjacent cells (equi-join on the cell key).  All points within
-  distance h_r of the query lie in those cells, so once the candidate weight
-  within h_r reaches k the k nearest are exactly known.  Unresolved queries
-  (sparse regions) go on to the next, coarser round; resolved ones leave.
-* The first cell size follows the average density, refined until no cell
-  holds more than ``max_cell`` (default 4k) vertices, so a dense cluster of
-  distinct points is resolved at a fine level: a query's candidates are
-  bounded by 3^g x max_cell in its first round.
+* Build vertices lie in leaves (``leaves.py``) that cut space on all features.
+  A query first takes its k nearest from its own leaf; their largest distance
+  bounds the search, and only leaves whose box is nearer are visited, each
+  once.  Every (query, leaf) keeps at most k candidates before the shuffle.
+* Two passes, whatever the data: no rounds, no grid, no feature left out.
+  Leaves with many queries are served by several tasks.
 * The k nearest are taken in (distance, vertex id) order with weights (a
   vertex of weight w counts as w neighbours at the same distance).
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-from itertools import product
-from operator import add
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.leaves import LEAF, matrix, measure_leaves, plan_leaves, with_leaf
 from tessera.session import materialize
 
-GROWTH = 3.0  # cell side grows by this factor per round
+#: Queries of one leaf that a task takes, and rows compared at once.
+QUERIES, BLOCK = 20_000, 256
 
 
 def vertices(df: DataFrame, id_col: str, cols: list[str], extra: list[str] | None = None) -> tuple:
@@ -44,19 +39,24 @@ def vertices(df: DataFrame, id_col: str, cols: list[str], extra: list[str] | Non
     return v, rowmap
 
 
-def _h0(v: DataFrame, cols: list[str], k: int) -> float:
-    g = min(3, len(cols))
-    r = v.agg(*[F.percentile_approx(c, [0.01, 0.99], 1000).alias(f"_q{i}") for i, c in enumerate(cols[:g])],
-              F.sum("w").alias("_n")).first()
-    spans = [max(r[f"_q{i}"][1] - r[f"_q{i}"][0], 1e-12) for i in range(g)]
-    vol = math.prod(spans)
-    # about k points per cell area: the first round resolves dense regions,
-    # sparse ones move on to coarser rounds
-    return max((vol * max(k, 1) / max(r["_n"], 1)) ** (1.0 / g) / 2.0, 1e-9)
+def _length(metric: str, p: float):
+    """Length of difference vectors (features on the last axis, added in order)."""
+    def run(diff: np.ndarray) -> np.ndarray:
+        diff = np.abs(diff)
+        total = np.zeros(diff.shape[:-1])
+        for i in range(diff.shape[-1]):
+            d = diff[..., i]
+            total = np.maximum(total, d) if metric == "chebyshev" else \
+                total + (d if metric == "manhattan" else d * d if metric == "euclidean" else d ** p)
+        return np.sqrt(total) if metric == "euclidean" else total ** (1 / p) if metric == "minkowski" else total
+
+    if metric not in ("euclidean", "manhattan", "minkowski", "chebyshev"):
+        raise ValueError(f"unknown metric {metric}")
+    return run
 
 
 def knn(queries: DataFrame, build: DataFrame, cols: list[str], k: int, self_join: bool,
-        h0: float | None = None, max_rounds: int = 60, max_cell: int | None = None) -> DataFrame:
+        metric: str = "euclidean", p: float = 2.0, leaf: int | None = None) -> DataFrame:
     """``(a, b, dist, used)`` — for each query vertex ``a`` its nearest build
     vertices with the weight ``used`` each contributes (sum = k per query,
     or all available weight when fewer exist).
@@ -64,57 +64,70 @@ def knn(queries: DataFrame, build: DataFrame, cols: list[str], k: int, self_join
     ``queries``: (vid, cols...[, w]); ``build``: (vid, w, cols...).  With
     ``self_join`` the query's own vertex counts w-1 times at distance 0.
     """
-    g = min(3, len(cols))
-    h0 = h0 or _h0(build, cols, k)
-    # dense regions: start finer so no first-round cell holds more than
-    # ``max_cell`` vertices (sparse queries simply take a few more rounds)
-    max_cell = max_cell or max(64, 4 * k)
-    for _ in range(30):
-        cells = build.groupBy(*[F.floor(F.col(c) / F.lit(h0)) for c in cols[:g]]).count()
-        densest = cells.agg(F.max("count")).first()[0] or 0
-        if densest <= max_cell:
-            break
-        h0 = h0 / (GROWTH ** max(1, math.ceil(math.log(densest / max_cell) / (g * math.log(GROWTH)))))
+    spark = queries.sparkSession
+    length = _length(metric, p)
+    a_type, b_type = (d.schema["vid"].dataType.simpleString() for d in (queries, build))
+    found = f"a {a_type}, b {b_type}, dist double, wb long"
     total = build.agg(F.sum("w")).first()[0] or 0
-    need = min(k, total - 1 if self_join else total)
+    need = int(min(k, total - 1 if self_join else total))
     if need <= 0:
-        return queries.sparkSession.createDataFrame([], "a long, b long, dist double, used long")
-    todo = queries.select(F.col("vid").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    offs = [list(o) for o in product([-1, 0, 1], repeat=g)]
-    done = []
-    for r in range(max_rounds):
-        h = h0 * (GROWTH ** r)
-        cell = lambda p: [F.floor(F.col(f"{p}{c}") / F.lit(h)).cast("long") for c in cols[:g]]
-        probe = todo.select("*", F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offs])).alias("_o")) \
-            .select("*", *[(c + F.col("_o")[i]).alias(f"_c{i}") for i, c in enumerate(cell("a_"))]).drop("_o")
-        b = build.select(F.col("vid").alias("b"), F.col("w").alias("wb"),
-                         *[F.col(c).alias(f"b_{c}") for c in cols])
-        b = b.select("*", *[c.alias(f"_c{i}") for i, c in enumerate(cell("b_"))])
-        j = probe.join(b, [f"_c{i}" for i in range(g)])
-        d = F.sqrt(reduce(add, [(F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in cols]))
-        cand = j.select("a", "b", d.alias("dist"),
-                        (F.when(F.col("a") == F.col("b"), F.col("wb") - 1).otherwise(F.col("wb")) if self_join
-                         else F.col("wb")).alias("wb")) \
-            .where((F.col("dist") <= F.lit(h)) & (F.col("wb") > 0))
-        cand = materialize(cand, "knn_c")
-        got = cand.groupBy("a").agg(F.sum("wb").alias("_got"))
-        ok = got.where(F.col("_got") >= need).select("a")
-        w = Window.partitionBy("a").orderBy("dist", "b")
-        sel = cand.join(ok, "a").withColumn("_before", F.coalesce(
-            F.sum("wb").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
-            .where(F.col("_before") < need) \
-            .select("a", "b", "dist", F.least(F.col("wb"), F.lit(need) - F.col("_before")).alias("used"))
-        # ``cand`` is materialised; the selection and the remaining queries
-        # are cheap lazy plans over it
-        done.append(sel)
-        todo = todo.join(ok, "a", "left_anti")
-        left = todo.count()
-        if left == 0:
-            break
-    out = done[0]
-    for s in done[1:]:
-        out = out.unionByName(s)
-    return out
+        return spark.createDataFrame([], f"a {a_type}, b {b_type}, dist double, used long")
+    leaves = plan_leaves(build, cols, leaf or max(LEAF, 4 * k))
+    b = materialize(with_leaf(build.select("vid", "w", *cols), cols, leaves), "knn_b")
+    measure_leaves(leaves, b, cols)
+    q = materialize(with_leaf(queries.select(F.col("vid").alias("a"), *cols), cols, leaves), "knn_q")
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The ``need`` nearest by weight of each query among one leaf's vertices."""
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("vid", kind="stable")
+            y, ids, w = matrix(right, cols), right["vid"].to_numpy(), right["w"].to_numpy()
+            x, who = matrix(left, cols), left["a"].to_numpy()
+            reach = left["r"].to_numpy() if "r" in left else np.full(len(left), np.inf)
+            for at in range(0, len(x), BLOCK):
+                dist = length(x[at:at + BLOCK, None, :] - y[None, :, :])
+                for i in range(len(dist)):
+                    row, me = dist[i], who[at + i]
+                    if need + 1 < len(row):
+                        cut = min(reach[at + i], np.partition(row, need)[need])
+                    else:
+                        cut = reach[at + i]
+                    near = np.flatnonzero(row <= cut)
+                    near = near[np.argsort(row[near], kind="stable")]  # ties stay in id order
+                    got = 0
+                    for j in near.tolist():
+                        weight = int(w[j]) - (1 if self_join and ids[j] == me else 0)
+                        if weight > 0:
+                            out.append((me, ids[j], row[j], weight))
+                            got += weight
+                            if got >= need:
+                                break
+        return pd.DataFrame(out, columns=["a", "b", "dist", "wb"])
+
+    def search(rows: DataFrame) -> DataFrame:
+        """Queries meet their leaf's vertices; crowded leaves by several tasks."""
+        parts = rows.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("_parts"))
+        left = rows.join(parts, "_leaf").withColumn("_s", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int")).drop("_parts")
+        right = b.join(parts, "_leaf").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        return left.groupBy("_leaf", "_s").cogroup(right.groupBy("_leaf", "_s")).applyInPandas(nearest, found)
+
+    own = materialize(search(q), "knn_own")
+    reach = own.groupBy("a").agg(F.when(F.sum("wb") >= need, F.max("dist")).alias("r"))
+    todo = q.join(reach, "a", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
+
+    def visit(it):
+        for pdf in it:
+            row, leaf_no = leaves.near(matrix(pdf, cols), pdf["r"].to_numpy(), length)
+            away = leaf_no != pdf["_leaf"].to_numpy()[row]
+            yield pdf.iloc[row[away]].assign(_leaf=leaf_no[away])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields)
+    far = search(materialize(todo.mapInPandas(visit, fields), "knn_visits"))
+    w = Window.partitionBy("a").orderBy("dist", "b")
+    before = F.coalesce(F.sum("wb").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.unionByName(far).withColumn("_before", before).where(F.col("_before") < need) \
+        .select("a", "b", "dist", F.least(F.col("wb"), F.lit(need) - F.col("_before")).alias("used"))
 
 
 def lof_scores(df: DataFrame, id_col: str, cols: list[str], k: int = 20) -> DataFrame:
@@ -141,12 +154,12 @@ def outlier_lof(df: DataFrame, id_col: str, cols: list[str], k: int = 20, thresh
 
 
 def knn_classify(train: DataFrame, test: DataFrame, id_col: str, cols: list[str], label: str = "label",
-                 k: int = 5) -> DataFrame:
+                 k: int = 5, metric: str = "euclidean", p: float = 2.0) -> DataFrame:
     """``(id, prediction, score)``: majority of the k nearest training rows
     (ties -> smallest class); ``score`` = share of votes for class 1."""
     tv, _ = vertices(train.select(id_col, *cols, label), id_col, cols, extra=[label])
     qv, qmap = vertices(test, id_col, cols)
-    nn = knn(qv.select("vid", *cols), tv.select("vid", "w", *cols), cols, k, self_join=False)
+    nn = knn(qv.select("vid", *cols), tv.select("vid", "w", *cols), cols, k, self_join=False, metric=metric, p=p)
     votes = nn.join(tv.select(F.col("vid").alias("b"), F.col(label).alias("_cls")), "b") \
         .groupBy("a", "_cls").agg(F.sum("used").alias("_v"))
     best = votes.groupBy("a").agg(

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.cumulative import cumulative
-from tessera.functions.rank import avg_rank
+from tessera.functions.rank import avg_rank, cumulative
 
 
 def confusion(df: DataFrame, y: str = "label", pred: str = "prediction") -> DataFrame:
@@ -96,8 +95,8 @@ def class_counts(df: DataFrame, y: str) -> DataFrame:
 
 def roc_curve(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
     """``(threshold, fpr, tpr)``: one point per distinct score (descending),
-    plus the origin with threshold +inf.  Running totals use the bucketed
-    scheme of :func:`cumulative` — no single-partition window."""
+    plus the origin with threshold +inf.  Running totals per range
+    (:func:`cumulative`), no single-partition window."""
     pos = (F.col(y) == F.lit(positive)).cast("long")
     base = df.select(F.col(score).cast("double").alias("threshold"), pos.alias("tp"),
                      (1 - pos).alias("fp"))

@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 
 from tessera.operators.dbscan import dbscan
-from tessera.operators.hierarchical import hierarchical
 from tessera.operators.iforest import outlier_iforest
 from tessera.operators.knn import knn_classify, lof_scores
 from tessera.operators.neighbors import pairwise_distance
@@ -83,14 +82,6 @@ def test_iforest_ranks_planted(spark):
     assert len(top & set(range(10))) >= 9
 
 
-@pytest.mark.parametrize("link", ["ward", "complete", "average", "single"])
-def test_hierarchical_small_exact(spark, link):
-    pts = [(0.0, 0.0), (0.1, 0.0), (5.0, 5.0), (5.2, 5.1), (10.0, 0.0), (10.1, 0.2)]
-    lab, mt = hierarchical(frame(spark, np.array(pts)), "id", ["x", "y"], 3, link)
-    got = {r["id"]: r["cluster"] for r in lab.collect()}
-    assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 2} and mt.count() == 5
-
-
 def test_pairwise_distance_blocks(spark):
     rng = np.random.default_rng(1)
     X = rng.normal(0, 1, (60, 2))
@@ -99,15 +90,6 @@ def test_pairwise_distance_blocks(spark):
     assert d1[(0, 1)] == pytest.approx(np.linalg.norm(X[0] - X[1]))
 
 
-def test_playground_circles(spark):
-    from tessera.operators.playground import classifier_battery, cluster_battery
-    pts = SHAPES["circles"](spark, 300, 0.03, 3)
-    cl = {r["method"]: r for r in cluster_battery(pts, 2, eps=0.3, min_samples=5).collect()}
-    assert set(cl) == {"kmeans", "dbscan", "hierarchical"} and cl["kmeans"]["clusters"] == 2
-    cb = {r["model"]: r["accuracy"] for r in classifier_battery(pts, ["nb", "knn"]).collect()}
-    assert cb["knn"] > 0.9
-
-
 @pytest.mark.parametrize("d", [1, 3, 4])
 def test_dbscan_tight_cluster_dims(spark, d):
     rng = np.random.default_rng(9)
@@ -118,3 +100,65 @@ def test_dbscan_tight_cluster_dims(spark, d):
                                "id long, " + ", ".join(f"{c} double" for c in cols))
     got = {r["id"]: r["cluster"] for r in dbscan(df, "id", cols, 0.2, 6).collect()}
     assert [got[i] for i in range(len(X))] == list(brute_dbscan(X, 0.2, 6))
+
+
+def _knn_brute(X, Q, k, metric, p=3.0):
+    diff = np.abs(Q[:, None] - X[None])
+    D = {"euclidean": lambda: np.sqrt((diff ** 2).sum(-1)), "manhattan": lambda: diff.sum(-1),
+         "minkowski": lambda: (diff ** p).sum(-1) ** (1 / p), "chebyshev": lambda: diff.max(-1)}[metric]()
+    return np.sort(D, axis=1)[:, :k]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "minkowski", "chebyshev"])
+def test_knn_binary_features_first_and_small_leaves(spark, metric):
+    """Three 0/1 features before the one that varies, repeated rows, text ids,
+    leaves of ten points and one query far outside."""
+    from tessera.operators.knn import knn, vertices
+    rng = np.random.default_rng(2)
+    X = np.column_stack([rng.integers(0, 2, (600, 3)), np.round(rng.normal(0, 1, 600), 2)]).astype(float)
+    Q = np.concatenate([X[:40] + 0.01, [[50.0, 0, 0, 0]]])
+    cols = ["a1", "a2", "a3", "a4"]
+    schema = "id string, a1 double, a2 double, a3 double, a4 double"
+    frame4 = lambda M, tag: spark.createDataFrame([(f"{tag}{i}", *map(float, r)) for i, r in enumerate(M)], schema)
+    v, _ = vertices(frame4(X, "b"), "id", cols)
+    q, qmap = vertices(frame4(Q, "q"), "id", cols)
+    got = {}
+    ids = dict(map(tuple, qmap.select("_id", "vid").collect()))
+    for r in knn(q, v, cols, 7, False, metric, 3.0, leaf=10).collect():
+        got.setdefault(r["a"], []).extend([r["dist"]] * r["used"])
+    want = _knn_brute(X, Q, 7, metric)
+    for i in range(len(Q)):
+        assert sorted(got[ids[f"q{i}"]]) == pytest.approx(want[i], abs=1e-12)
+
+
+def test_knn_fewer_points_than_k(spark):
+    from tessera.operators.knn import lof_scores
+    assert lof_scores(frame(spark, np.array([[0.0, 0], [1, 1], [2, 5]])), "id", ["x", "y"], 20).count() == 3
+
+
+def test_dbscan_dense_region_stays_linear(spark):
+    """One region within eps: text ids, all in a few cells, no pair tables."""
+    rng = np.random.default_rng(3)
+    X = rng.normal(0, 0.01, (5000, 4))
+    cols = [f"c{i}" for i in range(4)]
+    df = spark.createDataFrame([(f"p{i:05d}", *map(float, x)) for i, x in enumerate(X)],
+                               "id string, " + ", ".join(f"{c} double" for c in cols))
+    out = dbscan(df, "id", cols, 0.5, 5)
+    assert [(r["cluster"], r["count"]) for r in out.groupBy("cluster").count().collect()] == [(0, 5000)]
+
+
+def test_dbscan_two_hot_cells_apart(spark):
+    """Adjacent cells with several blocks each: joined by one close pair only."""
+    rng = np.random.default_rng(4)
+    A, B = rng.uniform(0, 0.1, (2500, 2)), rng.uniform(0, 0.1, (2500, 2)) + [0.55, 0]
+    far = dbscan(frame(spark, np.concatenate([A, B])), "id", ["x", "y"], 0.4, 5)
+    assert far.select("cluster").distinct().count() == 2
+    bridge = np.concatenate([A, B, [[0.3, 0.05]] * 5])
+    assert dbscan(frame(spark, bridge), "id", ["x", "y"], 0.4, 5).select("cluster").distinct().count() == 1
+
+
+def test_big_ids_keep_apart(spark):
+    big = 1 << 53
+    df = spark.createDataFrame([(big + i, float(i // 3 * 10), 0.0) for i in range(9)], "id long, x double, y double")
+    got = {r["id"] - big: r["cluster"] for r in dbscan(df, "id", ["x", "y"], 0.5, 3).collect()}
+    assert got == {i: i // 3 for i in range(9)}
