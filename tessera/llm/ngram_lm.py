@@ -18,7 +18,7 @@ blocks, and the model into buckets by word hash:
 Every message's size follows the data, not the number of occurrences of any
 word.  Pairs of a frequent first word would all meet in one bucket; they are
 dealt by their second word instead, and the pieces of such a context are added
-up in step 3.
+up in step 3.  First words are not sent: a bucket's pairs follow its word list.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from __future__ import annotations
 import mmap
 import tempfile
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +44,21 @@ START, END = b" start", b" end"
 MESSAGE = pa.schema([("to", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()),
                      ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 MESSAGE_SQL = "to int, src int, kind int, a binary, b binary, c binary, d binary"
-PAIRS, WORDS, PAIR_ANSWER, CONTEXT, CONTINUATION, TOTALS, WORD_ANSWER = range(7)
+PAIRS, HOT_PAIRS, WORDS, PAIR_ANSWER, HOT_ANSWER, CONTEXT, CONTINUATION, TOTALS, WORD_ANSWER = range(9)
 
 
 def _numbers(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x, dtype=np.uint32).tobytes(), 1)
+    """Small counts: bytes, the few from 255 on beside them."""
+    x = np.ascontiguousarray(x, dtype=np.uint32).ravel()
+    z = zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1)
+    return len(z).to_bytes(4, "little") + z + x[x >= 255].tobytes()
 
 
 def _read(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), dtype=np.uint32)
+    n = int.from_bytes(b[:4], "little")
+    x = np.frombuffer(zlib.decompress(b[4:4 + n]), dtype=np.uint8).astype(np.uint32)
+    x[x == 255] = np.frombuffer(b[4 + n:], dtype=np.uint32)
+    return x
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -73,21 +80,23 @@ class Block:
     """Distinct words and word pairs of some documents, sorted by hash."""
 
     def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int, hot: np.ndarray):
-        ids: dict[bytes, int] = {START: 0, END: 1}
+        ids: dict[bytes, int] = defaultdict(count().__next__)
+        ids[START], ids[END]
         rows = []
         for t in texts:
             words = t.lower().split()
             row = np.empty(len(words) + 2, dtype=np.int32)
             row[0], row[-1] = 0, 1
-            row[1:-1] = [ids.setdefault(w, len(ids)) for w in words]
+            row[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
             rows.append(row)
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), np.uint64, len(ids))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))
         order = np.argsort(h)
         rank = np.empty(len(h), dtype=np.int64)
         rank[order] = np.arange(len(h))
         self.words = h[order]
         self.sizes = np.array([len(r) - 1 for r in rows])  # tokens, with the end
         flat = rank[np.concatenate(rows)]
+        del rows, ids
         ends = np.cumsum(self.sizes + 1)
         first = np.ones(len(flat), bool)
         first[ends - 1] = False  # nothing follows an end
@@ -95,31 +104,41 @@ class Block:
         self.second = flat[at + 1]
         self.keys = flat[at] * len(h) + self.second
         learned = np.repeat(train, self.sizes)
-        self.pairs = np.unique(self.keys)
-        got, n = np.unique(self.keys[learned], return_counts=True)
-        self.pair_counts = np.zeros(len(self.pairs), np.int64)
-        self.pair_counts[np.searchsorted(self.pairs, got)] = n
+        both = self.keys * 2 + learned
+        both.sort()
+        pair = both >> 1
+        start = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        self.pairs = pair[start]
+        self.pair_counts = np.add.reduceat(both & 1, start)
         self.word_counts = np.bincount(self.second[learned], minlength=len(h))
-        self.v, self.w = np.divmod(self.pairs, len(h))
+        self.v = self.pairs // len(h)
+        self.w = self.pairs - self.v * len(h)
         own = bucket_of(self.words, buckets)
         is_hot = np.isin(self.words, hot)
-        to = np.where(is_hot[self.v], own[self.w], own[self.v])
-        self.pair_order = np.argsort(to, kind="stable")  # by bucket, then hashes
-        self.pair_cuts = np.searchsorted(to[self.pair_order], np.arange(buckets + 1))
+        self.followers = np.where(is_hot, 0, np.bincount(self.v, minlength=len(h)))
+        by_second = is_hot[self.v]
+        part = np.where(by_second, own[self.w] * 2 + 1, own[self.v] * 2)  # two lists for each bucket
+        self.pair_order = np.argsort(part, kind="stable")  # by list, then hashes
+        self.pair_cuts = np.searchsorted(part[self.pair_order], np.arange(2 * buckets + 1))
         self.word_order = np.argsort(own, kind="stable")
         self.word_cuts = np.searchsorted(own[self.word_order], np.arange(buckets + 1))
 
     def messages(self, block: int):
-        for k in range(len(self.pair_cuts) - 1):
-            p = self.pair_order[self.pair_cuts[k]:self.pair_cuts[k + 1]]
-            if len(p):
-                v = self.v[p]
-                start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-                yield (k, block, PAIRS, self.words[v[start]].tobytes(), _numbers(np.diff(np.append(start, len(v)))),
-                       _six(self.words[self.w[p]] >> np.uint64(16)), _numbers(self.pair_counts[p]))
+        for k in range(len(self.word_cuts) - 1):
             x = self.word_order[self.word_cuts[k]:self.word_cuts[k + 1]]
             if len(x):
                 yield k, block, WORDS, self.words[x].tobytes(), _numbers(self.word_counts[x]), None, None
+            for hot in (0, 1):
+                p = self.pair_order[self.pair_cuts[2 * k + hot]:self.pair_cuts[2 * k + hot + 1]]
+                if not len(p):
+                    continue
+                first, n = None, self.followers[x]  # first words are the bucket's own, in order
+                if hot:
+                    v = self.v[p]
+                    start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+                    first, n = self.words[v[start]].tobytes(), np.diff(np.append(start, len(v)))
+                yield (k, block, HOT_PAIRS if hot else PAIRS, first, _numbers(n),
+                       _six(self.words[self.w[p]] >> np.uint64(16)), _numbers(self.pair_counts[p]))
 
 
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -132,15 +151,17 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def add_up_pairs(rows, bucket: int, buckets: int):
     """Step 2 for one bucket."""
-    asked, v, w, n = [], [], [], []
-    for _, src, kind, a, b, c, d in rows:
+    asked, v, w, n, own = [], [], [], [], {}
+    for _, src, kind, a, b, _, _ in rows:
         if kind == WORDS:
+            own[src] = np.frombuffer(a, np.uint64)
             yield bucket, src, WORDS, a, b, None, None
-            continue
-        w.append(_from_six(c))
-        v.append(np.repeat(np.frombuffer(a, np.uint64), _read(b)))
-        n.append(_read(d))
-        asked.append((src, len(n[-1])))
+    for _, src, kind, a, b, c, d in rows:
+        if kind != WORDS:
+            w.append(_from_six(c))
+            v.append(np.repeat(own[src] if kind == PAIRS else np.frombuffer(a, np.uint64), _read(b)))
+            n.append(_read(d))
+            asked.append((src, PAIR_ANSWER if kind == PAIRS else HOT_ANSWER, len(n[-1])))
     if not asked:
         return
     v, w, n = np.concatenate(v), np.concatenate(w), np.concatenate(n).astype(np.int64)
@@ -154,8 +175,8 @@ def add_up_pairs(rows, bucket: int, buckets: int):
     answer = np.empty(len(n), np.int64)
     answer[order] = total[np.cumsum(new) - 1]
     at = 0
-    for src, size in asked:
-        yield bucket, src, PAIR_ANSWER, _numbers(answer[at:at + size]), None, None, None
+    for src, kind, size in asked:
+        yield bucket, src, kind, _numbers(answer[at:at + size]), None, None, None
         at += size
     known = total > 0
     v, w, total = v[order[start]][known], w[order[start]][known], total[known]
@@ -178,8 +199,8 @@ def add_up_words(rows, bucket: int):
     """Step 3 for one bucket; answers go to their blocks."""
     asked, ctx, cont, pairs = [], [], [], np.zeros(4)
     for _, src, kind, a, b, _, _ in rows:
-        if kind == PAIR_ANSWER:
-            yield src, bucket, PAIR_ANSWER, a, None, None, None
+        if kind in (PAIR_ANSWER, HOT_ANSWER):
+            yield src, bucket, kind, a, None, None, None
         elif kind == WORDS:
             asked.append((src, np.frombuffer(a, np.uint64), _read(b)))
         elif kind == CONTEXT:
@@ -241,12 +262,13 @@ def score_block(block: Block, answers, stats: np.ndarray):
     n_train, vocab, n_cont = stats[0], stats[1], stats[2]
     m, n = stats[3:7], stats[8:12]
     table = np.zeros((6, len(block.words)), np.int64)
-    count = np.zeros(len(block.pairs), np.int64)
+    total = np.zeros(len(block.pairs), np.int64)
     got = 0
     for bucket, kind, a in answers:
         x = _read(a)
-        if kind == PAIR_ANSWER:
-            count[block.pair_order[block.pair_cuts[bucket]:block.pair_cuts[bucket + 1]]] = x
+        if kind in (PAIR_ANSWER, HOT_ANSWER):
+            part = 2 * bucket + (kind == HOT_ANSWER)
+            total[block.pair_order[block.pair_cuts[part]:block.pair_cuts[part + 1]]] = x
             got += len(x)
         else:
             p = block.word_order[block.word_cuts[bucket]:block.word_cuts[bucket + 1]]
@@ -261,21 +283,23 @@ def score_block(block: Block, answers, stats: np.ndarray):
     d2 = np.concatenate(([0.0], discounts(n)))
     seen = np.maximum(table[2], 1)
     back = np.where(table[2] > 0, (table[3:].T @ d2[1:]) / seen, 1.0)
-    keys, pair_p, words, word_p, gamma, base, known = mapped([
-        block.pairs, np.maximum(count - d2[np.minimum(count, 3)], 0) / seen[block.v], np.arange(len(block.words)),
-        p_word, back, np.log10((table[0] + 0.1) / (n_train + 0.1 * (vocab + 1))), table[0] > 0])
-    at = 0
-    for size in block.sizes.tolist():
-        k, w = block.keys[at:at + size], block.second[at:at + size]
-        p = pair_p[np.searchsorted(keys, k)] + gamma[k // len(words)] * word_p[w]
-        yield size, int(known[w].sum()), float(base[w].sum()), float(np.log10(p).sum())
-        at += size
+    keys, pair_p, word_p, gamma, base, known = mapped([
+        block.pairs, np.maximum(total - d2[np.minimum(total, 3)], 0) / seen[block.v], p_word, back,
+        np.log10((table[0] + 0.1) / (n_train + 0.1 * (vocab + 1))), table[0] > 0])
+    order = np.argsort(block.keys)  # searched in order, the mapped pages are read once
+    p = np.empty(len(order))
+    p[order] = pair_p[np.searchsorted(keys, block.keys[order])]
+    w = block.second
+    p = np.log10(p + gamma[block.keys // len(block.words)] * word_p[w])
+    start = np.concatenate(([0], np.cumsum(block.sizes)[:-1]))
+    yield from zip(block.sizes.tolist(), np.add.reduceat(known[w].astype(np.int64), start).tolist(),
+                   np.add.reduceat(base[w], start).tolist(), np.add.reduceat(p, start).tolist())
 
 
 def frequent_words(docs: DataFrame, text: str) -> tuple[int, list[tuple[int, int]]]:
     """Tokens in all rows, and the words (by hash) with a notable share of some
     partition.  They decide where pairs meet and nothing else."""
-    def count(rows):
+    def tally(rows):
         seen, n = Counter(), 0
         for t, in rows:
             words = (t or b"").lower().split()
@@ -289,7 +313,7 @@ def frequent_words(docs: DataFrame, text: str) -> tuple[int, list[tuple[int, int
                 h = xxhash.xxh64_intdigest(w)
                 yield (h - (1 << 64) if h >> 63 else h), k, False
 
-    got = stream(docs.select(F.col(text)), count, "h long, n long, total boolean", binary=(0,))
+    got = stream(docs.select(F.col(text)), tally, "h long, n long, total boolean", binary=(0,))
     rows = got.groupBy("h", "total").agg(F.sum("n").alias("n")).orderBy(F.col("total").desc(), F.col("n").desc()) \
         .limit(MAX_HOT).collect()
     total = sum(r["n"] for r in rows if r["total"])
