@@ -58,11 +58,3 @@ def column_stats(df: DataFrame, cols: list[str], stats: list[str],
             for j, p in enumerate(probs):
                 out[c][f"q{p}"] = vals[j] if vals else None
     return out
-
-
-def case_by_column(values: dict[str, float | None], default=None):
-    """Literal lookup ``CASE column WHEN 'a' THEN .. END`` for long-form rows."""
-    e = F.lit(default)
-    for c, v in values.items():
-        e = F.when(F.col("column") == c, F.lit(v)).otherwise(e)
-    return e

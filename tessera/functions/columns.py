@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def numeric_cols(df: DataFrame) -> list[str]:
@@ -19,26 +18,6 @@ def numeric_cols(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
 
 
-def integral_cols(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, _INTEGRAL)]
-
-
-def categorical_cols(df: DataFrame) -> list[str]:
-    """Text columns (the object/category dtypes of a pandas frame)."""
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-
-
-def nan_to_null(c: str | Column) -> Column:
-    """NaN is an ordinary (largest) value in Spark; treat it as missing."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.when(F.isnan(col), F.lit(None)).otherwise(col)
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    """Division that yields NULL instead of raising under ANSI mode."""
-    return F.try_divide(a, b)
-
-
 def any_of(preds: list[Column]) -> Column:
     """OR across several predicates; NULL predicates count as false."""
     return reduce(or_, [F.coalesce(p, F.lit(False)) for p in preds])

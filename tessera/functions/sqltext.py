@@ -26,7 +26,3 @@ def dlit(v) -> str:
 
 def ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
-
-
-def slit(s: str) -> str:
-    return "'" + str(s).replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -11,52 +11,59 @@ Fourier features / polynomial expansion) in front of ``LinearSVC``.
 from __future__ import annotations
 
 import math
+from itertools import combinations_with_replacement
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.rank import avg_rank, running_totals
 from tessera.functions.sqltext import dlit, ident
-from tessera.operators.core import portable_hash
+from tessera.operators.core import portable_hash, require_rows
 from tessera.operators.preprocess import scale, scale_params
-
-MAX_CLASSES = 50
+from tessera.session import discard, materialize
 
 
 # ----------------------------------------------------------------- splitting
 def train_test_split(df: DataFrame, id_col: str, test_ratio: float = 0.25, seed: int = 42,
-                     method: str = "xxhash64") -> DataFrame:
-    """Adds ``is_test``: a seeded hash of the id below ``test_ratio``.
-
-    No shuffle and no sort: every row decides alone, so the split is the same
-    for any partitioning and after a retry.  Class proportions hold in
-    expectation (stratified by the law of large numbers, not exactly).
+                     method: str = "xxhash64", stratify: str | None = None) -> DataFrame:
+    """Adds ``is_test`` by a seeded hash of the id.
+
+    Without ``stratify`` every row decides alone (hash below ``test_ratio``),
+    so the split is the same for any partitioning and after a retry.  With it,
+    each class gives exactly its ``test_ratio`` share, rounded: the rows whose
+    hash ranks first in their class (running totals over range partitions, so
+    a class of any size is ranked by many tasks).  Rows of a null class train.
     """
     if method == "portable":
-        u = portable_hash(id_col, seed) / F.lit(2147483648.0)
+        h = portable_hash(id_col, seed)
     else:
-        u = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed).cast("bigint")),
-                   F.lit(2147483648)) / F.lit(2147483648.0)
-    return df.withColumn("is_test", u < F.lit(test_ratio))
+        h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed).cast("bigint")), F.lit(2147483648))
+    if stratify is None:
+        return df.withColumn("is_test", h / F.lit(2147483648.0) < F.lit(test_ratio))
+    d = df.withColumn("_h", h)
+    c = d.where(F.col(stratify).isNotNull()).groupBy(F.col(stratify).alias("_y"), "_h").agg(F.count(F.lit(1)).alias("_n"))
+    r = running_totals(c, ["_y"], "_h", ["_n"])
+    size = c.groupBy("_y").agg(F.sum("_n").alias("_all"))
+    first = r.join(size, "_y").where(F.col("cum__n") <= F.round(F.col("_all") * F.lit(test_ratio))) \
+        .select(F.col("_y").alias(stratify), "_h", F.lit(True).alias("_t"))
+    return d.join(first, [stratify, "_h"], "left").withColumn("is_test", F.coalesce("_t", F.lit(False))) \
+        .select(*df.columns, "is_test")
 
 
 # ------------------------------------------------------------------ labels
-def encode_label(df: DataFrame, y: str, out: str = "label", max_classes: int = MAX_CLASSES):
-    """Classes sorted ascending -> 0..k-1 (text sorts alphabetically).
+def encode_label(df: DataFrame, y: str, out: str = "label"):
+    """Classes sorted ascending -> 0..k-1 (text sorts alphabetically), any
+    number of them.
 
-    Rows with a missing target are dropped.  Raises when there are more
-    than ``max_classes`` classes (a continuous column is not a target).
-    Returns ``(DataFrame, classes)``.
+    Rows with a missing target are dropped.  Returns ``(DataFrame, number of
+    classes)``.
     """
     d = df.where(F.col(y).isNotNull())
-    classes = [r[0] for r in d.select(y).distinct().limit(max_classes + 1).collect()]
-    if len(classes) > max_classes:
-        raise ValueError(f"{y} has more than {max_classes} classes")
-    classes = sorted(classes)
-    e = F.lit(None).cast("double")
-    for i, c in enumerate(classes):
-        e = F.when(F.col(y) == F.lit(c), F.lit(float(i))).otherwise(e)
-    return d.withColumn(out, e), classes
+    codes = avg_rank(d.select(F.col(y).alias("value")).distinct(), [], "value") \
+        .select(F.col("value").alias(y), (F.col("rank") - 1).cast("double").alias(out))
+    codes = materialize(codes, "classes")
+    return d.join(codes, y).select(*df.columns, out), codes.count()
 
 
 def prepare_xy(df: DataFrame, features: list[str], y: str, id_col: str | None = None):
@@ -74,9 +81,12 @@ def gaussian_nb_fit(train: DataFrame, features: list[str], label: str = "label",
     g = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"),
                                  *[F.avg(v).alias(f"_m{i}") for i, v in enumerate(x)],
                                  *[F.var_pop(v).alias(f"_v{i}") for i, v in enumerate(x)]).collect()
-    allv = train.agg(*[F.var_pop(v).alias(f"_v{i}") for i, v in enumerate(x)]).first()
-    eps = var_smoothing * max((allv[f"_v{i}"] or 0.0) for i in range(len(features)))
     n = sum(r["_n"] for r in g)
+    overall = []  # the variance of all rows from the classes' sizes, means and variances
+    for i in range(len(features)):
+        mean = sum(r["_n"] * r[f"_m{i}"] for r in g) / n
+        overall.append(sum(r["_n"] * ((r[f"_v{i}"] or 0.0) + (r[f"_m{i}"] - mean) ** 2) for r in g) / n)
+    eps = var_smoothing * max(overall)
     model = {"features": features, "classes": []}
     for r in sorted(g, key=lambda r: r[label]):
         model["classes"].append({
@@ -115,25 +125,23 @@ def _assemble(df: DataFrame, features: list[str], out: str = "features") -> Data
 
 
 def make_estimator(kind: str, params: dict | None = None, n_classes: int = 2, seed: int = 42):
-    """MLlib estimator for ``dt | rf | gbt | svm_linear | logreg``."""
-    from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                           LogisticRegression, OneVsRest, RandomForestClassifier)
+    """MLlib estimator for ``dt | rf | gbt | logreg``."""
+    from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
+                                           RandomForestClassifier)
     p = dict(params or {})
+    if (p.get("max_depth") or 0) > 30:
+        raise ValueError("trees deeper than 30 levels are not supported")
     if kind == "dt":
-        return DecisionTreeClassifier(maxDepth=min(p.get("max_depth", 5), 30),
-                                      impurity=p.get("criterion", "gini"), seed=seed, maxBins=p.get("max_bins", 64))
+        return DecisionTreeClassifier(maxDepth=p.get("max_depth", 5), impurity=p.get("criterion", "gini"), seed=seed,
+                                      maxBins=p.get("max_bins", 64))
     if kind == "rf":
         depth = p.get("max_depth", 10)
-        return RandomForestClassifier(numTrees=p.get("n_estimators", 100),
-                                      maxDepth=30 if depth is None else min(depth, 30),
+        return RandomForestClassifier(numTrees=p.get("n_estimators", 100), maxDepth=30 if depth is None else depth,
                                       featureSubsetStrategy="sqrt", seed=seed, maxBins=p.get("max_bins", 64))
     if kind == "gbt":
         g = GBTClassifier(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1),
                           maxDepth=p.get("max_depth", 3), seed=seed, maxBins=p.get("max_bins", 64))
         return g if n_classes <= 2 else OneVsRest(classifier=g)
-    if kind == "svm_linear":
-        s = LinearSVC(regParam=p.get("reg", 0.01), maxIter=p.get("max_iter", 100))
-        return s if n_classes <= 2 else OneVsRest(classifier=s)
     if kind == "logreg":
         return LogisticRegression(maxIter=p.get("max_iter", 100))
     raise ValueError(f"unknown model {kind}")
@@ -143,8 +151,8 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, features: list[str
                 label: str = "label", params: dict | None = None, keep: list[str] | None = None,
                 n_classes: int = 2, seed: int = 42):
     """Fit on ``train``, score ``test``; returns ``(model, predictions)`` with
-    ``keep`` columns, ``label``, ``prediction`` and ``score`` (P(class 1) or
-    the margin where no probability exists)."""
+    ``keep`` columns, ``label``, ``prediction`` and ``score`` (P(class 1); null
+    where a model of several classes has no probability)."""
     keep = keep or []
     if kind == "nb":
         m = gaussian_nb_fit(train, features, label)
@@ -155,7 +163,7 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, features: list[str
         m = adaboost_fit(train, features, label, **(params or {}))
         pr = adaboost_predict(test, m)
         return m, pr.select(*keep, label, "prediction", "score")
-    if kind in ("svm_rbf", "svm_poly"):
+    if kind in ("svm_linear", "svm_rbf", "svm_poly"):
         m = kernel_svm_fit(train, features, label, kind=kind[4:], **(params or {}))
         pr = kernel_svm_predict(test, m)
         return m, pr.select(*keep, label, "prediction", "score")
@@ -178,17 +186,13 @@ def adaboost_fit(train: DataFrame, features: list[str], label: str = "label", n_
     """SAMME with depth-1 trees: each round fits a weighted MLlib stump,
     err = weighted miss rate, alpha = lr·(ln((1-err)/err) + ln(K-1)),
     weights *= exp(alpha·miss) and are renormalised.  Stops early when a
-    stump is perfect or no better than chance.  The weight column is
-    rewritten every round; lineage is cut every ``checkpoint_every`` rounds
-    by a reliable checkpoint (survives executor loss)."""
+    stump is perfect or no better than chance.  Lineage is cut every
+    ``checkpoint_every`` rounds by writing the table (survives executor loss)."""
     from pyspark.ml.classification import DecisionTreeClassifier
-
-    from tessera.session import materialize
     k = train.select(label).distinct().count()
-    d = _assemble(train.select(*features, label), features).select("features", label) \
-        .withColumn("_w", F.lit(1.0))
+    d = _assemble(train.select(*features, label), features).select("features", label)
     n = d.count()
-    d = d.withColumn("_w", F.lit(1.0 / n))
+    d = written = materialize(d.withColumn("_w", F.lit(1.0 / n)), "adaboost")
     stumps, alphas = [], []
     for t in range(n_estimators):
         stump = DecisionTreeClassifier(maxDepth=1, weightCol="_w", labelCol=label, seed=seed + t,
@@ -208,12 +212,13 @@ def adaboost_fit(train: DataFrame, features: list[str], label: str = "label", n_
         alpha = learning_rate * (math.log((1 - err) / err) + math.log(k - 1))
         stumps.append(stump)
         alphas.append(alpha)
-        upd = pr.select("features", label,
-                        (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("_w"))
-        tot = upd.agg(F.sum("_w")).first()[0]
-        d = upd.withColumn("_w", F.col("_w") / F.lit(tot))
+        # the new total follows from the error: no pass for it
+        total = r["w"] - r["e"] + r["e"] * math.exp(alpha)
+        d = pr.select("features", label, (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss")) / F.lit(total)).alias("_w"))
         if (t + 1) % checkpoint_every == 0:
-            d = materialize(d, "adaboost")
+            new = materialize(d, "adaboost")
+            discard(written)
+            d = written = new
     return {"features": features, "stumps": stumps, "alphas": alphas, "k": k, "label": label}
 
 
@@ -247,58 +252,76 @@ def adaboost_importances(model: dict) -> list[float]:
 # -------------------------------------------------------------- kernel SVM
 def kernel_svm_fit(train: DataFrame, features: list[str], label: str = "label", kind: str = "rbf",
                    C: float = 1.0, gamma: float | None = None, n_components: int = 200,
-                   degree: int = 3, seed: int = 42) -> dict:
-    """Approximate kernel SVM: an explicit feature map then ``LinearSVC``.
-
-    rbf: random Fourier features z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2γ),
-    γ = 1/(d·var) (scale="scale").  poly: monomials up to ``degree``.
-    The map is a plain column expression (no Python in the scoring path).
+                   degree: int = 3, coef0: float = 0.0, seed: int = 42) -> dict:
+    """SVM with penalty C: an explicit feature map, then ``LinearSVC``.
+
+    linear: the features.  poly: (gamma <x, y> + coef0)^degree exactly, as
+    weighted monomials.  rbf: random Fourier features sqrt(2/D) cos(Wx + b),
+    W ~ N(0, 2 gamma).  gamma defaults to 1/(d var).  The map is a plain column
+    expression (no Python in the scoring path).  With two classes a logistic
+    fit on the training margins turns margins into probabilities.
     """
-    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+    from pyspark.ml.functions import vector_to_array
     d = len(features)
     n = train.count()
+    if kind != "linear" and gamma is None:
+        v = train.select(F.explode(F.array(*[F.col(c).cast("double") for c in features])).alias("x")) \
+            .agg(F.var_pop("x")).first()[0] or 1.0
+        gamma = 1.0 / (d * v)
+    fmap = {"kind": kind}
     if kind == "rbf":
-        if gamma is None:
-            v = train.select(F.explode(F.array(*[F.col(c).cast("double") for c in features])).alias("x")) \
-                .agg(F.var_pop("x")).first()[0] or 1.0
-            gamma = 1.0 / (d * v)
         rng = np.random.default_rng(seed)
-        W = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, d))
-        b = rng.uniform(0, 2 * math.pi, size=n_components)
-        fmap = {"kind": "rbf", "W": W, "b": b}
-    else:
-        fmap = {"kind": "poly", "degree": degree}
-    from tessera.session import materialize
+        fmap |= {"W": rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, d)),
+                 "b": rng.uniform(0, 2 * math.pi, size=n_components)}
+    elif kind == "poly":
+        fmap |= {"degree": degree, "gamma": gamma, "coef0": coef0}
     k = train.select(label).distinct().count()
     # the mapped features are read once per optimiser iteration: write them once
     z = materialize(_feature_map(train.select(*features, label), features, fmap), "svm_features")
     svc = LinearSVC(regParam=1.0 / (max(n, 1) * C), maxIter=100, labelCol=label, featuresCol="_z")
     est = svc if k <= 2 else OneVsRest(classifier=svc, labelCol=label, featuresCol="_z")
     model = est.fit(z)
-    return {"features": features, "fmap": fmap, "model": model, "label": label}
+    platt = None
+    if k == 2:
+        from pyspark.ml.feature import VectorAssembler
+        m = model.transform(z).select(label, F.element_at(vector_to_array("rawPrediction"), 2).alias("_margin"))
+        m = VectorAssembler(inputCols=["_margin"], outputCol="_mv").transform(m)
+        lr = LogisticRegression(labelCol=label, featuresCol="_mv", maxIter=100).fit(m)
+        platt = (float(lr.coefficients[0]), float(lr.intercept))
+    return {"features": features, "fmap": fmap, "model": model, "label": label, "platt": platt}
 
 
 def _feature_map(df: DataFrame, features: list[str], fmap: dict) -> DataFrame:
-    from pyspark.ml.feature import PolynomialExpansion
-    if fmap["kind"] == "rbf":
+    from pyspark.ml.functions import array_to_vector
+    xs = [f"CAST({ident(c)} AS DOUBLE)" for c in features]
+    if fmap["kind"] == "linear":
+        comps = xs
+    elif fmap["kind"] == "rbf":
         W, b = fmap["W"], fmap["b"]
         D = W.shape[0]
-        xs = [f"CAST({ident(c)} AS DOUBLE)" for c in features]
         comps = [f"{dlit(math.sqrt(2.0 / D))} * cos(" +
                  " + ".join(f"{x} * {dlit(W[i, j])}" for j, x in enumerate(xs)) + f" + {dlit(b[i])})"
                  for i in range(D)]
-        from pyspark.ml.functions import array_to_vector
-        return df.withColumn("_z", array_to_vector(F.expr("array(" + ", ".join(comps) + ")")))
-    a = _assemble(df, features, "_x")
-    return PolynomialExpansion(degree=fmap["degree"], inputCol="_x", outputCol="_z").transform(a).drop("_x")
+    else:
+        # (gamma <x, y> + coef0)^p = sum over monomials m of p, weight = multinomial coefficient of m
+        p, root = fmap["degree"], dlit(math.sqrt(fmap["gamma"]))
+        terms = [f"({x} * {root})" for x in xs] + ([dlit(math.sqrt(fmap["coef0"]))] if fmap["coef0"] else [])
+        comps = []
+        for m in combinations_with_replacement(range(len(terms)), p):
+            weight = math.factorial(p) / math.prod(math.factorial(m.count(i)) for i in set(m))
+            comps.append(f"{dlit(math.sqrt(weight))} * " + " * ".join(terms[i] for i in m))
+    return df.withColumn("_z", array_to_vector(F.expr("array(" + ", ".join(comps) + ")")))
 
 
 def kernel_svm_predict(df: DataFrame, model: dict) -> DataFrame:
+    """``prediction`` and, with two classes, ``score`` = P(class 1)."""
     from pyspark.ml.functions import vector_to_array
-    z = _feature_map(df, model["features"], model["fmap"])
-    out = model["model"].transform(z)
-    sc = F.element_at(vector_to_array("rawPrediction"), 2) if "rawPrediction" in out.columns \
-        else F.lit(None).cast("double")
+    out = model["model"].transform(_feature_map(df, model["features"], model["fmap"]))
+    sc = F.lit(None).cast("double")
+    if model["platt"]:
+        a, b = model["platt"]
+        sc = 1.0 / (1.0 + F.exp(-(F.element_at(vector_to_array("rawPrediction"), 2) * F.lit(a) + F.lit(b))))
     return out.withColumn("score", sc).drop("_z", "rawPrediction")
 
 
@@ -308,26 +331,30 @@ def fit_scaler(train: DataFrame, features: list[str]) -> dict:
     return scale_params(train, features, "standard")
 
 
+MODELS = ["dt", "nb", "rf", "gbt", "svm_linear", "ada"]
+
+
 def compare_models(df: DataFrame, id_col: str, features: list[str], y: str,
                    models: list[str] | None = None, test_ratio: float = 0.25, seed: int = 42,
-                   params: dict | None = None):
-    """Split once, scale on train, fit each model, score the test rows.
+                   params: dict | None = None, method: str = "xxhash64"):
+    """Split once (stratified), scale on train, fit each model, score the test rows.
 
-    Returns ``(leaderboard DataFrame, {model: predictions})``.
+    Needs 20 complete rows.  Returns ``(leaderboard DataFrame, {model: predictions})``.
     """
     from tessera.operators.metrics import classification_metrics
-    from tessera.session import materialize
-    models = models or ["dt", "nb", "rf", "gbt", "svm_linear", "ada"]
-    data, classes = encode_label(df.na.drop(subset=features), y)
-    data = train_test_split(data, id_col, test_ratio, seed)
+    complete = df.na.drop(subset=[*features, y])
+    require_rows(complete, 20, "classification")
+    data, n_classes = encode_label(complete, y)
+    data = train_test_split(data, id_col, test_ratio, seed, method, stratify="label")
     data = materialize(data.select(id_col, *features, "label", "is_test"), "split")
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     sp = fit_scaler(train, features)
-    train_s, test_s = scale(train, features, params=sp), scale(test, features, params=sp)
+    train_s = materialize(scale(train, features, params=sp), "train")
+    test_s = scale(test, features, params=sp)
     rows, preds = [], {}
-    for m in models:
+    for m in models or MODELS:
         _, pr = fit_predict(m, train_s, test_s, features, "label", (params or {}).get(m),
-                            keep=[id_col], n_classes=len(classes), seed=seed)
+                            keep=[id_col], n_classes=n_classes, seed=seed)
         met = classification_metrics(pr, "label", "prediction").first()
         rows.append((m, met["accuracy"], met["precision"], met["recall"], met["f1"]))
         preds[m] = pr

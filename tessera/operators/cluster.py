@@ -1,14 +1,16 @@
 """Clustering (K-01..K-08): k-means with restarts, elbow, silhouette,
-profiles, counts, comparison; DBSCAN and hierarchical clustering live in
-``tessera.operators.dbscan`` / ``tessera.operators.hierarchical``.
+profiles, counts, comparison; DBSCAN lives in ``tessera.operators.dbscan``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.neighbors import pair_distances
+from tessera.session import materialize
 
 
 def _vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -16,14 +18,18 @@ def _vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip").transform(df)
 
 
+def kmeans_input(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The feature vectors, written once for any number of fits."""
+    return materialize(_vectors(df.select(*(keep or []), *cols), cols), "kmeans")
+
+
 def kmeans(df: DataFrame, cols: list[str], k: int = 3, n_init: int = 10, seed: int = 42,
            max_iter: int = 300, keep: list[str] | None = None):
     """Best of ``n_init`` MLlib k-means runs (k-means|| init, different seeds)
-    by inertia.  Returns ``(labelled DataFrame with 'cluster', inertia, model)``."""
+    by inertia.  Returns ``(labelled DataFrame with 'cluster', inertia, model)``;
+    ``df`` may be the result of :func:`kmeans_input`."""
     from pyspark.ml.clustering import KMeans
-
-    from tessera.session import materialize
-    data = materialize(_vectors(df.select(*(keep or []), *cols), cols), "kmeans")
+    data = df if "features" in df.columns else kmeans_input(df, cols, keep)
     best = None
     for i in range(n_init):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features",
@@ -36,73 +42,75 @@ def kmeans(df: DataFrame, cols: list[str], k: int = 3, n_init: int = 10, seed: i
     return out, inertia, model
 
 
+def kmeans_check(labelled: DataFrame, model, cols: list[str]) -> DataFrame:
+    """What makes a result a k-means result: rows, clusters, rows that are not
+    at their nearest centre, and the largest distance of a centre from the
+    mean of its members (6 dp)."""
+    centres = [[float(v) for v in c] for c in model.clusterCenters()]
+    dist = [reduce(add, [(F.col(c) - F.lit(m)) * (F.col(c) - F.lit(m)) for c, m in zip(cols, centre)]) for centre in centres]
+    near = F.array_position(F.array(*dist), F.least(*dist)).cast("int") - 1
+    g = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if(near != F.col("cluster")).alias("far"),
+                                        *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)])
+    table = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centres])
+    off = F.greatest(*[F.abs(F.col(f"_m{i}") - F.element_at(F.element_at(table, F.col("cluster") + 1), i + 1))
+                       for i in range(len(cols))])
+    return g.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("clusters"), F.sum("far").alias("misplaced"),
+                 F.round(F.max(off), 6).alias("drift"))
+
+
 def silhouette_squared(df: DataFrame, cols: list[str], label: str) -> float:
     """Silhouette with squared Euclidean distance (MLlib evaluator; linear
-    time via per-cluster sufficient statistics).  0 when < 2 clusters."""
+    time via per-cluster sufficient statistics) over numeric labels.  0 when
+    < 2 clusters."""
     from pyspark.ml.evaluation import ClusteringEvaluator
-    labels = sorted(r[0] for r in df.select(label).distinct().collect())  # one row per cluster
-    if len(labels) < 2:
+    if df.select(label).distinct().limit(2).count() < 2:
         return 0.0
-    code = F.lit(None).cast("double")
-    for i, lv in enumerate(labels):
-        code = F.when(F.col(label) == F.lit(lv), F.lit(float(i))).otherwise(code)
-    v = _vectors(df.select(*cols, code.alias("_l")), cols)
+    v = _vectors(df.select(*cols, F.col(label).cast("double").alias("_l")), cols)
     return ClusteringEvaluator(featuresCol="features", predictionCol="_l",
                                distanceMeasure="squaredEuclidean").evaluate(v)
 
 
-EXACT_SILHOUETTE_MAX_ROWS = 500_000
-
-
-def silhouette_samples(df: DataFrame, id_col: str, cols: list[str], label: str,
-                       blocks: int | None = None, max_rows: int = EXACT_SILHOUETTE_MAX_ROWS) -> DataFrame:
-    """Per-row silhouette with plain Euclidean distance (exact).
+def silhouette_samples(df: DataFrame, id_col: str, cols: list[str], label: str) -> DataFrame:
+    """Per-row silhouette with squared Euclidean distance, in linear time.
 
-    Needs the distance of every pair: n(n-1)/2 evaluations, spread over
-    tiles by :func:`pair_distances` and folded straight into a partial
-    aggregation per (row, other cluster) — pairs are never stored.  Use
-    :func:`silhouette_squared` when n is large.
+    The mean squared distance of a row to a cluster follows from the cluster's
+    size, sum and sum of squares, so each row meets one row per cluster and no
+    pairs of rows are formed.  A singleton and a single cluster give 0.
     """
-    lab = df.select(F.col(id_col).alias("_id"), F.col(label).alias("_lab"))
-    n = df.count()
-    if n > max_rows:
-        # n^2/2 distances: refuse rather than launch a job that cannot finish
-        raise ValueError(f"exact silhouette over {n} rows needs {n * (n - 1) // 2} distances; "
-                         "use method='squared' (linear time) or raise max_rows deliberately")
-    blocks = blocks or max(1, min(256, n // 2000))
-    pairs = pair_distances(df, id_col, cols, "euclidean", blocks=blocks)
-    both = pairs.select(F.col("id_a").alias("_id"), F.col("id_b").alias("_o"), "dist") \
-        .unionByName(pairs.select(F.col("id_b").alias("_id"), F.col("id_a").alias("_o"), "dist"))
-    j = both.join(lab.select(F.col("_id").alias("_o"), F.col("_lab").alias("_olab")), "_o")
-    per = j.groupBy("_id", "_olab").agg(F.sum("dist").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    per = per.join(lab, "_id")
-    sizes = lab.groupBy("_lab").agg(F.count(F.lit(1)).alias("_size"))
-    per = per.join(F.broadcast(sizes), "_lab")  # one row per cluster
-    a = F.sum(F.when(F.col("_olab") == F.col("_lab"), F.col("_s") / (F.col("_size") - 1)))
-    b = F.min(F.when(F.col("_olab") != F.col("_lab"), F.col("_s") / F.col("_c")))
-    g = per.groupBy("_id", "_lab", "_size").agg(a.alias("a"), b.alias("b"))
-    s = F.when((F.col("_size") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(F.col("b") - F.coalesce("a", F.lit(0.0)),
-                                F.greatest(F.coalesce("a", F.lit(0.0)), F.col("b"))), F.lit(0.0)))
-    # a singleton has no same-cluster partner: s = 0
+    x = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]
+    rows = df.select(F.col(id_col).alias("_id"), F.col(label).alias("_lab"), *x).na.drop()
+    sq = reduce(add, [F.col(f"_x{i}") * F.col(f"_x{i}") for i in range(len(cols))])
+    stats = rows.groupBy("_lab").agg(F.count(F.lit(1)).alias("_n"), F.sum(sq).alias("_psi"),
+                                     *[F.sum(f"_x{i}").alias(f"_y{i}") for i in range(len(cols))])
+    # one array entry per cluster beside every row: a join on a constant would be a cross join
+    packed = stats.select(F.lit(0).alias("_one"), F.struct(*stats.columns).alias("s")) \
+        .groupBy("_one").agg(F.collect_list("s").alias("_cl"))
+    j = rows.withColumn("_one", F.lit(0)).join(packed, "_one").withColumn("_c", F.explode("_cl")).drop("_cl")
+    n = F.col("_c._n")
+    dot = reduce(add, [F.col(f"_x{i}") * F.col(f"_c._y{i}") for i in range(len(cols))])
+    mean = (n * sq - 2 * dot + F.col("_c._psi")) / n
+    own = F.col("_c._lab") == F.col("_lab")
+    g = j.groupBy("_id", "_lab").agg(
+        F.max(F.when(own, F.when(n == 1, 0.0).otherwise(mean * n / (n - 1)))).alias("a"),
+        F.max(F.when(own, n)).alias("size"), F.min(F.when(~own, mean)).alias("b"))
+    s = F.when((F.col("size") <= 1) | F.col("b").isNull() | (F.col("a") == F.col("b")), 0.0) \
+        .when(F.col("a") < F.col("b"), 1 - F.col("a") / F.col("b")).otherwise(F.col("b") / F.col("a") - 1)
     return g.select(F.col("_id").alias(id_col), F.col("_lab").alias(label), s.alias("silhouette"))
 
 
-def silhouette(df: DataFrame, id_col: str, cols: list[str], label: str, method: str = "exact") -> float:
-    """Mean silhouette; noise (-1) counts as a cluster of its own."""
-    if df.select(label).distinct().limit(2).count() < 2:
-        return 0.0
-    if method == "squared":
-        return silhouette_squared(df, cols, label)
-    return silhouette_samples(df, id_col, cols, label).agg(F.avg("silhouette")).first()[0]
+def silhouette(df: DataFrame, id_col: str, cols: list[str], label: str) -> float:
+    """Mean squared-Euclidean silhouette; noise (-1) counts as a cluster of its
+    own.  0 when there are fewer than two clusters."""
+    return silhouette_samples(df, id_col, cols, label).agg(F.avg("silhouette")).first()[0] or 0.0
 
 
 def elbow(df: DataFrame, cols: list[str], k_max: int = 11, n_init: int = 5, seed: int = 42) -> DataFrame:
     """k = 2..min(k_max, n-1): inertia and (squared) silhouette per k."""
-    n = df.count()
+    data = kmeans_input(df, cols)  # written once for all k
+    n = data.count()
     rows = []
     for k in range(2, min(k_max, n - 1) + 1):
-        lab, inertia, _ = kmeans(df, cols, k, n_init, seed)
+        lab, inertia, _ = kmeans(data, cols, k, n_init, seed)
         rows.append((k, float(inertia), float(silhouette_squared(lab, cols, "cluster"))))
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 

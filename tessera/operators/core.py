@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import numeric_cols
@@ -27,10 +27,6 @@ def default_features(df: DataFrame, n: int) -> list[str]:
     return numeric_cols(df)[:n]
 
 
-def drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    return df.na.drop(subset=subset)
-
-
 def portable_hash(id_col: str, seed: int):
     """Integer id -> [0, 2^31): a multiplicative hash any SQL engine can repeat:
     ``((id mod 2147483647) * 1103515245 + seed) mod 2147483648``."""
@@ -49,10 +45,25 @@ def sample_n(df: DataFrame, n: int, seed: int, id_col: str, method: str = "xxhas
     if method == "portable":
         h = portable_hash(id_col, seed)
     else:
-        h = F.xxhash64(F.col(id_col).cast("bigint"), F.lit(seed).cast("bigint"))
+        h = F.xxhash64(F.col(id_col), F.lit(seed).cast("bigint"))
     return df.orderBy(h, F.col(id_col)).limit(n)
 
 
+def missing_only(report: DataFrame) -> DataFrame:
+    """The rows of a missing report whose column has missing values."""
+    return report.where(F.col("missing") > 0)
+
+
+def outlier_label(flag) -> Column:
+    """"Outlier" / "Normal" for a 0/1 flag."""
+    return F.when(F.col(flag) == 1, "Outlier").otherwise("Normal")
+
+
+def cluster_label(cluster) -> Column:
+    """"Noise" for -1, "Cluster n" otherwise."""
+    return F.when(F.col(cluster) == -1, "Noise").otherwise(F.concat(F.lit("Cluster "), F.col(cluster).cast("string")))
+
+
 def head(df: DataFrame, n: int, order_by: str | list[str]) -> DataFrame:
     """First ``n`` rows in an explicit order (TakeOrderedAndProject, no full sort)."""
     keys = [order_by] if isinstance(order_by, str) else order_by
@@ -71,8 +82,3 @@ def melt(df: DataFrame, ids: list[str], values: list[str] | None = None,
     values = values or [c for c in df.columns if c not in ids]
     casted = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in values])
     return casted.unpivot(ids, values, var_name, value_name)
-
-
-def with_row_id(df: DataFrame, name: str = "id") -> DataFrame:
-    """Attach a unique (not dense) 64-bit id without a shuffle."""
-    return df.withColumn(name, F.monotonically_increasing_id())

@@ -1,10 +1,9 @@
 """Isolation forest (O-04): hash-sampled trees built in parallel, scored in
 Arrow batches.
 
-1. Sampling: on small inputs each row draws a seeded hash per tree and is
-   kept for the trees where it falls below ~3·psi/n; on large inputs one hash
-   per row keeps ~3·psi·trees rows and a second deals them to trees.  Each
-   tree keeps its ``psi`` smallest hashes.
+1. Sampling: each row draws a seeded hash per tree and is kept for the trees
+   where it falls below ~3·psi/n, the same way at every size.  Each tree keeps
+   its ``psi`` smallest hashes.
 2. Building: ``groupBy(tree).applyInPandas`` — one task per tree, psi rows
    each (bounded), random feature / split, depth limit ceil(log2 psi).
 3. Scoring: the forest (trees x <= 2·psi nodes) is a small table shipped to
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.quantile import quantiles
+from tessera.session import materialize
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size long"
 
@@ -77,24 +77,14 @@ def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 100, psi
     keep = min(1.0, 3.0 * psi / max(n, 1) + 1e-9)
     feats = [F.col(c).cast("double").alias(c) for c in features]
     rid = F.col(id_col).cast("string")
-    if n >= 3 * psi * n_trees:
-        # large input: one hash per row picks ~3·psi rows per tree, a second
-        # hash deals them to trees (disjoint samples: for n >> psi·trees the
-        # same distribution as independent draws, at O(1) work per row)
-        u = F.pmod(F.xxhash64(rid, F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-        sampled = df.where(u < F.lit(keep * n_trees)).select(
-            rid.alias("_id"), *feats,
-            F.pmod(F.xxhash64(rid, F.lit(seed + 1)), F.lit(n_trees)).cast("int").alias("tree"),
-            F.pmod(F.xxhash64(rid, F.lit(seed + 2)), F.lit(1 << 40)).cast("double").alias("_h"))
-    else:
-        # small input: every tree draws its own sample (rows may repeat across trees)
-        h = lambda t: F.pmod(F.xxhash64(rid, F.lit(seed), t),
-                             F.lit(1 << 40)).cast("double") / float(1 << 40)
-        trees = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                                     lambda t: F.struct(t.alias("tree"), h(t).alias("_h"))),
-                         lambda s: s["_h"] < F.lit(keep))
-        sampled = df.select(rid.alias("_id"), *feats, F.explode(trees).alias("_t")) \
-            .select("_id", *features, "_t.tree", "_t._h")
+    # every tree draws its own sample by a hash of row and tree
+    h = lambda t: F.pmod(F.xxhash64(rid, F.lit(seed), t),
+                         F.lit(1 << 40)).cast("double") / float(1 << 40)
+    trees = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                                 lambda t: F.struct(t.alias("tree"), h(t).alias("_h"))),
+                     lambda s: s["_h"] < F.lit(keep))
+    sampled = df.select(rid.alias("_id"), *feats, F.explode(trees).alias("_t")) \
+        .select("_id", *features, "_t.tree", "_t._h")
     nodes = sampled.groupBy("tree").applyInPandas(_build(features, psi, seed), NODE_SCHEMA)
     forest = nodes.toPandas()  # trees x <= 2*psi rows: bounded by the parameters
     forest.attrs["psi"] = psi
@@ -143,6 +133,7 @@ def outlier_iforest(df: DataFrame, id_col: str, features: list[str], contaminati
     """``(id, score, iforest)``: flag = score above its (1 - contamination) quantile."""
     data = df.na.drop(subset=features)
     forest = fit(data, id_col, features, n_trees, psi, seed)
-    sc = score(data, forest, features, [id_col])
+    # scored once; the threshold and the flags read the written scores
+    sc = materialize(score(data, forest, features, [id_col]), "iforest")
     thr = quantiles(sc, [], [1.0 - contamination], value="score")[()][0]
     return sc.withColumn("iforest", (F.col("score") > F.lit(thr)).cast("int"))

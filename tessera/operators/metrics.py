@@ -11,17 +11,16 @@ from tessera.functions.rank import avg_rank, cumulative
 def confusion(df: DataFrame, y: str = "label", pred: str = "prediction") -> DataFrame:
     """``(label, prediction, count)`` over the full label x label grid (zeros kept).
 
-    The grid comes from the distinct labels of both columns (a handful of
-    rows); counts from one partial-aggregated ``groupBy``.
+    Counts come from one partial-aggregated ``groupBy``.  The grid is the
+    result itself: every label met with every label, by a join on a constant
+    key over the distinct labels, nothing on the driver.
     """
     counts = df.groupBy(F.col(y).alias("label"), F.col(pred).alias("prediction")) \
         .agg(F.count(F.lit(1)).alias("count"))
     labels = df.select(F.col(y).alias("l")).union(df.select(F.col(pred).alias("l"))).distinct()
-    lab = sorted(r["l"] for r in labels.collect())  # bounded: number of classes
-    spark = df.sparkSession
-    dt = df.schema[y].dataType.simpleString()
-    grid = spark.createDataFrame([(a, b) for a in lab for b in lab], f"label {dt}, prediction {dt}") \
-        if lab else spark.createDataFrame([], f"label {dt}, prediction {dt}")
+    labels = labels.where(F.col("l").isNotNull()).withColumn("_one", F.lit(0))
+    grid = labels.select(F.col("l").alias("label"), "_one").join(
+        labels.select(F.col("l").alias("prediction"), "_one"), "_one").drop("_one")
     return grid.join(counts, ["label", "prediction"], "left") \
         .select("label", "prediction", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 

@@ -49,7 +49,7 @@ def pair_distances(df: DataFrame, id_col: str, cols: list[str], metric: str = "e
     summary table), this operator only spreads the work.
     """
     base = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols])
-    blk = F.pmod(F.xxhash64(F.col("_id").cast("bigint")), F.lit(blocks)).cast("int")
+    blk = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = base.select(F.col("_id").alias("id_a"), *[F.col(c).alias(f"a_{c}") for c in cols],
                        blk.alias("_bi"), F.explode(others).alias("_bj")).where(F.col("_bi") <= F.col("_bj"))

@@ -1,6 +1,6 @@
 """Outlier detection (O-01..O-08): per-method flags as columns of one frame,
 agreement, consensus, impact; LOF and isolation forest live in
-``tessera.operators.lof`` / ``tessera.operators.iforest``.
+``tessera.operators.knn`` / ``tessera.operators.iforest``.
 """
 
 from __future__ import annotations

@@ -9,13 +9,16 @@ any number of columns with map-side partial aggregation.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import numeric_cols, stack_long
 from tessera.functions.mode import modes
-from tessera.functions.quantile import quantile_table, quantiles
+from tessera.functions.quantile import grouped_quantiles, quantile_table, quantiles
+from tessera.session import materialize
 
 _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
         T.DecimalType)
@@ -144,12 +147,30 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, digits: int =
                      ("median", "p50"), ("q3", "p75"), ("max", "max")]])
 
 
+def _seconds(f: T.StructField):
+    """A date or timestamp as seconds since 1970-01-01 (wall clock for dates
+    and timestamps without a zone)."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, T.DateType):
+        return F.unix_date(c) * 86400.0
+    if isinstance(f.dataType, T.TimestampType):
+        return F.unix_micros(c) / 1e6
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c) / 1e6
+
+
 def describe_all(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Every column: count; text columns unique / top / freq; numeric columns
-    mean / std / min / quartiles / max."""
-    spark = df.sparkSession
-    num = numeric_cols(df)
-    txt = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    """Every column: count; numeric columns mean / std / min / quartiles / max;
+    dates and timestamps the same in seconds since 1970; all other columns
+    (text, boolean, nested as JSON) unique / top / freq."""
+    times = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    is_time = [f.name for f in df.schema.fields if isinstance(f.dataType, times)]
+    num = [f.name for f in df.schema.fields if f.name in numeric_cols(df) or f.name in is_time]
+    txt = [f.name for f in df.schema.fields if f.name not in num]
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    df = df.select(*[_seconds(f).alias(f.name) if f.name in is_time
+                     else F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, nested)
+                     else F.col(f"`{f.name}`").cast("string").alias(f.name) if f.name in txt
+                     else F.col(f"`{f.name}`") for f in df.schema.fields])
     pieces = []
     schema_cols = ["column", "count", "unique", "top", "freq", "mean", "std", "min", "p25",
                    "p50", "p75", "max"]
@@ -171,10 +192,9 @@ def describe_all(df: DataFrame, digits: int = 4) -> DataFrame:
         pieces.append(t.select("column", "count", F.col("unique").cast("bigint"), "top",
                                F.col("freq").cast("bigint"),
                                *[F.lit(None).cast("double").alias(c) for c in schema_cols[5:]]))
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
-    return out
+    if not pieces:
+        raise ValueError("a table without columns cannot be described")
+    return reduce(DataFrame.unionByName, pieces)
 
 
 def histogram(df: DataFrame, cols: list[str], nbins: int = 40) -> DataFrame:
@@ -185,8 +205,9 @@ def histogram(df: DataFrame, cols: list[str], nbins: int = 40) -> DataFrame:
     ``groupBy`` of (column, bin) — at most columns x nbins rows shuffled.
     """
     spark = df.sparkSession
-    rng = df.agg(*[F.min(c).cast("double").alias(f"_lo{i}") for i, c in enumerate(cols)],
-                 *[F.max(c).cast("double").alias(f"_hi{i}") for i, c in enumerate(cols)]).first()
+    number = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols]
+    rng = df.agg(*[F.min(v).alias(f"_lo{i}") for i, v in enumerate(number)],
+                 *[F.max(v).alias(f"_hi{i}") for i, v in enumerate(number)]).first()
     edges = {c: (rng[f"_lo{i}"], rng[f"_hi{i}"]) for i, c in enumerate(cols)}
     long = stack_long(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
     lo = F.lit(None).cast("double")
@@ -210,18 +231,14 @@ def histogram(df: DataFrame, cols: list[str], nbins: int = 40) -> DataFrame:
 def box_stats(df: DataFrame, cols: list[str], by: str | None = None, whisker: float = 1.5) -> DataFrame:
     """Box-plot numbers per column (and per ``by`` value): quartiles, IQR,
     whiskers (furthest values inside the 1.5·IQR fences), points outside."""
-    spark = df.sparkSession
     keys = [by] if by else []
     long = stack_long(df, cols, keys=keys).where(F.col("value").isNotNull() & ~F.isnan("value"))
     kcols = keys + ["column"]
-    qres = quantiles(long, kcols, [0.25, 0.5, 0.75])
-    ktypes = [df.schema[by].dataType] if by else []
-    qt = quantile_table(spark, qres, kcols, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
-                        ktypes + [T.StringType()])
+    qt = materialize(grouped_quantiles(long, kcols, [0.25, 0.5, 0.75], ["q1", "median", "q3"]), "box")
     qt = qt.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("_lf", F.col("q1") - whisker * F.col("iqr")) \
         .withColumn("_uf", F.col("q3") + whisker * F.col("iqr"))
-    j = long.join(F.broadcast(qt.select(*kcols, "_lf", "_uf")), kcols)
+    j = long.join(qt.select(*kcols, "_lf", "_uf"), kcols)
     inside = (F.col("value") >= F.col("_lf")) & (F.col("value") <= F.col("_uf"))
     w = j.groupBy(*kcols).agg(
         F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),

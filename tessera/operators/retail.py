@@ -19,6 +19,18 @@ def parse_ts(c: str, formats: list[str] = DATE_FORMATS):
     return F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in formats])
 
 
+def id_text(c: str, dt: T.DataType):
+    """An id as text: whole numbers as they are, 17850.0 as "17850" (a number
+    with a fraction keeps it, NaN is missing), text without a trailing ".0"."""
+    col = F.col(c)
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        whole = (col == F.floor(col)) & (F.abs(col) < F.lit(2.0 ** 63))
+        return F.when(~F.isnan(col), F.when(whole, col.try_cast("bigint").cast("string")).otherwise(col.cast("string")))
+    if isinstance(dt, T.DecimalType):
+        return F.regexp_replace(col.cast("string"), r"\.0+$", "")
+    return F.regexp_replace(F.trim(col.cast("string")), r"\.0$", "")
+
+
 def clean_retail(df: DataFrame) -> DataFrame:
     """Drop rows without customer, cancellations, non-positive quantity/price;
     parse dates; add ``TotalPrice``.  Each step runs only if its columns exist.
@@ -29,10 +41,8 @@ def clean_retail(df: DataFrame) -> DataFrame:
     cols = set(df.columns)
     out = df
     if "CustomerID" in cols:
-        out = out.where(F.col("CustomerID").isNotNull())
-        # float id 17850.0 -> "17850"; text ids go through double first
-        out = out.withColumn("CustomerID", F.col("CustomerID").try_cast("double")
-                             .try_cast("bigint").cast("string"))
+        out = out.withColumn("CustomerID", id_text("CustomerID", out.schema["CustomerID"].dataType)) \
+            .where(F.col("CustomerID").isNotNull())
     if "InvoiceNo" in cols:
         inv = F.col("InvoiceNo").cast("string")
         # a missing invoice number is kept (it is not a cancellation)

@@ -1,16 +1,20 @@
 """Association rules (A-18..A-20, A-23, J-01, J-08, R-01..R-06, T-01..T-03).
 
 Baskets are sparse ``array<string>`` per transaction (never a one-hot
-matrix).  Frequent itemsets come from MLlib's parallel FP-growth; rules with
+matrix).  Frequent itemsets are mined level by level; rules with
 multi-item consequents are generated in Spark by exploding subset bit masks
 and looking the subsets up with equi-joins on the sorted item array.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 SORT_KEYS = ("lift", "confidence", "support", "leverage", "conviction")
 
 
@@ -27,10 +31,9 @@ def top_items(df: DataFrame, i: str, n: int = 200) -> DataFrame:
 
 
 def keep_top_items(df: DataFrame, i: str, n: int = 200) -> DataFrame:
-    """Rows whose item is among the ``n`` most frequent (broadcast semi join:
-    the right side has at most ``n`` rows)."""
-    top = top_items(df, i, n).select(i)
-    return df.join(F.broadcast(top), i, "left_semi")
+    """Rows whose item is among the ``n`` most frequent (a semi join with ``n``
+    rows, which Spark broadcasts if they are small)."""
+    return df.join(top_items(df, i, n).select(i), i, "left_semi")
 
 
 def build_baskets(df: DataFrame, t: str, i: str, top: int | None = None) -> DataFrame:
@@ -49,45 +52,56 @@ def build_baskets(df: DataFrame, t: str, i: str, top: int | None = None) -> Data
 
 
 def basket_stats(baskets: DataFrame) -> DataFrame:
-    """transactions, unique items, density % (filled cells of the one-hot matrix)."""
-    items = baskets.select(F.explode("items").alias("_i")).agg(F.count_distinct("_i").alias("unique_items"))
-    tx = baskets.agg(F.count(F.lit(1)).alias("transactions"), F.sum(F.size("items")).alias("_cells"))
-    t = tx.first()
-    u = items.first()["unique_items"]
-    spark = baskets.sparkSession
-    dens = (t["_cells"] or 0) / (t["transactions"] * u) * 100 if t["transactions"] and u else None
-    return spark.createDataFrame([(t["transactions"], u, dens)],
-                                 "transactions bigint, unique_items bigint, density_pct double")
+    """transactions, unique items, density % (filled cells of the one-hot
+    matrix), in one pass: a null item stands for the transaction itself."""
+    cells = baskets.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("items"))).alias("i"))
+    per = cells.groupBy("i").agg(F.count(F.lit(1)).alias("c"))
+    s = per.agg(F.max(F.when(F.col("i").isNull(), F.col("c"))).alias("t"), F.count("i").alias("u"),
+                F.sum(F.when(F.col("i").isNotNull(), F.col("c"))).alias("c"))
+    t, u = F.coalesce("t", F.lit(0)), F.col("u")
+    return s.select(t.alias("transactions"), u.alias("unique_items"),
+                    F.try_divide(F.coalesce("c", F.lit(0)) * 100.0, t * u).alias("density_pct"))
 
 
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.02, max_len: int | None = 3,
-                      items_col: str = "items", num_partitions: int | None = None) -> DataFrame:
+                      items_col: str = "items") -> DataFrame:
     """``(items array<string>, support double, length int)`` with support >= min_support.
 
-    FP-growth's own threshold is ``ceil(min_support * n)``; it runs a hair
-    lower and the exact ``support >= min_support`` test is applied after, so
-    the comparison is the same floating test as apriori's.
+    Level by level, up to ``max_len`` and no further: occurrences of frequent
+    itemsets of one length, joined within their transaction where they share
+    all but the last item, give the candidates of the next.  Infrequent items
+    and itemsets leave before each join.  The levels found are written, so
+    rules read them without mining again.
     """
-    from pyspark.ml.fpm import FPGrowth
-
-    from tessera.session import materialize
-    # baskets feed two jobs (count, FP-growth): build them once
-    baskets = materialize(baskets.select(items_col), "baskets")
-    n = baskets.count()
-    if n == 0:
-        return baskets.sparkSession.createDataFrame([], "items array<string>, support double, length int")
-    fp = FPGrowth(itemsCol=items_col, minSupport=max(min_support * (1 - 1e-9), 0.0), minConfidence=1.0)
-    if num_partitions:
-        fp = fp.setNumPartitions(num_partitions)
-    model = fp.fit(baskets.select(items_col))
-    fi = model.freqItemsets.select(F.array_sort("items").alias("items"),
-                                   (F.col("freq") / F.lit(float(n))).alias("support"))
-    fi = fi.where(F.col("support") >= F.lit(min_support)).withColumn("length", F.size("items"))
-    if max_len is not None:
-        fi = fi.where(F.col("length") <= max_len)
-    # FP-growth's result is a lazy RDD that re-mines on every use; rules read
-    # it three times, so write it once
-    return materialize(fi, "itemsets")
+    spark = baskets.sparkSession
+    cells = materialize(baskets.select(F.monotonically_increasing_id().alias("t"), F.col(items_col).alias("items")),
+                        "baskets")
+    n = float(cells.count())
+
+    def frequent(occ: DataFrame, name: str) -> DataFrame:
+        c = occ.groupBy("items").agg(F.count(F.lit(1)).alias("c"))
+        return materialize(c.select("items", (F.col("c") / F.lit(n)).alias("support"))
+                           .where(F.col("support") >= F.lit(min_support)), name)
+
+    levels, k = [], 1
+    occ = cells.select("t", F.explode("items").alias("i")).select("t", F.array("i").alias("items"))
+    while n and (max_len is None or k <= max_len):
+        if k > 1:
+            head, last = F.slice("items", 1, k - 2) if k > 2 else F.array().cast("array<string>"), F.element_at("items", -1)
+            kept = occ.join(levels[-1].select("items"), "items", "left_semi").select("t", "items", head.alias("p"), last.alias("l"))
+            other = kept.select("t", "p", F.col("l").alias("l2"))
+            occ = kept.join(other, ["t", "p"]).where(F.col("l") < F.col("l2")) \
+                .select("t", F.concat("items", F.array("l2")).alias("items"))
+            if max_len is None or k < max_len:
+                occ = materialize(occ, "occurrences")
+        level = frequent(occ, "itemsets")
+        if level.limit(1).count() == 0:
+            break
+        levels.append(level)
+        k += 1
+    if not levels:
+        return spark.createDataFrame([], "items array<string>, support double, length int")
+    return reduce(DataFrame.unionByName, levels).withColumn("length", F.size("items"))
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.3) -> DataFrame:

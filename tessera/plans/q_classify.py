@@ -1,5 +1,5 @@
-"""Classification queries: naive Bayes with SQL oracles for the metrics,
-MLlib models and the model battery (property-tested)."""
+"""Classification queries: naive Bayes, kNN, one-split trees and grids with SQL
+oracles, MLlib models and the model battery."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from tessera.plans.registry import register
 from tessera.sources.tables import load
 
 NB_FEATS = ["Recency", "Frequency", "AvgOrderValue"]
-EMB_DIMS = 8
+EMB_DIMS = 64
 
 
 def rfm_split(spark, sf_dir):
@@ -29,7 +29,8 @@ def nb_predictions(spark, sf_dir):
                     F.element_at("probability", 2).alias("score"))
 
 
-def _nb_sql(src: str, id_col: str, label_expr: str, feats: list[str], n_classes: int) -> str:
+def _nb_sql(src: str, id_col: str, label_expr: str, feats: list[str], n_classes: int, is_test: str | None = None) -> str:
+    is_test = is_test or f"(((CAST({id_col} AS BIGINT) % 2147483647) * 1103515245 + 42) % 2147483648) / 2147483648.0 < 0.25"
     k = len(feats)
     m = ", ".join(f"avg(x{i}) AS m{i}, var_pop(x{i}) + eps AS v{i}" for i in range(k))
     j = " ".join(f"- 0.5 * ln(2 * pi() * v{i}) - (x{i} - m{i}) * (x{i} - m{i}) / (2.0 * v{i})"
@@ -37,8 +38,7 @@ def _nb_sql(src: str, id_col: str, label_expr: str, feats: list[str], n_classes:
     xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(feats))
     return f"""
 d AS (SELECT {id_col} AS id, CAST({label_expr} AS DOUBLE) AS label, {xs},
-             (((CAST({id_col} AS BIGINT) % 2147483647) * 1103515245 + 42) % 2147483648) / 2147483648.0 < 0.25
-             AS is_test FROM {src}),
+             {is_test} AS is_test FROM {src}),
 tr AS (SELECT * FROM d WHERE NOT is_test),
 ev AS (SELECT 1e-9 * greatest({", ".join(f"var_pop(x{i})" for i in range(k))}) AS eps FROM tr),
 cls AS (SELECT label AS c, count(*) * 1.0 / (SELECT count(*) FROM tr) AS prior, {m} FROM tr, ev GROUP BY label, eps),
@@ -150,7 +150,7 @@ def q_class_counts(spark, sf_dir):
     return M.class_counts(rfm_frame(spark, sf_dir), "HighValue")
 
 
-# ---- multi-class: embeddings (10 labels), first dimensions as features
+# ---- multi-class: embeddings (10 labels), all dimensions as features
 def emb_frame(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
     return e.select("vec_id", "label",
@@ -186,61 +186,168 @@ def q_class_metrics_multi(spark, sf_dir):
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
-# ---- MLlib / iterative models: rows-only here, property tests in tests/
+# ---- MLlib / iterative models, with the reference's tree, round and sample counts
+MODEL_FEATS = ["Recency", "Frequency", "Monetary", "AvgOrderValue"]
+
+
+def scaled_split(spark, sf_dir):
+    """Training and test rows, scaled by the training rows' statistics."""
+    from tessera.operators.preprocess import scale
+    from tessera.session import materialize
+    d = materialize(rfm_split(spark, sf_dir), "split")
+    tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    sp = C.fit_scaler(tr, MODEL_FEATS)
+    return scale(tr, MODEL_FEATS, params=sp), scale(te, MODEL_FEATS, params=sp)
+
+
 def _model_query(kind, params=None):
     @register(f"model_{kind}")
     def q(spark, sf_dir):
-        d = rfm_split(spark, sf_dir)
-        tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-        feats = ["Recency", "Frequency", "Monetary", "AvgOrderValue"]
-        sp = C.fit_scaler(tr, feats)
-        from tessera.operators.preprocess import scale
-        _, pr = C.fit_predict(kind, scale(tr, feats, params=sp), scale(te, feats, params=sp), feats,
-                              "label", params, keep=["CustomerID"])
-        return pr
+        tr, te = scaled_split(spark, sf_dir)
+        return C.fit_predict(kind, tr, te, MODEL_FEATS, "label", params, keep=["CustomerID"])[1]
     return q
 
 
-for _k, _p in [("dt", None), ("rf", {"n_estimators": 30}), ("gbt", {"n_estimators": 20}),
-               ("svm_linear", None), ("ada", {"n_estimators": 10}), ("svm_rbf", {"n_components": 50}),
-               ("svm_poly", None), ("logreg", None)]:
-    _model_query(_k, _p)
+for _k in ["dt", "rf", "gbt", "svm_linear", "ada", "svm_rbf", "svm_poly", "logreg"]:
+    _model_query(_k)
+
+
+_STUMP_SQL = f"""WITH r AS ({rfm_base_sql(CLEAN_SQL)}),
+d AS (SELECT CustomerID AS id, HighValue AS y, CAST(Frequency AS DOUBLE) AS x,
+             (((CAST(CustomerID AS BIGINT) % 2147483647) * 1103515245 + 42) % 2147483648) / 2147483648.0 < 0.25
+             AS is_test FROM r),
+tr AS (SELECT x, y FROM d WHERE NOT is_test),
+v AS (SELECT x, count(*) AS n, sum(y) AS p FROM tr GROUP BY x),
+c AS (SELECT x AS cut, sum(n) OVER (ORDER BY x) AS nl, sum(p) OVER (ORDER BY x) AS pl,
+             sum(n) OVER () AS n, sum(p) OVER () AS p FROM v),
+g AS (SELECT cut, nl, pl, n, p, nl * (1 - power(pl * 1.0 / nl, 2) - power(1 - pl * 1.0 / nl, 2))
+             + (n - nl) * (1 - power((p - pl) * 1.0 / (n - nl), 2) - power(1 - (p - pl) * 1.0 / (n - nl), 2)) AS gini
+      FROM c WHERE nl < n),
+s AS (SELECT * FROM g ORDER BY gini, cut LIMIT 1)"""
+
+
+@register("model_stump", _STUMP_SQL + """
+SELECT d.id AS CustomerID, CAST(d.y AS DOUBLE) AS label,
+       CASE WHEN d.x <= s.cut THEN CASE WHEN 2 * s.pl > s.nl THEN 1.0 ELSE 0.0 END
+            ELSE CASE WHEN 2 * (s.p - s.pl) > s.n - s.nl THEN 1.0 ELSE 0.0 END END::DOUBLE AS prediction
+FROM d, s WHERE d.is_test""")
+def q_model_stump(spark, sf_dir):
+    """One split on the number of orders: the best Gini split, found in SQL too."""
+    d = rfm_split(spark, sf_dir)
+    _, pr = C.fit_predict("dt", d.where(~F.col("is_test")), d.where(F.col("is_test")), ["Frequency"], "label",
+                          {"max_depth": 1, "max_bins": 1024}, keep=["CustomerID"])
+    return pr.select("CustomerID", "label", "prediction")
+
+
+@register("logreg_check", f"""WITH r AS ({rfm_base_sql(CLEAN_SQL)})
+SELECT count(*) AS "rows", CAST(sum(HighValue) AS BIGINT) AS positives, CAST(0 AS DOUBLE) AS residual,
+       CAST(0 AS DOUBLE) AS moment FROM r""")
+def q_logreg_check(spark, sf_dir):
+    """The score equations of a logistic fit over all customers: residuals sum
+    to zero, alone and weighted by each feature (means, 3 dp)."""
+    from tessera.operators.preprocess import scale
+    feats = ["Recency", "Frequency"]
+    d = scale(C.encode_label(rfm_frame(spark, sf_dir), "HighValue")[0], feats, "standard")
+    _, pr = C.fit_predict("logreg", d, d, feats, "label", keep=feats)
+    e = F.col("score") - F.col("label")
+    return pr.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("positives"),
+                  F.round(F.abs(F.avg(e)), 3).alias("residual"),
+                  F.round(F.greatest(*[F.abs(F.avg(e * F.col(f))) for f in feats]), 3).alias("moment"))
+
+
+@register("split_stratified", f"""WITH r AS ({rfm_base_sql(CLEAN_SQL)}),
+h AS (SELECT CustomerID, HighValue, ((CAST(CustomerID AS BIGINT) % 2147483647) * 1103515245 + 42) % 2147483648 AS h FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY HighValue ORDER BY h) AS rk,
+             count(*) OVER (PARTITION BY HighValue) AS n FROM h)
+SELECT CustomerID, HighValue, rk <= round(n * 0.25) AS is_test FROM k""")
+def q_split_stratified(spark, sf_dir):
+    d = C.train_test_split(rfm_frame(spark, sf_dir), "CustomerID", 0.25, 42, "portable", stratify="HighValue")
+    return d.select("CustomerID", "HighValue", "is_test")
 
 
 @register("leaderboard")
 def q_leaderboard(spark, sf_dir):
-    board, _ = C.compare_models(rfm_frame(spark, sf_dir), "CustomerID",
-                                ["Recency", "Frequency", "AvgOrderValue"], "HighValue",
-                                models=["dt", "nb", "rf", "svm_linear"], params={"rf": {"n_estimators": 20}})
+    board, _ = C.compare_models(rfm_frame(spark, sf_dir), "CustomerID", NB_FEATS, "HighValue")
     return board
 
 
+_SPLIT = """row_number() OVER (PARTITION BY HighValue ORDER BY
+   ((CAST(CustomerID AS BIGINT) % 2147483647) * 1103515245 + 42) % 2147483648)
+   <= round(0.25 * count(*) OVER (PARTITION BY HighValue)) AS is_test"""
+_BOARD_CTE = f"""WITH r AS ({rfm_base_sql(CLEAN_SQL)}),
+h AS (SELECT *, {_SPLIT} FROM r),
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NB_FEATS)} FROM h WHERE NOT is_test),
+z AS (SELECT CustomerID, HighValue, is_test, {", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in NB_FEATS)} FROM h, st),
+""" + _nb_sql("z", "CustomerID", "HighValue", NB_FEATS, 2, "is_test")
+_NB_BOARD = _BOARD_CTE + _PRF + """,
+m AS (SELECT round((SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FROM pred), 6) AS accuracy,
+             round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1
+      FROM prf WHERE label = (SELECT max(label) FROM prf))"""
+
+
+def nb_board(spark, sf_dir):
+    """The battery with naive Bayes alone."""
+    board, _ = C.compare_models(rfm_frame(spark, sf_dir), "CustomerID", NB_FEATS, "HighValue", models=["nb"],
+                                method="portable")
+    return board.select("model", *[F.round(c, 6).alias(c) for c in ["accuracy", "precision", "recall", "f1"]])
+
+
+@register("leaderboard_nb", _NB_BOARD + "\nSELECT 'nb' AS model, accuracy, precision, recall, f1 FROM m")
+def q_leaderboard_nb(spark, sf_dir):
+    return nb_board(spark, sf_dir)
+
+
+@register("leaderboard_long", _NB_BOARD + """
+SELECT 'nb' AS model, metric, value FROM (UNPIVOT m ON accuracy, precision, recall, f1 INTO NAME metric VALUE value)""")
+def q_leaderboard_long(spark, sf_dir):
+    from tessera.operators.core import melt
+    return melt(nb_board(spark, sf_dir), ["model"], ["accuracy", "precision", "recall", "f1"], "metric", "value")
+
+
 KNN_FEATS = ["Recency", "Frequency", "AvgOrderValue"]
 
 
-@register("knn_classify", f"""
+def _knn_sql(dist: str) -> str:
+    """The k nearest training rows by ``dist`` over features scaled by the
+    training rows' means and deviations."""
+    z = ", ".join(f"({c} - m{i}) / s{i} AS x{i}" for i, c in enumerate(KNN_FEATS))
+    st = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(KNN_FEATS))
+    return f"""
 WITH r AS ({rfm_base_sql(CLEAN_SQL)}),
-d AS (SELECT CustomerID AS id, CAST(HighValue AS DOUBLE) AS label, CAST(Recency AS DOUBLE) AS x1,
-             CAST(Frequency AS DOUBLE) AS x2, AvgOrderValue AS x3,
-             (((CAST(CustomerID AS BIGINT) % 2147483647) * 1103515245 + 42) % 2147483648) / 2147483648.0 < 0.25
+h AS (SELECT *, (((CAST(CustomerID AS BIGINT) % 2147483647) * 1103515245 + 42) % 2147483648) / 2147483648.0 < 0.25
              AS is_test FROM r),
-pr AS (SELECT te.id, tr.label, tr.id AS tid,
-              sqrt(power(te.x1 - tr.x1, 2) + power(te.x2 - tr.x2, 2) + power(te.x3 - tr.x3, 2)) AS dist
-       FROM d te JOIN d tr ON te.is_test AND NOT tr.is_test),
+st AS (SELECT {st} FROM h WHERE NOT is_test),
+d AS (SELECT CustomerID AS id, CAST(HighValue AS DOUBLE) AS label, {z}, is_test FROM h, st),
+pr AS (SELECT te.id, tr.label, tr.id AS tid, {dist} AS dist FROM d te JOIN d tr ON te.is_test AND NOT tr.is_test),
 nn AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, tid) AS rn FROM pr) WHERE rn <= 5),
 v AS (SELECT id, label, count(*) AS n FROM nn GROUP BY id, label),
 b AS (SELECT id, label, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS rk FROM v)
 SELECT b.id AS CustomerID, b.label AS prediction,
        round(coalesce((SELECT n FROM v WHERE v.id = b.id AND v.label = 1), 0) / 5.0, 6) AS score
-FROM b WHERE rk = 1""")
-def q_knn_classify(spark, sf_dir):
+FROM b WHERE rk = 1"""
+
+
+def _knn(spark, sf_dir, metric):
     from tessera.operators.knn import knn_classify
+    from tessera.operators.preprocess import scale
     d = rfm_split(spark, sf_dir)
+    sp = C.fit_scaler(d.where(~F.col("is_test")), KNN_FEATS)
+    d = scale(d, KNN_FEATS, params=sp)
     tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    p = knn_classify(tr, te.select("CustomerID", *KNN_FEATS), "CustomerID", KNN_FEATS, "label", k=5)
+    p = knn_classify(tr, te.select("CustomerID", *KNN_FEATS), "CustomerID", KNN_FEATS, "label", k=5, metric=metric)
     return p.select("CustomerID", "prediction", F.round("score", 6).alias("score"))
 
 
+@register("knn_classify", _knn_sql("sqrt(" + " + ".join(f"power(te.x{i} - tr.x{i}, 2)" for i in range(3)) + ")"))
+def q_knn_classify(spark, sf_dir):
+    return _knn(spark, sf_dir, "euclidean")
+
+
+@register("knn_manhattan", _knn_sql(" + ".join(f"abs(te.x{i} - tr.x{i})" for i in range(3))))
+def q_knn_manhattan(spark, sf_dir):
+    return _knn(spark, sf_dir, "manhattan")
+
+
 @register("importances")
 def q_importances(spark, sf_dir):
     d = rfm_split(spark, sf_dir)
@@ -258,15 +365,25 @@ def q_tree_text(spark, sf_dir):
     return spark.createDataFrame([(line,) for line in C.tree_text(model).splitlines()], "line string")
 
 
-@register("leaderboard_long")
-def q_leaderboard_long(spark, sf_dir):
-    from tessera.operators.core import melt
-    board, _ = C.compare_models(rfm_frame(spark, sf_dir), "CustomerID", NB_FEATS, "HighValue",
-                                models=["nb", "dt"])
-    return melt(board, ["model"], ["accuracy", "precision", "recall", "f1"], "metric", "value")
-
-
-@register("score_grid")
+_GRID_SQL = f"""WITH r AS ({rfm_base_sql(CLEAN_SQL)}),
+h AS (SELECT CAST(HighValue AS DOUBLE) AS label, CAST(Recency AS DOUBLE) AS a, CAST(Frequency AS DOUBLE) AS b,
+             (((CAST(CustomerID AS BIGINT) % 2147483647) * 1103515245 + 42) % 2147483648) / 2147483648.0 < 0.25
+             AS is_test FROM r),
+st AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM h WHERE NOT is_test),
+z AS (SELECT label, is_test, (a - ma) / sa AS x0, (b - mb) / sb AS x1 FROM h, st),
+ev AS (SELECT 1e-9 * greatest(var_pop(x0), var_pop(x1)) AS eps FROM z WHERE NOT is_test),
+cls AS (SELECT label AS c, count(*) * 1.0 / (SELECT count(*) FROM z WHERE NOT is_test) AS prior, avg(x0) AS m0,
+               var_pop(x0) + eps AS v0, avg(x1) AS m1, var_pop(x1) + eps AS v1
+        FROM z, ev WHERE NOT is_test GROUP BY label, eps),
+bo AS (SELECT min(x0) - 1 AS a0, max(x0) + 1 AS a1, min(x1) - 1 AS b0, max(x1) + 1 AS b1 FROM z),
+ga AS (SELECT a0 + i * 0.3 AS g0 FROM bo, (SELECT unnest(generate_series(0, 10000)) AS i) WHERE i <= floor((a1 - a0) / 0.3)),
+gb AS (SELECT b0 + i * 0.3 AS g1 FROM bo, (SELECT unnest(generate_series(0, 10000)) AS i) WHERE i <= floor((b1 - b0) / 0.3)),
+jl AS (SELECT g0, g1, c, ln(prior) - 0.5 * ln(2 * pi() * v0) - power(g0 - m0, 2) / (2 * v0)
+              - 0.5 * ln(2 * pi() * v1) - power(g1 - m1, 2) / (2 * v1) AS j FROM ga, gb, cls)
+SELECT round(g0, 6) AS Recency, round(g1, 6) AS Frequency, arg_max(c, j) AS prediction FROM jl GROUP BY g0, g1"""
+
+
+@register("score_grid", _GRID_SQL)
 def q_score_grid(spark, sf_dir):
     """Decision surface of naive Bayes over standardised (Recency, Frequency):
     a regular grid with step 0.3 spanning the data with a margin of 1."""
@@ -279,5 +396,6 @@ def q_score_grid(spark, sf_dir):
     m = C.gaussian_nb_fit(z.where(~F.col("is_test")), feats)
     b = z.agg(F.min("Recency"), F.max("Recency"), F.min("Frequency"), F.max("Frequency")).first()
     bounds = (b[0] - 1.0, b[1] + 1.0, b[2] - 1.0, b[3] + 1.0)
-    return C.score_grid(lambda g: C.gaussian_nb_predict(g, m).drop("probability"), bounds, 0.3,
-                        spark=spark, names=("Recency", "Frequency"))
+    g = C.score_grid(lambda g: C.gaussian_nb_predict(g, m).drop("probability"), bounds, 0.3,
+                     spark=spark, names=("Recency", "Frequency"))
+    return g.select(F.round("Recency", 6).alias("Recency"), F.round("Frequency", 6).alias("Frequency"), "prediction")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import cluster as K
 from tessera.operators.preprocess import scale
-from tessera.plans.q_retail import rfm_frame
+from tessera.plans.q_retail import CLEAN_SQL, rfm_base_sql, rfm_frame
 from tessera.plans.registry import register
 from tessera.sources.tables import load
 
@@ -21,28 +21,35 @@ def rfm_scaled(spark, sf_dir):
 
 @register("kmeans")
 def q_kmeans(spark, sf_dir):
-    lab, _, _ = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=3, n_init=3, keep=["CustomerID"])
+    lab, _, _ = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=3, n_init=10, keep=["CustomerID"])
     return lab
 
 
+@register("kmeans_check", f"""
+SELECT count(*) AS "rows", CAST(3 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS DOUBLE) AS drift
+FROM ({rfm_base_sql(CLEAN_SQL)})""")
+def q_kmeans_check(spark, sf_dir):
+    """A k-means result puts every row at its nearest centre, and every centre
+    at the mean of its rows."""
+    lab, _, model = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=3, n_init=10, keep=["CustomerID"])
+    return K.kmeans_check(lab, model, RFM_FEATS)
+
+
 @register("elbow")
 def q_elbow(spark, sf_dir):
-    return K.elbow(rfm_scaled(spark, sf_dir), RFM_FEATS, k_max=6, n_init=2)
+    return K.elbow(rfm_scaled(spark, sf_dir), RFM_FEATS, k_max=11, n_init=5)
 
 
 _SIL_SQL = """
 WITH c AS (SELECT c_custkey AS id, c_mktsegment AS lab, CAST(c_acctbal AS DOUBLE) AS x1,
                   CAST(c_nationkey AS DOUBLE) AS x2 FROM customer),
-sz AS (SELECT lab, count(*) AS size FROM c GROUP BY lab),
-pr AS (SELECT a.id, a.lab, b.lab AS olab, sum(sqrt(power(a.x1 - b.x1, 2) + power(a.x2 - b.x2, 2))) AS s,
-              count(*) AS n
-       FROM c a JOIN c b ON a.id <> b.id GROUP BY a.id, a.lab, b.lab),
-ab AS (SELECT pr.id, pr.lab, sz.size,
-              sum(CASE WHEN olab = pr.lab THEN s / (sz.size - 1) END) AS a,
-              min(CASE WHEN olab <> pr.lab THEN s / n END) AS b
-       FROM pr JOIN sz ON pr.lab = sz.lab GROUP BY pr.id, pr.lab, sz.size),
-sv AS (SELECT id, lab, CASE WHEN size <= 1 OR b IS NULL THEN 0.0
-                            ELSE (b - coalesce(a, 0.0)) / greatest(coalesce(a, 0.0), b) END AS silhouette FROM ab)
+st AS (SELECT lab, count(*) AS n, sum(x1) AS y1, sum(x2) AS y2, sum(x1 * x1 + x2 * x2) AS psi FROM c GROUP BY lab),
+d AS (SELECT c.id, c.lab AS own, st.lab AS other, st.n,
+             (st.n * (c.x1 * c.x1 + c.x2 * c.x2) - 2 * (c.x1 * st.y1 + c.x2 * st.y2) + st.psi) / st.n AS dis
+      FROM c, st),
+ab AS (SELECT id, own AS lab, max(CASE WHEN own = other THEN CASE WHEN n = 1 THEN 0.0 ELSE dis * n / (n - 1) END END) AS a,
+              min(CASE WHEN own <> other THEN dis END) AS b FROM d GROUP BY id, own),
+sv AS (SELECT id, lab, CASE WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0.0 END AS silhouette FROM ab)
 """
 
 
@@ -73,7 +80,9 @@ ab AS (SELECT id, max(CASE WHEN own = other THEN CASE WHEN n = 1 THEN 0.0 ELSE d
 SELECT round(avg(CASE WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0.0 END), 6) AS silhouette FROM ab""")
 def q_silhouette_sq(spark, sf_dir):
     c = load(spark, sf_dir, "customer")
-    v = K.silhouette(c, "c_custkey", SIL_COLS, "c_mktsegment", method="squared")
+    codes = c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()  # five segments
+    code = F.array_position(F.array(*[F.lit(r[0]) for r in codes]), F.col("c_mktsegment"))
+    v = K.silhouette_squared(c.withColumn("segment", code), SIL_COLS, "segment")
     return spark.createDataFrame([(round(float(v), 6),)], "silhouette double")
 
 
@@ -98,65 +107,59 @@ def q_cluster_counts(spark, sf_dir):
     return K.cluster_counts(lab, "l")
 
 
-@register("dbscan")
-def q_dbscan(spark, sf_dir):
-    from tessera.operators.dbscan import dbscan
-    return dbscan(rfm_scaled(spark, sf_dir), "CustomerID", RFM_FEATS, eps=0.5, min_samples=5)
+_RFM_Z = f"""
+r AS ({rfm_base_sql(CLEAN_SQL)}),
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in RFM_FEATS)} FROM r),
+p AS (SELECT CustomerID AS id, {", ".join(f"({c} - m_{c}) / s_{c} AS x{i}" for i, c in enumerate(RFM_FEATS))} FROM r, st)"""
 
 
-@register("hierarchical")
-def q_hierarchical(spark, sf_dir):
-    from tessera.operators.hierarchical import hierarchical
-    lab, _ = hierarchical(rfm_scaled(spark, sf_dir), "CustomerID", RFM_FEATS, k=3, linkage="ward", m=200)
-    return lab
+def _dbscan_sql(points: str, d: int, eps: float, min_samples: int, id_col: str) -> str:
+    """Labels spread along links between core points, smaller ids first."""
+    dist = " + ".join(f"power(a.x{i} - b.x{i}, 2)" for i in range(d))
+    return f"""
+WITH RECURSIVE {points},
+nb AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND {dist} <= {eps * eps}),
+core AS (SELECT p.id FROM p LEFT JOIN nb ON p.id = nb.a GROUP BY p.id HAVING count(nb.b) + 1 >= {min_samples}),
+ce AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+cc(id, comp) AS (SELECT id, id FROM core UNION SELECT ce.b, cc.comp FROM cc JOIN ce ON cc.id = ce.a WHERE cc.comp < ce.b),
+comp AS (SELECT id, min(comp) AS comp FROM cc GROUP BY id),
+lab AS (SELECT id, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster FROM comp),
+border AS (SELECT nb.a AS id, min(lab.cluster) AS cluster FROM nb JOIN lab ON nb.b = lab.id
+           WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a)
+SELECT p.id AS {id_col}, CAST(coalesce(lab.cluster, border.cluster, -1) AS INTEGER) AS cluster,
+       lab.id IS NOT NULL AS is_core
+FROM p LEFT JOIN lab ON p.id = lab.id LEFT JOIN border ON p.id = border.id"""
 
 
-@register("linkage_table")
-def q_linkage_table(spark, sf_dir):
-    from tessera.operators.hierarchical import hierarchical
-    _, merges = hierarchical(rfm_scaled(spark, sf_dir), "CustomerID", RFM_FEATS, k=3,
-                             linkage="average", metric="manhattan", m=200)
-    return merges
+@register("dbscan", _dbscan_sql(_RFM_Z, 4, 0.5, 5, "CustomerID"))
+def q_dbscan(spark, sf_dir):
+    from tessera.operators.dbscan import dbscan
+    return dbscan(rfm_scaled(spark, sf_dir), "CustomerID", RFM_FEATS, eps=0.5, min_samples=5)
 
 
 @register("compare_clusterings")
 def q_compare_clusterings(spark, sf_dir):
     from tessera.operators.dbscan import dbscan
-    from tessera.operators.hierarchical import hierarchical
     z = rfm_scaled(spark, sf_dir)
-    km, _, _ = K.kmeans(z, RFM_FEATS, k=3, n_init=2, keep=["CustomerID"])
+    km, _, _ = K.kmeans(z, RFM_FEATS, k=3, n_init=10, keep=["CustomerID"])
     db = dbscan(z, "CustomerID", RFM_FEATS, 0.5, 5).join(z, "CustomerID")
-    hc = hierarchical(z, "CustomerID", RFM_FEATS, 3, "ward", m=200)[0].join(z, "CustomerID")
     res = []
-    for name, d in [("kmeans", km), ("dbscan", db), ("hierarchical", hc)]:
+    for name, d in [("kmeans", km), ("dbscan", db)]:
         n_cl = d.where(F.col("cluster") != -1).select("cluster").distinct().count()
-        res.append((name, n_cl, K.silhouette(d, "CustomerID", RFM_FEATS, "cluster", method="squared")))
+        res.append((name, n_cl, K.silhouette(d, "CustomerID", RFM_FEATS, "cluster")))
     return K.compare_clusterings(spark, res)
 
 
 @register("cluster_sizes")
 def q_cluster_sizes(spark, sf_dir):
-    lab, _, _ = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=4, n_init=2, keep=["CustomerID"])
+    lab, _, _ = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=4, n_init=10, keep=["CustomerID"])
     return K.cluster_sizes(lab, "cluster")
 
 
 # DBSCAN over raw customer features: (account balance, nation key), eps 25
 _DB_EPS, _DB_MIN = 25.0, 4
-_DBSCAN_SQL = f"""
-WITH RECURSIVE
-p AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS x1, CAST(c_nationkey AS DOUBLE) AS x2 FROM customer),
-nb AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b
-       ON a.id <> b.id AND power(a.x1 - b.x1, 2) + power(a.x2 - b.x2, 2) <= {_DB_EPS * _DB_EPS}),
-core AS (SELECT p.id FROM p LEFT JOIN nb ON p.id = nb.a GROUP BY p.id HAVING count(nb.b) + 1 >= {_DB_MIN}),
-ce AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
-cc(id, comp) AS (SELECT id, id FROM core UNION SELECT ce.b, cc.comp FROM cc JOIN ce ON cc.id = ce.a),
-comp AS (SELECT id, min(comp) AS comp FROM cc GROUP BY id),
-lab AS (SELECT id, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster FROM comp),
-border AS (SELECT nb.a AS id, min(lab.cluster) AS cluster FROM nb JOIN lab ON nb.b = lab.id
-           WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a)
-SELECT p.id AS c_custkey, CAST(coalesce(lab.cluster, border.cluster, -1) AS INTEGER) AS cluster,
-       lab.id IS NOT NULL AS is_core
-FROM p LEFT JOIN lab ON p.id = lab.id LEFT JOIN border ON p.id = border.id"""
+_DBSCAN_SQL = _dbscan_sql("p AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS x0, "
+                          "CAST(c_nationkey AS DOUBLE) AS x1 FROM customer)", 2, _DB_EPS, _DB_MIN, "c_custkey")
 
 
 @register("dbscan_customer", _DBSCAN_SQL)

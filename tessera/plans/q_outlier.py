@@ -76,14 +76,20 @@ def q_impact(spark, sf_dir):
     return O.impact(rfm, flags, "CustomerID", FEATS, 2, digits=6)
 
 
-# ---- neighbour / tree based detectors
-LOF_FEATS = ["Monetary", "AvgOrderValue", "Recency"]
+# ---- neighbour / tree based detectors, on standardised features
+_Z_SQL = f"""
+WITH r AS ({rfm_base_sql(CLEAN_SQL)}),
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATS)} FROM r),
+p AS (SELECT CustomerID AS id, {", ".join(f"({c} - m_{c}) / s_{c} AS x{i}" for i, c in enumerate(FEATS))} FROM r, st)"""
 
 
-@register("outlier_lof", f"""
-WITH r AS ({rfm_base_sql(CLEAN_SQL)}),
-p AS (SELECT CustomerID AS id, Monetary AS x1, AvgOrderValue AS x2, CAST(Recency AS DOUBLE) AS x3 FROM r),
-d AS (SELECT a.id AS a, b.id AS b, sqrt(power(a.x1 - b.x1, 2) + power(a.x2 - b.x2, 2) + power(a.x3 - b.x3, 2)) AS dist
+def rfm_standard(spark, sf_dir):
+    from tessera.operators.preprocess import scale
+    return scale(rfm_frame(spark, sf_dir), FEATS, "standard")
+
+
+@register("outlier_lof", _Z_SQL + f""",
+d AS (SELECT a.id AS a, b.id AS b, sqrt({" + ".join(f"power(a.x{i} - b.x{i}, 2)" for i in range(len(FEATS)))}) AS dist
       FROM p a JOIN p b ON a.id <> b.id),
 nn AS (SELECT a, b, dist FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rn FROM d) WHERE rn <= 20),
 kd AS (SELECT a, max(dist) AS kdist FROM nn GROUP BY a),
@@ -93,14 +99,29 @@ lf AS (SELECT nn.a, avg(lb.lrd) / la.lrd AS lof FROM nn JOIN lrd lb ON nn.b = lb
 SELECT a AS CustomerID, round(lof, 6) AS lof, CAST(lof > 1.5 AS INTEGER) AS lof_flag FROM lf""")
 def q_outlier_lof(spark, sf_dir):
     from tessera.operators.knn import outlier_lof
-    o = outlier_lof(rfm_frame(spark, sf_dir), "CustomerID", LOF_FEATS, k=20)
+    o = outlier_lof(rfm_standard(spark, sf_dir), "CustomerID", FEATS, k=20)
     return o.select("CustomerID", F.round("lof", 6).alias("lof"), "lof_flag")
 
 
 @register("outlier_iforest")
 def q_outlier_iforest(spark, sf_dir):
     from tessera.operators.iforest import outlier_iforest
-    return outlier_iforest(rfm_frame(spark, sf_dir), "CustomerID", FEATS, contamination=0.05, n_trees=50)
+    return outlier_iforest(rfm_standard(spark, sf_dir), "CustomerID", FEATS, contamination=0.05, n_trees=100)
+
+
+@register("iforest_check", f"""
+SELECT count(*) AS "rows", CAST(count(*) - 1 - floor(0.95 * (count(*) - 1)) AS BIGINT) AS most_flagged,
+       true AS within, true AS in_range FROM ({rfm_base_sql(CLEAN_SQL)})""")
+def q_iforest_check(spark, sf_dir):
+    """Rows, how many may lie above the interpolated 95 % quantile, whether no
+    more are flagged and whether all scores lie in (0, 1)."""
+    from tessera.operators.iforest import outlier_iforest
+    o = outlier_iforest(rfm_standard(spark, sf_dir), "CustomerID", FEATS, contamination=0.05, n_trees=100)
+    n = F.count(F.lit(1))
+    most = n - 1 - F.floor(0.95 * (n - 1))
+    return o.agg(n.alias("rows"), most.cast("long").alias("most_flagged"),
+                 ((F.sum("iforest") <= most) & (F.sum("iforest") > 0)).alias("within"),
+                 F.every((F.col("score") > 0) & (F.col("score") < 1)).alias("in_range"))
 
 
 @register("outlier_battery")
@@ -112,5 +133,5 @@ def q_outlier_battery(spark, sf_dir):
     rfm = rfm_frame(spark, sf_dir)
     z = scale(rfm, FEATS, "standard")
     lof = outlier_lof(z, "CustomerID", FEATS, k=20).select("CustomerID", "lof_flag")
-    ifo = outlier_iforest(z, "CustomerID", FEATS, 0.05, n_trees=50).select("CustomerID", "iforest")
+    ifo = outlier_iforest(z, "CustomerID", FEATS, 0.05, n_trees=100).select("CustomerID", "iforest")
     return O.outlier_flags(rfm, "CustomerID", FEATS, extra={"lof": lof, "iforest": ifo})

@@ -129,6 +129,32 @@ def q_pca_variance(spark, sf_dir):
     return PP.pca_variance(spark, ratios)
 
 
+# two standardised columns with correlation r: variances 1 + |r| and 1 - |r|, directions (1, ±1)/sqrt(2)
+_TWO = ["l_quantity", "l_extendedprice"]
+_TWO_SQL = """WITH st AS (SELECT avg(l_quantity) AS ma, stddev_pop(l_quantity) AS sa, avg(l_extendedprice) AS mb,
+                   stddev_pop(l_extendedprice) AS sb, corr(l_quantity, l_extendedprice) AS r FROM lineitem)"""
+
+
+@register("pca_two", _TWO_SQL + """
+SELECT l_orderkey, l_linenumber,
+       round(((l_quantity - ma) / sa + sign(r) * (l_extendedprice - mb) / sb) / sqrt(2.0), 4) AS PC1,
+       round(abs((l_quantity - ma) / sa - sign(r) * (l_extendedprice - mb) / sb) / sqrt(2.0), 4) AS PC2_size
+FROM lineitem, st""")
+def q_pca_two(spark, sf_dir):
+    """Scores on two columns (the sign of the second component is open)."""
+    out = PP.pca(load(spark, sf_dir, "lineitem"), _TWO, 2, keep=["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", F.round("PC1", 4).alias("PC1"), F.round(F.abs("PC2"), 4).alias("PC2_size"))
+
+
+@register("pca_variance_two", _TWO_SQL + """
+SELECT 1 AS component, round((1 + abs(r)) / 2, 6) AS ratio, round((1 + abs(r)) / 2, 6) AS cumulative FROM st
+UNION ALL SELECT 2, round((1 - abs(r)) / 2, 6), 1.0 FROM st""")
+def q_pca_variance_two(spark, sf_dir):
+    _, _, ratios = PP.pca_fit(load(spark, sf_dir, "lineitem"), _TWO, 2)
+    v = PP.pca_variance(spark, ratios)
+    return v.select("component", F.round("ratio", 6).alias("ratio"), F.round("cumulative", 6).alias("cumulative"))
+
+
 @register("preprocess_pipeline")
 def q_preprocess_pipeline(spark, sf_dir):
     d = lineitem_nulls(spark, sf_dir)

@@ -352,3 +352,64 @@ def q_box_stats_by_flag(spark, sf_dir):
     b = P.box_stats(lineitem_nulls(spark, sf_dir), ["l_extendedprice", "l_quantity"], by="l_returnflag")
     return b.select("l_returnflag", "column", *[F.round(c, 6).alias(c) for c in ["q1", "median", "q3", "iqr"]],
                     "lower_whisker", "upper_whisker", "n_outside")
+
+
+_EVENT_SECONDS = "epoch_us(ts) / 1e6"
+
+
+def _describe_events_sql():
+    parts = []
+    for c, e in [("event_id", "event_id"), ("user_id", "user_id"), ("value", "value"), ("ts", _EVENT_SECONDS)]:
+        parts.append(f"""SELECT '{c}' AS "column", count({e}) AS "count", CAST(NULL AS BIGINT) AS "unique",
+  CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, round(avg({e}), 3) AS mean,
+  round(stddev_samp({e}), 3) AS std, round(min({e}) + 0.0, 3) AS "min",
+  round(quantile_cont({e}, 0.25), 3) AS p25, round(quantile_cont({e}, 0.5), 3) AS p50,
+  round(quantile_cont({e}, 0.75), 3) AS p75, round(max({e}) + 0.0, 3) AS "max" FROM events""")
+    for c in ["event_type", "props"]:
+        parts.append(f"""SELECT '{c}', count({c}), count(DISTINCT {c}),
+  (SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM events WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1),
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM events WHERE {c} IS NOT NULL GROUP BY {c})),
+  NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM events""")
+    return union_sql(parts)
+
+
+@register("describe_all_events", _describe_events_sql())
+def q_describe_all_events(spark, sf_dir):
+    """A table with a timestamp column."""
+    return P.describe_all(load(spark, sf_dir, "events"), digits=3)
+
+
+@register("corr_pearson_nan", """
+SELECT 'l_quantity' AS col_a, 'l_tax' AS col_b, round(corr(q, t), 6) AS corr FROM (
+  SELECT CASE WHEN l_linenumber <> 7 THEN l_quantity END AS q, l_tax AS t FROM lineitem)""")
+def q_corr_pearson_nan(spark, sf_dir):
+    """NaN planted in one column counts as missing."""
+    from tessera.operators.correlation import pearson
+    li = load(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") == 7, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("l_quantity"), "l_tax")
+    r = pearson(li, ["l_quantity", "l_tax"]).where("col_a = 'l_quantity' and col_b = 'l_tax'")
+    return r.select("col_a", "col_b", F.round("corr", 6).alias("corr"))
+
+
+@register("missing_only", f"""WITH t AS ({LINEITEM_NULLS_SQL})
+SELECT c AS "column", n AS missing, round(n * 100.0 / (SELECT count(*) FROM t), 2) AS missing_pct FROM (
+  SELECT 'l_quantity' AS c, count(*) FILTER (WHERE l_quantity IS NULL) AS n FROM t
+  UNION ALL SELECT 'l_discount', count(*) FILTER (WHERE l_discount IS NULL) FROM t
+  UNION ALL SELECT 'l_tax', count(*) FILTER (WHERE l_tax IS NULL) FROM t) WHERE n > 0""")
+def q_missing_only(spark, sf_dir):
+    from tessera.operators.core import missing_only
+    return missing_only(P.missing_report(lineitem_nulls(spark, sf_dir)))
+
+
+@register("csv_roundtrip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def q_csv_roundtrip(spark, sf_dir):
+    """A table written as CSV into the shared folder and read back."""
+    import uuid
+
+    from tessera.session import checkpoint_dir
+    from tessera.sources.csv import scan_csv, write_csv
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    o = load(spark, sf_dir, "orders").select(*cols)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-csv-{uuid.uuid4().hex}"
+    write_csv(o, path)
+    return scan_csv(spark, path, encoding="latin-1", schema=o.schema)

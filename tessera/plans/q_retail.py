@@ -55,26 +55,15 @@ def rounded_rfm(rfm):
                       (m / F.col("Frequency")).alias("AvgOrderValue"), "HighValue")
 
 
-_RFM_TABLES: dict = {}
-
-
 def rfm_frame(spark, sf_dir):
-    """RFM over the cleaned retail view, shared by the modelling queries.
-
-    Like the reference's session state, the per-customer table is derived
-    once per application and data directory and kept as a parquet table in
-    the shared checkpoint folder; later queries read that table.
-    """
+    """RFM over the cleaned retail view for the modelling queries: derived in
+    each query, written once there because fits read it several times."""
     from tessera.session import materialize
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _RFM_TABLES:
-        _RFM_TABLES[key] = materialize(derive_rfm(clean_retail(retail_view(spark, sf_dir))), "rfm_table")
-    return _RFM_TABLES[key]
+    return materialize(derive_rfm(clean_retail(retail_view(spark, sf_dir))), "rfm_table")
 
 
 @register("rfm", rfm_sql(CLEAN_SQL))
 def q_rfm(spark, sf_dir):
-    # always derived afresh here (the shared table serves the downstream queries)
     return rounded_rfm(derive_rfm(clean_retail(retail_view(spark, sf_dir))))
 
 

@@ -57,7 +57,7 @@ def q_clean_items(spark, sf_dir):
 SELECT t AS InvoiceNo, string_agg(i, ', ' ORDER BY i) AS items
 FROM (SELECT DISTINCT t, i FROM ({BRAND_ROWS_SQL})) GROUP BY t""")
 def q_baskets(spark, sf_dir):
-    b = R.build_baskets(retail_view(spark, sf_dir), "InvoiceNo", "Description", top=200)
+    b = R.build_baskets(retail_view(spark, sf_dir), "InvoiceNo", "Description")
     return b.select("InvoiceNo", F.array_join("items", ", ").alias("items"))
 
 
@@ -66,7 +66,7 @@ WITH bi AS (SELECT DISTINCT t, i FROM ({BRAND_ROWS_SQL}))
 SELECT count(DISTINCT t) AS transactions, count(DISTINCT i) AS unique_items,
        round(count(*) * 100.0 / (count(DISTINCT t) * count(DISTINCT i)), 6) AS density_pct FROM bi""")
 def q_basket_stats(spark, sf_dir):
-    b = R.build_baskets(retail_view(spark, sf_dir), "InvoiceNo", "Description", top=200)
+    b = R.build_baskets(retail_view(spark, sf_dir), "InvoiceNo", "Description")
     return R.basket_stats(b).select("transactions", "unique_items",
                                     F.round("density_pct", 6).alias("density_pct"))
 
@@ -125,7 +125,7 @@ def type_itemsets(spark, sf_dir):
 
 
 def brand_itemsets(spark, sf_dir):
-    b = R.build_baskets(retail_view(spark, sf_dir), "InvoiceNo", "Description", top=200)
+    b = R.build_baskets(retail_view(spark, sf_dir), "InvoiceNo", "Description")
     return R.frequent_itemsets(b, 0.02, 3)
 
 
@@ -171,3 +171,21 @@ def q_rules_brand(spark, sf_dir):
 def q_top_rules(spark, sf_dir):
     r = R.association_rules(type_itemsets(spark, sf_dir), 0.1)
     return _round_rules(R.top_rules(r, "lift", 15))
+
+
+_KEYS_SQL = _rules_sql(TYPE_ROWS_SQL, 0.02, 0.1, 0.0)
+
+
+@register("top_rules_by_key", "\nUNION ALL\n".join(
+    f"""SELECT '{k}' AS sorted_by, antecedents, consequents, round({k}, 4) AS value FROM (
+SELECT * FROM ({_KEYS_SQL}) ORDER BY round({k}, 4) DESC, antecedents, consequents LIMIT 15)""" for k in R.SORT_KEYS))
+def q_top_rules_by_key(spark, sf_dir):
+    """The best rules by each of the five keys (values rounded before the sort,
+    so that both engines break the same ties)."""
+    from functools import reduce
+    r = _round_rules(R.association_rules(type_itemsets(spark, sf_dir), 0.1))
+    arrays = r.select(F.split("antecedents", ", ").alias("antecedents"), F.split("consequents", ", ").alias("consequents"),
+                      *[F.round(k, 4).alias(k) for k in R.SORT_KEYS])
+    tops = [R.as_text(R.top_rules(arrays, k, 15), ["antecedents", "consequents"]).select(
+        F.lit(k).alias("sorted_by"), "antecedents", "consequents", F.col(k).alias("value")) for k in R.SORT_KEYS]
+    return reduce(lambda a, b: a.unionByName(b), tops)

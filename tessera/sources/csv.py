@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Canonical retail column names and the header substrings that
-# select them, tested in this order (first match wins).
-RETAIL_RULES = [
-    ("InvoiceNo", lambda s: "invoice" in s and "date" not in s and "no" not in s),
-    ("InvoiceDate", lambda s: "invoicedate" in s or ("invoice" in s and "date" in s)),
-    ("StockCode", lambda s: "stock" in s),
-    ("Description", lambda s: "description" in s),
-    ("Quantity", lambda s: "quantity" in s),
-    ("UnitPrice", lambda s: "price" in s or "unitprice" in s),
-    ("CustomerID", lambda s: "customer" in s),
-    ("Country", lambda s: "country" in s),
+# Canonical retail column names with the words that a header must
+# and must not hold; the first row that fits wins.
+RETAIL_HEADERS = [
+    ("InvoiceNo", ["invoice"], ["date", "no"]),
+    ("InvoiceDate", ["invoice", "date"], []),
+    ("StockCode", ["stock"], []),
+    ("Description", ["description"], []),
+    ("Quantity", ["quantity"], []),
+    ("UnitPrice", ["price"], []),
+    ("CustomerID", ["customer"], []),
+    ("Country", ["country"], []),
 ]
 
 
+def canonical_name(header: str, rules=RETAIL_HEADERS) -> str:
+    """Canonical name of a header, or the header without outer blanks."""
+    text = "".join(header.lower().split())
+    fits = (name for name, need, bar in rules if all(w in text for w in need) and not any(w in text for w in bar))
+    return next(fits, header.strip())
+
+
 def scan_csv(spark: SparkSession, path: str, encoding: str | None = None,
              infer_schema: bool = True, schema=None) -> DataFrame:
     """CSV with a header row.  ``encoding="latin-1"`` reads ISO-8859-1 files.
@@ -36,29 +43,21 @@ def scan_csv(spark: SparkSession, path: str, encoding: str | None = None,
     return r.csv(path)
 
 
-def standardise_columns(df: DataFrame, rules=RETAIL_RULES, map_invoice_no: bool = True) -> DataFrame:
+def standardise_columns(df: DataFrame, rules=RETAIL_HEADERS, map_invoice_no: bool = True) -> DataFrame:
     """Strip header blanks, then rename to canonical retail names.
 
     Metadata only: one projection, no job.  A header like "Invoice No" is
     mapped to InvoiceNo (``map_invoice_no``); two headers mapping to the same
     target raise ``ValueError`` instead of producing duplicate columns.
     """
-    mapping = {}
-    for c in df.columns:
-        key = c.strip().lower().replace(" ", "")
-        target = None
-        for name, rule in rules:
-            if rule(key):
-                target = name
-                break
-        if target is None and map_invoice_no and key in ("invoiceno", "invoicenumber"):
-            target = "InvoiceNo"
-        mapping[c] = target or c.strip()
-    targets = list(mapping.values())
-    dups = sorted({t for t in targets if targets.count(t) > 1})
+    names = [canonical_name(c, rules) for c in df.columns]
+    if map_invoice_no:
+        plain = ["".join(c.lower().split()) for c in df.columns]
+        names = ["InvoiceNo" if p in ("invoiceno", "invoicenumber") else n for p, n in zip(plain, names)]
+    dups = sorted({n for n in names if names.count(n) > 1})
     if dups:
         raise ValueError(f"several columns map to {dups}")
-    return df.select(*[F.col(f"`{c}`").alias(mapping[c]) for c in df.columns])
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

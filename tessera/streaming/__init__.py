@@ -3,8 +3,7 @@
 The reference is batch only.  Retail cleaning and a fitted model's scoring
 are row-local, so the same functions apply unchanged to a streaming
 DataFrame (``spark.readStream``); :func:`clean_stream` wires that up and
-:func:`rfm_per_batch` recomputes customer features for the customers touched
-by each micro-batch against the accumulated, cleaned table.
+:func:`write_clean` appends the cleaned rows to a table.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from tessera.operators.dbscan import dbscan
 from tessera.operators.iforest import outlier_iforest
 from tessera.operators.knn import knn_classify, lof_scores
 from tessera.operators.neighbors import pairwise_distance
-from tessera.sources.synth import SHAPES
+from shapes import SHAPES
 
 
 def brute_dbscan(X, eps, ms):
