@@ -21,8 +21,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Factorisation machine: documents scoring under 0.3 go."""
     labels = common.table(spark, sf_dir, "labels").where(common.doc_crc() % 5 != 0)
     model = quality.fit(docs, labels.select("doc_id", F.col("quality").alias("label")))
-    scored = docs.select(*COLUMNS, quality.score_of(model).alias("_score"))
-    return scored.where(F.col("_score") >= 0.3).select(*COLUMNS)
+    return quality.keep_good(docs.select(*COLUMNS), model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,13 +149,19 @@ def score(docs: DataFrame, model: dict, keep: list[Column], text: str = "text",
     return stream(kept, run, f"{fields}, score double, predicted int", binary=(at,))
 
 
-def score_of(model: dict, text: str = "text") -> Column:
-    """The score as a column expression (Arrow batches of texts alone go to
-    Python, other columns stay where they are)."""
-    def run(texts: pd.Series) -> pd.Series:
-        cache: dict = {}
-        f = [logits(model, *features(None if t is None else t.encode("utf-8", "surrogatepass"), cache))
-             for t in texts]
-        return pd.Series(1 / (1 + np.exp(-np.clip(f, -30, 30))), dtype="float64")
+def keep_good(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, all columns as
+    they were (whole Arrow slices are filtered, only texts become objects)."""
+    at = docs.columns.index(text)
 
-    return F.pandas_udf(run, "double")(F.col(text))
+    def run(batches):
+        cache: dict = {}
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = part.column(at).cast(pa.binary()).to_pylist()
+                f = np.array([logits(model, *features(t, cache)) for t in texts])
+                keep = pa.array(1 / (1 + np.exp(-np.clip(f, -30, 30))) >= threshold)
+                yield part.filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
