@@ -96,20 +96,23 @@ def gaussian_nb_fit(train: DataFrame, features: list[str], label: str = "label",
     return model
 
 
-def _nb_jll_sql(model: dict, cls: dict) -> str:
-    e = dlit(math.log(cls["prior"]))
-    for c, m, v in zip(model["features"], cls["mean"], cls["var"]):
-        d = f"(CAST({ident(c)} AS DOUBLE) - {dlit(m)})"
-        e += f" - {dlit(0.5 * math.log(2 * math.pi * v))} - {d} * {d} / {dlit(2.0 * v)}"
-    return e
+def _nb_jll_sql(cls: dict) -> str:
+    """Joint log-likelihood over the feature array ``_x``: the expression does
+    not grow with the number of features, only its two literal arrays do."""
+    const = math.log(cls["prior"]) - sum(0.5 * math.log(2 * math.pi * v) for v in cls["var"])
+    mean = "array(" + ", ".join(dlit(m) for m in cls["mean"]) + ")"
+    scale_ = "array(" + ", ".join(dlit(2.0 * v) for v in cls["var"]) + ")"
+    terms = f"zip_with(zip_with(_x, {mean}, (a, m) -> (a - m) * (a - m)), {scale_}, (d, v) -> d / v)"
+    return f"{dlit(const)} - aggregate({terms}, 0D, (s, t) -> s + t)"
 
 
 def gaussian_nb_predict(df: DataFrame, model: dict, out: str = "prediction") -> DataFrame:
     """Adds ``prediction`` (largest joint log-likelihood, smallest label on
     ties) and ``probability`` (array, classes in label order)."""
     labels = [c["label"] for c in model["classes"]]
-    jll = "array(" + ", ".join(_nb_jll_sql(model, c) for c in model["classes"]) + ")"
-    d = df.withColumn("_jll", F.expr(jll))
+    jll = "array(" + ", ".join(_nb_jll_sql(c) for c in model["classes"]) + ")"
+    x = F.expr("array(" + ", ".join(f"CAST({ident(c)} AS DOUBLE)" for c in model["features"]) + ")")
+    d = df.withColumn("_x", x).withColumn("_jll", F.expr(jll)).drop("_x")
     mx = F.array_max("_jll")
     pred = F.element_at(F.array(*[F.lit(float(l)) for l in labels]),
                         F.array_position("_jll", mx).cast("int"))

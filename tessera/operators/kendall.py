@@ -43,17 +43,20 @@ def discordant(pts: DataFrame, ranges: int | None = None) -> float:
 def kendall_tau(df: DataFrame, a: str, b: str, ranges: int | None = None) -> float | None:
     d = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) \
         .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-    pts = materialize(d.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")), "kendall")
+    pts = written = materialize(d.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")), "kendall")
     tie = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
     n = pts.agg(F.sum("w")).first()[0] or 0.0
-    n1 = pts.groupBy("x").agg(F.sum("w").alias("t")).agg(tie("t")).first()[0] or 0.0
-    n2 = pts.groupBy("y").agg(F.sum("w").alias("t")).agg(tie("t")).first()[0] or 0.0
+    ties = {c: pts.groupBy(c).agg(F.sum("w").alias("t")).agg(tie("t").alias("s"), F.count(F.lit(1)).alias("k")).first()
+            for c in "xy"}
+    n1, n2 = ties["x"]["s"] or 0.0, ties["y"]["s"] or 0.0
+    if ties["x"]["k"] > ties["y"]["k"]:  # symmetric: fewer ranks mean fewer bits
+        pts = pts.select(F.col("y").alias("x"), F.col("x").alias("y"), "w")
     n3 = pts.agg(tie("w")).first()[0] or 0.0
     n0 = n * (n - 1) / 2
     if n0 - n1 <= 0 or n0 - n2 <= 0:
         return None
     disc = discordant(pts, ranges)
-    discard(pts)
+    discard(written)
     conc = n0 - n1 - n2 + n3 - disc
     return (conc - disc) / math.sqrt((n0 - n1) * (n0 - n2))
 

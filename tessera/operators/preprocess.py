@@ -16,6 +16,7 @@ from tessera.functions.colstats import column_stats
 from tessera.functions.columns import numeric_cols, stack_long
 from tessera.functions.mode import modes
 from tessera.functions.sqltext import dlit, ident
+from tessera.session import materialize
 
 
 def _replace(df: DataFrame, exprs: dict) -> DataFrame:
@@ -233,7 +234,8 @@ def preprocess(df: DataFrame, cols: list[str] | None = None, impute_strategy: st
     if cap:
         b = cap_bounds(work, cols, cap, cap_k)
         n = sum(capped_count(work, b).first())
-        work = cap_outliers(work, cols, bounds=b)
+        # later fits read the capped table, not the source and every step again
+        work = materialize(cap_outliers(work, cols, bounds=b), "preprocess")
         steps.append(("cap", f"{cap}: {n} cells capped"))
     if scaler:
         work = scale(work, cols, scaler)

@@ -9,6 +9,7 @@ from tessera.operators import classify as C
 from tessera.operators import metrics as M
 from tessera.plans.q_retail import CLEAN_SQL, rfm_base_sql, rfm_frame
 from tessera.plans.registry import register
+from tessera.session import materialize
 from tessera.sources.tables import load
 
 NB_FEATS = ["Recency", "Frequency", "AvgOrderValue"]
@@ -25,8 +26,8 @@ def nb_predictions(spark, sf_dir):
     d = rfm_split(spark, sf_dir)
     m = C.gaussian_nb_fit(d.where(~F.col("is_test")), NB_FEATS)
     p = C.gaussian_nb_predict(d.where(F.col("is_test")), m)
-    return p.select("CustomerID", "label", "prediction",
-                    F.element_at("probability", 2).alias("score"))
+    # metrics read the predictions several times
+    return materialize(p.select("CustomerID", "label", "prediction", F.element_at("probability", 2).alias("score")), "nb")
 
 
 def _nb_sql(src: str, id_col: str, label_expr: str, feats: list[str], n_classes: int, is_test: str | None = None) -> str:
@@ -168,7 +169,7 @@ def nb_multi_predictions(spark, sf_dir):
     d = C.train_test_split(emb_frame(spark, sf_dir).withColumn("label", F.col("label").cast("double")),
                            "vec_id", 0.25, 42, method="portable")
     m = C.gaussian_nb_fit(d.where(~F.col("is_test")), EMB_FEATS)
-    return C.gaussian_nb_predict(d.where(F.col("is_test")), m).select("vec_id", "label", "prediction")
+    return materialize(C.gaussian_nb_predict(d.where(F.col("is_test")), m).select("vec_id", "label", "prediction"), "nb")
 
 
 @register("class_report_multi", _report_sql(NB_MULTI_CTE))
@@ -193,7 +194,6 @@ MODEL_FEATS = ["Recency", "Frequency", "Monetary", "AvgOrderValue"]
 def scaled_split(spark, sf_dir):
     """Training and test rows, scaled by the training rows' statistics."""
     from tessera.operators.preprocess import scale
-    from tessera.session import materialize
     d = materialize(rfm_split(spark, sf_dir), "split")
     tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
     sp = C.fit_scaler(tr, MODEL_FEATS)
