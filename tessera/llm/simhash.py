@@ -235,12 +235,26 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, col: str = "_fp") -> Da
             yield held
 
     tree = materialize(stream(spread, index, schema, step=512), "simhash-index")
+    near = tree.where(F.col("a").isNotNull()).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     runs = tree.where(F.col("x").isNotNull()).drop("a", "b")
+
+    def members(it):
+        for t, run, x in it:
+            for f in _back(np.frombuffer(x, np.uint64), moves[t]).view(np.int64).tolist():
+                yield t, run, f
+
+    # runs that links inside runs have already connected need not meet again: a dense
+    # group that fills many runs is compared along its runs, not run by run
+    comp = connected_components(near)
+    one = stream(runs.select("t", "run", "x"), members, "t int, run long, vertex long") \
+        .join(comp, "vertex", "left").withColumn("c", F.coalesce("component", "vertex")).groupBy("t", "run") \
+        .agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    runs = runs.join(one, ["t", "run"]).withColumn("whole", F.when(F.col("lo") == F.col("hi"), F.col("lo"))).drop("lo", "hi")
     other = runs.select("t", "key", F.col("run").alias("run2"), F.col("pattern").alias("p2"),
-                        F.col("mask").alias("m2"), F.col("x").alias("x2"))
+                        F.col("mask").alias("m2"), F.col("x").alias("x2"), F.col("whole").alias("whole2"))
     shared = F.col("mask").bitwiseAND(F.col("m2"))
     pairs = runs.join(other, ["t", "key"]).where(
-        (F.col("run") < F.col("run2"))
+        (F.col("run") < F.col("run2")) & ~F.coalesce(F.col("whole") == F.col("whole2"), F.lit(False))
         & (F.bit_count(F.col("pattern").bitwiseXOR(F.col("p2")).bitwiseAND(shared)) <= max_bits))
     pairs = pairs.select("t", "x", "x2").repartition(n_partitions(spark))
 
@@ -251,9 +265,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, col: str = "_fp") -> Da
             for p, q in links(x, y, max_bits):
                 yield int(o[p]), int(o[q])
 
-    far = stream(pairs, across, "src long, dst long")
-    near = tree.where(F.col("a").isNotNull()).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return near.unionByName(far)
+    return near.unionByName(stream(pairs, across, "src long, dst long"))
 
 
 def components(docs: DataFrame, keep: list[Column] = (), row_id: str = "doc_id", text: str = "text",
