@@ -6,7 +6,7 @@ cost flow on a bipartite graph of shards, solved on the driver from one number
 per shard (both counts are parameters).  Each old shard is a line of rows in
 hash order, cut into blocks; the flow cuts the line into consecutive stretches,
 one per destination.  Whole blocks move, and the few rows around a cut decide
-by the middle of their bytes.  Offsets are block totals plus running sums
+by the middle of their bytes; a few single rows then even out the rest.  Offsets are block totals plus running sums
 inside a block, so no task ever sees a whole shard.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import n_partitions
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 
 def cheapest_transfers(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -69,6 +69,32 @@ def even_capacities(total: int, n_new: int) -> list[int]:
     return [total // n_new + (j < total % n_new) for j in range(n_new)]
 
 
+def _corrections(cut: DataFrame, capacity: list[int]) -> list[tuple[int, int, int]]:
+    """Single rows ``(tie, size, new shard)`` that even out what the cuts left,
+    at most half a row each: one row per shard and size class is offered (a
+    few dozen a shard), the best fitting one goes from the fullest shard to
+    the emptiest while that helps."""
+    n = len(capacity)
+    load = {r["_shard"]: r["s"] for r in cut.groupBy("_shard").agg(F.sum("_size").alias("s")).collect()}
+    over = [load.get(j, 0) - capacity[j] for j in range(n)]
+    same = cut.groupBy("_shard", "_tie", "_size").agg(F.count(F.lit(1)).alias("c")).where("c = 1")  # not repeated rows
+    size_class = F.floor(F.log2(F.col("_size").cast("double")) * 2)
+    offer = [(r["_shard"], r["m"]["_size"], r["m"]["_tie"]) for r in same.groupBy("_shard", size_class.alias("k")).agg(
+        F.min(F.struct("_tie", "_size")).alias("m")).collect()]
+    out = []
+    while True:
+        j, k = max(range(n), key=over.__getitem__), min(range(n), key=over.__getitem__)
+        want = min(over[j], -over[k])
+        mine = sorted((abs(size - want), size, tie) for s, size, tie in offer if s == j)
+        if not mine or max(abs(over[j] - mine[0][1]), abs(over[k] + mine[0][1])) >= max(over[j], -over[k]):
+            return out
+        _, size, tie = mine[0]
+        offer.remove((j, size, tie))
+        over[j] -= size
+        over[k] += size
+        out.append((tie, size, k))
+
+
 def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 8,
             text: str = "text", row_id: str = "doc_id", carry: tuple[str, ...] = (),
             rows_per_block: int = 20_000) -> DataFrame:
@@ -96,7 +122,8 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 8,
     blocks = materialize(d.groupBy("_old", "_block").agg(F.sum("_size").alias("_bytes")), "reshard-blocks")
     sums = {r["_old"]: r["_s"] for r in blocks.groupBy("_old").agg(F.sum("_bytes").alias("_s")).collect()}
     supply = [sums.get(i, 0) for i in range(n_old)]
-    flow = cheapest_transfers(supply, even_capacities(sum(supply), n_new), lambda i, j: int(i != j))
+    capacity = even_capacities(sum(supply), n_new)
+    flow = cheapest_transfers(supply, capacity, lambda i, j: int(i != j))
 
     cuts = []  # a basic flow has fewer than n_old + n_new stretches
     for i in range(n_old):
@@ -114,10 +141,16 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 8,
     order = ["_tie", row_id, "_size"]
     run = F.sum("_size").over(Window.partitionBy("_old", "_block").orderBy(*order)
                               .rowsBetween(Window.unboundedPreceding, 0))
-    placed = d.join(before, ["_old", "_block"]) \
-        .withColumn("_mid", F.col("_before") + run - F.col("_size") / 2).withColumn("_shard", shard) \
+    cut = d.join(before, ["_old", "_block"]) \
+        .withColumn("_mid", F.col("_before") + run - F.col("_size") / 2).withColumn("_shard", shard)
+    cut = materialize(cut.drop("_before", "_mid"), "reshard-cut")
+    moved = F.col("_shard")
+    for tie, size, j in _corrections(cut, capacity):
+        moved = F.when((F.col("_tie") == tie) & (F.col("_size") == size), F.lit(j)).otherwise(moved)
+    placed = cut.withColumn("_shard", moved) \
         .withColumn("_rn", F.row_number().over(Window.partitionBy("_old", "_block", "_shard").orderBy(*order)))
-    placed = materialize(placed.drop("_before", "_mid"), "reshard-placed")
+    placed = materialize(placed, "reshard-placed")
+    discard(cut)
     slots = placed.groupBy("_shard", "_old", "_block").agg(F.count(F.lit(1)).alias("_n"))
     slots = slots.select("_shard", "_old", "_block", (F.sum("_n").over(
         Window.partitionBy("_shard").orderBy("_old", "_block")) - F.col("_n")).alias("_off"))
