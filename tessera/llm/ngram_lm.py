@@ -44,7 +44,7 @@ START, END = b" start", b" end"
 MESSAGE = pa.schema([("to", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()),
                      ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 MESSAGE_SQL = "to int, src int, kind int, a binary, b binary, c binary, d binary"
-PAIRS, HOT_PAIRS, WORDS, PAIR_ANSWER, HOT_ANSWER, CONTEXT, CONTINUATION, TOTALS, WORD_ANSWER = range(9)
+PAIRS, HOT_PAIRS, WORDS, PLACES, PAIR_ANSWER, HOT_ANSWER, CONTEXT, CONTINUATION, TOTALS, WORD_ANSWER = range(10)
 
 
 def _numbers(x: np.ndarray) -> bytes:
@@ -110,6 +110,7 @@ class Block:
         start = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
         self.pairs = pair[start]
         self.pair_counts = np.add.reduceat(both & 1, start)
+        del flat, at, first, both, pair, start
         self.word_counts = np.bincount(self.second[learned], minlength=len(h))
         self.v = self.pairs // len(h)
         self.w = self.pairs - self.v * len(h)
@@ -151,11 +152,17 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def add_up_pairs(rows, bucket: int, buckets: int):
     """Step 2 for one bucket."""
-    asked, v, w, n, own = [], [], [], [], {}
+    asked, v, w, n, own, counts = [], [], [], [], {}, []
     for _, src, kind, a, b, _, _ in rows:
         if kind == WORDS:
             own[src] = np.frombuffer(a, np.uint64)
-            yield bucket, src, WORDS, a, b, None, None
+            counts.append(_read(b))
+    # the bucket's words once, and every block's list as steps through them
+    words, total = _sums(np.concatenate(list(own.values())), np.concatenate(counts)) if own else (None, None)
+    if own:
+        yield bucket, bucket, WORDS, words.tobytes(), _numbers(total), None, None
+    for src, h in own.items():
+        yield bucket, src, PLACES, _numbers(np.diff(np.searchsorted(words, h), prepend=0)), None, None, None
     for _, src, kind, a, b, c, d in rows:
         if kind != WORDS:
             w.append(_from_six(c))
@@ -202,7 +209,9 @@ def add_up_words(rows, bucket: int):
         if kind in (PAIR_ANSWER, HOT_ANSWER):
             yield src, bucket, kind, a, None, None, None
         elif kind == WORDS:
-            asked.append((src, np.frombuffer(a, np.uint64), _read(b)))
+            words, n = np.frombuffer(a, np.uint64), _read(b).astype(np.int64)
+        elif kind == PLACES:
+            asked.append((src, np.cumsum(_read(a), dtype=np.int64)))
         elif kind == CONTEXT:
             ctx.append((np.frombuffer(a, np.uint64), _read(b).reshape(4, -1)))
         elif kind == CONTINUATION:
@@ -211,7 +220,6 @@ def add_up_words(rows, bucket: int):
             pairs += np.frombuffer(a)
     if not asked:
         return
-    words, n = _sums(np.concatenate([x[1] for x in asked]), np.concatenate([x[2] for x in asked]))
     table = np.zeros((6, len(words)), np.int64)  # count, continuations, context count, followers once, twice, more
     table[0] = n
     if ctx:
@@ -222,8 +230,8 @@ def add_up_words(rows, bucket: int):
         short = words >> np.uint64(16)
         at = np.minimum(np.searchsorted(got[0], short), len(got[0]) - 1)
         table[1] = np.where(got[0][at] == short, got[1][at], 0)
-    for src, h, _ in asked:
-        yield src, bucket, WORD_ANSWER, _numbers(table[:, np.searchsorted(words, h)]), None, None, None
+    for src, at in asked:
+        yield src, bucket, WORD_ANSWER, _numbers(table[:, at]), None, None, None
     c = table[1]
     sums = [n.sum(), (n > 0).sum(), c.sum(), *((c == k).sum() for k in (1, 2, 3, 4)), (c >= 3).sum(), *pairs]
     yield asked[0][0], bucket, TOTALS, np.array(sums, np.float64).tobytes(), None, None, None
