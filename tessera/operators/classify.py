@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.rank import avg_rank, running_totals
 from tessera.functions.sqltext import dlit, ident
-from tessera.operators.core import portable_hash, require_rows
+from tessera.operators.core import default_features, portable_hash, require_rows
 from tessera.operators.preprocess import scale, scale_params
 from tessera.session import discard, materialize
 
@@ -337,14 +337,16 @@ def fit_scaler(train: DataFrame, features: list[str]) -> dict:
 MODELS = ["dt", "nb", "rf", "gbt", "svm_linear", "ada"]
 
 
-def compare_models(df: DataFrame, id_col: str, features: list[str], y: str,
+def compare_models(df: DataFrame, id_col: str, features: list[str] | None, y: str,
                    models: list[str] | None = None, test_ratio: float = 0.25, seed: int = 42,
                    params: dict | None = None, method: str = "xxhash64"):
     """Split once (stratified), scale on train, fit each model, score the test rows.
 
-    Needs 20 complete rows.  Returns ``(leaderboard DataFrame, {model: predictions})``.
+    Without ``features`` the first four numeric columns are used.  Needs 20
+    complete rows.  Returns ``(leaderboard DataFrame, {model: predictions})``.
     """
     from tessera.operators.metrics import classification_metrics
+    features = features or default_features(df.drop(id_col, y), 4)
     complete = df.na.drop(subset=[*features, y])
     require_rows(complete, 20, "classification")
     data, n_classes = encode_label(complete, y)

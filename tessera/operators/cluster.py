@@ -10,6 +10,7 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.core import require_rows
 from tessera.session import materialize
 
 
@@ -106,6 +107,9 @@ def silhouette(df: DataFrame, id_col: str, cols: list[str], label: str) -> float
 
 def elbow(df: DataFrame, cols: list[str], k_max: int = 11, n_init: int = 5, seed: int = 42) -> DataFrame:
     """k = 2..min(k_max, n-1): inertia and (squared) silhouette per k."""
+    require_rows(df, 10, "clustering")
+    if len(cols) < 2:
+        raise ValueError("clustering needs at least two features")
     data = kmeans_input(df, cols)  # written once for all k
     n = data.count()
     rows = []

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.quantile import quantiles
+from tessera.operators.core import require_rows
 from tessera.session import materialize
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size long"
@@ -132,6 +133,7 @@ def outlier_iforest(df: DataFrame, id_col: str, features: list[str], contaminati
                     n_trees: int = 100, psi: int = 256, seed: int = 42) -> DataFrame:
     """``(id, score, iforest)``: flag = score above its (1 - contamination) quantile."""
     data = df.na.drop(subset=features)
+    require_rows(data, 10, "outlier detection")
     forest = fit(data, id_col, features, n_trees, psi, seed)
     # scored once; the threshold and the flags read the written scores
     sc = materialize(score(data, forest, features, [id_col]), "iforest")

@@ -413,3 +413,16 @@ def q_csv_roundtrip(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-csv-{uuid.uuid4().hex}"
     write_csv(o, path)
     return scan_csv(spark, path, encoding="latin-1", schema=o.schema)
+
+
+_DEFAULT3 = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+@register("corr_default", union_sql([f"""SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM customer"""
+                                     for a in _DEFAULT3 for b in _DEFAULT3]))
+def q_corr_default(spark, sf_dir):
+    """Correlations of the columns chosen by default."""
+    from tessera.operators.core import default_features
+    c = load(spark, sf_dir, "customer")
+    r = pearson(c, default_features(c, 3))
+    return r.select("col_a", "col_b", F.round("corr", 6).alias("corr"))

@@ -189,3 +189,11 @@ def q_top_rules_by_key(spark, sf_dir):
     tops = [R.as_text(R.top_rules(arrays, k, 15), ["antecedents", "consequents"]).select(
         F.lit(k).alias("sorted_by"), "antecedents", "consequents", F.col(k).alias("value")) for k in R.SORT_KEYS]
     return reduce(lambda a, b: a.unionByName(b), tops)
+
+
+@register("rules_end_to_end", f"""SELECT antecedents || ' → ' || consequents AS rule, support, confidence, lift
+FROM ({_rules_sql(BRAND_ROWS_SQL, 0.02, 0.1, 0.5)})""")
+def q_rules_end_to_end(spark, sf_dir):
+    """From retail rows to sorted rule texts with the default columns."""
+    _, rules = R.mine_rules(retail_view(spark, sf_dir), min_support=0.02, max_len=3, min_confidence=0.1, min_lift=0.5)
+    return R.rule_text(rules).select("rule", *[F.round(c, 6).alias(c) for c in ["support", "confidence", "lift"]])
