@@ -105,7 +105,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 8,
     Returns ``row_id, size, text_crc32, old_shard, shard, slot`` and the
     columns named in ``carry``.  ``size`` is the UTF-8 length plus one (null
     text: one byte, crc of the empty text); ``slot`` counts from 0 without gaps
-    in each shard.  Other columns of ``docs`` are ignored, so their names never
+    in each shard.  A null ``old_shard`` counts as 0.  Other columns of ``docs`` are ignored, so their names never
     clash.  Null ids and repeated rows are ordinary rows; an empty table gives
     an empty result.  Rows equal in id and text are interchangeable, all other
     ties are broken by hash, so reruns agree.
@@ -114,7 +114,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 8,
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(F.col(row_id), *[F.col(c) for c in carry if c != row_id],
                     (F.octet_length(t) + 1).cast("long").alias("_size"), F.crc32(t).alias("_crc"),
-                    old_shard.cast("int").alias("_old"), F.xxhash64(F.col(row_id), t).alias("_tie"))
+                    F.coalesce(old_shard.cast("int"), F.lit(0)).alias("_old"), F.xxhash64(F.col(row_id), t).alias("_tie"))
     d = materialize(d, "reshard")
     rows = d.count()
     n_blocks = max(4 * n_partitions(spark), -(-rows // rows_per_block))
