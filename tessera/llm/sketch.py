@@ -30,7 +30,7 @@ def word_hashes(words: list[bytes], cache: dict) -> np.ndarray:
     for w in words:
         h = get(w)
         if h is None:
-            if len(cache) > 400_000:
+            if len(cache) > 200_000:
                 cache.clear()
             h = cache[w] = xxhash.xxh64_intdigest(w)
         out.append(h)

@@ -39,7 +39,7 @@ from tessera.session import discard, materialize
 
 LENGTH, SEED = 20, 5
 #: Places from which on a seed's windows travel one by one; words that a shard's stretches should have.
-HOT, SHARD_WORDS = 20_000, 100_000
+HOT, SHARD_WORDS = 20_000, 50_000
 _LAST = (1 << 63) - 1
 
 
@@ -175,7 +175,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED, ho
         for tid, text in rows_of(batches, (1,)):
             if tid in met:  # equal texts count once a task
                 continue
-            if len(met) > 500_000:
+            if len(met) > 200_000:
                 met.clear()
             met.add(tid)
             k, least = window_seeds(word_hashes(text.split(), cache), length, seed)
