@@ -24,7 +24,7 @@ from tessera.llm.common import stream
 from tessera.session import materialize
 
 #: Sample from which pivots are chosen, pivots, vectors in a shard, queries in a block.
-PIVOT_SAMPLE, PIVOTS, SHARD, BLOCK = 4_096, 256, 4_096, 512
+PIVOT_SAMPLE, PIVOTS, SHARD, BLOCK = 4_096, 256, 4_096, 4_096
 
 
 def usable(vector: Column) -> Column:
@@ -131,7 +131,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = 0.05
         for dim in list(buf):
             yield pack(dim)
 
-    blocks = stream(rows.where("q").select("id", "v"), query_rows, "dim int, qid binary, qx binary", step=4)
+    asked = rows.where("q").select("id", "v")
+    full = max(1, -(-asked.count() // BLOCK))  # so many tasks fill their blocks, each reading a part of the queries
+    blocks = stream(asked.coalesce(full), query_rows, "dim int, qid binary, qx binary", step=4)
     blocks = materialize(blocks, "ann-queries")
     # every shard meets every query block of its vector length: an equi-join of rows of fixed size
     n_rows = blocks.groupBy("dim").count()
