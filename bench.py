@@ -1,10 +1,11 @@
 """Benchmark: wall time of the headline queries at one scale factor.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (8),
-BENCH_QUERIES (comma list, optional), BENCH_REPEAT (3), BENCH_GROWTH (1).  Each
+BENCH_QUERIES (comma list, optional), BENCH_REPEAT (1), BENCH_GROWTH (0).  Each
 query is built and fully executed (noop sink, no collect) in a warm session;
-prints one JSON line with per-query seconds, their sum and, for every query,
-the factor from the next smaller scale factor to this one.  Queries under
+prints one JSON line with per-query seconds, their sum and, with
+BENCH_GROWTH=1, the factor from the next smaller scale factor to this one (all
+queries run there too, so allow twice the time).  Queries under
 ``AGAIN_S`` seconds are repeated and give their median; longer ones run once.
 Every modelling query derives its customer table itself.
 """
@@ -30,8 +31,7 @@ HEADLINE = [
     "bin_quantile", "pca", "outlier_flags", "impact", "baskets", "itemsets_type", "rules_type",
     "itemsets_brand", "gaussian_nb", "class_report", "roc", "auc", "cluster_profile", "kmeans",
     "model_dt", "corr_kendall", "outlier_lof", "knn_classify", "dbscan",
-    "outlier_iforest", "kmeans_check", "silhouette", "elbow", "model_rf", "model_gbt", "model_ada", "model_svm_rbf",
-    "leaderboard_nb",
+    "outlier_iforest", "silhouette", "model_rf",
 ]
 AGAIN_S = 4.0
 SMALLER = {"sf0.1": "sf0.01", "sf0.01": "sf0.001"}
@@ -40,13 +40,13 @@ SMALLER = {"sf0.1": "sf0.01", "sf0.01": "sf0.001"}
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     names = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
                       extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "8g"),
                              "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tessera-bench-")})
     small = None
-    if os.environ.get("BENCH_GROWTH", "1") == "1":
+    if os.environ.get("BENCH_GROWTH", "0") == "1":
         base = os.path.basename(sf_dir.rstrip("/"))
         small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), SMALLER.get(base, ""))
         small = small if base in SMALLER and os.path.isdir(small) else None
@@ -64,6 +64,7 @@ def main() -> None:
         while len(runs) < repeat and runs[0] < AGAIN_S:
             runs.append(run(name, sf_dir))
         times[name] = round(statistics.median(runs), 3)
+        print(name, times[name], file=sys.stderr, flush=True)
         if before:
             growth[name] = round(times[name] / before, 2)
     m = re.search(r"sf([0-9.]+)", sf_dir)
