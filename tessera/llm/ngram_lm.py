@@ -1,4 +1,4 @@
-"""N-gram scoring: an interpolated modified Kneser-Ney bigram model.
+"""N-gram scoring: an interpolated modified Kneser-Ney model of order 2 or 3.
 
 The model of a large corpus fits no single worker, so documents are dealt into
 blocks, and the model into buckets by word hash:
@@ -19,6 +19,12 @@ Every message's size follows the data, not the number of occurrences of any
 word.  Pairs of a frequent first word would all meet in one bucket; they are
 dealt by their second word instead, and the pieces of such a context are added
 up in step 3.  First words are not sent: a bucket's pairs follow its word list.
+
+With order 3 a bucket of triples comes before step 2.  Triples follow the pair
+that they begin with, so its context is known on the spot; where both words of
+the pair are frequent, triples are dealt by their own hash and the pieces of
+the context are added up in step 2.  A pair then counts the distinct words
+before it (its occurrences, at the start of a text), as Kneser-Ney asks.
 """
 
 from __future__ import annotations
@@ -45,6 +51,9 @@ MESSAGE = pa.schema([("to", pa.int32()), ("src", pa.int32()), ("kind", pa.int32(
                      ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 MESSAGE_SQL = "to int, src int, kind int, a binary, b binary, c binary, d binary"
 PAIRS, HOT_PAIRS, WORDS, PLACES, PAIR_ANSWER, HOT_ANSWER, CONTEXT, CONTINUATION, TOTALS, WORD_ANSWER = range(10)
+#: Order 3.  Lists of triples follow PAIRS, HOT_PAIRS or none; their answers come in the same order of kinds.
+TRIPLES, HOT_TRIPLES, FREE_TRIPLES, TRIPLE_ANSWER, HOT_TRIPLE_ANSWER, FREE_ANSWER = range(10, 16)
+PAIR_TABLE, PAIR_PLACES, HOT_PLACES, SUFFIX, PAIR_CONTEXT, TRIPLE_TOTALS = range(16, 22)
 
 
 def _numbers(x: np.ndarray) -> bytes:
@@ -76,10 +85,26 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int32)
 
 
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of two columns of numbers."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(31))
+
+
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a new row begins among equal ones."""
+    n = len(sorted_columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for x in sorted_columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 class Block:
-    """Distinct words and word pairs of some documents, sorted by hash."""
+    """Distinct words, word pairs and (order 3) triples of some documents, sorted by hash."""
 
-    def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int, hot: np.ndarray):
+    def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int, hot: np.ndarray, order: int = 2):
         ids: dict[bytes, int] = defaultdict(count().__next__)
         ids[START], ids[END]
         rows = []
@@ -90,10 +115,10 @@ class Block:
             row[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
             rows.append(row)
         h = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))
-        order = np.argsort(h)
+        by_hash = np.argsort(h)
         rank = np.empty(len(h), dtype=np.int64)
-        rank[order] = np.arange(len(h))
-        self.words = h[order]
+        rank[by_hash] = np.arange(len(h))
+        self.words = h[by_hash]
         self.sizes = np.array([len(r) - 1 for r in rows])  # tokens, with the end
         flat = rank[np.concatenate(rows)]
         del rows, ids
@@ -123,6 +148,58 @@ class Block:
         self.pair_cuts = np.searchsorted(part[self.pair_order], np.arange(2 * buckets + 1))
         self.word_order = np.argsort(own, kind="stable")
         self.word_cuts = np.searchsorted(own[self.word_order], np.arange(buckets + 1))
+        self.order = order
+        if order == 3:
+            self.pair_counts = np.where(self.v == rank[0], self.pair_counts, 0)  # others count the words before them
+            self._triples(learned, is_hot, by_second, part, buckets, hot)
+
+    def _triples(self, learned, is_hot, by_second, part, buckets: int, hot: np.ndarray) -> None:
+        size = len(self.words)
+        pair = np.searchsorted(self.pairs, self.keys)
+        self.later = np.ones(len(pair), bool)  # tokens with two before them
+        self.later[np.concatenate(([0], np.cumsum(self.sizes)[:-1]))] = False
+        at = np.flatnonzero(self.later)
+        self.before = pair[at - 1].astype(np.int32)
+        self.triple_keys = pair[at - 1] * size + self.second[at]
+        del pair
+        both = self.triple_keys * 2 + learned[at]
+        both.sort()
+        triple = both >> 1
+        start = _starts(triple)
+        self.triples = triple[start]
+        self.triple_counts = (np.add.reduceat(both & 1, start) if len(start) else start).astype(np.int32)
+        del both, triple, start
+        first = self.triples // size
+        self.third = (self.triples - first * size).astype(np.int32)
+        free = by_second[first] & is_hot[self.w[first]]
+        self.pair_followers = np.bincount(first[~free], minlength=len(self.pairs))
+        self.hot_of = np.searchsorted(hot, self.words)  # the place among hot words, if it is one
+        self.begin = first.astype(np.int32)
+        number = self.hot_of[self.v[first]] * (len(hot) + 1) + self.hot_of[self.w[first]]
+        free_to = bucket_of(mix(number, self.words[self.third] >> np.uint64(16)), buckets)
+        list_of = np.where(free, 2 * buckets + free_to, part[first])
+        del first, free, number, free_to
+        self.triple_order = np.argsort(list_of, kind="stable").astype(np.int32)
+        self.triple_cuts = np.searchsorted(list_of[self.triple_order], np.arange(3 * buckets + 1))
+
+    def triple_list(self, bucket: int, kind: int) -> np.ndarray:
+        k = 2 * bucket + kind if kind < 2 else 2 * (len(self.word_cuts) - 1) + bucket
+        return self.triple_order[self.triple_cuts[k]:self.triple_cuts[k + 1]]
+
+    def triple_messages(self, block: int):
+        for k in range(len(self.word_cuts) - 1):
+            for kind in (0, 1, 2):
+                x = self.triple_list(k, kind)
+                if not len(x):
+                    continue
+                if kind < 2:
+                    p = self.pair_order[self.pair_cuts[2 * k + kind]:self.pair_cuts[2 * k + kind + 1]]
+                    a = _numbers(self.pair_followers[p])
+                else:
+                    f = self.begin[x]
+                    a = np.stack([self.hot_of[self.v[f]], self.hot_of[self.w[f]]]).astype(np.uint16).tobytes()
+                yield (k, block, TRIPLES + kind, a, _six(self.words[self.third[x]] >> np.uint64(16)),
+                       _numbers(self.triple_counts[x]), None)
 
     def messages(self, block: int):
         for k in range(len(self.word_cuts) - 1):
@@ -140,6 +217,8 @@ class Block:
                     first, n = self.words[v[start]].tobytes(), np.diff(np.append(start, len(v)))
                 yield (k, block, HOT_PAIRS if hot else PAIRS, first, _numbers(n),
                        _six(self.words[self.w[p]] >> np.uint64(16)), _numbers(self.pair_counts[p]))
+        if self.order == 3:
+            yield from self.triple_messages(block)
 
 
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -150,19 +229,25 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[start], *(np.add.reduceat(x[order].astype(np.int64), start) if len(start) else x[:0] for x in values))
 
 
-def add_up_pairs(rows, bucket: int, buckets: int):
-    """Step 2 for one bucket."""
-    asked, v, w, n, own, counts = [], [], [], [], {}, []
+def add_up_own(rows, bucket: int, own: dict):
+    """The bucket's words once, and every block's list as steps through them;
+    the lists are put into ``own``."""
+    counts = []
     for _, src, kind, a, b, _, _ in rows:
         if kind == WORDS:
             own[src] = np.frombuffer(a, np.uint64)
             counts.append(_read(b))
-    # the bucket's words once, and every block's list as steps through them
     words, total = _sums(np.concatenate(list(own.values())), np.concatenate(counts)) if own else (None, None)
     if own:
         yield bucket, bucket, WORDS, words.tobytes(), _numbers(total), None, None
     for src, h in own.items():
         yield bucket, src, PLACES, _numbers(np.diff(np.searchsorted(words, h), prepend=0)), None, None, None
+
+
+def add_up_pairs(rows, bucket: int, buckets: int):
+    """Step 2 for one bucket."""
+    asked, v, w, n, own = [], [], [], [], {}
+    yield from add_up_own(rows, bucket, own)
     for _, src, kind, a, b, c, d in rows:
         if kind != WORDS:
             w.append(_from_six(c))
@@ -172,8 +257,7 @@ def add_up_pairs(rows, bucket: int, buckets: int):
     if not asked:
         return
     v, w, n = np.concatenate(v), np.concatenate(w), np.concatenate(n).astype(np.int64)
-    mixed = v * np.uint64(0x9E3779B97F4A7C15) + w * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed ^= mixed >> np.uint64(31)
+    mixed = mix(v, w)
     order = np.argsort(mixed, kind="stable")
     mixed = mixed[order]
     new = np.concatenate(([True], mixed[1:] != mixed[:-1]))
@@ -186,7 +270,11 @@ def add_up_pairs(rows, bucket: int, buckets: int):
         yield bucket, src, kind, _numbers(answer[at:at + size]), None, None, None
         at += size
     known = total > 0
-    v, w, total = v[order[start]][known], w[order[start]][known], total[known]
+    yield from known_pairs(v[order[start]][known], w[order[start]][known], total[known], bucket, buckets)
+
+
+def known_pairs(v: np.ndarray, w: np.ndarray, total: np.ndarray, bucket: int, buckets: int):
+    """What a bucket knows of contexts and continuations, to the buckets of their words."""
     yield (bucket, bucket, TOTALS, np.array([(total == k).sum() for k in (1, 2, 3, 4)], np.float64).tobytes(),
            None, None, None)
     ctx = _sums(v, total, total == 1, total == 2, total >= 3)
@@ -202,11 +290,133 @@ def add_up_pairs(rows, bucket: int, buckets: int):
         yield k, bucket, CONTINUATION, _six(cont[0][p]), _numbers(cont[1][p]), None, None
 
 
+def add_up_triples(rows, bucket: int, buckets: int, hot: np.ndarray):
+    """Order 3, before step 2, for one bucket."""
+    own, lists = {}, {}
+    yield from add_up_own(rows, bucket, own)
+    for _, src, kind, a, b, c, d in rows:
+        if kind in (PAIRS, HOT_PAIRS):
+            v = np.repeat(own[src] if kind == PAIRS else np.frombuffer(a, np.uint64), _read(b))
+            lists[src, kind] = v, _from_six(c), _read(d).astype(np.int64)
+    # the bucket's pairs once, sorted, and every block's list as steps through them
+    v, w, n = (np.concatenate(x) for x in zip(*lists.values())) if lists else (np.empty(0, np.uint64),) * 3
+    order = np.lexsort((w, v))
+    start = _starts(v[order], w[order])
+    number = np.empty(len(v), np.int64)
+    number[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(v))))
+    n = np.add.reduceat(n[order].astype(np.int64), start) if len(start) else np.empty(0, np.int64)
+    v, w = v[order[start]], w[order[start]]
+    at, of = 0, {}
+    for (src, kind), x in lists.items():
+        of[src, kind] = number[at:at + len(x[0])]
+        at += len(x[0])
+        steps = np.diff(of[src, kind], prepend=0)
+        yield bucket, src, PAIR_PLACES if kind == PAIRS else HOT_PLACES, _numbers(steps), None, None, None
+    del lists, number, order
+    short = np.sort(hot) >> np.uint64(16)
+    asked, one, third, count = [], [], [], []
+    for _, src, kind, a, b, c, _ in rows:
+        if kind in (TRIPLES, HOT_TRIPLES, FREE_TRIPLES):
+            if kind == FREE_TRIPLES:  # numbered after the bucket's pairs
+                x = np.frombuffer(a, np.uint16).reshape(2, -1).astype(np.int64)
+                one.append(len(v) + x[0] * len(hot) + x[1])
+            else:
+                one.append(np.repeat(of[src, PAIRS if kind == TRIPLES else HOT_PAIRS], _read(a)))
+            third.append(_from_six(b))
+            count.append(_read(c))
+            asked.append((src, kind - TRIPLES + TRIPLE_ANSWER, len(count[-1])))
+    context = np.zeros((4, len(v)), np.int64)
+    if asked:
+        one, third, count = np.concatenate(one), np.concatenate(third), np.concatenate(count).astype(np.int64)
+        order = np.lexsort((third, one))
+        start = _starts(one[order], third[order])
+        total = np.add.reduceat(count[order], start)
+        answer = np.empty(len(count), np.int64)
+        answer[order] = np.repeat(total, np.diff(np.append(start, len(count))))
+        at = 0
+        for src, kind, size in asked:
+            yield bucket, src, kind, _numbers(answer[at:at + size]), None, None, None
+            at += size
+        known = total > 0
+        one, third, total = one[order[start]][known], third[order[start]][known], total[known]
+        del order, start, answer, count
+        got = _sums(one, total, total == 1, total == 2, total >= 3)
+        cold = got[0] < len(v)
+        context[:, got[0][cold]] = np.stack(got[1:])[:, cold]
+        i = got[0][~cold] - len(v)
+        if len(i):  # pieces, to the bucket of the pair, which is that of its second word
+            first, second, x = short[i // len(hot)], short[i % len(hot)], np.stack(got[1:])[:, ~cold]
+            yield from dealt(PAIR_CONTEXT, bucket_of(second << np.uint64(16), buckets), bucket, first, second, x)
+        if len(one):
+            j = np.maximum(one - len(v), 0)
+            middle = short[j % len(hot)] if len(hot) else np.zeros(len(one), np.uint64)
+            if len(v):
+                middle = np.where(one < len(v), w[np.minimum(one, len(v) - 1)], middle)
+            order = np.lexsort((third, middle))
+            middle, third = middle[order], third[order]
+            start = _starts(middle, third)
+            x = np.diff(np.append(start, len(middle)))[None]
+            middle, third = middle[start], third[start]
+            to = bucket_of(np.where(np.isin(middle, short), third, middle) << np.uint64(16), buckets)
+            yield from dealt(SUFFIX, to, bucket, middle, third, x)
+            # to a bucket that has words
+            yield (int(to[0]), bucket, TRIPLE_TOTALS,
+                   np.array([(total == k).sum() for k in (1, 2, 3, 4)], np.float64).tobytes(), None, None, None)
+    if len(v):
+        first = _starts(v)
+        yield (bucket, bucket, PAIR_TABLE, v[first].tobytes(), _numbers(np.diff(np.append(first, len(v)))), _six(w),
+               _numbers(np.concatenate([n[None], context]).ravel()))
+
+
+def dealt(kind: int, to: np.ndarray, bucket: int, v: np.ndarray, w: np.ndarray, x: np.ndarray):
+    """Messages about sorted pairs of short hashes, numbers of a pair in a column of ``x``."""
+    by = np.argsort(to, kind="stable")
+    cuts = _starts(to[by])
+    for p in np.split(by, cuts[1:]):
+        first = _starts(v[p])
+        yield (int(to[p[0]]), bucket, kind, _six(v[p][first]), _numbers(np.diff(np.append(first, len(p)))), _six(w[p]),
+               _numbers(x[:, p].ravel()))
+
+
+def add_up_pairs_of_triples(rows, bucket: int, buckets: int):
+    """Step 2 for one bucket, with order 3."""
+    asked, pieces, v = [], [], None
+    for row in rows:
+        _, src, kind, a, b, c, d = row
+        if kind == PAIR_TABLE:
+            v, w = np.repeat(np.frombuffer(a, np.uint64), _read(b)), _from_six(c)
+            table = _read(d).astype(np.int64).reshape(5, -1)  # count, context count, followers once, twice, more
+        elif kind in (PAIR_PLACES, HOT_PLACES):
+            asked.append((src, PAIR_ANSWER if kind == PAIR_PLACES else HOT_ANSWER, a))
+        elif kind in (SUFFIX, PAIR_CONTEXT):
+            pieces.append((kind, mix(np.repeat(_from_six(a), _read(b)), _from_six(c)), _read(d)))
+        else:
+            yield row
+    if v is None:
+        return
+    keys = mix(v >> np.uint64(16), w)
+    order = np.argsort(keys)
+    keys = keys[order]
+    for kind, key, x in pieces:
+        at = order[np.minimum(np.searchsorted(keys, key), len(keys) - 1)]
+        if (mix(v[at] >> np.uint64(16), w[at]) != key).any():
+            raise RuntimeError("a triple's pair is not in its bucket")
+        x = x.reshape(-1, len(key))
+        if kind == SUFFIX:
+            table[0, at] += x[0]
+        else:
+            table[1:, at] += x
+    for src, kind, a in asked:
+        yield bucket, src, kind, _numbers(table[:, np.cumsum(_read(a), dtype=np.int64)]), None, None, None
+    known = table[0] > 0
+    yield from known_pairs(v[known], w[known], table[0][known], bucket, buckets)
+
+
 def add_up_words(rows, bucket: int):
     """Step 3 for one bucket; answers go to their blocks."""
-    asked, ctx, cont, pairs = [], [], [], np.zeros(4)
+    asked, ctx, cont, pairs, triples = [], [], [], np.zeros(4), np.zeros(4)
     for _, src, kind, a, b, _, _ in rows:
-        if kind in (PAIR_ANSWER, HOT_ANSWER):
+        if kind in (PAIR_ANSWER, HOT_ANSWER, TRIPLE_ANSWER, HOT_TRIPLE_ANSWER, FREE_ANSWER):
             yield src, bucket, kind, a, None, None, None
         elif kind == WORDS:
             words, n = np.frombuffer(a, np.uint64), _read(b).astype(np.int64)
@@ -218,6 +428,8 @@ def add_up_words(rows, bucket: int):
             cont.append((_from_six(a), _read(b)))
         elif kind == TOTALS:
             pairs += np.frombuffer(a)
+        elif kind == TRIPLE_TOTALS:
+            triples += np.frombuffer(a)
     if not asked:
         return
     table = np.zeros((6, len(words)), np.int64)  # count, continuations, context count, followers once, twice, more
@@ -233,7 +445,7 @@ def add_up_words(rows, bucket: int):
     for src, at in asked:
         yield src, bucket, WORD_ANSWER, _numbers(table[:, at]), None, None, None
     c = table[1]
-    sums = [n.sum(), (n > 0).sum(), c.sum(), *((c == k).sum() for k in (1, 2, 3, 4)), (c >= 3).sum(), *pairs]
+    sums = [n.sum(), (n > 0).sum(), c.sum(), *((c == k).sum() for k in (1, 2, 3, 4)), (c >= 3).sum(), *pairs, *triples]
     yield asked[0][0], bucket, TOTALS, np.array(sums, np.float64).tobytes(), None, None, None
 
 
@@ -270,25 +482,31 @@ def score_block(block: Block, answers, stats: np.ndarray):
     n_train, vocab, n_cont = stats[0], stats[1], stats[2]
     m, n = stats[3:7], stats[8:12]
     table = np.zeros((6, len(block.words)), np.int64)
-    total = np.zeros(len(block.pairs), np.int64)
+    total = np.zeros((5 if block.order == 3 else 1, len(block.pairs)), np.int64)
+    triple = np.zeros(len(block.triples) if block.order == 3 else 0, np.int64)
     got = 0
     for bucket, kind, a in answers:
         x = _read(a)
         if kind in (PAIR_ANSWER, HOT_ANSWER):
             part = 2 * bucket + (kind == HOT_ANSWER)
-            total[block.pair_order[block.pair_cuts[part]:block.pair_cuts[part + 1]]] = x
+            p = block.pair_order[block.pair_cuts[part]:block.pair_cuts[part + 1]]
+            total[:, p] = x.reshape(len(total), -1)
+            got += len(p)
+        elif kind in (TRIPLE_ANSWER, HOT_TRIPLE_ANSWER, FREE_ANSWER):
+            triple[block.triple_list(bucket, kind - TRIPLE_ANSWER)] = x
             got += len(x)
         else:
             p = block.word_order[block.word_cuts[bucket]:block.word_cuts[bucket + 1]]
             table[:, p] = x.reshape(6, -1)
             got += len(p)
-    if got != len(block.pairs) + len(block.words):
+    if got != len(block.pairs) + len(block.words) + len(triple):
         raise RuntimeError("a block's answers do not match its words")
     d1 = np.concatenate(([0.0], discounts(m)))
     cont = table[1]
     left = (d1[1] * m[0] + d1[2] * m[1] + d1[3] * stats[7]) / n_cont if n_cont else 1.0
     p_word = np.maximum(cont - d1[np.minimum(cont, 3)], 0) / max(1, n_cont) + left / (vocab + 1)
     d2 = np.concatenate(([0.0], discounts(n)))
+    total, context = total[0], total[1:]
     seen = np.maximum(table[2], 1)
     back = np.where(table[2] > 0, (table[3:].T @ d2[1:]) / seen, 1.0)
     keys, pair_p, word_p, gamma, base, known = mapped([
@@ -298,7 +516,18 @@ def score_block(block: Block, answers, stats: np.ndarray):
     p = np.empty(len(order))
     p[order] = pair_p[np.searchsorted(keys, block.keys[order])]
     w = block.second
-    p = np.log10(p + gamma[block.keys // len(block.words)] * word_p[w])
+    p = p + gamma[block.keys // len(block.words)] * word_p[w]
+    if block.order == 3:
+        d3 = np.concatenate(([0.0], discounts(stats[12:16])))
+        seen = np.maximum(context[0], 1)
+        keys, triple_p, gamma = mapped([
+            block.triples, np.maximum(triple - d3[np.minimum(triple, 3)], 0) / seen[block.begin],
+            np.where(context[0] > 0, (context[1:].T @ d3[1:]) / seen, 1.0)])
+        order = np.argsort(block.triple_keys)
+        p3 = np.empty(len(order))
+        p3[order] = triple_p[np.searchsorted(keys, block.triple_keys[order])]
+        p[block.later] = p3 + gamma[block.before] * p[block.later]
+    p = np.log10(p)
     start = np.concatenate(([0], np.cumsum(block.sizes)[:-1]))
     yield from zip(block.sizes.tolist(), np.add.reduceat(known[w].astype(np.int64), start).tolist(),
                    np.add.reduceat(base[w], start).tolist(), np.add.reduceat(p, start).tolist())
@@ -312,6 +541,7 @@ def frequent_words(docs: DataFrame, text: str) -> tuple[int, list[tuple[int, int
         for t, in rows:
             words = (t or b"").lower().split()
             seen.update(words)
+            seen[START] += 1
             n += len(words) + 1
             if len(seen) > 400_000:
                 seen = Counter({w: k for w, k in seen.items() if k * 100_000 > n})
@@ -329,19 +559,22 @@ def frequent_words(docs: DataFrame, text: str) -> tuple[int, list[tuple[int, int
 
 
 def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc_id", text: str = "text",
-          block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+          block_tokens: int = BLOCK_TOKENS, order: int = 2) -> DataFrame:
     """``keep`` columns plus ``n_tokens, n_known, train_tokens, base_score,
     score`` for every row; the model learns from the rows where ``train`` holds.
 
     Texts are lower-cased (A-Z) words and one end; a null text counts as empty
     and has the end alone.  ``base_score`` is the add-0.1 unigram score,
-    ``score`` the log10 probability under the bigram model, whose unigrams are
-    interpolated with a uniform share for unknown words.  Null ids, repeated
+    ``score`` the log10 probability under the model of the given ``order`` (2:
+    pairs, 3: triples; a text's first word has the start alone before it), whose
+    unigrams are interpolated with a uniform share for unknown words.  Null ids, repeated
     rows and ties need no special treatment: blocks are dealt by a hash of id
     and text, and a block's lists do not depend on the order of its rows.
     Without training rows all words are unknown.  Other columns are ignored; an
     empty table gives an empty result.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     total, frequent = frequent_words(docs, text)
     n = max(1, -(-total // block_tokens))
     hot = np.sort(np.array([h for h, k in frequent if k * 8 * n > total], dtype=np.int64).view(np.uint64))
@@ -354,7 +587,7 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
 
     def read(table: pa.Table) -> Block:
         texts = [x.as_py() for x in table.column("_text").cast(pa.binary())]
-        return Block(texts, table.column("_train").to_numpy(zero_copy_only=False).astype(bool), n, hot)
+        return Block(texts, table.column("_train").to_numpy(zero_copy_only=False).astype(bool), n, hot, order)
 
     def ask(table: pa.Table) -> pa.Table:
         k = table.column("block")[0].as_py()
@@ -368,8 +601,12 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
         return run
 
     asked = dealt.groupBy("block").applyInArrow(ask, MESSAGE_SQL)
+    if order == 3:
+        asked = asked.repartitionById(n, F.col("to")).mapInArrow(
+            in_bucket(lambda rows, k: add_up_triples(rows, k, n, hot)), MESSAGE_SQL)
+    step_2 = add_up_pairs_of_triples if order == 3 else add_up_pairs
     pairs = asked.repartitionById(n, F.col("to")).mapInArrow(
-        in_bucket(lambda rows, k: add_up_pairs(rows, k, n)), MESSAGE_SQL)
+        in_bucket(lambda rows, k: step_2(rows, k, n)), MESSAGE_SQL)
     answers = pairs.repartitionById(n, F.col("to")).mapInArrow(in_bucket(add_up_words), MESSAGE_SQL)
     answers = answers.select(F.col("to").alias("block"), "src", "kind", "a").repartition("block")
 
@@ -380,7 +617,7 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
                          "s": pa.array([s] if raw else [], pa.list_(pa.float64()))})
 
     parts = answers.groupBy("block").applyInArrow(add, "one int, s array<double>")
-    stats = parts.groupBy("one").agg(F.array(*[F.sum(F.element_at("s", i + 1)) for i in range(12)]).alias("stats"))
+    stats = parts.groupBy("one").agg(F.array(*[F.sum(F.element_at("s", i + 1)) for i in range(16)]).alias("stats"))
     with_stats = answers.where(F.col("kind") != TOTALS).crossJoin(F.broadcast(stats.select("stats")))  # one row
 
     out_schema = ", ".join(f"{a} {f.dataType.simpleString()}" for a, f in zip(cols, named.schema.fields)) \

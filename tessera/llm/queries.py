@@ -88,4 +88,4 @@ def op6(spark, sf_dir):
     from tessera.llm.common import doc_crc
     from tessera.llm.ngram_lm import score
     held_out = doc_crc() % 10 == 0
-    return score(table(spark, sf_dir, "documents"), ~held_out, [F.col("doc_id"), held_out.alias("held_out")])
+    return score(table(spark, sf_dir, "documents"), ~held_out, [F.col("doc_id"), held_out.alias("held_out")], order=3)

@@ -91,3 +91,77 @@ def test_mapped_arrays():
     a, b = np.arange(5), np.linspace(0, 1, 7)
     x, y, z = mapped([a, b, np.empty(0)])
     assert (x == a).all() and (y == b).all() and not len(z)
+
+
+def _three(rows):
+    """Scores of order 3 by plain dictionaries: pairs count the distinct words
+    before them, those of the start their occurrences."""
+    c, tri, raw = Counter(), Counter(), Counter()
+    for w, train in rows:
+        if train:
+            c.update(w)
+            raw[w[0]] += 1
+            tri.update(zip(["start", *w], w, w[1:]))
+    bi, cont = Counter({("start", w): k for w, k in raw.items()}), Counter()
+    for _, v, w in tri:
+        bi[v, w] += 1
+    for _, w in bi:
+        cont[w] += 1
+
+    def level(counts):
+        ctx, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
+        for g, k in counts.items():
+            ctx[g[:-1]] += k
+            kinds[g[:-1]][min(k, 3) - 1] += 1
+        d = discounts(np.array([sum(k == x for k in counts.values()) for x in (1, 2, 3, 4)], float))
+
+        def p(g, lower):
+            if not ctx[g[:-1]]:
+                return lower
+            k = counts[g]
+            back = sum(x * y for x, y in zip(kinds[g[:-1]], d)) / ctx[g[:-1]]
+            return (max(k - d[min(k, 3) - 1], 0) / ctx[g[:-1]] if k else 0) + back * lower
+
+        return p
+
+    one, two, three = level(Counter({(w,): k for w, k in cont.items()})), level(bi), level(tri)
+
+    def prob(u, v, w):
+        p = two((v, w), one((w,), 1 / (len(c) + 1)))
+        return p if u is None else three((u, v, w), p)
+
+    return c, prob
+
+
+def _check_three(df, **more):
+    got = {(str(r["doc_id"]), r["n_tokens"], round(r["score"], 3)) for r in
+           score(df, ~held(), [F.col("doc_id")], order=3, **more).collect()}
+    rows = [(r["doc_id"], [*(r["text"] or "").encode().lower().split(), "end"],
+             zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 10 != 0) for r in df.collect()]
+    c, prob = _three([(w, t) for _, w, t in rows])
+    u, v = next((a, b) for _, w, t in rows if t and len(w) > 3 for a, b in zip(w, w[1:]))
+    assert math.isclose(sum(prob(u, v, w) for w in c) + prob(u, v, "new"), 1, rel_tol=1e-9)
+    want = {(str(i), len(w), sum(math.log10(prob(*g)) for g in zip([None, "start", *w], ["start", *w], w)))
+            for i, w, _ in rows}
+    for x, y in zip(sorted(got), sorted(want), strict=True):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) < 2e-3
+
+
+@pytest.mark.parametrize("tokens", [3_000_000, 7_000, 1_000])
+def test_order_three_against_dictionaries(docs, tokens):
+    _check_three(docs, block_tokens=tokens)
+
+
+def test_order_three_odd_and_empty(odd, empty):
+    _check_three(odd, block_tokens=20_000)
+    assert score(empty, ~held(), [F.col("doc_id")], order=3).count() == 0
+    nothing = score(odd, F.lit(False), [F.col("doc_id")], order=3).collect()
+    assert all(r["train_tokens"] == 0 and r["score"] == 0 for r in nothing)
+    with pytest.raises(ValueError):
+        score(odd, ~held(), [F.col("doc_id")], order=4)
+
+
+def test_more_context_predicts_better(docs):
+    total = [sum(r["score"] for r in score(docs, ~held(), [held().alias("h")], order=k).where("h").collect())
+             for k in (2, 3)]
+    assert total[1] > total[0]
