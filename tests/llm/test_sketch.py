@@ -66,3 +66,26 @@ def test_odd_and_empty(odd, empty, spark):
     assert S.compare_neighbours(one).first()["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
     same = spark.createDataFrame([(k, "a b c d e f") for k in range(9)], "doc_id long, text string")
     assert same.count() == 9 and S.compare_neighbours(same).select(F.countDistinct("fingerprint")).first()[0] == 1
+
+
+def _shingles(t):
+    w = t.lower().split()
+    return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("words, empty, zero, error", [((8, 20), 0.12, 0.12, 0.2), ((20, 50), 0.0, 0.0, 0.15)])
+def test_short_texts_have_estimates(words, empty, zero, error):
+    rng = np.random.default_rng(5)
+    sk, est, exact = [], [], []
+    for _ in range(600):
+        n = int(rng.integers(*words))
+        a, b = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for _ in range(2))
+        edited = " ".join(a.split()[:n - n // 4] + b.split()[:n // 4])  # most of the text stays
+        x, y, s, u = S.sketch(a, {}), S.sketch(edited, {}), _shingles(a), _shingles(edited)
+        sk.append(x)
+        est.append(S.resemblance(x, y))
+        exact.append(len(s & u) / len(s | u))
+    est, exact = np.array(est), np.array(exact)
+    assert np.mean([len(x[1]) == 0 for x in sk]) <= empty
+    assert np.mean(est[exact > 0.3] == 0) <= zero
+    assert np.sqrt(np.mean((est - exact) ** 2)) < error
