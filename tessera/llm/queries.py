@@ -20,10 +20,10 @@ OLD_SHARDS = 12
 
 @register("op7_reshard")
 def op7(spark, sf_dir):
-    from tessera.llm.reshard import reshard
+    from tessera.llm.reshard import reshard_files
     docs = table(spark, sf_dir, "documents")
     old = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS))
-    r = reshard(docs, old, OLD_SHARDS, 8)
+    r = reshard_files(docs, old, OLD_SHARDS, 8)
     return r.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 

@@ -12,12 +12,14 @@ inside a block, so no task ever sees a whole shard.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import n_partitions
-from tessera.session import discard, materialize
+from tessera.session import checkpoint_dir, discard, materialize
 
 
 def cheapest_transfers(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -160,12 +162,57 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 8,
         (F.col("_off") + F.col("_rn") - 1).alias("slot"))
 
 
-def rewrite_affected(placed: DataFrame, path: str) -> list[int]:
-    """Write the shards whose contents change (``path/shard=j``) and return
-    their numbers; shards that keep exactly their old rows are left alone."""
+def affected_shards(placed: DataFrame) -> list[int]:
+    """New shards whose contents change; the others keep exactly their old rows."""
     moved = placed.where(F.col("old_shard") != F.col("shard"))
     touched = moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
     new = placed.select("shard").distinct().join(touched, F.col("shard") == F.col("s")).select("shard")
-    affected = sorted(r[0] for r in new.collect())  # at most one row per new shard
+    return sorted(r[0] for r in new.collect())  # at most one row per new shard
+
+
+def rewrite_affected(placed: DataFrame, path: str, affected: list[int] | None = None) -> list[int]:
+    """Write the shards whose contents change (``path/shard=j``) and return
+    their numbers; shards that keep exactly their old rows are left alone."""
+    if affected is None:
+        affected = affected_shards(placed)
     placed.where(F.col("shard").isin(affected)).write.mode("overwrite").partitionBy("shard").parquet(path)
     return affected
+
+
+def reshard_files(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 8, text: str = "text",
+                  row_id: str = "doc_id") -> DataFrame:
+    """``reshard()``, then the affected shards written with their texts below
+    the checkpoint folder.  Returns the same columns without ``carry``; size,
+    crc and slot are those of the rows in the written shards, and in shards
+    that nothing touches those of the rows as they lie.
+
+    Rows are placed without their texts, which then travel once: to the places
+    of their id and contents.  Equal rows are interchangeable, so one text
+    serves all of them.
+    """
+    spark = docs.sparkSession
+    t = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.col(row_id).alias("_row"), F.col(text).alias("_text"),
+                      F.coalesce(old_shard.cast("int"), F.lit(0)).alias("_from"), F.xxhash64(F.col(row_id), t).alias("_key"),
+                      F.col(text).isNull().alias("_void"))
+    placed = reshard(own, F.col("_from"), n_old, n_new, "_text", "_row", carry=("_key", "_void"))
+    placed = materialize(placed, "reshard-places")
+    keys = [F.col("_key"), F.col("_void"), (F.octet_length(F.coalesce("_text", F.lit(""))) + 1).cast("long").alias("size"),
+            F.crc32(F.coalesce("_text", F.lit(""))).alias("text_crc32")]
+    # no null in a key, so that the join takes the texts where the aggregation left them
+    ids = [F.coalesce(F.col("_row").cast("string"), F.lit("")).alias("_id"), F.col("_row").isNull().alias("_none")]
+    same = ["_key", "_void", "size", "text_crc32", "_id", "_none"]
+    texts = own.select(*keys, *ids, "_text").groupBy(*same).agg(F.first("_text").alias("_text"))
+    full = placed.select("*", *ids).join(texts, same).select(
+        F.col("_row").alias(row_id), F.col("_text").alias(text), "old_shard", "shard", "slot")
+    affected = affected_shards(placed)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-shards-{uuid.uuid4().hex}"
+    rewrite_affected(full, path, affected)
+    kept = full.where(~F.col("shard").isin(affected))
+    if affected:
+        back = spark.read.schema(full.schema).parquet(path).select(*full.columns)
+        rest = placed.select("shard").distinct().where(~F.col("shard").isin(affected)).count()
+        full = back.unionByName(kept) if rest else back
+    t = F.coalesce(F.col(text), F.lit(""))
+    return full.select(row_id, (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"),
+                       "old_shard", "shard", "slot")

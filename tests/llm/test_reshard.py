@@ -1,9 +1,12 @@
+import os
 import zlib
 from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from tessera.llm.reshard import cheapest_transfers, reshard, rewrite_affected
+from tessera.llm.queries import op7
+from tessera.llm.reshard import cheapest_transfers, reshard, reshard_files, rewrite_affected
+from tessera.session import checkpoint_dir
 
 
 def test_flow_is_cheapest():
@@ -67,3 +70,34 @@ def test_rewrite_only_affected(spark, tmp_path):
     assert affected == [1, 2]  # shards 0 and 3 already hold their share
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.groupBy("shard").count().collect() and {r["count"] for r in back.groupBy("shard").count().collect()} == {100}
+
+
+def _written(spark):
+    d = checkpoint_dir(spark).replace("file:", "")
+    return {f"{d}/{x}" for x in os.listdir(d) if x.startswith("tessera-shards-")}
+
+
+def test_query_writes_the_texts(spark, docs, texts):
+    before = _written(spark)
+    rows = op7(spark, "/root/testdata/sf0.001").collect()
+    (path,) = _written(spark) - before
+    back = spark.read.parquet(path).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in back if r["shard"] in {x["shard"] for x in rows}) == \
+        sorted((i, t) for i, t, _, _ in texts)
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in back) == \
+        sorted((r["doc_id"], r["shard"], r["slot"]) for r in rows)
+    _check(docs, rows)
+    want = reshard(docs, _old(12), 12, 8).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot").collect()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"], r["old_shard"], r["shard"], r["slot"]) for r in rows) == \
+        sorted(map(tuple, want))
+
+
+def test_files_of_odd_and_untouched_shards(spark, odd, empty):
+    _check(odd, reshard_files(odd, _old(4), 4, 8).collect())
+    assert reshard_files(empty, _old(4), 4, 8).count() == 0
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"))
+    for first in (100, 180):  # no shard changes; two do
+        old = F.when(F.col("doc_id") < first, 0).when(F.col("doc_id") < 200, 1).when(F.col("doc_id") < 300, 2).otherwise(3)
+        rows = reshard_files(df, old, 4, 4).collect()
+        _check(df, rows, 4)
+        assert [sum(r["shard"] == s for r in rows) for s in range(4)] == [100] * 4
