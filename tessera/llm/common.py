@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -100,3 +101,15 @@ def stream(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sche
         yield from batches_of(fn(rows_of(batches, binary)), arrow, step)
 
     return df.mapInArrow(run, struct)
+
+
+def runs(text: str, run: re.Pattern, gap: re.Pattern, size: int = 1 << 20) -> Iterator[list[str]]:
+    """All matches of ``run`` in ``text``, as lists.  A very long text is cut
+    at the first place without a run character (``gap``) after every ``size``
+    characters, so that no list holds a whole long text and no run is cut."""
+    at = 0
+    while at < len(text):
+        m = gap.search(text, at + size) if len(text) - at > size else None
+        end = m.start() if m else len(text)
+        yield run.findall(text, at, end)
+        at = end
