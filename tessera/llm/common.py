@@ -103,7 +103,7 @@ def stream(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sche
     return df.mapInArrow(run, struct)
 
 
-def runs(text: str, run: re.Pattern, gap: re.Pattern, size: int = 1 << 20) -> Iterator[list[str]]:
+def runs(text: str | bytes, run: re.Pattern, gap: re.Pattern, size: int = 1 << 20) -> Iterator[list]:
     """All matches of ``run`` in ``text``, as lists.  A very long text is cut
     at the first place without a run character (``gap``) after every ``size``
     characters, so that no list holds a whole long text and no run is cut."""

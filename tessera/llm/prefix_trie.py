@@ -51,7 +51,7 @@ def _power(k: int, e: Column) -> Column:
     """B_k ^ e mod P for 0 <= e < 256^5, from five tables of 256 powers."""
     out = None
     for digit in range(5):
-        table = F.lit([pow(BASES[k], x * 256 ** digit, P) for x in range(256)])
+        table = F.lit([pow(BASES[k], x * 256 ** digit, P) for x in range(256)]).cast("array<bigint>")
         x = table[F.shiftright(e, 8 * digit).bitwiseAND(255).cast("int")]
         out = x if out is None else out * x % P
     return out
@@ -60,7 +60,7 @@ def _power(k: int, e: Column) -> Column:
 def _inverse(k: int, e: Column) -> Column:
     """B_k ^ -e mod P for a small e."""
     inv = pow(BASES[k], -1, P)
-    return F.lit([pow(inv, x, P) for x in range(256)])[e.cast("int")]
+    return F.lit([pow(inv, x, P) for x in range(256)]).cast("array<bigint>")[e.cast("int")]
 
 
 def store_turns(turns: DataFrame, seed: int, conv: str = "conv_id", turn: str = "turn", role: str = "role",

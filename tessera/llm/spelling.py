@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ FINE = 32
 #: Words that a task counts before it passes its counts on.
 HELD = 300_000
 
-LETTERS = "a-zÀ-ÿ"
+#: Runs between blanks, and the blank where a long text may be cut.
+ANY, GAP = re.compile(rb"[^ ]+"), re.compile(b" ")
 
 
 def word_counts(docs: DataFrame, row_id: str = "doc_id", text: str = "text", min_len: int = 6, min_count: int = 5,
@@ -54,7 +56,8 @@ def word_counts(docs: DataFrame, row_id: str = "doc_id", text: str = "text", min
     h % length when m divides h, the crc32 of ``<row_id>:<run>`` (a null id is
     the empty text).  Columns other than the two are not looked at.
     """
-    run_re, gap_re = re.compile(f"[{LETTERS}]{{{max(1, min_len)},}}"), re.compile(f"[^{LETTERS}]")
+    # every letter of a run is one byte of Latin-1; all else becomes a blank
+    blank = bytes(c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
 
     def count(rows):
         held: dict = {}
@@ -62,24 +65,21 @@ def word_counts(docs: DataFrame, row_id: str = "doc_id", text: str = "text", min
             if not t:
                 continue
             head = zlib.crc32(f"{'' if i is None else i}:".encode())
-            for found in runs(t.lower().decode("utf-8", "replace"), run_re, gap_re):
-                if delete_one_in is None:
-                    for w in found:
-                        held[w] = held.get(w, 0) + 1
-                else:
-                    here: dict = {}
-                    for w in found:
-                        here[w] = here.get(w, 0) + 1
-                    for w, n in here.items():
-                        h = zlib.crc32(w.encode(), head)
+            letters = t.lower().decode("utf-8", "replace").encode("latin-1", "replace").translate(blank)
+            for found in runs(letters, ANY, GAP):
+                for run, n in Counter(found).items():
+                    if len(run) < min_len:
+                        continue
+                    if delete_one_in is not None:
+                        h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), head)
                         if h % delete_one_in == 0:
-                            k = h % len(w)
-                            w = w[:k] + w[k + 1:]
-                        held[w] = held.get(w, 0) + n
+                            k = h % len(run)
+                            run = run[:k] + run[k + 1:]
+                    held[run] = held.get(run, 0) + n
                 if len(held) > HELD:
-                    yield from held.items()
+                    yield from ((w.decode("latin-1"), n) for w, n in held.items())
                     held.clear()
-        yield from held.items()
+        yield from ((w.decode("latin-1"), n) for w, n in held.items())
 
     # bytes.lower() touches A-Z alone
     part = stream(docs.select(F.col(row_id).cast("string"), F.col(text).cast("binary")), count, "word string, n long")
@@ -152,21 +152,24 @@ def near_words(words: DataFrame) -> DataFrame:
             .select("dir", "v", "n", "len", F.lit(d).alias("pos"), _sub("v", 0, d).alias("node"), F.lit(0).alias("edits"))
         if frontier is not None:
             states = states.unionByName(frontier)
+        # the label that spells on, and what the label is cut from (one character: what it must be)
+        states = states.withColumn("own", _sub("v", F.col("pos"), s)) \
+            .withColumn("more", _sub("v", d + 1, 1) if s == 1 else _sub("v", d, s + 1))
         e = edge.where(F.col("k") == k).drop("k")
-        own, more, label = _sub("v", d, s), _sub("v", d, s + 1), F.col("label")
-        swap = (F.length(label) == F.length(own)) & (own < label)
-        cut = (F.length(label) == F.length(more) - 1) & ((label != own) | (F.length(more) <= s))
+        own, more, label = F.col("own"), F.col("more"), F.col("label")
         if s == 1:
-            cut = cut & (label == _sub("v", d + 1, 1))
+            swap = (own != "") & (own < label)
+            cut = (own != "") & (label == more) & (label != own)
         else:
-            swap = swap & (F.levenshtein(label, own) == 1)
-            cut = cut & (F.levenshtein(label, more) == 1)
-        match = F.when(F.col("edits") == 1, label == _sub("v", F.col("pos"), s)).otherwise(swap | cut)
-        # one replaced and one deleted character may lead over the same edge: both are tried
+            swap = (F.length(label) == F.length(own)) & (own < label) & (F.levenshtein(label, own) == 1)
+            cut = (F.length(label) == F.length(more) - 1) & ((label != own) | (F.length(more) <= s)) \
+                & (F.levenshtein(label, more) == 1)
+        match = F.when(F.col("edits") == 1, label == own).otherwise(swap | cut)
         tried = states.join(e, ["dir", "node"]).where(match)
-        kinds = F.when(F.col("edits") == 1, F.array(F.col("pos") + F.length(label))).otherwise(
+        # one replaced and one deleted character may lead over the same edge: both are tried
+        ahead = F.when(F.col("edits") == 1, F.array(F.col("pos") + F.length(label))).otherwise(
             F.filter(F.array(F.when(swap, d + F.length(label)), F.when(cut, d + F.length(label) + 1)), lambda x: x.isNotNull()))
-        tried = tried.withColumn("at", F.explode(kinds))
+        tried = tried.withColumn("at", F.explode(ahead))
         left = F.col("len") - F.col("at")
         lives = F.when(F.col("near_n").isNotNull(), left == 0).otherwise(
             (left >= 0) & (F.col("lens").bitwiseAND(_bit(F.least(left, F.lit(62)))) != 0)
@@ -181,11 +184,11 @@ def near_words(words: DataFrame) -> DataFrame:
     for step in steps[1:]:
         found = found.unionByName(step)
 
-    def ahead(c):
+    def forward(c):
         return F.when(F.col("dir") == 0, F.col(c)).otherwise(F.reverse(c))
 
     found = found.where(F.col("near_n").isNotNull()) \
-        .select(ahead("v").alias("word"), "n", ahead("node").alias("near"), "near_n")
+        .select(forward("v").alias("word"), "n", forward("node").alias("near"), "near_n")
     pairs = materialize(found.unionByName(found.select(F.col("near").alias("word"), F.col("near_n").alias("n"),
                                                        F.col("word").alias("near"), F.col("n").alias("near_n")))
                         .distinct(), "spell")

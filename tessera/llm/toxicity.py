@@ -12,9 +12,10 @@ group) add what neither adds alone, in linear time.
 
 Training counts in how many labelled texts, and in how many toxic ones, each
 bucket occurs, keeps the buckets whose association with the label is beyond
-chance (log-likelihood ratio over 2 ln(buckets seen); the ``DIMS`` strongest),
-groups the texts by label and kept buckets, and fits those patterns.  Chance
-terms of long texts thus have no weight that could add up.
+chance (log-likelihood ratio over 2 ln(buckets seen)) and raises the rate of
+toxic texts ``LIFT`` times (of these, the ``DIMS`` strongest), groups the texts by label and kept buckets, and fits those patterns.  Chance
+terms of long texts and words of a language with more toxic texts than others
+thus have no weight that could add up.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from tessera.session import discard, materialize
 #: Labelled rows that training takes at most, the ones with the smallest id hashes.
 SAMPLE = 40_000
 BUCKETS, DIMS, RANK = 1 << 20, 4_096, 4
+#: A kept bucket raises the rate of toxic texts at least so many times.
+LIFT = 2
 PREFIXES = (3, 4, 5, 6, 7)
 #: Words whose buckets a task keeps at hand.
 HELD = 200_000
@@ -105,8 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
     here, away = n0 + n1, c0 + c1 - n0 - n1
     ratio = 2 * (part(n0, F.lit(c0), here) + part(n1, F.lit(c1), here)
                  + part(c0 - n0, F.lit(c0), away) + part(c1 - n1, F.lit(c1), away))
-    top = counts.where(F.col("b") < BUCKETS).select("b", F.round(ratio, 6).alias("g")) \
-        .where(F.col("g") > 2 * np.log(max(2, n_seen))).orderBy(F.desc("g"), "b").limit(DIMS).collect()
+    top = counts.where(F.col("b") < BUCKETS)\
+        .select("b", F.round(ratio, 6).alias("g"), (n1 / here >= LIFT * c1 / (c0 + c1)).alias("often")) \
+        .where((F.col("g") > 2 * np.log(max(2, n_seen))) & F.col("often")).orderBy(F.desc("g"), "b").limit(DIMS).collect()
     discard(counts)
     dims = np.array(sorted(r["b"] for r in top), np.int64)
     to = {int(b): k for k, b in enumerate(dims)}
