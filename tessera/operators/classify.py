@@ -1,8 +1,9 @@
 """Classification (C-01..C-13): split, label encoding, scaling, models,
 batteries of models, grid scoring.
 
-Models are MLlib estimators where MLlib has the algorithm (decision tree,
-random forest, gradient-boosted trees, linear SVM, logistic regression);
+Decision trees split between any two values (``trees.py``).  Other models are
+MLlib estimators where MLlib has the algorithm (binned trees and random
+forests, gradient-boosted trees, linear SVM, logistic regression);
 Gaussian naive Bayes is closed-form aggregates; AdaBoost (SAMME) is a loop
 of weighted MLlib stumps; kernel SVMs use explicit feature maps (random
 Fourier features / polynomial expansion) in front of ``LinearSVC``.
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.rank import avg_rank, running_totals
 from tessera.functions.sqltext import dlit, ident
+from tessera.operators import trees
 from tessera.operators.core import default_features, portable_hash, require_rows
 from tessera.operators.preprocess import scale, scale_params
 from tessera.session import discard, materialize
@@ -166,6 +168,10 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, features: list[str
         m = adaboost_fit(train, features, label, **(params or {}))
         pr = adaboost_predict(test, m)
         return m, pr.select(*keep, label, "prediction", "score")
+    if kind == "dt" and "max_bins" not in (params or {}):  # cuts between any two values; max_bins asks for binned ones
+        m = trees.tree_fit(train, features, label, n_classes, **(params or {}))
+        pr = trees.tree_predict(test, m)
+        return m, pr.select(*keep, label, "prediction", F.get("probability", F.lit(1)).alias("score"))
     if kind in ("svm_linear", "svm_rbf", "svm_poly"):
         m = kernel_svm_fit(train, features, label, kind=kind[4:], **(params or {}))
         pr = kernel_svm_predict(test, m)
@@ -370,7 +376,10 @@ def compare_models(df: DataFrame, id_col: str, features: list[str] | None, y: st
 
 def importances(model, features: list[str]) -> list[tuple[str, float]]:
     """Feature importances of a tree model (or AdaBoost dict), ascending."""
-    if isinstance(model, dict):
+    if isinstance(model, dict) and "nodes" in model:
+        by = {r["feature"]: r["importance"] for r in trees.tree_importances(model).collect()}
+        vals = [by[f] for f in model["features"]]
+    elif isinstance(model, dict):
         vals = adaboost_importances(model)
     else:
         vals = list(model.featureImportances.toArray())
@@ -378,7 +387,10 @@ def importances(model, features: list[str]) -> list[tuple[str, float]]:
 
 
 def tree_text(model, max_depth: int = 5) -> str:
-    """Text rendering of a fitted decision tree (MLlib debug string)."""
+    """Text rendering of a fitted decision tree (binned ones: MLlib debug string).
+    At most 2^max_depth branches come to the driver."""
+    if isinstance(model, dict):
+        return "\n".join(r["line"] for r in trees.tree_lines(model, max_depth).orderBy("place").collect())
     lines = model.toDebugString.splitlines()
     keep = [ln for ln in lines if (len(ln) - len(ln.lstrip())) // 1 <= 1 + 2 * max_depth]
     return "\n".join(keep)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import classify as C
 from tessera.operators import metrics as M
+from tessera.operators import trees as T
 from tessera.plans.q_retail import CLEAN_SQL, rfm_base_sql, rfm_frame
 from tessera.plans.registry import register
 from tessera.session import materialize
@@ -208,7 +209,7 @@ def _model_query(kind, params=None):
     return q
 
 
-for _k in ["dt", "rf", "gbt", "svm_linear", "ada", "svm_rbf", "svm_poly", "logreg"]:
+for _k in ["rf", "gbt", "svm_linear", "ada", "svm_rbf", "svm_poly", "logreg"]:
     _model_query(_k)
 
 
@@ -348,21 +349,87 @@ def q_knn_manhattan(spark, sf_dir):
     return _knn(spark, sf_dir, "manhattan")
 
 
-@register("importances")
+# ---- exact trees: every value of a feature is a candidate cut
+TREE_DEPTH = 3
+
+
+def tree_sql(src: str, id_col: str, feats: list[str], depth: int) -> str:
+    """CTEs for a two-class Gini tree over ``src`` (id, y, is_test, features):
+    ``tree`` (node, depth, feature, cut, gain, n, p) and ``at`` (id -> leaf)."""
+    cols = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(feats))
+    xs = ", ".join(f"x{i}" for i in range(len(feats)))
+    out = f"r0 AS MATERIALIZED (SELECT {id_col} AS id, y, is_test, {cols}, 1::BIGINT AS node FROM {src})"
+    for lv in range(depth):
+        long = " UNION ALL ".join(f"SELECT node, {i} AS f, x{i} AS v, y FROM r{lv} WHERE NOT is_test" for i in range(len(feats)))
+        out += f""",
+v{lv} AS (SELECT node, f, v, count(*) AS n, sum(y) AS p FROM ({long}) GROUP BY node, f, v),
+c{lv} AS (SELECT node, f, v, lead(v) OVER w AS nxt, sum(n) OVER w AS nl, sum(p) OVER w AS pl,
+                 sum(n) OVER (PARTITION BY node, f) AS n, sum(p) OVER (PARTITION BY node, f) AS p
+          FROM v{lv} WINDOW w AS (PARTITION BY node, f ORDER BY v)),
+g{lv} AS (SELECT *, round((pl * pl + (nl - pl) * (nl - pl))::DOUBLE / nl
+                 + ((p - pl) * (p - pl) + (n - nl - p + pl) * (n - nl - p + pl))::DOUBLE / (n - nl)
+                 - (p * p + (n - p) * (n - p))::DOUBLE / n, 9) AS gain
+          FROM c{lv} WHERE nl < n AND p > 0 AND p < n),
+s{lv} AS MATERIALIZED (SELECT node, f, (v + nxt) / 2 AS cut, gain
+          FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) AS k FROM g{lv}) WHERE k = 1),
+r{lv + 1} AS MATERIALIZED (SELECT id, y, is_test, {xs}, CASE WHEN s.node IS NULL THEN r.node
+          ELSE 2 * r.node + ([{xs}][s.f + 1] > s.cut)::BIGINT END AS node
+          FROM r{lv} r LEFT JOIN s{lv} s ON s.node = r.node)"""
+    splits = " UNION ALL ".join(f"SELECT {lv} AS depth, * FROM s{lv}" for lv in range(depth))
+    return out + f""",
+splits AS (SELECT * FROM ({splits})),
+leaves AS (SELECT node, sum(y)::DOUBLE / count(*) AS p1 FROM r{depth} WHERE NOT is_test GROUP BY node)"""
+
+
+TREE_CTE = f"WITH base AS ({rfm_base_sql(CLEAN_SQL)}),\nsrc AS (SELECT *, HighValue AS y, " \
+    "(((CAST(CustomerID AS BIGINT) % 2147483647) * 1103515245 + 42) % 2147483648) / 2147483648.0 < 0.25 AS is_test FROM base),\n" \
+    + tree_sql("src", "CustomerID", NB_FEATS, TREE_DEPTH)
+
+
+def rfm_tree(spark, sf_dir):
+    d = materialize(rfm_split(spark, sf_dir), "split")
+    return T.tree_fit(d.where(~F.col("is_test")), NB_FEATS, n_classes=2, max_depth=TREE_DEPTH), d
+
+
+@register("model_dt", TREE_CTE + f"""
+SELECT r.id AS CustomerID, r.y::DOUBLE AS label, (l.p1 > 0.5)::INT::DOUBLE AS prediction, l.p1 AS score
+FROM r{TREE_DEPTH} r JOIN leaves l USING (node) WHERE r.is_test""")
+def q_model_dt(spark, sf_dir):
+    """A tree with cuts between any two values, learned on the training rows."""
+    model, d = rfm_tree(spark, sf_dir)
+    return T.tree_predict(d.where(F.col("is_test")), model) \
+        .select("CustomerID", "label", "prediction", F.element_at("probability", 2).alias("score"))
+
+
+_NAMES = "[" + ", ".join(f"'{f}'" for f in NB_FEATS) + "]"
+
+
+@register("importances", TREE_CTE + f"""
+SELECT {_NAMES}[i + 1] AS feature, coalesce(sum(gain) / (SELECT sum(gain) FROM splits), 0)::DOUBLE AS importance
+FROM (SELECT unnest(range({len(NB_FEATS)})) AS i) LEFT JOIN splits ON f = i GROUP BY i""")
 def q_importances(spark, sf_dir):
-    d = rfm_split(spark, sf_dir)
-    feats = ["Recency", "Frequency", "Monetary", "AvgOrderValue"]
-    model, _ = C.fit_predict("dt", d.where(~F.col("is_test")), d.where(F.col("is_test")), feats, "label")
-    return spark.createDataFrame(C.importances(model, feats), "feature string, importance double")
+    return T.tree_importances(rfm_tree(spark, sf_dir)[0])
 
 
-@register("tree_text")
+@register("tree_text", TREE_CTE + f""",
+nodes AS (SELECT node, depth, f, cut, NULL::DOUBLE AS p1 FROM splits
+          UNION ALL SELECT node, length(bin(node)) - 1, NULL, NULL, p1 FROM leaves)
+SELECT substr(bin(node), 2) || branch AS place, repeat('|   ', depth) || '|--- ' ||
+       CASE branch WHEN 'x' THEN 'class: ' || (p1 > 0.5)::INT ELSE {_NAMES}[f + 1] ||
+            CASE branch WHEN '0' THEN ' <= ' ELSE ' > ' END || printf('%.2f', cut) END AS line
+FROM (SELECT *, unnest(CASE WHEN f IS NULL THEN ['x'] ELSE ['0', '1'] END) AS branch FROM nodes)""")
 def q_tree_text(spark, sf_dir):
-    d = rfm_split(spark, sf_dir)
-    feats = ["Recency", "Frequency", "Monetary", "AvgOrderValue"]
-    model, _ = C.fit_predict("dt", d.where(~F.col("is_test")), d.where(F.col("is_test")), feats, "label",
-                             params={"max_depth": 4})
-    return spark.createDataFrame([(line,) for line in C.tree_text(model).splitlines()], "line string")
+    return T.tree_lines(rfm_tree(spark, sf_dir)[0])
+
+
+@register("model_rf_exact")
+def q_model_rf_exact(spark, sf_dir):
+    """A forest of exact trees: 20 trees, two of three features tried per node."""
+    d = materialize(rfm_split(spark, sf_dir), "split")
+    model = T.forest_fit(d.where(~F.col("is_test")), NB_FEATS, n_classes=2, n_trees=20, max_depth=6, per_node=2,
+                         row_id="CustomerID")
+    return T.tree_predict(d.where(F.col("is_test")), model) \
+        .select("CustomerID", "label", "prediction", F.element_at("probability", 2).alias("score"))
 
 
 _GRID_SQL = f"""WITH r AS ({rfm_base_sql(CLEAN_SQL)}),
