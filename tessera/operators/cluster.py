@@ -10,6 +10,7 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.beside import beside
 from tessera.operators.core import require_rows
 from tessera.session import materialize
 
@@ -83,10 +84,8 @@ def silhouette_samples(df: DataFrame, id_col: str, cols: list[str], label: str)
     sq = reduce(add, [F.col(f"_x{i}") * F.col(f"_x{i}") for i in range(len(cols))])
     stats = rows.groupBy("_lab").agg(F.count(F.lit(1)).alias("_n"), F.sum(sq).alias("_psi"),
                                      *[F.sum(f"_x{i}").alias(f"_y{i}") for i in range(len(cols))])
-    # one array entry per cluster beside every row: a join on a constant would be a cross join
-    packed = stats.select(F.lit(0).alias("_one"), F.struct(*stats.columns).alias("s")) \
-        .groupBy("_one").agg(F.collect_list("s").alias("_cl"))
-    j = rows.withColumn("_one", F.lit(0)).join(packed, "_one").withColumn("_c", F.explode("_cl")).drop("_cl")
+    # arrays of cluster statistics beside every row, any number of clusters
+    j = beside(rows, materialize(stats, "clusters"), "_lab", F.col("_id"), "_cl").withColumn("_c", F.explode("_cl")).drop("_cl")
     n = F.col("_c._n")
     dot = reduce(add, [F.col(f"_x{i}") * F.col(f"_c._y{i}") for i in range(len(cols))])
     mean = (n * sq - 2 * dot + F.col("_c._psi")) / n

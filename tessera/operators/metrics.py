@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.beside import beside
 from tessera.functions.rank import avg_rank, cumulative
+from tessera.session import materialize
 
 
 def confusion(df: DataFrame, y: str = "label", pred: str = "prediction") -> DataFrame:
     """``(label, prediction, count)`` over the full label x label grid (zeros kept).
 
-    Counts come from one partial-aggregated ``groupBy``.  The grid is the
-    result itself: every label met with every label, by a join on a constant
-    key over the distinct labels, nothing on the driver.
+    Counts come from one partial-aggregated ``groupBy``.  The grid has labels
+    squared rows by definition; labels meet blocks of labels by an equi-join.
     """
     counts = df.groupBy(F.col(y).alias("label"), F.col(pred).alias("prediction")) \
         .agg(F.count(F.lit(1)).alias("count"))
     labels = df.select(F.col(y).alias("l")).union(df.select(F.col(pred).alias("l"))).distinct()
-    labels = labels.where(F.col("l").isNotNull()).withColumn("_one", F.lit(0))
-    grid = labels.select(F.col("l").alias("label"), "_one").join(
-        labels.select(F.col("l").alias("prediction"), "_one"), "_one").drop("_one")
+    labels = materialize(labels.where(F.col("l").isNotNull()), "labels")
+    grid = beside(labels.withColumnRenamed("l", "label"), labels, "l", F.col("label"), "_all") \
+        .select("label", F.explode("_all.l").alias("prediction"))
     return grid.join(counts, ["label", "prediction"], "left") \
         .select("label", "prediction", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 

@@ -415,6 +415,32 @@ def q_csv_roundtrip(spark, sf_dir):
     return scan_csv(spark, path, encoding="latin-1", schema=o.schema)
 
 
+_CSV_CELLS = """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS cust,
+       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price, o_orderkey % 2 = 0 AS even,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL
+            WHEN o_orderkey % 3 = 1 THEN 'says "' || o_orderpriority || '",' || chr(10) || 'then more' ELSE o_orderstatus END AS note
+FROM orders"""
+
+
+@register("csv_infer", _CSV_CELLS)
+def q_csv_infer(spark, sf_dir):
+    """A CSV file with missing-value words, quotes and line breaks, its types inferred."""
+    import uuid
+
+    from tessera.session import checkpoint_dir
+    from tessera.sources.csv import scan_csv, write_csv
+    k = F.col("o_orderkey")
+    note = F.concat(F.lit('says "'), "o_orderpriority", F.lit('",\nthen more'))
+    cells = load(spark, sf_dir, "orders").select(
+        k.alias("key"), F.when(k % 7 == 0, "NA").otherwise(F.col("o_custkey").cast("string")).alias("cust"),
+        F.when(k % 5 == 0, F.when(k % 2 == 0, "nan").otherwise("#N/A")).otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+        F.when(k % 2 == 0, "True").otherwise("False").alias("even"),
+        F.when(k % 3 == 0, "N/A").when(k % 3 == 1, note).otherwise(F.col("o_orderstatus")).alias("note"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-csv-{uuid.uuid4().hex}"
+    write_csv(cells, path)
+    return scan_csv(spark, path)
+
+
 _DEFAULT3 = ["c_custkey", "c_nationkey", "c_acctbal"]
 
 
