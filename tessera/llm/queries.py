@@ -77,7 +77,27 @@ def op2(spark, sf_dir):
     return components(table(spark, sf_dir, "documents"), size=4, max_bits=4)
 
 
-@register("op8_substring_dedup")
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), windows AS (
+  SELECT doc_id, s, md5(array_to_string(ws[s:s + 19], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)
+), again AS (
+  SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS r FROM windows) WHERE r > 1
+), gone AS (
+  SELECT DISTINCT doc_id, s + k AS i FROM again, (SELECT unnest(range(20)) AS k)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register("op8_substring_dedup", OP8_SQL)
 def op8(spark, sf_dir):
     from tessera.llm.substring import dedup_substrings
     return dedup_substrings(table(spark, sf_dir, "documents"), [F.col("doc_id")])
