@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.beside import beside
 from tessera.operators.core import require_rows
+from tessera.operators.lloyd import assign, fit_all, silhouettes_squared
 from tessera.session import materialize
 
 
@@ -20,28 +21,18 @@ def _vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip").transform(df)
 
 
-def kmeans_input(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> DataFrame:
-    """The feature vectors, written once for any number of fits."""
-    return materialize(_vectors(df.select(*(keep or []), *cols), cols), "kmeans")
-
-
-def kmeans(df: DataFrame, cols: list[str], k: int = 3, n_init: int = 10, seed: int = 42,
-           max_iter: int = 300, keep: list[str] | None = None):
-    """Best of ``n_init`` MLlib k-means runs (k-means|| init, different seeds)
-    by inertia.  Returns ``(labelled DataFrame with 'cluster', inertia, model)``;
-    ``df`` may be the result of :func:`kmeans_input`."""
-    from pyspark.ml.clustering import KMeans
-    data = df if "features" in df.columns else kmeans_input(df, cols, keep)
-    best = None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cluster").fit(data)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    model, inertia = best
-    out = model.transform(data).drop("features")
-    return out, inertia, model
+def kmeans(df: DataFrame, cols: list[str], k: int = 3, n_init: int = 10, seed: int = 42, max_iter: int = 300,
+           keep: list[str] | None = None, tol: float = 1e-4):
+    """Best of ``n_init`` k-means runs by inertia, all runs in the same scans
+    (:mod:`tessera.operators.lloyd`).  Returns ``(labelled DataFrame with
+    'cluster', inertia, fit)``.  The first column of ``keep`` is the row id that
+    the random starts hash; without it the feature values are hashed."""
+    keep = keep or []
+    rows = df.select(*keep, *cols) if keep else df.select(F.xxhash64(*cols).alias("_row"), *cols)
+    data, best, _ = fit_all(rows, (keep or ["_row"])[0], cols, [k], n_init, seed, max_iter, tol)
+    if not best:
+        return data.drop("_row").withColumn("cluster", F.lit(None).cast("int")), 0.0, None
+    return assign(data, cols, best[k]).drop("_row"), best[k].inertia, best[k]
 
 
 def kmeans_check(labelled: DataFrame, model, cols: list[str]) -> DataFrame:
@@ -104,18 +95,19 @@ def silhouette(df: DataFrame, id_col: str, cols: list[str], label: str) -> float
     return silhouette_samples(df, id_col, cols, label).agg(F.avg("silhouette")).first()[0] or 0.0
 
 
-def elbow(df: DataFrame, cols: list[str], k_max: int = 11, n_init: int = 5, seed: int = 42) -> DataFrame:
-    """k = 2..min(k_max, n-1): inertia and (squared) silhouette per k."""
+def elbow(df: DataFrame, cols: list[str], k_max: int = 11, n_init: int = 5, seed: int = 42,
+          id_col: str | None = None) -> DataFrame:
+    """k = 2..min(k_max, n-1): inertia and (squared) silhouette per k; every k
+    and start is fitted in the same scans.  ``id_col`` as in :func:`kmeans`."""
     require_rows(df, 10, "clustering")
     if len(cols) < 2:
         raise ValueError("clustering needs at least two features")
-    data = kmeans_input(df, cols)  # written once for all k
-    n = data.count()
-    rows = []
-    for k in range(2, min(k_max, n - 1) + 1):
-        lab, inertia, _ = kmeans(data, cols, k, n_init, seed)
-        rows.append((k, float(inertia), float(silhouette_squared(lab, cols, "cluster"))))
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    rows = df.select(id_col, *cols) if id_col else df.select(F.xxhash64(*cols).alias("_row"), *cols)
+    ks = list(range(2, min(k_max, rows.na.drop(subset=cols).count() - 1) + 1))
+    data, best, stats = fit_all(rows, id_col or "_row", cols, ks, n_init, seed)
+    sil = silhouettes_squared(data, cols, best, stats)
+    return df.sparkSession.createDataFrame([(k, float(best[k].inertia), float(sil[k])) for k in ks],
+                                           "k int, inertia double, silhouette double")
 
 
 def cluster_profile(df: DataFrame, label: str, cols: list[str], digits: int | None = 2) -> DataFrame:

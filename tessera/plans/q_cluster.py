@@ -19,25 +19,91 @@ def rfm_scaled(spark, sf_dir):
     return scale(r, RFM_FEATS, "standard")
 
 
-@register("kmeans")
+_RFM_Z = f"""
+r AS ({rfm_base_sql(CLEAN_SQL)}),
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in RFM_FEATS)} FROM r),
+p AS (SELECT CustomerID AS id, {", ".join(f"({c} - m_{c}) / s_{c} AS x{i}" for i, c in enumerate(RFM_FEATS))} FROM r, st)"""
+
+
+def lloyd_sql(points: str, d: int, ks: list[int], n_init: int, seed: int = 42, tol: float = 1e-4, max_iter: int = 300) -> str:
+    """CTEs that replay k-means from the same starts: ``fin`` (k, s, c, centre),
+    ``near`` (k, s, id, c, dist, features), ``best`` (k, s, inertia).  ``points`` defines p(id, x0..)."""
+    dims = range(d)
+    xs = ", ".join(f"x{i}" for i in dims)
+
+    def sq(a, b):
+        return " + ".join(f"({a}.x{i} - {b}.x{i}) * ({a}.x{i} - {b}.x{i})" for i in dims)
+
+    seeds = f"d0 AS MATERIALIZED (SELECT s, id, {xs}, CAST(1 AS DOUBLE) AS d2 FROM p, range({n_init}) AS r(s))"
+    for t in range(max(ks)):
+        u = f"(('0x' || substr(md5('{seed}:' || s || ':{t}:' || id), 1, 13))::BIGINT + 0.5::DOUBLE) / power(2, 52)"
+        seen = sq("d", "c") if t == 0 else f"least(d.d2, {sq('d', 'c')})"
+        seeds += f""",
+s{t} AS MATERIALIZED (SELECT s, {t} AS c, {xs} FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY -ln({u}) / d2, id) AS rk
+                                     FROM d{t} WHERE d2 > 0) WHERE rk = 1),
+d{t + 1} AS MATERIALIZED (SELECT d.s, d.id, {", ".join(f"d.x{i}" for i in dims)}, {seen} AS d2 FROM d{t} d JOIN s{t} c USING (s))"""
+    var = " + ".join(f"var_pop(x{i})" for i in dims)
+    return f"""
+WITH RECURSIVE {points},
+{seeds},
+seeds AS ({" UNION ALL ".join(f"SELECT * FROM s{t}" for t in range(max(ks)))}),
+lim AS (SELECT {max(tol, 1e-20)!r}::DOUBLE * ({var}) / {d} AS least FROM p),
+l AS (SELECT 0 AS it, k, s, c, {xs}, 'inf'::DOUBLE AS shift FROM seeds JOIN (SELECT unnest({ks}) AS k) kk ON c < k
+      UNION ALL
+      SELECT o.it + 1, o.k, o.s, o.c, {", ".join(f"coalesce(a.x{i}, o.x{i})" for i in dims)},
+             sum(coalesce({sq("a", "o")}, 0)) OVER (PARTITION BY o.k, o.s)
+      FROM l o LEFT JOIN (
+        SELECT k, s, c, {", ".join(f"avg(x{i}) AS x{i}" for i in dims)} FROM (
+          SELECT m.k, m.s, p.id, arg_min(m.c, {sq("p", "m")}) AS c, {", ".join(f"any_value(p.x{i}) AS x{i}" for i in dims)}
+          FROM l m, p, lim WHERE m.shift > lim.least GROUP BY m.k, m.s, p.id) GROUP BY k, s, c) a
+        ON a.k = o.k AND a.s = o.s AND a.c = o.c, lim
+      WHERE o.shift > lim.least AND o.it < {max_iter}),
+fin AS (SELECT * FROM l QUALIFY it = max(it) OVER (PARTITION BY k, s)),
+near AS (SELECT f.k, f.s, p.id, arg_min(f.c, {sq("p", "f")}) AS c, min({sq("p", "f")}) AS dist,
+                {", ".join(f"any_value(p.x{i}) AS x{i}" for i in dims)} FROM fin f, p GROUP BY f.k, f.s, p.id),
+cost AS (SELECT k, s, sum(dist) AS inertia FROM near GROUP BY k, s),
+best AS (SELECT k, min(s) AS s, arg_min(inertia, s) AS inertia FROM cost
+         JOIN (SELECT k, min(inertia) AS floor FROM cost GROUP BY k) USING (k)
+         WHERE inertia <= floor * (1 + 1e-9) GROUP BY k)"""
+
+
+@register("kmeans", lloyd_sql(_RFM_Z, 4, [3], 10) + f"""
+SELECT id AS CustomerID, {", ".join(f"round(x{i}, 6) AS {c}" for i, c in enumerate(RFM_FEATS))}, c AS cluster
+FROM near JOIN best USING (k, s)""")
 def q_kmeans(spark, sf_dir):
     lab, _, _ = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=3, n_init=10, keep=["CustomerID"])
-    return lab
+    return lab.select("CustomerID", *[F.round(c, 6).alias(c) for c in RFM_FEATS], "cluster")
 
 
 @register("kmeans_check", f"""
 SELECT count(*) AS "rows", CAST(3 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS DOUBLE) AS drift
 FROM ({rfm_base_sql(CLEAN_SQL)})""")
 def q_kmeans_check(spark, sf_dir):
-    """A k-means result puts every row at its nearest centre, and every centre
-    at the mean of its rows."""
-    lab, _, model = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=3, n_init=10, keep=["CustomerID"])
+    """A k-means result at rest puts every row at its nearest centre, and every
+    centre at the mean of its rows."""
+    lab, _, model = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=3, n_init=10, keep=["CustomerID"], tol=0.0)
     return K.kmeans_check(lab, model, RFM_FEATS)
 
 
-@register("elbow")
+_ELBOW_KS = list(range(2, 12))
+
+
+@register("elbow", lloyd_sql(_RFM_Z, 4, _ELBOW_KS, 5) + """,
+pick AS (SELECT near.* FROM near JOIN best USING (k, s)),
+cs AS (SELECT k, c, count(*) AS n, sum(x0) AS y0, sum(x1) AS y1, sum(x2) AS y2, sum(x3) AS y3,
+              sum(x0 * x0 + x1 * x1 + x2 * x2 + x3 * x3) AS psi FROM pick GROUP BY k, c),
+dm AS (SELECT a.k, a.id, a.c AS own, cs.c AS other, cs.n,
+              (cs.n * (x0 * x0 + x1 * x1 + x2 * x2 + x3 * x3) - 2 * (x0 * y0 + x1 * y1 + x2 * y2 + x3 * y3) + psi) / cs.n AS dis
+       FROM pick a JOIN cs USING (k)),
+ab AS (SELECT k, id, max(CASE WHEN own = other THEN n END) AS size,
+              max(CASE WHEN own = other AND n > 1 THEN dis * n / (n - 1) END) AS a,
+              min(CASE WHEN own <> other THEN dis END) AS b FROM dm GROUP BY k, id),
+sv AS (SELECT k, avg(CASE WHEN size > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette
+       FROM ab GROUP BY k)
+SELECT k, round(inertia, 6) AS inertia, round(silhouette, 6) AS silhouette FROM best JOIN sv USING (k)""")
 def q_elbow(spark, sf_dir):
-    return K.elbow(rfm_scaled(spark, sf_dir), RFM_FEATS, k_max=11, n_init=5)
+    e = K.elbow(rfm_scaled(spark, sf_dir), RFM_FEATS, k_max=11, n_init=5, id_col="CustomerID")
+    return e.select("k", F.round("inertia", 6).alias("inertia"), F.round("silhouette", 6).alias("silhouette"))
 
 
 _SIL_SQL = """
@@ -107,12 +173,6 @@ def q_cluster_counts(spark, sf_dir):
     return K.cluster_counts(lab, "l")
 
 
-_RFM_Z = f"""
-r AS ({rfm_base_sql(CLEAN_SQL)}),
-st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in RFM_FEATS)} FROM r),
-p AS (SELECT CustomerID AS id, {", ".join(f"({c} - m_{c}) / s_{c} AS x{i}" for i, c in enumerate(RFM_FEATS))} FROM r, st)"""
-
-
 def _dbscan_sql(points: str, d: int, eps: float, min_samples: int, id_col: str) -> str:
     """Labels spread along links between core points, smaller ids first."""
     dist = " + ".join(f"power(a.x{i} - b.x{i}, 2)" for i in range(d))
@@ -150,7 +210,8 @@ def q_compare_clusterings(spark, sf_dir):
     return K.compare_clusterings(spark, res)
 
 
-@register("cluster_sizes")
+@register("cluster_sizes", lloyd_sql(_RFM_Z, 4, [4], 10) + """
+SELECT c AS cluster, count(*) AS size FROM near JOIN best USING (k, s) GROUP BY c""")
 def q_cluster_sizes(spark, sf_dir):
     lab, _, _ = K.kmeans(rfm_scaled(spark, sf_dir), RFM_FEATS, k=4, n_init=10, keep=["CustomerID"])
     return K.cluster_sizes(lab, "cluster")
