@@ -10,6 +10,12 @@ classifier (C-10).
   once.  Every (query, leaf) keeps at most k candidates before the shuffle.
 * Two passes, whatever the data: no rounds, no grid, no feature left out.
   Leaves with many queries are served by several tasks.
+* Where boxes overlap so much that these visits would move more rows than
+  whole blocks (many features), query blocks meet build blocks instead, within
+  the same bound.  The choice compares the two measured row counts; both ways
+  are exact.  Blocks' candidates are merged in a tree.
+* Euclidean distances are shortlisted by a matrix product with its rounding
+  error as slack and then computed from the differences.
 * The k nearest are taken in (distance, vertex id) order with weights (a
   vertex of weight w counts as w neighbours at the same distance).
 """
@@ -26,16 +32,18 @@ from tessera.session import materialize
 
 #: Queries of one leaf that a task takes, and rows compared at once.
 QUERIES, BLOCK = 20_000, 256
+#: Values (rows x features) of a block, and blocks merged at once.
+VALUES, MERGE = 1_000_000, 16
 
 
 def vertices(df: DataFrame, id_col: str, cols: list[str], extra: list[str] | None = None) -> tuple:
     """(vertex table (vid, w, cols, extra), row -> vid map)."""
     extra = extra or []
-    data = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols],
-                     *extra).na.drop(subset=cols)
-    v = data.groupBy(*cols, *extra).agg(F.min("_id").alias("vid"), F.count(F.lit(1)).alias("w"))
-    v = materialize(v, "knn_v")
-    rowmap = data.join(v.select(*cols, *extra, "vid"), cols + extra).select("_id", "vid")
+    data = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols], *extra) \
+        .na.drop(subset=cols).select("_id", F.array(*cols).alias("_f"), *extra)  # one key, however many features
+    v = data.groupBy("_f", *extra).agg(F.min("_id").alias("vid"), F.count(F.lit(1)).alias("w"))
+    v = materialize(v.select("*", *[F.element_at("_f", i + 1).alias(c) for i, c in enumerate(cols)]), "knn_v")
+    rowmap = data.join(v.select("_f", *extra, "vid"), ["_f", *extra]).select("_id", "vid")
     return v, rowmap
 
 
@@ -55,20 +63,71 @@ def _length(metric: str, p: float):
     return run
 
 
+def _pairwise(x: np.ndarray, y: np.ndarray, metric: str, p: float) -> tuple[np.ndarray, np.ndarray | float]:
+    """Distances (rows of x by rows of y) to choose by, and their possible
+    error.  Euclidean ones come from a matrix product."""
+    if metric == "euclidean":
+        x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        slack = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (x2[:, None] + (y2.max() if len(y2) else 0.0))
+        d2 = np.maximum(x2[:, None] + y2 - 2 * (x @ y.T), 0)
+        # an error e of the square moves the root by sqrt(e) at most
+        return np.sqrt(d2), np.sqrt(slack)
+    total = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        d = np.abs(x[:, i, None] - y[None, :, i])
+        total = np.maximum(total, d) if metric == "chebyshev" else total + (d if metric == "manhattan" else d ** p)
+    return (total ** (1 / p) if metric == "minkowski" else total), 0.0
+
+
+def _nearest(x, who, reach, y, ids, w, need: int, self_join: bool, metric: str, p: float) -> pd.DataFrame:
+    """(a, b, dist, wb): for each row of ``x`` the rows of ``y`` (in id order)
+    within ``reach`` that hold its ``need`` nearest by weight."""
+    length = _length(metric, p)
+    out = []
+    for at in range(0, len(x), BLOCK):
+        xs, me, bound = x[at:at + BLOCK], who[at:at + BLOCK], reach[at:at + BLOCK]
+        near, slack = _pairwise(xs, y, metric, p)
+        cut = bound[:, None] + slack
+        if need + 1 < len(y):
+            cut = np.minimum(cut, np.partition(near, need, axis=1)[:, need, None] + 2 * slack)
+        i, j = np.nonzero(near <= cut)
+        dist = length(xs[i] - y[j])
+        weight = w[j] - (ids[j] == me[i] if self_join else 0)
+        keep = (dist <= bound[i]) & (weight > 0)
+        i, j, dist, weight = i[keep], j[keep], dist[keep], weight[keep]
+        order = np.lexsort((j, dist, i))
+        i, j, dist, weight = i[order], j[order], dist[order], weight[order]
+        # weight before a row within its query
+        before = np.cumsum(weight) - weight
+        first = np.searchsorted(i, i, side="left")
+        keep = before - before[first] < need if len(i) else np.zeros(0, bool)
+        out.append(pd.DataFrame({"a": me[i[keep]], "b": ids[j[keep]], "dist": dist[keep], "wb": weight[keep]}))
+    return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "dist", "wb"])
+
+
+def _merge(found: DataFrame, by: list[str], need: int) -> DataFrame:
+    """The candidates that can be among the ``need`` nearest of their group, with ``_before``."""
+    w = Window.partitionBy(*by).orderBy("dist", "b")
+    before = F.coalesce(F.sum("wb").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.withColumn("_before", before).where(F.col("_before") < need)
+
+
 def knn(queries: DataFrame, build: DataFrame, cols: list[str], k: int, self_join: bool,
-        metric: str = "euclidean", p: float = 2.0, leaf: int | None = None) -> DataFrame:
+        metric: str = "euclidean", p: float = 2.0, leaf: int | None = None, way: str | None = None) -> DataFrame:
     """``(a, b, dist, used)`` — for each query vertex ``a`` its nearest build
     vertices with the weight ``used`` each contributes (sum = k per query,
     or all available weight when fewer exist).
 
     ``queries``: (vid, cols...[, w]); ``build``: (vid, w, cols...).  With
     ``self_join`` the query's own vertex counts w-1 times at distance 0.
+    ``way``: "leaves" or "blocks"; None compares the rows that each would move.
     """
     spark = queries.sparkSession
     length = _length(metric, p)
     a_type, b_type = (d.schema["vid"].dataType.simpleString() for d in (queries, build))
     found = f"a {a_type}, b {b_type}, dist double, wb long"
-    total = build.agg(F.sum("w")).first()[0] or 0
+    size, total = build.agg(F.count(F.lit(1)), F.sum("w")).first()
+    total = total or 0
     need = int(min(k, total - 1 if self_join else total))
     if need <= 0:
         return spark.createDataFrame([], f"a {a_type}, b {b_type}, dist double, used long")
@@ -78,32 +137,13 @@ def knn(queries: DataFrame, build: DataFrame, cols: list[str], k: int, self_join
     q = materialize(with_leaf(queries.select(F.col("vid").alias("a"), *cols), cols, leaves), "knn_q")
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The ``need`` nearest by weight of each query among one leaf's vertices."""
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("vid", kind="stable")
-            y, ids, w = matrix(right, cols), right["vid"].to_numpy(), right["w"].to_numpy()
-            x, who = matrix(left, cols), left["a"].to_numpy()
-            reach = left["r"].to_numpy() if "r" in left else np.full(len(left), np.inf)
-            for at in range(0, len(x), BLOCK):
-                dist = length(x[at:at + BLOCK, None, :] - y[None, :, :])
-                for i in range(len(dist)):
-                    row, me = dist[i], who[at + i]
-                    if need + 1 < len(row):
-                        cut = min(reach[at + i], np.partition(row, need)[need])
-                    else:
-                        cut = reach[at + i]
-                    near = np.flatnonzero(row <= cut)
-                    near = near[np.argsort(row[near], kind="stable")]  # ties stay in id order
-                    got = 0
-                    for j in near.tolist():
-                        weight = int(w[j]) - (1 if self_join and ids[j] == me else 0)
-                        if weight > 0:
-                            out.append((me, ids[j], row[j], weight))
-                            got += weight
-                            if got >= need:
-                                break
-        return pd.DataFrame(out, columns=["a", "b", "dist", "wb"])
+        """The ``need`` nearest by weight of each query among one leaf's or block's vertices."""
+        right = right.sort_values("vid", kind="stable")
+        reach = left["r"].to_numpy() if "r" in left else np.full(len(left), np.inf)
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["a", "b", "dist", "wb"])
+        return _nearest(matrix(left, cols), left["a"].to_numpy(), reach, matrix(right, cols), right["vid"].to_numpy(),
+                        right["w"].to_numpy(), need, self_join, metric, p)
 
     def search(rows: DataFrame) -> DataFrame:
         """Queries meet their leaf's vertices; crowded leaves by several tasks."""
@@ -114,22 +154,53 @@ def knn(queries: DataFrame, build: DataFrame, cols: list[str], k: int, self_join
 
     own = materialize(search(q), "knn_own")
     reach = own.groupBy("a").agg(F.when(F.sum("wb") >= need, F.max("dist")).alias("r"))
-    todo = q.join(reach, "a", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
+    todo = materialize(q.join(reach, "a", "left").withColumn("r", F.coalesce("r", F.lit(float("inf")))), "knn_todo")
+
+    def away(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        row, leaf_no = leaves.near(matrix(pdf, cols), pdf["r"].to_numpy(), length)
+        other = leaf_no != pdf["_leaf"].to_numpy()[row]
+        return row[other], leaf_no[other]
 
     def visit(it):
         for pdf in it:
-            row, leaf_no = leaves.near(matrix(pdf, cols), pdf["r"].to_numpy(), length)
-            away = leaf_no != pdf["_leaf"].to_numpy()[row]
-            yield pdf.iloc[row[away]].assign(_leaf=leaf_no[away])
+            row, leaf_no = away(pdf)
+            yield pdf.iloc[row].assign(_leaf=leaf_no)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields)
-    far = search(materialize(todo.mapInPandas(visit, fields), "knn_visits"))
-    w = Window.partitionBy("a").orderBy("dist", "b")
-    before = F.coalesce(F.sum("wb").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return own.unionByName(far).withColumn("_before", before).where(F.col("_before") < need) \
+    def count(it):
+        for pdf in it:
+            yield pd.DataFrame({"n": [len(pdf)], "visits": [len(away(pdf)[0])]})
+
+    n, visits = todo.mapInPandas(count, "n long, visits long").agg(F.sum("n"), F.sum("visits")).first()
+    n = n or 0
+    rows = max(1, VALUES // len(cols))
+    build_blocks = -(-size // rows)
+    # enough query blocks to keep every task busy, as long as they are worth a task
+    query_blocks = max(-(-n // rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK)), 1)
+    if way is None:
+        way = "blocks" if n * build_blocks + size * query_blocks < visits else "leaves"
+    if way == "blocks":
+        tiles = _tiles(todo, b, query_blocks, build_blocks).applyInPandas(
+            lambda key, left, right: nearest(left, right).assign(_run=key[1]), f"{found}, _run int")
+        while build_blocks > MERGE:
+            build_blocks = -(-build_blocks // MERGE)
+            tiles = _merge(tiles.withColumn("_run", F.floor(F.col("_run") / MERGE).cast("int")), ["a", "_run"], need).drop("_before")
+        every = tiles.drop("_run")  # holds the own leaf's rows too
+    else:
+        far = search(materialize(todo.mapInPandas(visit, todo.schema), "knn_visits"))
+        every = own.unionByName(far)
+    return _merge(every, ["a"], need) \
         .select("a", "b", "dist", F.least(F.col("wb"), F.lit(need) - F.col("_before")).alias("used"))
 
 
+def _tiles(q: DataFrame, b: DataFrame, query_blocks: int, build_blocks: int):
+    """Every (query block, build block) as a group; blocks are dealt by id hash."""
+    left = q.drop("_leaf").withColumn("_i", F.pmod(F.xxhash64("a"), F.lit(query_blocks)).cast("int")) \
+        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(build_blocks - 1))))
+    right = b.drop("_leaf").withColumn("_j", F.pmod(F.xxhash64("vid"), F.lit(build_blocks)).cast("int")) \
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j"))
+
+
 def lof_scores(df: DataFrame, id_col: str, cols: list[str], k: int = 20) -> DataFrame:
     """``(id, lof)`` — local outlier factor with k neighbours (ties in
     (distance, id) order)."""

@@ -328,15 +328,15 @@ SELECT b.id AS CustomerID, b.label AS prediction,
 FROM b WHERE rk = 1"""
 
 
-def _knn(spark, sf_dir, metric):
+def _knn(spark, sf_dir, metric, p=2.0):
     from tessera.operators.knn import knn_classify
     from tessera.operators.preprocess import scale
     d = rfm_split(spark, sf_dir)
     sp = C.fit_scaler(d.where(~F.col("is_test")), KNN_FEATS)
     d = scale(d, KNN_FEATS, params=sp)
     tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    p = knn_classify(tr, te.select("CustomerID", *KNN_FEATS), "CustomerID", KNN_FEATS, "label", k=5, metric=metric)
-    return p.select("CustomerID", "prediction", F.round("score", 6).alias("score"))
+    out = knn_classify(tr, te.select("CustomerID", *KNN_FEATS), "CustomerID", KNN_FEATS, "label", k=5, metric=metric, p=p)
+    return out.select("CustomerID", "prediction", F.round("score", 6).alias("score"))
 
 
 @register("knn_classify", _knn_sql("sqrt(" + " + ".join(f"power(te.x{i} - tr.x{i}, 2)" for i in range(3)) + ")"))
@@ -349,6 +349,28 @@ def q_knn_manhattan(spark, sf_dir):
     return _knn(spark, sf_dir, "manhattan")
 
 
+@register("knn_minkowski", _knn_sql("power(" + " + ".join(f"power(abs(te.x{i} - tr.x{i}), 3)" for i in range(3)) + ", 1.0 / 3)"))
+def q_knn_minkowski(spark, sf_dir):
+    return _knn(spark, sf_dir, "minkowski", 3.0)
+
+
+@register("knn_embeddings", f"""
+WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v,
+                  (((vec_id % 2147483647) * 1103515245 + 42) % 2147483648) / 2147483648.0 < 0.25 AS is_test FROM embeddings),
+pr AS (SELECT te.id, tr.label, tr.id AS tid, list_distance(te.v, tr.v) AS dist FROM e te JOIN e tr ON te.is_test AND NOT tr.is_test),
+nn AS (SELECT id, label FROM pr QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, tid) <= 5),
+c AS (SELECT id, label, count(*) AS n FROM nn GROUP BY id, label)
+SELECT id AS vec_id, CAST(label AS DOUBLE) AS prediction FROM c
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1""")
+def q_knn_embeddings(spark, sf_dir):
+    """Labels of a quarter of the vectors from their five nearest others, all dimensions as features."""
+    from tessera.operators.knn import knn_classify
+    feats = [f"e{i}" for i in range(EMB_DIMS)]
+    d = C.train_test_split(emb_frame(spark, sf_dir), "vec_id", 0.25, 42, method="portable")
+    out = knn_classify(d.where(~F.col("is_test")), d.where(F.col("is_test")).select("vec_id", *feats), "vec_id", feats, "label", k=5)
+    return out.select("vec_id", "prediction")
+
+
 # ---- exact trees: every value of a feature is a candidate cut
 TREE_DEPTH = 3
 

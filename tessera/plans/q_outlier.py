@@ -103,6 +103,22 @@ def q_outlier_lof(spark, sf_dir):
     return o.select("CustomerID", F.round("lof", 6).alias("lof"), "lof_flag")
 
 
+@register("lof_embeddings", """
+WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.id <> b.id),
+nn AS (SELECT a, b, dist FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b) <= 20),
+kd AS (SELECT a, max(dist) AS kdist FROM nn GROUP BY a),
+lrd AS (SELECT nn.a, 1.0 / (avg(greatest(kd.kdist, nn.dist)) + 1e-10) AS lrd FROM nn JOIN kd ON nn.b = kd.a GROUP BY nn.a)
+SELECT nn.a AS vec_id, round(avg(lb.lrd) / any_value(la.lrd), 6) AS lof
+FROM nn JOIN lrd lb ON nn.b = lb.a JOIN lrd la ON nn.a = la.a GROUP BY nn.a""")
+def q_lof_embeddings(spark, sf_dir):
+    """Local outlier factor over all dimensions of the embeddings."""
+    from tessera.operators.knn import lof_scores
+    from tessera.plans.q_classify import EMB_DIMS, emb_frame
+    s = lof_scores(emb_frame(spark, sf_dir), "vec_id", [f"e{i}" for i in range(EMB_DIMS)], k=20)
+    return s.select("vec_id", F.round("lof", 6).alias("lof"))
+
+
 @register("outlier_iforest")
 def q_outlier_iforest(spark, sf_dir):
     from tessera.operators.iforest import outlier_iforest

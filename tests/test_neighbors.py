@@ -131,6 +131,28 @@ def test_knn_binary_features_first_and_small_leaves(spark, metric):
         assert sorted(got[ids[f"q{i}"]]) == pytest.approx(want[i], abs=1e-12)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "minkowski", "chebyshev"])
+@pytest.mark.parametrize("way", ["blocks", "leaves", None])
+def test_knn_many_features(spark, metric, way, monkeypatch):
+    """Twelve features far from the origin, repeated rows, blocks of 25 rows merged four at a time."""
+    from tessera.operators import knn as M
+    monkeypatch.setattr(M, "VALUES", 300)
+    monkeypatch.setattr(M, "MERGE", 4)
+    rng = np.random.default_rng(8)
+    cols = [f"c{i}" for i in range(12)]
+    X = rng.normal(1e4, 1, (250, 12))
+    X[200:] = X[:50]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    v, rowmap = M.vertices(df, "id", cols)
+    ids = dict(map(tuple, rowmap.select("_id", "vid").collect()))
+    got = {}
+    for r in M.knn(v, v, cols, 9, True, metric, 3.0, leaf=20, way=way).collect():
+        got.setdefault(r["a"], []).extend([r["dist"]] * r["used"])
+    want = _knn_brute(X, X, 10, metric)
+    for i in range(len(X)):
+        assert sorted(got[ids[i]]) == pytest.approx(want[i][1:], abs=1e-9)
+
+
 def test_knn_fewer_points_than_k(spark):
     from tessera.operators.knn import lof_scores
     assert lof_scores(frame(spark, np.array([[0.0, 0], [1, 1], [2, 5]])), "id", ["x", "y"], 20).count() == 3
