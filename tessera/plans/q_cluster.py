@@ -134,6 +134,21 @@ def q_silhouette(spark, sf_dir):
     return spark.createDataFrame([(round(v, 6),)], "silhouette double")
 
 
+@register("silhouette_euclidean", """
+WITH c AS (SELECT c_custkey AS id, c_mktsegment AS lab, CAST(c_acctbal AS DOUBLE) AS x1, CAST(c_nationkey AS DOUBLE) AS x2 FROM customer),
+d AS (SELECT a.id, a.lab, b.lab AS other, sum(sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2))) AS t, count(*) AS n
+      FROM c a, c b GROUP BY a.id, a.lab, b.lab),
+ab AS (SELECT id, lab, max(CASE WHEN lab = other THEN n END) AS n, max(CASE WHEN lab = other AND n > 1 THEN t / (n - 1) END) AS a,
+              min(CASE WHEN lab <> other THEN t / n END) AS b FROM d GROUP BY id, lab)
+SELECT id AS c_custkey, lab AS c_mktsegment,
+       round(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS silhouette FROM ab""")
+def q_silhouette_euclidean(spark, sf_dir):
+    """Plain Euclidean silhouette per customer; exact while every segment's sample is whole."""
+    from tessera.operators.silhouette import silhouette_euclidean
+    s, _ = silhouette_euclidean(load(spark, sf_dir, "customer"), "c_custkey", SIL_COLS, "c_mktsegment")
+    return s.withColumn("silhouette", F.round("silhouette", 6))
+
+
 @register("silhouette_sq", """
 WITH c AS (SELECT c_custkey AS id, c_mktsegment AS lab, CAST(c_acctbal AS DOUBLE) AS x1,
                   CAST(c_nationkey AS DOUBLE) AS x2 FROM customer),
