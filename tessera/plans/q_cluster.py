@@ -243,3 +243,52 @@ def q_dbscan_customer(spark, sf_dir):
     from tessera.operators.dbscan import dbscan
     return dbscan(load(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"],
                   eps=_DB_EPS, min_samples=_DB_MIN)
+
+
+# single linkage over raw customer features: Prim's tree from the first customer, then Kruskal's merges step by step
+_LINK_K = 4
+_LINK_SQL = """
+WITH RECURSIVE p AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS x0, CAST(c_nationkey AS DOUBLE) AS x1,
+                            row_number() OVER (ORDER BY c_custkey) - 1 AS row FROM customer),
+prim AS (
+  SELECT 1 AS it, p.row, p.x0, p.x1, o.row AS src, sqrt((p.x0 - o.x0) * (p.x0 - o.x0) + (p.x1 - o.x1) * (p.x1 - o.x1)) AS d
+  FROM p JOIN p o ON o.row = 0 AND p.row > 0
+  UNION ALL
+  SELECT it + 1, row, x0, x1, CASE WHEN nearer THEN k_row ELSE src END, CASE WHEN nearer THEN nd ELSE d END
+  FROM (SELECT *, (nd, least(row, k_row), greatest(row, k_row)) < (d, least(row, src), greatest(row, src)) AS nearer
+        FROM (SELECT l.*, k.row AS k_row, sqrt((l.x0 - k.x0) * (l.x0 - k.x0) + (l.x1 - k.x1) * (l.x1 - k.x1)) AS nd
+              FROM prim l, (SELECT row, x0, x1 FROM prim ORDER BY d, least(row, src), greatest(row, src) LIMIT 1) k
+              WHERE l.row <> k.row))),
+e AS MATERIALIZED (
+  SELECT least(row, src) AS a, greatest(row, src) AS b, d,
+         row_number() OVER (ORDER BY d, least(row, src), greatest(row, src)) - 1 AS rk
+  FROM (SELECT * FROM prim QUALIFY row_number() OVER (PARTITION BY it ORDER BY d, least(row, src), greatest(row, src)) = 1)),
+n AS (SELECT count(*) AS n FROM p),
+l AS (
+  SELECT CAST(0 AS BIGINT) AS step, row, row AS node FROM p
+  UNION ALL
+  SELECT l.step + 1, l.row, CASE WHEN l.node IN (x.na, x.nb) THEN n.n + l.step ELSE l.node END
+  FROM l, n, (SELECT u.node AS na, w.node AS nb FROM e JOIN l u ON u.row = e.a AND u.step = e.rk JOIN l w ON w.row = e.b) x)
+"""
+
+
+@register("linkage_merges", _LINK_SQL + """,
+m AS (SELECT step, node, count(*) AS size FROM l GROUP BY step, node)
+SELECT e.rk AS merge, least(u.node, w.node) AS "left", greatest(u.node, w.node) AS "right", round(e.d, 6) AS height, m.size
+FROM e, n, l u, l w, m WHERE u.row = e.a AND u.step = e.rk AND w.row = e.b AND w.step = e.rk
+  AND m.step = e.rk + 1 AND m.node = n.n + e.rk""")
+def q_linkage_merges(spark, sf_dir):
+    """The whole single-linkage merge table of the customers."""
+    from tessera.operators.linkage import linkage_table, single_linkage
+    tree = single_linkage(load(spark, sf_dir, "customer"), "c_custkey", SIL_COLS)
+    return linkage_table(tree).withColumn("height", F.round("height", 6))
+
+
+@register("linkage_labels", _LINK_SQL + f"""
+SELECT p.id AS c_custkey, CAST(dense_rank() OVER (ORDER BY f.first) - 1 AS INTEGER) AS cluster
+FROM (SELECT row, min(row) OVER (PARTITION BY node) AS first FROM l, n WHERE step = greatest(n.n - {_LINK_K}, 0)) f JOIN p USING (row)""")
+def q_linkage_labels(spark, sf_dir):
+    """Single-linkage clusters of the customers, numbered by their smallest customer."""
+    from tessera.operators.linkage import linkage_labels, single_linkage
+    tree = single_linkage(load(spark, sf_dir, "customer"), "c_custkey", SIL_COLS)
+    return linkage_labels(tree, _LINK_K).withColumnRenamed("id", "c_custkey")
