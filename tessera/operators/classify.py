@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.rank import avg_rank, running_totals
 from tessera.functions.sqltext import dlit, ident
-from tessera.operators import trees
+from tessera.operators import boosting, trees
 from tessera.operators.core import default_features, portable_hash, require_rows
 from tessera.operators.preprocess import scale, scale_params
 from tessera.session import discard, materialize
@@ -131,8 +131,7 @@ def _assemble(df: DataFrame, features: list[str], out: str = "features") -> Data
 
 def make_estimator(kind: str, params: dict | None = None, n_classes: int = 2, seed: int = 42):
     """MLlib estimator for ``dt | rf | gbt | logreg``."""
-    from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
-                                           RandomForestClassifier)
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
     p = dict(params or {})
     if (p.get("max_depth") or 0) > 30:
         raise ValueError("trees deeper than 30 levels are not supported")
@@ -144,9 +143,10 @@ def make_estimator(kind: str, params: dict | None = None, n_classes: int = 2, se
         return RandomForestClassifier(numTrees=p.get("n_estimators", 100), maxDepth=30 if depth is None else depth,
                                       featureSubsetStrategy="sqrt", seed=seed, maxBins=p.get("max_bins", 64))
     if kind == "gbt":
-        g = GBTClassifier(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1),
-                          maxDepth=p.get("max_depth", 3), seed=seed, maxBins=p.get("max_bins", 64))
-        return g if n_classes <= 2 else OneVsRest(classifier=g)
+        if n_classes > 2:
+            raise ValueError("several classes are boosted by boosting.boost_fit")
+        return GBTClassifier(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1),
+                             maxDepth=p.get("max_depth", 3), seed=seed, maxBins=p.get("max_bins", 64))
     if kind == "logreg":
         return LogisticRegression(maxIter=p.get("max_iter", 100))
     raise ValueError(f"unknown model {kind}")
@@ -172,6 +172,11 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, features: list[str
         m = trees.tree_fit(train, features, label, n_classes, **(params or {}))
         pr = trees.tree_predict(test, m)
         return m, pr.select(*keep, label, "prediction", F.get("probability", F.lit(1)).alias("score"))
+    if kind == "gbt" and n_classes > 2:  # softmax: probabilities for all classes
+        q = {"bins" if a == "max_bins" else a: v for a, v in (params or {}).items()}
+        m = boosting.boost_fit(train, features, label, n_classes, **q)
+        pr = boosting.boost_predict(test, m)
+        return m, pr.select(*keep, label, "prediction", F.get("probability", F.lit(1)).alias("score"))
     if kind in ("svm_linear", "svm_rbf", "svm_poly"):
         m = kernel_svm_fit(train, features, label, kind=kind[4:], **(params or {}))
         pr = kernel_svm_predict(test, m)

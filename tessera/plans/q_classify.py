@@ -488,3 +488,53 @@ def q_score_grid(spark, sf_dir):
     g = C.score_grid(lambda g: C.gaussian_nb_predict(g, m).drop("probability"), bounds, 0.3,
                      spark=spark, names=("Recency", "Frequency"))
     return g.select(F.round("Recency", 6).alias("Recency"), F.round("Frequency", 6).alias("Frequency"), "prediction")
+
+
+# ---- softmax boosting over the embeddings, ten classes
+BOOST_BINS, BOOST_RATE = 32, 0.1
+
+
+def _emb_boost(spark, sf_dir, rounds: int, depth: int):
+    from tessera.operators.boosting import boost_fit, boost_predict
+    d = materialize(C.train_test_split(emb_frame(spark, sf_dir), "vec_id", 0.25, 42, method="portable"), "split")
+    m = boost_fit(d.where(~F.col("is_test")), EMB_FEATS, "label", 10, n_estimators=rounds, learning_rate=BOOST_RATE,
+                  max_depth=depth, bins=BOOST_BINS)
+    return boost_predict(d.where(F.col("is_test")).select("vec_id", "label", *EMB_FEATS), m) \
+        .select("vec_id", "label", "prediction", "probability")
+
+
+@register("gbt_first_round", f"""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+                  (((vec_id % 2147483647) * 1103515245 + 42) % 2147483648) / 2147483648.0 < 0.25 AS is_test FROM embeddings),
+k AS (SELECT r.c, count(e.label)::DOUBLE / (SELECT count(*) FROM e WHERE NOT is_test) AS p
+      FROM range(10) r(c) LEFT JOIN e ON e.label = r.c AND NOT is_test GROUP BY r.c),
+x AS (SELECT label, unnest(range(64)) AS f, unnest(v) AS x FROM e WHERE NOT is_test),
+n AS (SELECT f, x, count(*) AS c FROM x GROUP BY f, x),
+cum AS (SELECT f, x, c, sum(c) OVER (PARTITION BY f ORDER BY x) AS nl, sum(c) OVER (PARTITION BY f) AS n,
+               count(*) OVER (PARTITION BY f) AS d FROM n),
+edge AS (SELECT f, x, nl, n FROM cum
+         WHERE nl < n AND (d <= {BOOST_BINS} OR (nl * {BOOST_BINS})::BIGINT // n::BIGINT > ((nl - c) * {BOOST_BINS})::BIGINT // n::BIGINT)),
+own AS (SELECT edge.f, edge.x, k.c, any_value(edge.nl)::DOUBLE AS nl, any_value(edge.n)::DOUBLE AS n, any_value(k.p) AS p,
+               count(*) FILTER (WHERE x.x <= edge.x AND x.label = k.c) AS own_l, count(*) FILTER (WHERE x.label = k.c) AS own
+        FROM edge JOIN x USING (f), k GROUP BY edge.f, edge.x, k.c),
+g AS (SELECT *, own_l - nl * p AS gl, own - n * p AS g FROM own),
+s AS (SELECT * FROM (SELECT *, round(gl * gl / nl + (g - gl) * (g - gl) / (n - nl) - g * g / n, 6) AS gain FROM g) WHERE gain > 0
+      QUALIFY row_number() OVER (PARTITION BY c ORDER BY gain DESC, f, x) = 1),
+score AS (SELECT e.vec_id, e.label, k.c, ln(least(greatest(k.p, 1.1920928955078125e-07), 1 - 1.1920928955078125e-07))
+                 + coalesce({BOOST_RATE} * 0.9 * CASE WHEN e.v[s.f + 1] <= s.x THEN gl / (nl * s.p * (1 - s.p))
+                                                 ELSE (g - gl) / ((n - nl) * s.p * (1 - s.p)) END, 0) AS z
+          FROM e, k LEFT JOIN s USING (c) WHERE e.is_test),
+pr AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM score)
+SELECT vec_id, label, arg_max(c, (round(p, 9), -c))::DOUBLE AS prediction, round(max(p), 6) AS likeliest,
+       round(max(p) FILTER (WHERE c = 1), 6) AS p1 FROM pr GROUP BY vec_id, label""")
+def q_gbt_first_round(spark, sf_dir):
+    """One round of boosting, a cut per class: known in closed form."""
+    p = _emb_boost(spark, sf_dir, 1, 1)
+    return p.select("vec_id", "label", "prediction", F.round(F.array_max("probability"), 6).alias("likeliest"),
+                    F.round(F.get("probability", F.lit(1)), 6).alias("p1"))
+
+
+@register("model_gbt_multi")
+def q_model_gbt_multi(spark, sf_dir):
+    """Ten rounds of ten trees over all dimensions; probabilities of all classes."""
+    return _emb_boost(spark, sf_dir, 10, 3)
