@@ -13,7 +13,7 @@ BLOCK = 256
 
 def beside(rows: DataFrame, few: DataFrame, key: str, salt_of: Column, name: str) -> DataFrame:
     """``rows`` with a column ``name``: an array of at most ``BLOCK`` rows of
-    ``few``, and as many rows as ``few`` has such blocks.
+    ``few`` in order of its columns, and as many rows as ``few`` has such blocks.
 
     ``key`` is not null and distinct in ``few``.  Both sides meet on (salt,
     block): a row's salt is a hash of ``salt_of``, each block is copied to
@@ -22,7 +22,7 @@ def beside(rows: DataFrame, few: DataFrame, key: str, salt_of: Column, name: str
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = avg_rank(few.select(F.col(key).alias("value")), [], "value") \
         .select(F.col("value").alias(key), F.floor((F.col("rank") - 1) / BLOCK).cast("int").alias("_blk"))
-    blocks = few.join(place, key).groupBy("_blk").agg(F.collect_list(F.struct(*few.columns)).alias(name))
+    blocks = few.join(place, key).groupBy("_blk").agg(F.sort_array(F.collect_list(F.struct(*few.columns))).alias(name))
     last = blocks.agg(F.max("_blk")).first()[0]
     if last is None:
         return rows.withColumn(name, F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema]))).limit(0)

@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.beside import BLOCK, beside
 from tessera.functions.rank import avg_rank, running_totals
 from tessera.functions.sqltext import dlit, ident
 from tessera.operators import boosting, trees
@@ -78,49 +79,60 @@ def prepare_xy(df: DataFrame, features: list[str], y: str, id_col: str | None =
 def gaussian_nb_fit(train: DataFrame, features: list[str], label: str = "label",
                     var_smoothing: float = 1e-9) -> dict:
     """Class priors, per-class means and population variances (+ epsilon =
-    var_smoothing x the largest feature variance) in one aggregation."""
+    var_smoothing x the largest feature variance).  ``classes`` is a table with
+    a row per class, ``k`` their number."""
     x = [F.col(c).cast("double") for c in features]
-    g = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"),
-                                 *[F.avg(v).alias(f"_m{i}") for i, v in enumerate(x)],
-                                 *[F.var_pop(v).alias(f"_v{i}") for i, v in enumerate(x)]).collect()
-    n = sum(r["_n"] for r in g)
-    overall = []  # the variance of all rows from the classes' sizes, means and variances
-    for i in range(len(features)):
-        mean = sum(r["_n"] * r[f"_m{i}"] for r in g) / n
-        overall.append(sum(r["_n"] * ((r[f"_v{i}"] or 0.0) + (r[f"_m{i}"] - mean) ** 2) for r in g) / n)
+    d = range(len(features))
+    g = materialize(train.groupBy(F.col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)],
+        *[F.coalesce(F.var_pop(v), F.lit(0.0)).alias(f"v{i}") for i, v in enumerate(x)]), "nb_stats")
+    k, n, *mean = g.agg(F.count(F.lit(1)), F.sum("n"), *[F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n") for i in d]).first()
+    if not k:
+        raise ValueError("no training rows")
+    # the variance of all rows from the classes' sizes, means and variances
+    overall = g.agg(*[F.sum(F.col("n") * (F.col(f"v{i}") + (F.col(f"m{i}") - F.lit(mean[i])) ** 2)) / n for i in d]).first()
     eps = var_smoothing * max(overall)
-    model = {"features": features, "classes": []}
-    for r in sorted(g, key=lambda r: r[label]):
-        model["classes"].append({
-            "label": r[label], "prior": r["_n"] / n,
-            "mean": [r[f"_m{i}"] for i in range(len(features))],
-            "var": [(r[f"_v{i}"] or 0.0) + eps for i in range(len(features))]})
-    return model
-
-
-def _nb_jll_sql(cls: dict) -> str:
-    """Joint log-likelihood over the feature array ``_x``: the expression does
-    not grow with the number of features, only its two literal arrays do."""
-    const = math.log(cls["prior"]) - sum(0.5 * math.log(2 * math.pi * v) for v in cls["var"])
-    mean = "array(" + ", ".join(dlit(m) for m in cls["mean"]) + ")"
-    scale_ = "array(" + ", ".join(dlit(2.0 * v) for v in cls["var"]) + ")"
-    terms = f"zip_with(zip_with(_x, {mean}, (a, m) -> (a - m) * (a - m)), {scale_}, (d, v) -> d / v)"
-    return f"{dlit(const)} - aggregate({terms}, 0D, (s, t) -> s + t)"
+    var = [F.col(f"v{i}") + F.lit(eps) for i in d]
+    const = F.ln(F.col("n") / n) - F.aggregate(F.array(*[0.5 * F.ln(2 * math.pi * v) for v in var]), F.lit(0.0), lambda s, t: s + t)
+    classes = materialize(g.select("label", const.alias("const"), F.array(*[f"m{i}" for i in d]).alias("mean"),
+                                   F.array(*[2.0 * v for v in var]).alias("var2")), "nb")
+    discard(g)
+    return {"features": features, "classes": classes, "k": k}
 
 
 def gaussian_nb_predict(df: DataFrame, model: dict, out: str = "prediction") -> DataFrame:
     """Adds ``prediction`` (largest joint log-likelihood, smallest label on
-    ties) and ``probability`` (array, classes in label order)."""
-    labels = [c["label"] for c in model["classes"]]
-    jll = "array(" + ", ".join(_nb_jll_sql(c) for c in model["classes"]) + ")"
-    x = F.expr("array(" + ", ".join(f"CAST({ident(c)} AS DOUBLE)" for c in model["features"]) + ")")
-    d = df.withColumn("_x", x).withColumn("_jll", F.expr(jll)).drop("_x")
-    mx = F.array_max("_jll")
-    pred = F.element_at(F.array(*[F.lit(float(l)) for l in labels]),
-                        F.array_position("_jll", mx).cast("int"))
-    ex = F.transform("_jll", lambda v: F.exp(v - mx))
-    tot = F.aggregate(ex, F.lit(0.0), lambda a, b: a + b)
-    return d.withColumn(out, pred).withColumn("probability", F.transform(ex, lambda v: v / tot)).drop("_jll")
+    ties) and ``probability`` (array, classes in label order).  A row meets
+    the classes in blocks; the blocks' likelihoods are put together per row."""
+    many = model["k"] > BLOCK
+    d = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "nb_rows") if many else df
+    x = F.array(*[F.col(c).cast("double") for c in model["features"]])
+    d = d.withColumn("_x", x)
+    each = beside(d.select("_row", "_x") if many else d, model["classes"], "label", F.xxhash64("_x"), "_cl")
+
+    def total_of(terms: list[Column]) -> Column:  # a shallow tree, however many features
+        at = len(terms) // 2
+        return total_of(terms[:at]) + total_of(terms[at:]) if at else terms[0]
+
+    def likelihood(c: Column) -> Column:
+        gap = [F.get("_x", F.lit(i)) - F.get(c["mean"], F.lit(i)) for i in range(len(model["features"]))]
+        return c["const"] - total_of([g * g / F.get(c["var2"], F.lit(i)) for i, g in enumerate(gap)])
+
+    each = each.withColumn("_jll", F.transform("_cl", likelihood))
+    top = F.array_max("_jll")
+    each = each.withColumn("_best", F.struct(top.alias("top"), F.get("_cl", F.array_position("_jll", top).cast("int") - 1)["label"]
+                                             .cast("double").alias("label")))
+    if many:
+        first = F.get("_cl", F.lit(0))["label"].alias("at")
+        got = each.groupBy("_row").agg(
+            F.max(F.struct(F.col("_best.top").alias("top"), (-F.col("_best.label")).alias("o"))).alias("_b"),
+            F.sort_array(F.collect_list(F.struct(first, "_jll"))).alias("_all"))
+        each = d.join(got.select("_row", F.struct(F.col("_b.top").alias("top"), (-F.col("_b.o")).alias("label")).alias("_best"),
+                                 F.flatten(F.col("_all._jll")).alias("_jll")), "_row")
+    ex = each.withColumn("_ex", F.transform("_jll", lambda v: F.exp(v - F.col("_best.top"))))
+    total = F.aggregate("_ex", F.lit(0.0), lambda s, t: s + t)
+    return ex.withColumn("_t", total).withColumn(out, F.col("_best.label")) \
+        .withColumn("probability", F.transform("_ex", lambda v: v / F.col("_t"))).select(*[c for c in df.columns if c != out], out, "probability")
 
 
 # -------------------------------------------------------------- MLlib models
@@ -162,7 +174,7 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, features: list[str
     if kind == "nb":
         m = gaussian_nb_fit(train, features, label)
         pr = gaussian_nb_predict(test, m)
-        sc = F.element_at("probability", 2) if len(m["classes"]) == 2 else F.lit(None).cast("double")
+        sc = F.element_at("probability", 2) if m["k"] == 2 else F.lit(None).cast("double")
         return m, pr.select(*keep, label, "prediction", sc.alias("score"))
     if kind == "ada":
         m = adaboost_fit(train, features, label, **(params or {}))

@@ -64,3 +64,26 @@ def test_bins_and_odd_rows(spark):
     assert none["rounds"] == [] and B.boost_predict(df, none).first()["probability"] == [0.5, 0.5]
     same = B.boost_fit(df.where("a = 2"), ["a"], n_estimators=1, n_classes=2)  # one class, nothing to cut
     assert B.boost_predict(df, same).first()["prediction"] == 1
+
+
+def test_naive_bayes_with_many_classes(spark):
+    """Classes in several blocks against numpy; equal classes: the smaller label."""
+    from tessera.operators import classify as C
+    rng = np.random.default_rng(4)
+    k, X = 600, rng.normal(size=(2400, 2))
+    y = np.arange(2400) % k
+    X[y == 7] = X[y == 599]  # two classes alike
+    df = spark.createDataFrame([(i, *map(float, r), float(c)) for i, (r, c) in enumerate(zip(X, y))], "id long, a double, b double, label double")
+    m = C.gaussian_nb_fit(df, ["a", "b"])
+    assert m["k"] == k
+    q = [5, 7, 599, 1207, 2399]
+    got = {r["id"]: r for r in C.gaussian_nb_predict(df.where(df.id.isin(q)), m).collect()}
+    var = np.array([X[y == c].var(0) for c in range(k)]) + 1e-9 * X.var(0).max()
+    mean = np.array([X[y == c].mean(0) for c in range(k)])
+    for i in q:
+        jll = -np.log(k) - (0.5 * np.log(2 * np.pi * var) + (X[i] - mean) ** 2 / (2 * var)).sum(1)
+        p = np.exp(jll - jll.max())
+        assert np.allclose(got[i]["probability"], p / p.sum(), atol=1e-9) and got[i]["prediction"] == np.argmax(np.round(jll, 9))
+    assert 599.0 not in {r["prediction"] for r in got.values()}
+    with pytest.raises(ValueError):
+        C.gaussian_nb_fit(df.where("id < 0"), ["a", "b"])
