@@ -137,7 +137,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = 0.05
     blocks = materialize(blocks, "ann-queries")
     # every shard meets every query block of its vector length: an equi-join of rows of fixed size
     n_rows = blocks.groupBy("dim").count()
-    blocks = blocks.withColumn("b", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("qid"))))
+    blocks = blocks.withColumn("key", F.sha2(F.concat("qid", "qx"), 256))
+    # numbered without their vectors: a short key per block passes the window
+    number = blocks.select("dim", "key").withColumn("b", F.row_number().over(Window.partitionBy("dim").orderBy("key")))
+    blocks = blocks.join(number, ["dim", "key"]).drop("key")
     shards = materialize(shards, "ann-shards")
     pairs = shards.join(n_rows, "dim").withColumn("b", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))) \
         .join(blocks, ["dim", "b"]).drop("b", "count")
