@@ -13,7 +13,8 @@ no distance matrix and no merge loop.
   components stand for its points in the upper half, so both halves go on
   alone; blocks of at most ``BLOCK_EDGES`` edges end in a task each.
 
-Rows with a null or NaN id or feature are left out.  Ids must be unique.
+Rows with a null or NaN id or a null, NaN or infinite feature are left out; ids
+must be unique.  Distances beyond the range of a double are an error.
 """
 
 from __future__ import annotations
@@ -203,6 +204,8 @@ def _round(points: DataFrame, owner: dict, leaves: Leaves, cols: list[str], metr
     best = materialize(near.unionByName(far).groupBy("comp").agg(least).select("comp", "e.*"), "mst_best")
     discard(visits)
     discard(near)
+    if best.count() < spots.select("comp").distinct().count():
+        raise ValueError("distances overflow")
     name = connected_components(best, "comp", "other").withColumnRenamed("vertex", "comp")
     moved = spots.join(name, "comp").select("_leaf", "comp", F.col("component").alias("_to"))
     points = materialize(points.join(moved, ["_leaf", "comp"]).select("vid", *cols, "_leaf", F.col("_to").alias("comp")),
@@ -215,6 +218,8 @@ def single_linkage(df: DataFrame, id_col: str, cols: list[str], metric: str = "e
     """The minimum spanning tree that holds all single-linkage clusterings."""
     rows = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).na.drop()
     x = [f"x{i}" for i in range(len(cols))]
+    for c in x:
+        rows = rows.where(F.abs(c) < float("inf"))
     rows = materialize(running_totals(rows.withColumn("one", F.lit(1)), [], "id", ["one"])
                        .select((F.col("cum_one") - 1).alias("row"), "id", *x), "sl_rows")
     v, copies = vertices(rows, "row", x)

@@ -86,7 +86,7 @@ def test_far_groups_that_fill_their_leaves(spark):
 
 
 def test_small_and_odd(spark):
-    df = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (None, 1.0, 1.0), (3, float("nan"), 0.0), (4, 3.0, 4.0), (5, 0.0, 0.0)],
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (None, 1.0, 1.0), (3, float("nan"), 0.0), (4, 3.0, 4.0), (5, 0.0, 0.0), (6, float("inf"), 0.0)],
                                "id long, a double, b double")
     tree = single_linkage(df, "id", ["a", "b"])
     assert table_of(tree, 8) == [(0, 0, 2, 0.0, 2), (1, 1, 3, 5.0, 3)]
@@ -96,3 +96,6 @@ def test_small_and_odd(spark):
     assert table_of(none, 8) == [] and linkage_labels(none, 3).count() == 0
     with pytest.raises(ValueError):
         linkage_labels(tree, 0)
+    far = spark.createDataFrame([(i, 1e200 * (i % 2) + i, 0.0) for i in range(8)], "id long, a double, b double")
+    with pytest.raises(ValueError):
+        single_linkage(far, "id", ["a", "b"], leaf=2)
