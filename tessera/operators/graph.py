@@ -4,7 +4,9 @@ Alternating large-star / small-star rounds (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014): every round is a grouped min and
 a join, converges in O(log^2 n) rounds, and each vertex ends pointing at the
 smallest vertex id of its component.  Each round's edge table is written to
-the shared checkpoint folder and the one before it is deleted.
+the shared checkpoint folder and the one before it is deleted.  Both sides of
+the joins grow with the graph, so they are shuffled: what a round broadcasts
+would pass through the driver, round after round.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from tessera.session import discard, materialize
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    out = both.where(F.col("v") > F.col("u")).join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = both.where(F.col("v") > F.col("u")).join(m.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
@@ -26,7 +28,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     # orient every edge from the larger to the smaller endpoint
     o = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     m = o.groupBy("u").agg(F.min("v").alias("m"))
-    out = o.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
+    out = o.join(m.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
         .unionByName(m.select("u", F.col("m").alias("v")))
     return out.where(F.col("u") != F.col("v")).distinct()
 

@@ -14,7 +14,9 @@ no distance matrix and no merge loop.
   alone; blocks of at most ``BLOCK_EDGES`` edges end in a task each.
 
 Rows with a null or NaN id or a null, NaN or infinite feature are left out; ids
-must be unique.  Distances beyond the range of a double are an error.
+must be unique.  Distances beyond the range of a double are an error.  Joins of
+tables that grow with the rows are shuffled ("merge"), never broadcast: the
+levels' tables would all pass through the driver.
 """
 
 from __future__ import annotations
@@ -183,8 +185,8 @@ def _round(points: DataFrame, owner: dict, leaves: Leaves, cols: list[str], metr
             yield pd.DataFrame({"comp": pdf["comp"], "r": np.array(r, dtype=float)})
 
     spots = materialize(points.select("_leaf", "comp").distinct(), "mst_spots")
-    lone = spots.join(bound, "comp", "left_anti").mapInPandas(corner, "comp long, r double")
-    reach = spots.join(bound.unionByName(lone.groupBy("comp").agg(F.min("r").alias("r"))), "comp")
+    lone = spots.join(bound.hint("merge"), "comp", "left_anti").mapInPandas(corner, "comp long, r double")
+    reach = spots.join(bound.unionByName(lone.groupBy("comp").agg(F.min("r").alias("r"))).hint("merge"), "comp")
 
     def visit(it):
         for pdf in it:
@@ -194,7 +196,7 @@ def _round(points: DataFrame, owner: dict, leaves: Leaves, cols: list[str], metr
             yield pdf.iloc[row[away]].assign(_leaf=leaf[away])[["vid", *cols, "_leaf", "comp"]]
 
     # (leaf, component) as the key: a component may hold most rows, a leaf does not
-    visits = materialize(points.join(reach, ["_leaf", "comp"]).select("vid", *cols, "_leaf", "comp", "r")
+    visits = materialize(points.join(reach.hint("merge"), ["_leaf", "comp"]).select("vid", *cols, "_leaf", "comp", "r")
                          .mapInPandas(visit, points.schema), "mst_visits")
     parts = visits.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("_parts"))
     left = visits.join(parts, "_leaf").withColumn("_s", F.pmod(F.xxhash64("vid"), F.col("_parts")).cast("int")).drop("_parts")
@@ -207,8 +209,8 @@ def _round(points: DataFrame, owner: dict, leaves: Leaves, cols: list[str], metr
     if best.count() < spots.select("comp").distinct().count():
         raise ValueError("distances overflow")
     name = connected_components(best, "comp", "other").withColumnRenamed("vertex", "comp")
-    moved = spots.join(name, "comp").select("_leaf", "comp", F.col("component").alias("_to"))
-    points = materialize(points.join(moved, ["_leaf", "comp"]).select("vid", *cols, "_leaf", F.col("_to").alias("comp")),
+    moved = spots.join(name.hint("merge"), "comp").select("_leaf", "comp", F.col("component").alias("_to"))
+    points = materialize(points.join(moved.hint("merge"), ["_leaf", "comp"]).select("vid", *cols, "_leaf", F.col("_to").alias("comp")),
                          "mst_points")
     return best.select("a", "b", "dist").distinct(), points
 
@@ -237,7 +239,7 @@ def linkage_labels(tree: Tree, k: int) -> DataFrame:
     if k < 1:
         raise ValueError("at least one cluster")
     comp = connected_components(tree.edges.where(F.col("rk") < tree.n - k), "a", "b")
-    lab = materialize(tree.rows.join(comp.withColumnRenamed("vertex", "row"), "row", "left")
+    lab = materialize(tree.rows.join(comp.withColumnRenamed("vertex", "row").hint("merge"), "row", "left")
                       .select("id", F.coalesce("component", "row").alias("comp")), "sl_comp")
     codes = lab.select("comp").distinct() \
         .withColumn("cluster", (F.row_number().over(Window.orderBy("comp")) - 1).cast("int"))  # k rows
@@ -264,14 +266,14 @@ def linkage_table(tree: Tree, block: int = BLOCK_EDGES) -> DataFrame:
             under.select(*[F.struct("seg", F.col(f"{c}.v").alias("v")).alias(c) for c in ("a", "b")]), "a", "b")
             .select(F.col("vertex.seg").alias("seg"), F.col("vertex.v").alias("v"), F.col("component.v").alias("to")), "sl_names")
         points = under.select("seg", F.explode(F.array("a", "b")).alias("p")).select("seg", "p.v", "p.size").distinct()
-        size = points.join(name, ["seg", "v"]).groupBy("seg", "to").agg(F.sum("size").alias("size"))
-        top = under.select("seg", F.col("a.v").alias("v"), "rk").join(name, ["seg", "v"]) \
+        size = points.join(name.hint("merge"), ["seg", "v"]).groupBy("seg", "to").agg(F.sum("size").alias("size"))
+        top = under.select("seg", F.col("a.v").alias("v"), "rk").join(name.hint("merge"), ["seg", "v"]) \
             .groupBy("seg", "to").agg((F.max("rk") + n).alias("node"))
-        made = name.join(size.join(top, ["seg", "to"]), ["seg", "to"]).select("seg", "v", F.struct(
+        made = name.join(size.join(top.hint("merge"), ["seg", "to"]).hint("merge"), ["seg", "to"]).select("seg", "v", F.struct(
             F.col("to").alias("v"), "node", "size").alias("new"))
         over = e.where(~low)
         for c in ("a", "b"):
-            over = over.withColumn("v", F.col(f"{c}.v")).join(made, ["seg", "v"], "left") \
+            over = over.withColumn("v", F.col(f"{c}.v")).join(made.hint("merge"), ["seg", "v"], "left") \
                 .withColumn(c, F.coalesce("new", c)).drop("v", "new")
         ends = materialize(over.unionByName(e.where(low)).select("rk", "dist", "a", "b"), "sl_ends")
         discard(e)

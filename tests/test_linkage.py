@@ -99,3 +99,22 @@ def test_small_and_odd(spark):
     far = spark.createDataFrame([(i, 1e200 * (i % 2) + i, 0.0) for i in range(8)], "id long, a double, b double")
     with pytest.raises(ValueError):
         single_linkage(far, "id", ["a", "b"], leaf=2)
+
+
+def test_tables_pass_by_the_driver(spark, monkeypatch):
+    """No table of components or levels is broadcast."""
+    from tessera.operators import graph, linkage
+    plans = []
+    for m in (graph, linkage):
+        def seen(df, name="stage", run=m.materialize):
+            if name in ("cc", "sl_level", "sl_names", "sl_ends", "sl_comp"):
+                plans.append(df._jdf.queryExecution().sparkPlan().toString())
+            return run(df, name)
+        monkeypatch.setattr(m, "materialize", seen)
+    ids, X = blobs()
+    tree = single_linkage(frame(spark, ids, X), "id", ["c0", "c1"])
+    want, labels = brute(ids, X, l2)
+    got = table_of(tree, 40)
+    assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want]
+    assert {r["id"]: r["cluster"] for r in linkage_labels(tree, 4).collect()} == labels(4)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
