@@ -11,9 +11,12 @@ classifier (C-10).
 * Two passes, whatever the data: no rounds, no grid, no feature left out.
   Leaves with many queries are served by several tasks.
 * Where boxes overlap so much that these visits would move more rows than
-  whole blocks (many features), query blocks meet build blocks instead, within
-  the same bound.  The choice compares the two measured row counts; both ways
-  are exact.  Blocks' candidates are merged in a tree.
+  whole blocks (many features), every query block is held by a task that reads
+  all build vertices as a stream, within the same bound; only the ``k`` kept
+  candidates a query leave the task.  There are as many query blocks as keep
+  the cores busy (more only where one would exceed ``VALUES``), so the rows
+  moved grow with the build.  The choice compares the two measured row counts;
+  both ways are exact.
 * Euclidean distances are shortlisted by a matrix product with its rounding
   error as slack and then computed from the differences.
 * The k nearest are taken in (distance, vertex id) order with weights (a
@@ -24,6 +27,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +37,8 @@ from tessera.session import materialize
 
 #: Queries of one leaf that a task takes, and rows compared at once.
 QUERIES, BLOCK = 20_000, 256
-#: Values (rows x features) of a block, and blocks merged at once.
-VALUES, MERGE = 1_000_000, 16
+#: Values (rows x features) of a query block, of a piece of the stream it meets, and pieces between merges.
+VALUES, PIECE, MERGE = 4_000_000, 131_072, 16
 
 
 def vertices(df: DataFrame, id_col: str, cols: list[str], extra: list[str] | None = None) -> tuple:
@@ -43,7 +48,7 @@ def vertices(df: DataFrame, id_col: str, cols: list[str], extra: list[str] | Non
         .na.drop(subset=cols).select("_id", F.array(*cols).alias("_f"), *extra)  # one key, however many features
     v = data.groupBy("_f", *extra).agg(F.min("_id").alias("vid"), F.count(F.lit(1)).alias("w"))
     v = materialize(v.select("*", *[F.element_at("_f", i + 1).alias(c) for i, c in enumerate(cols)]), "knn_v")
-    rowmap = data.join(v.select("_f", *extra, "vid"), ["_f", *extra]).select("_id", "vid")
+    rowmap = data.join(v.select("_f", *extra, "vid").hint("merge"), ["_f", *extra]).select("_id", "vid")
     return v, rowmap
 
 
@@ -79,16 +84,18 @@ def _pairwise(x: np.ndarray, y: np.ndarray, metric: str, p: float) -> tuple[np.n
     return (total ** (1 / p) if metric == "minkowski" else total), 0.0
 
 
-def _nearest(x, who, reach, y, ids, w, need: int, self_join: bool, metric: str, p: float) -> pd.DataFrame:
+def _nearest(x, who, reach, y, ids, w, need: int, self_join: bool, metric: str, p: float, names=None) -> pd.DataFrame:
     """(a, b, dist, wb): for each row of ``x`` the rows of ``y`` (in id order)
-    within ``reach`` that hold its ``need`` nearest by weight."""
+    within ``reach`` that hold its ``need`` nearest by weight; ``a`` is its
+    entry in ``names`` (default ``who``)."""
+    names = who if names is None else names
     length = _length(metric, p)
     out = []
     for at in range(0, len(x), BLOCK):
-        xs, me, bound = x[at:at + BLOCK], who[at:at + BLOCK], reach[at:at + BLOCK]
+        xs, me, bound, called = x[at:at + BLOCK], who[at:at + BLOCK], reach[at:at + BLOCK], names[at:at + BLOCK]
         near, slack = _pairwise(xs, y, metric, p)
         cut = bound[:, None] + slack
-        if need + 1 < len(y):
+        if need + 1 < len(y) and np.count_nonzero(near <= cut) > 2 * (need + 1) * len(xs):
             cut = np.minimum(cut, np.partition(near, need, axis=1)[:, need, None] + 2 * slack)
         i, j = np.nonzero(near <= cut)
         dist = length(xs[i] - y[j])
@@ -101,7 +108,7 @@ def _nearest(x, who, reach, y, ids, w, need: int, self_join: bool, metric: str,
         before = np.cumsum(weight) - weight
         first = np.searchsorted(i, i, side="left")
         keep = before - before[first] < need if len(i) else np.zeros(0, bool)
-        out.append(pd.DataFrame({"a": me[i[keep]], "b": ids[j[keep]], "dist": dist[keep], "wb": weight[keep]}))
+        out.append(pd.DataFrame({"a": called[i[keep]], "b": ids[j[keep]], "dist": dist[keep], "wb": weight[keep]}))
     return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "dist", "wb"])
 
 
@@ -173,18 +180,12 @@ def knn(queries: DataFrame, build: DataFrame, cols: list[str], k: int, self_join
     n, visits = todo.mapInPandas(count, "n long, visits long").agg(F.sum("n"), F.sum("visits")).first()
     n = n or 0
     rows = max(1, VALUES // len(cols))
-    build_blocks = -(-size // rows)
-    # enough query blocks to keep every task busy, as long as they are worth a task
-    query_blocks = max(-(-n // rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK)), 1)
+    # enough query blocks to keep every core busy, as long as they are worth a task
+    query_blocks = max(-(-n // rows), min(2 * spark.sparkContext.defaultParallelism, -(-n // BLOCK)), 1)
     if way is None:
-        way = "blocks" if n * build_blocks + size * query_blocks < visits else "leaves"
+        way = "blocks" if n + size * query_blocks < visits else "leaves"
     if way == "blocks":
-        tiles = _tiles(todo, b, query_blocks, build_blocks).applyInPandas(
-            lambda key, left, right: nearest(left, right).assign(_run=key[1]), f"{found}, _run int")
-        while build_blocks > MERGE:
-            build_blocks = -(-build_blocks // MERGE)
-            tiles = _merge(tiles.withColumn("_run", F.floor(F.col("_run") / MERGE).cast("int")), ["a", "_run"], need).drop("_before")
-        every = tiles.drop("_run")  # holds the own leaf's rows too
+        every = _streamed(todo, b, cols, query_blocks, found, need, self_join, metric, p)  # holds the own leaf's rows too
     else:
         far = search(materialize(todo.mapInPandas(visit, todo.schema), "knn_visits"))
         every = own.unionByName(far)
@@ -192,13 +193,63 @@ def knn(queries: DataFrame, build: DataFrame, cols: list[str], k: int, self_join
         .select("a", "b", "dist", F.least(F.col("wb"), F.lit(need) - F.col("_before")).alias("used"))
 
 
-def _tiles(q: DataFrame, b: DataFrame, query_blocks: int, build_blocks: int):
-    """Every (query block, build block) as a group; blocks are dealt by id hash."""
-    left = q.drop("_leaf").withColumn("_i", F.pmod(F.xxhash64("a"), F.lit(query_blocks)).cast("int")) \
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(build_blocks - 1))))
-    right = b.drop("_leaf").withColumn("_j", F.pmod(F.xxhash64("vid"), F.lit(build_blocks)).cast("int")) \
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j"))
+def _streamed(q: DataFrame, b: DataFrame, cols: list[str], query_blocks: int, found: str, need: int, self_join: bool,
+              metric: str, p: float) -> DataFrame:
+    """``found`` rows of query blocks that each meet all of ``b``.  A partition holds
+    one block's queries, which come first, and then reads the build rows batch by batch."""
+    a_type, b_type = (d.schema[c].dataType.simpleString() for d, c in ((q, "a"), (b, "vid")))
+    x, d = F.array(*cols).alias("x"), len(cols)
+    piece, merge = max(1, min(PIECE, VALUES) // d), MERGE
+    left = q.select(F.pmod(F.xxhash64("a"), F.lit(query_blocks)).cast("int").alias("_i"), F.lit(0).alias("_side"), "a",
+                    F.lit(None).cast(b_type).alias("b"), F.lit(None).cast("long").alias("w"), "r", x)
+    right = b.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("_i"), F.lit(1).alias("_side"),
+                     F.lit(None).cast(a_type).alias("a"), F.col("vid").alias("b"), "w", F.lit(None).cast("double").alias("r"), x)
+
+    def values(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+        return [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + \
+            [batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)]
+
+    def run(it):
+        held, kept, waiting, who = [], [], 0, None
+        for batch in it:
+            side = batch.column("_side")
+            if (part := batch.filter(pc.equal(side, 0))).num_rows:
+                held.append(values(part, "a", "r"))
+            if not held or not (part := batch.filter(pc.equal(side, 1))).num_rows:
+                continue
+            kind = batch.column("a").type, batch.column("b").type
+            if who is None:
+                who, reach, mine = (np.concatenate(v) for v in zip(*held))
+                me = np.arange(len(who))
+            ids, w, theirs = values(part, "b", "w")
+            for at in range(0, len(ids), piece):
+                order = at + np.argsort(ids[at:at + piece], kind="stable")
+                near = _nearest(mine, who, reach, theirs[order], ids[order], w[order], need, self_join, metric, p, me)
+                if len(near):
+                    kept.append(near)
+                waiting += 1
+                if waiting >= merge and kept:
+                    kept, waiting = [_keep(pd.concat(kept), need, reach)], 0
+        if kept:
+            last = _keep(pd.concat(kept), need, reach)
+            for at in range(0, len(last), 100_000):
+                part = last.iloc[at:at + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(who[part["a"].to_numpy(np.int64)], kind[0]), pa.array(part["b"].to_numpy(), kind[1]),
+                     pa.array(part["dist"].to_numpy(float)), pa.array(part["wb"].to_numpy(np.int64))], ["a", "b", "dist", "wb"])
+
+    return left.unionByName(right).repartitionById(query_blocks, F.col("_i")).sortWithinPartitions("_side").mapInArrow(run, found)
+
+
+def _keep(found: pd.DataFrame, need: int, reach: np.ndarray) -> pd.DataFrame:
+    """The nearest rows of every query in ``a`` (its place) that hold ``need`` by
+    weight; ``reach`` shrinks to the last of them."""
+    found = found.sort_values(["a", "dist", "b"], kind="stable")
+    upto = found.groupby("a")["wb"].cumsum().to_numpy()
+    keep = upto - found["wb"].to_numpy() < need
+    full = keep & (upto >= need)  # one row of a query at most
+    reach[found["a"].to_numpy(np.int64)[full]] = found["dist"].to_numpy()[full]
+    return found[keep]
 
 
 def lof_scores(df: DataFrame, id_col: str, cols: list[str], k: int = 20) -> DataFrame:

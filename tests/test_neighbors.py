@@ -184,3 +184,27 @@ def test_big_ids_keep_apart(spark):
     df = spark.createDataFrame([(big + i, float(i // 3 * 10), 0.0) for i in range(9)], "id long, x double, y double")
     got = {r["id"] - big: r["cluster"] for r in dbscan(df, "id", ["x", "y"], 0.5, 3).collect()}
     assert got == {i: i // 3 for i in range(9)}
+
+
+def test_knn_blocks_move_linear_rows(spark, monkeypatch):
+    """However small the pieces, a build row moves once per query block and no task hands on more than k candidates a query."""
+    from tessera.operators import knn as M
+    monkeypatch.setattr(M, "PIECE", 60)
+    monkeypatch.setattr(M, "MERGE", 2)
+    moved = []
+    real = M._streamed
+    monkeypatch.setattr(M, "_streamed", lambda q, b, cols, blocks, *a: moved.append((blocks, real(q, b, cols, blocks, *a).count())) or real(q, b, cols, blocks, *a))
+    rng = np.random.default_rng(5)
+    cols = [f"c{i}" for i in range(6)]
+    X = np.round(rng.normal(0, 1, (600, 6)), 1)
+    X[500:] = X[0]  # a vertex that fills all neighbours
+    df = spark.createDataFrame([(f"v{i}", *map(float, x)) for i, x in enumerate(X)], "id string, " + ", ".join(f"{c} double" for c in cols))
+    v, rowmap = M.vertices(df, "id", cols)
+    ids = dict(map(tuple, rowmap.select("_id", "vid").collect()))
+    got = {}
+    for r in M.knn(v, v, cols, 5, True, leaf=50, way="blocks").collect():
+        got.setdefault(r["a"], []).extend([r["dist"]] * r["used"])
+    want = _knn_brute(X, X, 6, "euclidean")
+    for i in range(len(X)):
+        assert sorted(got[ids[f"v{i}"]]) == pytest.approx(want[i][1:], abs=1e-9)
+    assert moved[0][0] <= 2 * spark.sparkContext.defaultParallelism and moved[0][1] <= 5 * len(X)
