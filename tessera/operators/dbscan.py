@@ -9,7 +9,9 @@
 * Cells near each other are found through leaves (``leaves.py``) over cell
   positions, with the boxes of their points.
 * Only points of thin cells count neighbours; blocks of points meet blocks of
-  points and return one number per point, never pairs.
+  points and return one number per point, never pairs.  Blocks travel as flat
+  lists and are read in place: a worker holds one Arrow batch, however many
+  points the cells have.
 * Two core cells are joined if one close pair of core points exists: their
   first blocks are tried, then all blocks of those that found none.
 * Connected components run over cells.  Clusters are numbered 0.. by their
@@ -21,9 +23,11 @@
 from __future__ import annotations
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,14 +59,15 @@ def _near_cells(cells: DataFrame, d: int, eps: float, side: float) -> DataFrame:
             yield pdf.iloc[row].assign(_leaf=leaf)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out_a, out_b = [], []
         lo, hi, ids = matrix(right, box[:d]), matrix(right, box[d:]), right["cid"].to_numpy()
         a_lo, a_hi, a_ids = matrix(left, box[:d]), matrix(left, box[d:]), left["cid"].to_numpy()
         for i in range(len(left)):
             gap = np.maximum(0, np.maximum(lo - a_hi[i], a_lo[i] - hi))
-            for j in np.flatnonzero(((gap * gap).sum(axis=1) <= eps * eps * (1 + 1e-9)) & (ids != a_ids[i])).tolist():
-                out.append((a_ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"])
+            j = np.flatnonzero(((gap * gap).sum(axis=1) <= eps * eps * (1 + 1e-9)) & (ids != a_ids[i]))
+            out_a.append(np.repeat(a_ids[i:i + 1], len(j)))
+            out_b.append(ids[j])
+        return pd.DataFrame({"a": np.concatenate(out_a or [a_ids]), "b": np.concatenate(out_b or [ids[:0]])})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.schema.fields)
     kind = cells.schema["cid"].dataType.simpleString()
@@ -71,34 +76,45 @@ def _near_cells(cells: DataFrame, d: int, eps: float, side: float) -> DataFrame:
 
 
 def _blocks(points: DataFrame, cols: list[str]) -> DataFrame:
-    """``(cid, blk, vids, ws, xs)``: a cell's points in blocks of about ``BLOCK``."""
+    """``(cid, blk, vids, ws, xs)``: a cell's points in blocks of about ``BLOCK``; ``xs`` holds them end to end."""
     n = points.groupBy("cid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
     p = points.join(n, "cid").withColumn("blk", F.pmod(F.xxhash64("vid"), F.col("_n")).cast("int"))
     one = F.struct("vid", "w", F.array(*cols).alias("x"))
     g = p.groupBy("cid", "blk").agg(F.sort_array(F.collect_list(one)).alias("p"))
-    return g.select("cid", "blk", F.col("p.vid").alias("vids"), F.col("p.w").alias("ws"), F.col("p.x").alias("xs"))
+    return g.select("cid", "blk", F.col("p.vid").alias("vids"), F.col("p.w").alias("ws"), F.flatten("p.x").alias("xs"))
 
 
-def _meet(left: DataFrame, right: DataFrame, pairs: DataFrame, eps: float, fn, schema: str,
+def _meet(left: DataFrame, right: DataFrame, pairs: DataFrame, d: int, eps: float, fn, schema: str,
           extra: list[str] | None = None) -> DataFrame:
-    """``fn(a vids, b ws, near matrix, extra...)`` for the blocks of every pair of cells."""
+    """Rows of ``fn(pair, near matrix)`` for the blocks of every pair of cells.
+    A pair has a, b, ``av()``, the ids of a's points, bw, the weights of b's, and the extra columns."""
     extra = extra or []
     j = pairs.join(left.select(F.col("cid").alias("a"), F.col("vids").alias("av"), F.col("xs").alias("ax")), "a") \
         .join(right.select(F.col("cid").alias("b"), F.col("ws").alias("bw"), F.col("xs").alias("bx"),
                            *extra), "b")
+    names, kinds = zip(*[c.split() for c in schema.split(", ")])
+    fixed = {"long": pa.int64(), "int": pa.int32()}
 
     def run(it):
-        for pdf in it:
+        for batch in it:
+            ends = {c: batch.column(c).offsets.to_numpy() for c in ("av", "ax", "bw", "bx")}
+            flat = {c: batch.column(c).values for c in ends}
+            num = {c: flat[c].to_numpy(zero_copy_only=False) for c in ("ax", "bw", "bx")}
             out = []
-            for r in pdf.itertuples(index=False):
-                x, y = np.stack([np.asarray(v, float) for v in r.ax]), np.stack([np.asarray(v, float) for v in r.bx])
+            for i in range(batch.num_rows):
+                ax, bw, bx = (num[c][ends[c][i]:ends[c][i + 1]] for c in ("ax", "bw", "bx"))
+                x, y = ax.reshape(-1, d), bx.reshape(-1, d)
                 d2 = np.zeros((len(x), len(y)))
-                for i in range(x.shape[1]):
-                    d2 += (x[:, None, i] - y[None, :, i]) ** 2
-                out += fn(r, d2 <= eps * eps)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+                for f in range(d):
+                    d2 += (x[:, None, f] - y[None, :, f]) ** 2
+                at, upto = ends["av"][i], ends["av"][i + 1]
+                out += fn(SimpleNamespace(av=lambda: flat["av"].slice(at, upto - at).to_pylist(), bw=bw,  # noqa: B023
+                                          **{c: batch.column(c)[i].as_py() for c in ("a", "b", *extra)}), d2 <= eps * eps)
+            cols = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(v, fixed.get(k, batch.column("a").type)) for v, k in zip(cols, kinds)],
+                                             list(names))
 
-    return j.mapInPandas(run, schema)
+    return j.mapInArrow(run, schema)
 
 
 def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
@@ -128,8 +144,8 @@ def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.5, min_sa
 
     # weight near each point of a thin cell: its whole own cell and what adjacent cells add
     from_thin = near.join(thin.select(F.col("cid").alias("a")), "a", "left_semi")
-    counted = _meet(thin_blocks, blocks, from_thin, eps,
-                    lambda r, m: [(vid, int(n)) for vid, n in zip(r.av, m @ np.asarray(r.bw, float)) if n],
+    counted = _meet(thin_blocks, blocks, from_thin, d, eps,
+                    lambda r, m: [(vid, int(n)) for vid, n in zip(r.av(), m @ np.asarray(r.bw, float)) if n],
                     f"vid {kind}, n long").groupBy("vid").agg(F.sum("n").alias("n"))
     core = v.join(counted, "vid", "left").select(
         "vid", "cid", "w", *xs, ((F.col("cw") + F.coalesce("n", F.lit(0))) >= min_samples).alias("is_core"))
@@ -144,12 +160,12 @@ def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.5, min_sa
     edge = f"src {kind}, dst {kind}"
     first = core_blocks.join(core_blocks.groupBy("cid").agg(F.min("blk").alias("blk")), ["cid", "blk"])
     touch = lambda r, m: [(r.a, r.b)] if m.any() else []
-    linked = materialize(_meet(first, first, pairs, eps, touch, edge), "dbscan_edges")
+    linked = materialize(_meet(first, first, pairs, d, eps, touch, edge), "dbscan_edges")
     rest = pairs.join(linked.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
     more = core_blocks.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cid")
     big = rest.join(more.select(F.col("cid").alias("a")), "a", "left_semi").unionByName(
         rest.join(more.select(F.col("cid").alias("b")), "b", "left_semi")).distinct()
-    linked = linked.unionByName(_meet(core_blocks, core_blocks, big, eps, touch, edge).distinct())
+    linked = linked.unionByName(_meet(core_blocks, core_blocks, big, d, eps, touch, edge).distinct())
     comp = connected_components(linked, "src", "dst")
     root = core_cells.join(comp.withColumnRenamed("vertex", "cid"), "cid", "left") \
         .select("cid", "least", F.coalesce("component", "cid").alias("component"))
@@ -162,8 +178,8 @@ def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.5, min_sa
     # borders: points that are not core take the smallest cluster of a core point within eps
     labelled = core_blocks.join(label.withColumnRenamed("cluster", "bc"), "cid")
     edge_blocks = _blocks(core.where(~F.col("is_core")), xs)
-    border = _meet(edge_blocks, labelled, from_thin, eps,
-                   lambda r, m: [(vid, int(r.bc)) for vid, any_ in zip(r.av, m.any(axis=1)) if any_],
+    border = _meet(edge_blocks, labelled, from_thin, d, eps,
+                   lambda r, m: [(vid, int(r.bc)) for vid, any_ in zip(r.av(), m.any(axis=1)) if any_],
                    f"vid {kind}, bc int", ["bc"])
     own = core.where(~F.col("is_core")).join(label, "cid").select("vid", F.col("cluster").alias("bc"))
     border = border.unionByName(own).groupBy("vid").agg(F.min("bc").alias("bc"))

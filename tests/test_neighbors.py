@@ -208,3 +208,19 @@ def test_knn_blocks_move_linear_rows(spark, monkeypatch):
     for i in range(len(X)):
         assert sorted(got[ids[f"v{i}"]]) == pytest.approx(want[i][1:], abs=1e-9)
     assert moved[0][0] <= 2 * spark.sparkContext.defaultParallelism and moved[0][1] <= 5 * len(X)
+
+
+def test_dbscan_meets_blocks_in_place(spark, monkeypatch):
+    """Crowded neighbouring cells, text ids: blocks travel as flat lists, and labels are those of all pairs."""
+    from tessera.operators import dbscan as M
+    monkeypatch.setattr(M, "BLOCK", 40)
+    kinds = []
+    real = M._meet
+    monkeypatch.setattr(M, "_meet", lambda left, right, *a, **k: kinds.extend(
+        b.schema["xs"].dataType.simpleString() for b in (left, right)) or real(left, right, *a, **k))
+    rng = np.random.default_rng(12)
+    X = np.round(np.concatenate([rng.uniform(0, .3, (150, 2)), rng.uniform(0, .3, (150, 2)) + [.42, 0], rng.uniform(-2, 3, (60, 2))]), 3)
+    df = spark.createDataFrame([(f"p{i:03d}", *map(float, x)) for i, x in enumerate(X)], "id string, x double, y double")
+    got = {r["id"]: r["cluster"] for r in M.dbscan(df, "id", ["x", "y"], 0.2, 6).collect()}
+    assert [got[f"p{i:03d}"] for i in range(len(X))] == list(brute_dbscan(X, 0.2, 6))
+    assert kinds and set(kinds) == {"array<double>"}
