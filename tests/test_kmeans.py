@@ -57,3 +57,23 @@ def test_degenerate_tables(spark):
     lab, inertia, fit = K.kmeans(same.limit(0), ["a", "b"], 2, 2, keep=["id"])
     assert lab.count() == 0 and fit is None and lab.columns[-1] == "cluster"
     assert K.kmeans(same, ["a", "b"], 2, 2)[0].columns == ["a", "b", "cluster"]
+
+
+def test_scan_measures_distances_in_the_last_scan_only(spark):
+    """Runs of several sizes in one scan: counts and sums as by hand, squared distances once asked for."""
+    import numpy as np
+
+    from tessera.operators.lloyd import Fit, _scan
+    rng = np.random.default_rng(6)
+    X = rng.normal(0, 1, (3000, 2))
+    data = spark.createDataFrame([tuple(map(float, r)) for r in X], "a double, b double")
+    fits = [Fit(k, s, rng.normal(0, 1, (k, 2))) for k in (2, 3) for s in range(2)] + [Fit(2, 2, rng.normal(0, 1, (2, 2)))]
+    plain, last = _scan(data, ["a", "b"], fits), _scan(data, ["a", "b"], fits, last=True)
+    assert plain.keys() == last.keys()
+    for i, f in enumerate(fits):
+        d2 = ((X[:, None] - f.centres[None]) ** 2).sum(-1)
+        for c in range(f.k):
+            mine = d2.argmin(axis=1) == c
+            for got, near, sq in ((plain, 0, 0), (last, d2[mine, c].sum(), (X[mine] ** 2).sum())):
+                n, dist, sums, squares = got.get((i, c), (0, 0, np.zeros(2), 0))
+                assert np.allclose([n, dist, squares, *sums], [mine.sum(), near, sq, *X[mine].sum(axis=0)])
