@@ -98,29 +98,27 @@ def score(df: DataFrame, forest: pd.DataFrame, features: list[str], keep: list[s
     trees = []
     for _, g in forest.groupby("tree"):
         g = g.sort_values("node")
-        trees.append((g["feature"].to_numpy(), g["split"].to_numpy(), g["left"].to_numpy(),
-                      g["right"].to_numpy(), g["size"].to_numpy()))
+        leaf = g["feature"].to_numpy() < 0
+        here = np.arange(len(g))
+        left, right = np.where(leaf, here, g["left"]), np.where(leaf, here, g["right"])
+        depth = np.zeros(len(g))
+        for i in here[~leaf]:  # parents come before their children
+            depth[left[i]] = depth[right[i]] = depth[i] + 1
+        # a leaf leads to itself: every row takes as many steps as the tree is deep
+        trees.append((np.where(leaf, 0, g["feature"]), g["split"].to_numpy(), np.stack([right, left], axis=1).ravel(),
+                      depth + np.array([_c(n) for n in g["size"]]), int(depth.max())))
     cpsi = _c(psi)
-    adj_cache = {}
 
     def run(it):
         for pdf in it:
             X = pdf[features].to_numpy(dtype=float)
+            flat, first = X.ravel(), np.arange(len(X)) * X.shape[1]
             total = np.zeros(len(X))
-            for feat, split, left, right, size in trees:
-                node = np.zeros(len(X), dtype=int)
-                depth = np.zeros(len(X))
-                active = feat[node] >= 0
-                while active.any():
-                    f = feat[node[active]]
-                    go_left = X[active, f] < split[node[active]]
-                    node[active] = np.where(go_left, left[node[active]], right[node[active]])
-                    depth[active] += 1
-                    active = feat[node] >= 0
-                key = id(size)
-                if key not in adj_cache:
-                    adj_cache[key] = np.array([_c(s) for s in size])
-                total += depth + adj_cache[key][node]
+            for feat, split, kids, path, steps in trees:
+                node = np.zeros(len(X), dtype=np.int64)
+                for _ in range(steps):
+                    node = kids[2 * node + (flat[first + feat[node]] < split[node])]
+                total += path[node]
             out = pdf[keep].copy()
             out["score"] = np.power(2.0, -(total / len(trees)) / cpsi)
             yield out

@@ -224,3 +224,20 @@ def test_dbscan_meets_blocks_in_place(spark, monkeypatch):
     got = {r["id"]: r["cluster"] for r in M.dbscan(df, "id", ["x", "y"], 0.2, 6).collect()}
     assert [got[f"p{i:03d}"] for i in range(len(X))] == list(brute_dbscan(X, 0.2, 6))
     assert kinds and set(kinds) == {"array<double>"}
+
+
+def test_iforest_scores_follow_the_trees(spark):
+    """Scores are the mean depth of each row's leaf with its size's share, walked one by one."""
+    from tessera.operators import iforest as M
+    X = np.random.default_rng(4).normal(0, 1, (300, 2))
+    df = frame(spark, X)
+    forest = M.fit(df, "id", ["x", "y"], 7, 64)
+    for r in M.score(df, forest, ["x", "y"], ["id"]).collect():
+        total = 0.0
+        for _, g in forest.groupby("tree"):
+            t, node, depth = g.set_index("node"), 0, 0
+            while t.at[node, "feature"] >= 0:
+                go = X[r["id"]][t.at[node, "feature"]] < t.at[node, "split"]
+                node, depth = t.at[node, "left" if go else "right"], depth + 1
+            total += depth + M._c(t.at[node, "size"])
+        assert r["score"] == pytest.approx(2.0 ** -(total / 7 / M._c(64)), abs=1e-12)
