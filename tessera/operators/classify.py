@@ -15,6 +15,7 @@ import math
 from itertools import combinations_with_replacement
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,24 +208,40 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, features: list[str
 
 
 # ---------------------------------------------------------------- AdaBoost
+def _stump_votes(stump, df: DataFrame, out: str) -> DataFrame:
+    """The stump's class for every row, without raw votes and probabilities."""
+    return stump.transform(df, {stump.predictionCol: out, stump.rawPredictionCol: "", stump.probabilityCol: ""})
+
+
 def adaboost_fit(train: DataFrame, features: list[str], label: str = "label", n_estimators: int = 50,
                  learning_rate: float = 1.0, seed: int = 42, checkpoint_every: int = 5) -> dict:
     """SAMME with depth-1 trees: each round fits a weighted MLlib stump,
     err = weighted miss rate, alpha = lr·(ln((1-err)/err) + ln(K-1)),
     weights *= exp(alpha·miss) and are renormalised.  Stops early when a
     stump is perfect or no better than chance.  Lineage is cut every
-    ``checkpoint_every`` rounds by writing the table (survives executor loss)."""
+    ``checkpoint_every`` rounds by writing the table (survives executor loss).
+
+    A fit and the error read a round's rows five times, so these are kept
+    until the next round has its own (spilled to disk where memory ends);
+    else each pass would score the rows again with all stumps since the last
+    written table.  The number of classes goes along with the label column,
+    which spares every fit a pass for it."""
     from pyspark.ml.classification import DecisionTreeClassifier
-    k = train.select(label).distinct().count()
+    k, top = train.agg(F.count_distinct(label), F.max(label)).first()
+    coded = F.col(label).alias(label, metadata={"ml_attr": {"type": "nominal", "num_vals": int(top or 0) + 1}})
     d = _assemble(train.select(*features, label), features).select("features", label)
     n = d.count()
     d = written = materialize(d.withColumn("_w", F.lit(1.0 / n)), "adaboost")
+    d = d.select("features", coded, "_w").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [d]
     stumps, alphas = [], []
     for t in range(n_estimators):
         stump = DecisionTreeClassifier(maxDepth=1, weightCol="_w", labelCol=label, seed=seed + t,
                                        maxBins=64).fit(d)
-        pr = stump.transform(d).withColumn("_miss", (F.col("prediction") != F.col(label)).cast("double"))
+        pr = _stump_votes(stump, d, "prediction").withColumn("_miss", (F.col("prediction") != F.col(label)).cast("double"))
         r = pr.agg(F.sum(F.col("_w") * F.col("_miss")).alias("e"), F.sum("_w").alias("w")).first()
+        while len(kept) > 1:  # this round's rows are there now
+            kept.pop(0).unpersist()
         err = r["e"] / r["w"]
         if err <= 0:
             stumps.append(stump)
@@ -245,6 +262,10 @@ def adaboost_fit(train: DataFrame, features: list[str], label: str = "label", n_
             new = materialize(d, "adaboost")
             discard(written)
             d = written = new
+        d = d.select("features", coded, "_w").persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(d)
+    for x in kept:
+        x.unpersist()
     return {"features": features, "stumps": stumps, "alphas": alphas, "k": k, "label": label}
 
 
@@ -255,8 +276,7 @@ def adaboost_predict(df: DataFrame, model: dict) -> DataFrame:
     d = _assemble(df, model["features"], "features")
     votes = [F.lit(0.0)] * k
     for i, (st, a) in enumerate(zip(model["stumps"], model["alphas"])):
-        d = st.setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}") \
-            .transform(d).drop(f"_r{i}", f"_q{i}")
+        d = _stump_votes(st, d, f"_p{i}")
         votes = [v + F.when(F.col(f"_p{i}") == float(c), F.lit(a)).otherwise(F.lit(0.0))
                  for c, v in enumerate(votes)]
     arr = F.array(*votes)

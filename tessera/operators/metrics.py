@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.beside import beside
@@ -26,10 +26,21 @@ def confusion(df: DataFrame, y: str = "label", pred: str = "prediction") -> Data
         .select("label", "prediction", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
 
-def _per_class(df: DataFrame, y: str, pred: str) -> DataFrame:
+def _cells(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """Rows per (label, prediction).  Written once: the rows of ``df`` are
+    often a whole model's work, and every figure follows from these counts."""
+    return materialize(df.groupBy(F.col(y).alias("label"), F.col(pred).alias("prediction"))
+                       .agg(F.count(F.lit(1)).alias("n")), "cells")
+
+
+def _accuracy() -> Column:
+    """Share of right rows, from the counts; rows without a label or prediction are left out."""
+    right = F.col("label") == F.col("prediction")
+    return F.try_divide(F.sum(F.when(right, F.col("n")).when(~right, F.lit(0))), F.sum(F.when(right.isNotNull(), F.col("n"))))
+
+
+def _per_class(cm: DataFrame) -> DataFrame:
     """Per class: tp, fp, fn, support."""
-    cm = df.groupBy(F.col(y).alias("label"), F.col(pred).alias("prediction")) \
-        .agg(F.count(F.lit(1)).alias("n"))
     as_true = cm.groupBy("label").agg(F.sum("n").alias("support"),
                                       F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n"))
                                             .otherwise(0)).alias("tp"))
@@ -51,11 +62,12 @@ def classification_metrics(df: DataFrame, y: str = "label", pred: str = "predict
     """accuracy, precision, recall, f1 — positive class (the larger label)
     when there are two classes, support-weighted means otherwise; zero
     division gives 0."""
-    pc = _prf(_per_class(df, y, pred))
+    cm = _cells(df, y, pred)
+    pc = _prf(_per_class(cm))
     stats = pc.agg(F.count(F.when(F.col("support") > 0, 1)).alias("k"),
                    F.max(F.when(F.col("support") > 0, F.col("label"))).alias("pos"),
                    F.sum("support").alias("n")).first()
-    acc = df.agg(F.avg((F.col(y) == F.col(pred)).cast("double")).alias("accuracy"))
+    acc = cm.agg(_accuracy().alias("accuracy"))
     labels_all = pc.agg(F.count(F.lit(1)).alias("k_all"), F.max("label").alias("pos_all")).first()
     if labels_all["k_all"] <= 2:
         pos = labels_all["pos_all"]
@@ -71,7 +83,8 @@ def classification_metrics(df: DataFrame, y: str = "label", pred: str = "predict
 def classification_report(df: DataFrame, y: str = "label", pred: str = "prediction") -> DataFrame:
     """Per-class precision / recall / f1 / support, then accuracy, macro avg
     and weighted avg rows (``class`` is text)."""
-    pc = _prf(_per_class(df, y, pred))
+    cm = _cells(df, y, pred)
+    pc = _prf(_per_class(cm))
     per = pc.select(F.col("label").cast("string").alias("class"), "precision", "recall", "f1",
                     F.col("support").cast("bigint").alias("support"))
     macro = pc.agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
@@ -82,10 +95,9 @@ def classification_report(df: DataFrame, y: str = "label", pred: str = "predicti
                       (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("recall"),
                       (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1"),
                       F.sum("support").cast("bigint").alias("support"))
-    acc = df.agg(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"),
-                 F.avg((F.col(y) == F.col(pred)).cast("double")).alias("f1"),
-                 F.count(F.lit(1)).cast("bigint").alias("support"))
+    acc = cm.agg(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
+                 F.lit(None).cast("double").alias("recall"), _accuracy().alias("f1"),
+                 F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("support"))
     return per.unionByName(acc).unionByName(macro).unionByName(weighted)
 
 
