@@ -3,16 +3,20 @@
 The model of a large corpus fits no single worker, so documents are dealt into
 blocks, and the model into buckets by word hash:
 
-1. A block lists its distinct word pairs and words, sorted by hash, with their
+0. A block sends each bucket the hashes of its words; the bucket numbers its
+   words, frequent ones first, and answers.  A word's number is its place in the
+   bucket times the number of buckets, plus the bucket.  All that follows speaks
+   in numbers: those of most words in a text are small and compress well.
+1. A block lists its distinct word pairs and words, sorted by number, with their
    training counts, and sends each bucket its part.
 2. A bucket adds up the counts of a pair over all blocks, answers every block
-   in the order of its list (a number per pair, no hashes), and passes on what
+   in the order of its list (a count per pair, no words), and passes on what
    it knows of contexts (distinct followers that came once, twice, more often)
    and of continuations (distinct words before a word).
 3. The bucket of a word adds these up and answers in the same way.
-4. A block puts the answers beside its own sorted hashes, which is the part of
+4. A block puts the answers beside its own sorted pairs, which is the part of
    the model that its documents need, writes these arrays to a scratch file,
-   maps it into memory and scores its documents by binary search.  The file is
+   maps it into memory and scores its documents in sorted order.  The file is
    unlinked as soon as it is mapped.
 
 Every message's size follows the data, not the number of occurrences of any
@@ -25,13 +29,15 @@ that they begin with, so its context is known on the spot; where both words of
 the pair are frequent, triples are dealt by their own hash and the pieces of
 the context are added up in step 2.  A pair then counts the distinct words
 before it (its occurrences, at the start of a text), as Kneser-Ney asks.
+
+Documents travel in compressed pieces, those of one block in a part of the
+input together; three steps read a block's pieces.
 """
 
 from __future__ import annotations
 
 import mmap
 import tempfile
-import zlib
 from collections import Counter, defaultdict
 from itertools import count
 
@@ -53,38 +59,78 @@ MESSAGE_SQL = "to int, src int, kind int, a binary, b binary, c binary, d binary
 PAIRS, HOT_PAIRS, WORDS, PLACES, PAIR_ANSWER, HOT_ANSWER, CONTEXT, CONTINUATION, TOTALS, WORD_ANSWER = range(10)
 #: Order 3.  Lists of triples follow PAIRS, HOT_PAIRS or none; their answers come in the same order of kinds.
 TRIPLES, HOT_TRIPLES, FREE_TRIPLES, TRIPLE_ANSWER, HOT_TRIPLE_ANSWER, FREE_ANSWER = range(10, 16)
-PAIR_TABLE, PAIR_PLACES, HOT_PLACES, SUFFIX, PAIR_CONTEXT, TRIPLE_TOTALS = range(16, 22)
+PAIR_TABLE, PAIR_PLACES, HOT_PLACES, SUFFIX, PAIR_CONTEXT, TRIPLE_TOTALS, NUMBERS = range(16, 23)
+#: Bytes of documents that a task holds to compress them by block.
+PIECE_BYTES = 48_000_000
+
+
+def _packed(x: bytes | np.ndarray) -> bytes:
+    return pa.compress(x, codec="zstd", asbytes=True)
+
+
+def _unpacked(b: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b, size, codec="zstd", asbytes=True) if size else b"", dtype=np.uint8)
 
 
 def _numbers(x: np.ndarray) -> bytes:
     """Small counts: bytes, the few from 255 on beside them."""
     x = np.ascontiguousarray(x, dtype=np.uint32).ravel()
-    z = zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1)
-    return len(z).to_bytes(4, "little") + z + x[x >= 255].tobytes()
+    z = _packed(np.minimum(x, 255).astype(np.uint8)) if len(x) else b""
+    return np.array([len(x), len(z)], "<u4").tobytes() + z + x[x >= 255].tobytes()
 
 
 def _read(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:4], "little")
-    x = np.frombuffer(zlib.decompress(b[4:4 + n]), dtype=np.uint8).astype(np.uint32)
-    x[x == 255] = np.frombuffer(b[4 + n:], dtype=np.uint32)
+    size, n = np.frombuffer(b, "<u4", 2).tolist()
+    x = _unpacked(b[8:8 + n], size).astype(np.uint32)
+    x[x == 255] = np.frombuffer(b[8 + n:], dtype=np.uint32)
     return x
 
 
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _ids(x: np.ndarray) -> bytes:
+    """Word numbers: the lowest bytes of all, then the next ones, each compressed."""
+    planes = np.ascontiguousarray(x, dtype="<u4").view(np.uint8).reshape(-1, 4)
+    z = [_packed(np.ascontiguousarray(planes[:, k])) if len(planes) else b"" for k in range(4)]
+    return np.array([len(planes), *map(len, z)], "<u4").tobytes() + b"".join(z)
 
 
-def _from_six(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _from_ids(b: bytes) -> np.ndarray:
+    size, *n = np.frombuffer(b, "<u4", 5).tolist()
+    out, at = np.empty((size, 4), dtype=np.uint8), 20
+    for k in range(4):
+        out[:, k] = _unpacked(b[at:at + n[k]], size)
+        at += n[k]
+    return out.view("<u4").ravel().astype(np.uint64)
 
 
-def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of 64-bit word hashes, known from their upper 48 bits."""
+def bucket_of_hash(h: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of 64-bit hashes."""
     return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int32)
 
 
+def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of word numbers."""
+    return (ids % np.uint64(n)).astype(np.int32)
+
+
+def both_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One key for two columns of numbers below 2^32, in their order."""
+    return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+
+
+def hot_numbers(hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Numbers of the hot words, given by hash: the first places of their
+    buckets, in order of their hashes, so that every task knows them."""
+    of = bucket_of_hash(hot, buckets)
+    order = np.lexsort((hot, of))
+    place = np.arange(len(hot)) - np.searchsorted(of[order], of[order])
+    return place.astype(np.uint64) * np.uint64(buckets) + of[order].astype(np.uint64)
+
+
+def by_list(x: np.ndarray) -> np.ndarray:
+    """Stable order of small list numbers (short ones sort by radix)."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 65_536 else x, kind="stable")
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64-bit hash of two columns of numbers."""
     x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -101,27 +147,75 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def read_words(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Every text as places in the list of distinct words (start and end
+    included), and the words' hashes."""
+    ids: dict[bytes, int] = defaultdict(count().__next__)
+    ids[START], ids[END]
+    rows = []
+    for t in texts:
+        words = t.lower().split()
+        row = np.empty(len(words) + 2, dtype=np.int32)
+        row[0], row[-1] = 0, 1
+        row[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+        rows.append(row)
+    return rows, np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))
+
+
+def lists_of(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of hashes by bucket and size, and where each bucket's list begins."""
+    of = bucket_of_hash(h, buckets)
+    order = np.lexsort((h, of))
+    return order, np.searchsorted(of[order], np.arange(buckets + 1))
+
+
+def list_words(texts: list[bytes], block: int, buckets: int):
+    """Step 0: a block's words by hash, and how often they occur."""
+    rows, h = read_words(texts)
+    n = np.bincount(np.concatenate(rows), minlength=len(h))
+    order, cuts = lists_of(h, buckets)
+    for k in range(buckets):
+        x = order[cuts[k]:cuts[k + 1]]
+        if len(x):
+            yield k, block, NUMBERS, h[x].tobytes(), _numbers(n[x]), None, None
+
+
+def number_words(rows, bucket: int, buckets: int, hot: np.ndarray):
+    """Step 0 for one bucket: places of its words, hot ones first, then by frequency."""
+    lists = {src: (np.frombuffer(a, np.uint64), _read(b)) for _, src, _, a, b, _, _ in rows}
+    words, n = _sums(*(np.concatenate(x) for x in zip(*lists.values())))
+    first = np.sort(hot[bucket_of_hash(hot, buckets) == bucket])
+    if (len(words) + len(first) + 1) * buckets >= 1 << 32:
+        raise RuntimeError("word numbers have 32 bits")
+    order = np.lexsort((words, -n))
+    place = np.empty(len(words), np.int64)
+    place[order] = len(first) + np.arange(len(words))
+    if len(first):
+        at = np.minimum(np.searchsorted(first, words), len(first) - 1)
+        place = np.where(first[at] == words, at, place)
+    for src, (h, _) in lists.items():
+        yield src, bucket, NUMBERS, _ids(place[np.searchsorted(words, h)]), None, None, None
+
+
 class Block:
-    """Distinct words, word pairs and (order 3) triples of some documents, sorted by hash."""
-
-    def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int, hot: np.ndarray, order: int = 2):
-        ids: dict[bytes, int] = defaultdict(count().__next__)
-        ids[START], ids[END]
-        rows = []
-        for t in texts:
-            words = t.lower().split()
-            row = np.empty(len(words) + 2, dtype=np.int32)
-            row[0], row[-1] = 0, 1
-            row[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-            rows.append(row)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))
-        by_hash = np.argsort(h)
+    """Distinct words, word pairs and (order 3) triples of some documents,
+    sorted by number.  ``places`` are the buckets' answers to ``list_words``."""
+
+    def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int, hot: np.ndarray, places: dict[int, bytes],
+                 order: int = 2):
+        rows, h = read_words(texts)
+        by, cuts = lists_of(h, buckets)
+        for k, a in places.items():
+            h[by[cuts[k]:cuts[k + 1]]] = _from_ids(a) * np.uint64(buckets) + np.uint64(k)
+        if sum(cuts[k + 1] - cuts[k] for k in places) != len(h):
+            raise RuntimeError("a block's words have no numbers")
+        by = np.argsort(h)
         rank = np.empty(len(h), dtype=np.int64)
-        rank[by_hash] = np.arange(len(h))
-        self.words = h[by_hash]
+        rank[by] = np.arange(len(h))
+        self.words = h[by]
         self.sizes = np.array([len(r) - 1 for r in rows])  # tokens, with the end
         flat = rank[np.concatenate(rows)]
-        del rows, ids
+        del rows
         ends = np.cumsum(self.sizes + 1)
         first = np.ones(len(flat), bool)
         first[ends - 1] = False  # nothing follows an end
@@ -144,9 +238,9 @@ class Block:
         self.followers = np.where(is_hot, 0, np.bincount(self.v, minlength=len(h)))
         by_second = is_hot[self.v]
         part = np.where(by_second, own[self.w] * 2 + 1, own[self.v] * 2)  # two lists for each bucket
-        self.pair_order = np.argsort(part, kind="stable")  # by list, then hashes
+        self.pair_order = by_list(part)  # by list, then numbers
         self.pair_cuts = np.searchsorted(part[self.pair_order], np.arange(2 * buckets + 1))
-        self.word_order = np.argsort(own, kind="stable")
+        self.word_order = by_list(own)
         self.word_cuts = np.searchsorted(own[self.word_order], np.arange(buckets + 1))
         self.order = order
         if order == 3:
@@ -176,10 +270,10 @@ class Block:
         self.hot_of = np.searchsorted(hot, self.words)  # the place among hot words, if it is one
         self.begin = first.astype(np.int32)
         number = self.hot_of[self.v[first]] * (len(hot) + 1) + self.hot_of[self.w[first]]
-        free_to = bucket_of(mix(number, self.words[self.third] >> np.uint64(16)), buckets)
+        free_to = bucket_of_hash(mix(number, self.words[self.third]), buckets)
         list_of = np.where(free, 2 * buckets + free_to, part[first])
         del first, free, number, free_to
-        self.triple_order = np.argsort(list_of, kind="stable").astype(np.int32)
+        self.triple_order = by_list(list_of).astype(np.int32)
         self.triple_cuts = np.searchsorted(list_of[self.triple_order], np.arange(3 * buckets + 1))
 
     def triple_list(self, bucket: int, kind: int) -> np.ndarray:
@@ -197,15 +291,15 @@ class Block:
                     a = _numbers(self.pair_followers[p])
                 else:
                     f = self.begin[x]
-                    a = np.stack([self.hot_of[self.v[f]], self.hot_of[self.w[f]]]).astype(np.uint16).tobytes()
-                yield (k, block, TRIPLES + kind, a, _six(self.words[self.third[x]] >> np.uint64(16)),
-                       _numbers(self.triple_counts[x]), None)
+                    a = _ids(np.concatenate([self.hot_of[self.v[f]], self.hot_of[self.w[f]]]))
+                yield k, block, TRIPLES + kind, a, _ids(self.words[self.third[x]]), _numbers(self.triple_counts[x]), None
 
     def messages(self, block: int):
-        for k in range(len(self.word_cuts) - 1):
+        buckets = len(self.word_cuts) - 1
+        for k in range(buckets):
             x = self.word_order[self.word_cuts[k]:self.word_cuts[k + 1]]
             if len(x):
-                yield k, block, WORDS, self.words[x].tobytes(), _numbers(self.word_counts[x]), None, None
+                yield k, block, WORDS, _steps(self.words[x], buckets), _numbers(self.word_counts[x]), None, None
             for hot in (0, 1):
                 p = self.pair_order[self.pair_cuts[2 * k + hot]:self.pair_cuts[2 * k + hot + 1]]
                 if not len(p):
@@ -214,9 +308,9 @@ class Block:
                 if hot:
                     v = self.v[p]
                     start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-                    first, n = self.words[v[start]].tobytes(), np.diff(np.append(start, len(v)))
+                    first, n = _ids(self.words[v[start]]), np.diff(np.append(start, len(v)))
                 yield (k, block, HOT_PAIRS if hot else PAIRS, first, _numbers(n),
-                       _six(self.words[self.w[p]] >> np.uint64(16)), _numbers(self.pair_counts[p]))
+                       _ids(self.words[self.w[p]]), _numbers(self.pair_counts[p]))
         if self.order == 3:
             yield from self.triple_messages(block)
 
@@ -229,17 +323,26 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[start], *(np.add.reduceat(x[order].astype(np.int64), start) if len(start) else x[:0] for x in values))
 
 
-def add_up_own(rows, bucket: int, own: dict):
+def _steps(words: np.ndarray, buckets: int) -> bytes:
+    """Sorted words of one bucket as steps between their places."""
+    return _numbers(np.diff((words // np.uint64(buckets)).astype(np.int64), prepend=0))
+
+
+def _from_steps(b: bytes, bucket: int, buckets: int) -> np.ndarray:
+    return np.cumsum(_read(b), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+
+
+def add_up_own(rows, bucket: int, buckets: int, own: dict):
     """The bucket's words once, and every block's list as steps through them;
     the lists are put into ``own``."""
     counts = []
     for _, src, kind, a, b, _, _ in rows:
         if kind == WORDS:
-            own[src] = np.frombuffer(a, np.uint64)
+            own[src] = _from_steps(a, bucket, buckets)
             counts.append(_read(b))
     words, total = _sums(np.concatenate(list(own.values())), np.concatenate(counts)) if own else (None, None)
     if own:
-        yield bucket, bucket, WORDS, words.tobytes(), _numbers(total), None, None
+        yield bucket, bucket, WORDS, _steps(words, buckets), _numbers(total), None, None
     for src, h in own.items():
         yield bucket, src, PLACES, _numbers(np.diff(np.searchsorted(words, h), prepend=0)), None, None, None
 
@@ -247,20 +350,20 @@ def add_up_own(rows, bucket: int, own: dict):
 def add_up_pairs(rows, bucket: int, buckets: int):
     """Step 2 for one bucket."""
     asked, v, w, n, own = [], [], [], [], {}
-    yield from add_up_own(rows, bucket, own)
+    yield from add_up_own(rows, bucket, buckets, own)
     for _, src, kind, a, b, c, d in rows:
         if kind != WORDS:
-            w.append(_from_six(c))
-            v.append(np.repeat(own[src] if kind == PAIRS else np.frombuffer(a, np.uint64), _read(b)))
+            w.append(_from_ids(c))
+            v.append(np.repeat(own[src] if kind == PAIRS else _from_ids(a), _read(b)))
             n.append(_read(d))
             asked.append((src, PAIR_ANSWER if kind == PAIRS else HOT_ANSWER, len(n[-1])))
     if not asked:
         return
     v, w, n = np.concatenate(v), np.concatenate(w), np.concatenate(n).astype(np.int64)
-    mixed = mix(v, w)
-    order = np.argsort(mixed, kind="stable")
-    mixed = mixed[order]
-    new = np.concatenate(([True], mixed[1:] != mixed[:-1]))
+    keys = both_of(v, w)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
     start = np.flatnonzero(new)
     total = np.add.reduceat(n[order], start)
     answer = np.empty(len(n), np.int64)
@@ -280,27 +383,27 @@ def known_pairs(v: np.ndarray, w: np.ndarray, total: np.ndarray, bucket: int, bu
     ctx = _sums(v, total, total == 1, total == 2, total >= 3)
     to = bucket_of(ctx[0], buckets)
     cont = _sums(w, np.ones(len(w), np.int64))
-    to2 = bucket_of(cont[0] << np.uint64(16), buckets)
-    by, by2 = np.argsort(to, kind="stable"), np.argsort(to2, kind="stable")
+    to2 = bucket_of(cont[0], buckets)
+    by, by2 = by_list(to), by_list(to2)
     for k in np.unique(to).tolist():
         p = by[np.searchsorted(to[by], k):np.searchsorted(to[by], k, "right")]
-        yield (k, bucket, CONTEXT, ctx[0][p].tobytes(), _numbers(np.concatenate([x[p] for x in ctx[1:]])), None, None)
+        yield (k, bucket, CONTEXT, _ids(ctx[0][p]), _numbers(np.concatenate([x[p] for x in ctx[1:]])), None, None)
     for k in np.unique(to2).tolist():
         p = by2[np.searchsorted(to2[by2], k):np.searchsorted(to2[by2], k, "right")]
-        yield k, bucket, CONTINUATION, _six(cont[0][p]), _numbers(cont[1][p]), None, None
+        yield k, bucket, CONTINUATION, _ids(cont[0][p]), _numbers(cont[1][p]), None, None
 
 
 def add_up_triples(rows, bucket: int, buckets: int, hot: np.ndarray):
     """Order 3, before step 2, for one bucket."""
     own, lists = {}, {}
-    yield from add_up_own(rows, bucket, own)
+    yield from add_up_own(rows, bucket, buckets, own)
     for _, src, kind, a, b, c, d in rows:
         if kind in (PAIRS, HOT_PAIRS):
-            v = np.repeat(own[src] if kind == PAIRS else np.frombuffer(a, np.uint64), _read(b))
-            lists[src, kind] = v, _from_six(c), _read(d).astype(np.int64)
+            v = np.repeat(own[src] if kind == PAIRS else _from_ids(a), _read(b))
+            lists[src, kind] = v, _from_ids(c), _read(d).astype(np.int64)
     # the bucket's pairs once, sorted, and every block's list as steps through them
     v, w, n = (np.concatenate(x) for x in zip(*lists.values())) if lists else (np.empty(0, np.uint64),) * 3
-    order = np.lexsort((w, v))
+    order = np.argsort(both_of(v, w))
     start = _starts(v[order], w[order])
     number = np.empty(len(v), np.int64)
     number[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(v))))
@@ -313,22 +416,21 @@ def add_up_triples(rows, bucket: int, buckets: int, hot: np.ndarray):
         steps = np.diff(of[src, kind], prepend=0)
         yield bucket, src, PAIR_PLACES if kind == PAIRS else HOT_PLACES, _numbers(steps), None, None, None
     del lists, number, order
-    short = np.sort(hot) >> np.uint64(16)
     asked, one, third, count = [], [], [], []
     for _, src, kind, a, b, c, _ in rows:
         if kind in (TRIPLES, HOT_TRIPLES, FREE_TRIPLES):
             if kind == FREE_TRIPLES:  # numbered after the bucket's pairs
-                x = np.frombuffer(a, np.uint16).reshape(2, -1).astype(np.int64)
+                x = _from_ids(a).reshape(2, -1).astype(np.int64)
                 one.append(len(v) + x[0] * len(hot) + x[1])
             else:
                 one.append(np.repeat(of[src, PAIRS if kind == TRIPLES else HOT_PAIRS], _read(a)))
-            third.append(_from_six(b))
+            third.append(_from_ids(b))
             count.append(_read(c))
             asked.append((src, kind - TRIPLES + TRIPLE_ANSWER, len(count[-1])))
     context = np.zeros((4, len(v)), np.int64)
     if asked:
         one, third, count = np.concatenate(one), np.concatenate(third), np.concatenate(count).astype(np.int64)
-        order = np.lexsort((third, one))
+        order = np.lexsort((third, one)) if one.max() >> 32 else np.argsort(both_of(one, third))
         start = _starts(one[order], third[order])
         total = np.add.reduceat(count[order], start)
         answer = np.empty(len(count), np.int64)
@@ -345,36 +447,36 @@ def add_up_triples(rows, bucket: int, buckets: int, hot: np.ndarray):
         context[:, got[0][cold]] = np.stack(got[1:])[:, cold]
         i = got[0][~cold] - len(v)
         if len(i):  # pieces, to the bucket of the pair, which is that of its second word
-            first, second, x = short[i // len(hot)], short[i % len(hot)], np.stack(got[1:])[:, ~cold]
-            yield from dealt(PAIR_CONTEXT, bucket_of(second << np.uint64(16), buckets), bucket, first, second, x)
+            first, second, x = hot[i // len(hot)], hot[i % len(hot)], np.stack(got[1:])[:, ~cold]
+            yield from dealt(PAIR_CONTEXT, bucket_of(second, buckets), bucket, first, second, x)
         if len(one):
             j = np.maximum(one - len(v), 0)
-            middle = short[j % len(hot)] if len(hot) else np.zeros(len(one), np.uint64)
+            middle = hot[j % len(hot)] if len(hot) else np.zeros(len(one), np.uint64)
             if len(v):
                 middle = np.where(one < len(v), w[np.minimum(one, len(v) - 1)], middle)
-            order = np.lexsort((third, middle))
+            order = np.argsort(both_of(middle, third))
             middle, third = middle[order], third[order]
             start = _starts(middle, third)
             x = np.diff(np.append(start, len(middle)))[None]
             middle, third = middle[start], third[start]
-            to = bucket_of(np.where(np.isin(middle, short), third, middle) << np.uint64(16), buckets)
+            to = bucket_of(np.where(np.isin(middle, hot), third, middle), buckets)
             yield from dealt(SUFFIX, to, bucket, middle, third, x)
             # to a bucket that has words
             yield (int(to[0]), bucket, TRIPLE_TOTALS,
                    np.array([(total == k).sum() for k in (1, 2, 3, 4)], np.float64).tobytes(), None, None, None)
     if len(v):
         first = _starts(v)
-        yield (bucket, bucket, PAIR_TABLE, v[first].tobytes(), _numbers(np.diff(np.append(first, len(v)))), _six(w),
+        yield (bucket, bucket, PAIR_TABLE, _ids(v[first]), _numbers(np.diff(np.append(first, len(v)))), _ids(w),
                _numbers(np.concatenate([n[None], context]).ravel()))
 
 
 def dealt(kind: int, to: np.ndarray, bucket: int, v: np.ndarray, w: np.ndarray, x: np.ndarray):
-    """Messages about sorted pairs of short hashes, numbers of a pair in a column of ``x``."""
-    by = np.argsort(to, kind="stable")
+    """Messages about sorted pairs of words, counts of a pair in a column of ``x``."""
+    by = by_list(to)
     cuts = _starts(to[by])
     for p in np.split(by, cuts[1:]):
         first = _starts(v[p])
-        yield (int(to[p[0]]), bucket, kind, _six(v[p][first]), _numbers(np.diff(np.append(first, len(p)))), _six(w[p]),
+        yield (int(to[p[0]]), bucket, kind, _ids(v[p][first]), _numbers(np.diff(np.append(first, len(p)))), _ids(w[p]),
                _numbers(x[:, p].ravel()))
 
 
@@ -384,22 +486,22 @@ def add_up_pairs_of_triples(rows, bucket: int, buckets: int):
     for row in rows:
         _, src, kind, a, b, c, d = row
         if kind == PAIR_TABLE:
-            v, w = np.repeat(np.frombuffer(a, np.uint64), _read(b)), _from_six(c)
+            v, w = np.repeat(_from_ids(a), _read(b)), _from_ids(c)
             table = _read(d).astype(np.int64).reshape(5, -1)  # count, context count, followers once, twice, more
         elif kind in (PAIR_PLACES, HOT_PLACES):
             asked.append((src, PAIR_ANSWER if kind == PAIR_PLACES else HOT_ANSWER, a))
         elif kind in (SUFFIX, PAIR_CONTEXT):
-            pieces.append((kind, mix(np.repeat(_from_six(a), _read(b)), _from_six(c)), _read(d)))
+            pieces.append((kind, both_of(np.repeat(_from_ids(a), _read(b)), _from_ids(c)), _read(d)))
         else:
             yield row
     if v is None:
         return
-    keys = mix(v >> np.uint64(16), w)
+    keys = both_of(v, w)
     order = np.argsort(keys)
     keys = keys[order]
     for kind, key, x in pieces:
         at = order[np.minimum(np.searchsorted(keys, key), len(keys) - 1)]
-        if (mix(v[at] >> np.uint64(16), w[at]) != key).any():
+        if (both_of(v[at], w[at]) != key).any():
             raise RuntimeError("a triple's pair is not in its bucket")
         x = x.reshape(-1, len(key))
         if kind == SUFFIX:
@@ -412,20 +514,20 @@ def add_up_pairs_of_triples(rows, bucket: int, buckets: int):
     yield from known_pairs(v[known], w[known], table[0][known], bucket, buckets)
 
 
-def add_up_words(rows, bucket: int):
+def add_up_words(rows, bucket: int, buckets: int):
     """Step 3 for one bucket; answers go to their blocks."""
     asked, ctx, cont, pairs, triples = [], [], [], np.zeros(4), np.zeros(4)
     for _, src, kind, a, b, _, _ in rows:
         if kind in (PAIR_ANSWER, HOT_ANSWER, TRIPLE_ANSWER, HOT_TRIPLE_ANSWER, FREE_ANSWER):
             yield src, bucket, kind, a, None, None, None
         elif kind == WORDS:
-            words, n = np.frombuffer(a, np.uint64), _read(b).astype(np.int64)
+            words, n = _from_steps(a, bucket, buckets), _read(b).astype(np.int64)
         elif kind == PLACES:
             asked.append((src, np.cumsum(_read(a), dtype=np.int64)))
         elif kind == CONTEXT:
-            ctx.append((np.frombuffer(a, np.uint64), _read(b).reshape(4, -1)))
+            ctx.append((_from_ids(a), _read(b).reshape(4, -1)))
         elif kind == CONTINUATION:
-            cont.append((_from_six(a), _read(b)))
+            cont.append((_from_ids(a), _read(b)))
         elif kind == TOTALS:
             pairs += np.frombuffer(a)
         elif kind == TRIPLE_TOTALS:
@@ -439,9 +541,8 @@ def add_up_words(rows, bucket: int):
         table[2:, np.searchsorted(words, got[0])] = got[1:]
     if cont:
         got = _sums(np.concatenate([x[0] for x in cont]), np.concatenate([x[1] for x in cont]))
-        short = words >> np.uint64(16)
-        at = np.minimum(np.searchsorted(got[0], short), len(got[0]) - 1)
-        table[1] = np.where(got[0][at] == short, got[1][at], 0)
+        at = np.minimum(np.searchsorted(got[0], words), len(got[0]) - 1)
+        table[1] = np.where(got[0][at] == words, got[1][at], 0)
     for src, at in asked:
         yield src, bucket, WORD_ANSWER, _numbers(table[:, at]), None, None, None
     c = table[1]
@@ -477,6 +578,17 @@ def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _at_places(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For every key the value at its place among the distinct sorted keys;
+    read in order, so that mapped pages are read once."""
+    order = np.argsort(keys)
+    steps = np.zeros(len(keys), np.int64)
+    steps[_starts(keys[order])] = 1
+    out = np.empty(len(keys))
+    out[order] = values[np.cumsum(steps) - 1]
+    return out
+
+
 def score_block(block: Block, answers, stats: np.ndarray):
     """Per document: tokens, known tokens, base score and model score."""
     n_train, vocab, n_cont = stats[0], stats[1], stats[2]
@@ -509,24 +621,19 @@ def score_block(block: Block, answers, stats: np.ndarray):
     total, context = total[0], total[1:]
     seen = np.maximum(table[2], 1)
     back = np.where(table[2] > 0, (table[3:].T @ d2[1:]) / seen, 1.0)
-    keys, pair_p, word_p, gamma, base, known = mapped([
-        block.pairs, np.maximum(total - d2[np.minimum(total, 3)], 0) / seen[block.v], p_word, back,
+    pair_p, word_p, gamma, base, known = mapped([
+        np.maximum(total - d2[np.minimum(total, 3)], 0) / seen[block.v], p_word, back,
         np.log10((table[0] + 0.1) / (n_train + 0.1 * (vocab + 1))), table[0] > 0])
-    order = np.argsort(block.keys)  # searched in order, the mapped pages are read once
-    p = np.empty(len(order))
-    p[order] = pair_p[np.searchsorted(keys, block.keys[order])]
+    p = _at_places(block.keys, pair_p)
     w = block.second
     p = p + gamma[block.keys // len(block.words)] * word_p[w]
     if block.order == 3:
         d3 = np.concatenate(([0.0], discounts(stats[12:16])))
         seen = np.maximum(context[0], 1)
-        keys, triple_p, gamma = mapped([
-            block.triples, np.maximum(triple - d3[np.minimum(triple, 3)], 0) / seen[block.begin],
+        triple_p, gamma = mapped([
+            np.maximum(triple - d3[np.minimum(triple, 3)], 0) / seen[block.begin],
             np.where(context[0] > 0, (context[1:].T @ d3[1:]) / seen, 1.0)])
-        order = np.argsort(block.triple_keys)
-        p3 = np.empty(len(order))
-        p3[order] = triple_p[np.searchsorted(keys, block.triple_keys[order])]
-        p[block.later] = p3 + gamma[block.before] * p[block.later]
+        p[block.later] = _at_places(block.triple_keys, triple_p) + gamma[block.before] * p[block.later]
     p = np.log10(p)
     start = np.concatenate(([0], np.cumsum(block.sizes)[:-1]))
     yield from zip(block.sizes.tolist(), np.add.reduceat(known[w].astype(np.int64), start).tolist(),
@@ -578,6 +685,7 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
     total, frequent = frequent_words(docs, text)
     n = max(1, -(-total // block_tokens))
     hot = np.sort(np.array([h for h, k in frequent if k * 8 * n > total], dtype=np.int64).view(np.uint64))
+    hot_ids = np.sort(hot_numbers(hot, n))
     t = F.coalesce(F.col(text), F.lit(""))
     named = docs.select(*keep)
     cols = [f"_k{i}" for i in range(len(named.columns))]
@@ -585,13 +693,52 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
                         t.alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"),
                         *[c.alias(a) for c, a in zip(keep, cols)])
 
-    def read(table: pa.Table) -> Block:
-        texts = [x.as_py() for x in table.column("_text").cast(pa.binary())]
-        return Block(texts, table.column("_train").to_numpy(zero_copy_only=False).astype(bool), n, hot, order)
-
-    def ask(table: pa.Table) -> pa.Table:
+    def pack(batches):
+        """Compressed pieces: the documents of one block among some of a task's batches."""
+        held, size = [], 0
+
+        def pieces():
+            t = pa.Table.from_batches(held)
+            to = t.column("block").to_numpy()
+            by = np.argsort(to, kind="stable")
+            t, cuts = t.take(pa.array(by)), np.append(_starts(to[by]), len(by))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(t.slice(a, b - a).combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array([to[by[a]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                                 names=["block", "piece"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PIECE_BYTES:
+                yield from pieces()
+                held, size = [], 0
+        if held:
+            yield from pieces()
+
+    pieces = dealt.mapInArrow(pack, "block int, piece binary").groupBy("block")
+
+    def documents(table: pa.Table) -> pa.Table:
+        return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("piece")])
+
+    def texts_of(docs: pa.Table) -> list[bytes]:
+        return [x.as_py() for x in docs.column("_text").cast(pa.binary())]
+
+    def read(docs: pa.Table, answers: pa.Table) -> Block:
+        places = {k: a.as_py() for k, kind, a in zip(answers.column("src").to_pylist(), answers.column("kind").to_pylist(),
+                                                     answers.column("a")) if kind == NUMBERS}
+        return Block(texts_of(docs), docs.column("_train").to_numpy(zero_copy_only=False).astype(bool), n, hot_ids, places, order)
+
+    def name(table: pa.Table) -> pa.Table:
         k = table.column("block")[0].as_py()
-        return pa.Table.from_batches(batches_of(read(table).messages(k), MESSAGE, 64), MESSAGE)
+        return pa.Table.from_batches(batches_of(list_words(texts_of(documents(table)), k, n), MESSAGE, 64), MESSAGE)
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        k = left.column("block")[0].as_py()
+        return pa.Table.from_batches(batches_of(read(documents(left), right).messages(k), MESSAGE, 64), MESSAGE)
 
     def in_bucket(fn):
         def run(batches):
@@ -600,15 +747,19 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
                 yield from batches_of(fn(rows, rows[0][0]), MESSAGE, 16)
         return run
 
-    asked = dealt.groupBy("block").applyInArrow(ask, MESSAGE_SQL)
+    named_words = pieces.applyInArrow(name, MESSAGE_SQL).repartitionById(n, F.col("to")).mapInArrow(
+        in_bucket(lambda rows, k: number_words(rows, k, n, hot)), MESSAGE_SQL)
+    answer = [F.col("to").alias("block"), "src", "kind", "a"]
+    asked = pieces.cogroup(named_words.select(*answer).groupBy("block")).applyInArrow(ask, MESSAGE_SQL)
     if order == 3:
         asked = asked.repartitionById(n, F.col("to")).mapInArrow(
-            in_bucket(lambda rows, k: add_up_triples(rows, k, n, hot)), MESSAGE_SQL)
+            in_bucket(lambda rows, k: add_up_triples(rows, k, n, hot_ids)), MESSAGE_SQL)
     step_2 = add_up_pairs_of_triples if order == 3 else add_up_pairs
     pairs = asked.repartitionById(n, F.col("to")).mapInArrow(
         in_bucket(lambda rows, k: step_2(rows, k, n)), MESSAGE_SQL)
-    answers = pairs.repartitionById(n, F.col("to")).mapInArrow(in_bucket(add_up_words), MESSAGE_SQL)
-    answers = answers.select(F.col("to").alias("block"), "src", "kind", "a").repartition("block")
+    answers = pairs.repartitionById(n, F.col("to")).mapInArrow(
+        in_bucket(lambda rows, k: add_up_words(rows, k, n)), MESSAGE_SQL)
+    answers = answers.select(*answer).unionByName(named_words.select(*answer)).repartition("block")
 
     def add(table: pa.Table) -> pa.Table:
         raw = [x.as_py() for x, k in zip(table.column("a"), table.column("kind").to_pylist()) if k == TOTALS]
@@ -627,9 +778,10 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
         if not left.num_rows:
             return None
         s = np.array(right.column("stats")[0].as_py())
-        got = zip(right.column("src").to_pylist(), right.column("kind").to_pylist(),
-                  (x.as_py() for x in right.column("a")))
-        rows = list(score_block(read(left), got, s))
+        got = ((k, kind, a.as_py()) for k, kind, a in zip(right.column("src").to_pylist(), right.column("kind").to_pylist(),
+                                                          right.column("a")) if kind != NUMBERS)
+        left = documents(left)
+        rows = list(score_block(read(left, right), got, s))
         kept = [left.column(a).combine_chunks() for a in cols]
         c = list(zip(*rows))
         more = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array([int(s[0])] * len(rows), pa.int64()),
@@ -637,5 +789,5 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
         return pa.Table.from_arrays([*kept, *more], names=[*cols, "n_tokens", "n_known", "train_tokens", "base_score",
                                                            "score"])
 
-    out = dealt.groupBy("block").cogroup(with_stats.groupBy("block")).applyInArrow(finish, out_schema)
+    out = pieces.cogroup(with_stats.groupBy("block")).applyInArrow(finish, out_schema)
     return out.select(*[F.col(a).alias(f.name) for a, f in zip(cols, named.schema.fields)], *out.columns[len(cols):])
