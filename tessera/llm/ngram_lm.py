@@ -102,6 +102,18 @@ def _from_ids(b: bytes) -> np.ndarray:
     return out.view("<u4").ravel().astype(np.uint64)
 
 
+def _hashes(h: np.ndarray) -> bytes:
+    """Sorted hashes as steps, byte by byte like ``_ids``."""
+    steps = np.diff(h, prepend=np.uint64(0))
+    low, high = _ids(steps & np.uint64(0xFFFFFFFF)), _ids(steps >> np.uint64(32))
+    return len(low).to_bytes(4, "little") + low + high
+
+
+def _from_hashes(b: bytes) -> np.ndarray:
+    n = 4 + int.from_bytes(b[:4], "little")
+    return np.cumsum(_from_ids(b[4:n]) | (_from_ids(b[n:]) << np.uint64(32)), dtype=np.uint64)
+
+
 def bucket_of_hash(h: np.ndarray, n: int) -> np.ndarray:
     """Bucket of 64-bit hashes."""
     return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int32)
@@ -177,12 +189,12 @@ def list_words(texts: list[bytes], block: int, buckets: int):
     for k in range(buckets):
         x = order[cuts[k]:cuts[k + 1]]
         if len(x):
-            yield k, block, NUMBERS, h[x].tobytes(), _numbers(n[x]), None, None
+            yield k, block, NUMBERS, _hashes(h[x]), _numbers(n[x]), None, None
 
 
 def number_words(rows, bucket: int, buckets: int, hot: np.ndarray):
     """Step 0 for one bucket: places of its words, hot ones first, then by frequency."""
-    lists = {src: (np.frombuffer(a, np.uint64), _read(b)) for _, src, _, a, b, _, _ in rows}
+    lists = {src: (_from_hashes(a), _read(b)) for _, src, _, a, b, _, _ in rows}
     words, n = _sums(*(np.concatenate(x) for x in zip(*lists.values())))
     first = np.sort(hot[bucket_of_hash(hot, buckets) == bucket])
     if (len(words) + len(first) + 1) * buckets >= 1 << 32:
@@ -276,6 +288,11 @@ class Block:
         self.triple_order = by_list(list_of).astype(np.int32)
         self.triple_cuts = np.searchsorted(list_of[self.triple_order], np.arange(3 * buckets + 1))
 
+    def forget_lists(self) -> None:
+        """Drop what only the lists and their answers need: memory for the scores."""
+        self.pairs = self.pair_counts = self.pair_order = self.word_order = self.w = self.followers = None
+        self.triples = self.triple_counts = self.triple_order = self.third = self.hot_of = None
+
     def triple_list(self, bucket: int, kind: int) -> np.ndarray:
         k = 2 * bucket + kind if kind < 2 else 2 * (len(self.word_cuts) - 1) + bucket
         return self.triple_order[self.triple_cuts[k]:self.triple_cuts[k + 1]]
@@ -332,6 +349,18 @@ def _from_steps(b: bytes, bucket: int, buckets: int) -> np.ndarray:
     return np.cumsum(_read(b), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
 
 
+def _rising(words: np.ndarray, buckets: int) -> bytes:
+    """Sorted words of any buckets: steps between their places, and the buckets (mostly one)."""
+    z = _ids(words % np.uint64(buckets))
+    place = (words // np.uint64(buckets)).astype(np.int64)
+    return len(z).to_bytes(4, "little") + z + _numbers(np.diff(place, prepend=0))
+
+
+def _from_rising(b: bytes, buckets: int) -> np.ndarray:
+    n = 4 + int.from_bytes(b[:4], "little")
+    return np.cumsum(_read(b[n:]), dtype=np.uint64) * np.uint64(buckets) + _from_ids(b[4:n])
+
+
 def add_up_own(rows, bucket: int, buckets: int, own: dict):
     """The bucket's words once, and every block's list as steps through them;
     the lists are put into ``own``."""
@@ -390,7 +419,7 @@ def known_pairs(v: np.ndarray, w: np.ndarray, total: np.ndarray, bucket: int, bu
         yield (k, bucket, CONTEXT, _ids(ctx[0][p]), _numbers(np.concatenate([x[p] for x in ctx[1:]])), None, None)
     for k in np.unique(to2).tolist():
         p = by2[np.searchsorted(to2[by2], k):np.searchsorted(to2[by2], k, "right")]
-        yield k, bucket, CONTINUATION, _ids(cont[0][p]), _numbers(cont[1][p]), None, None
+        yield k, bucket, CONTINUATION, _steps(cont[0][p], buckets), _numbers(cont[1][p]), None, None
 
 
 def add_up_triples(rows, bucket: int, buckets: int, hot: np.ndarray):
@@ -448,7 +477,7 @@ def add_up_triples(rows, bucket: int, buckets: int, hot: np.ndarray):
         i = got[0][~cold] - len(v)
         if len(i):  # pieces, to the bucket of the pair, which is that of its second word
             first, second, x = hot[i // len(hot)], hot[i % len(hot)], np.stack(got[1:])[:, ~cold]
-            yield from dealt(PAIR_CONTEXT, bucket_of(second, buckets), bucket, first, second, x)
+            yield from dealt(PAIR_CONTEXT, bucket_of(second, buckets), bucket, buckets, first, second, x)
         if len(one):
             j = np.maximum(one - len(v), 0)
             middle = hot[j % len(hot)] if len(hot) else np.zeros(len(one), np.uint64)
@@ -460,7 +489,7 @@ def add_up_triples(rows, bucket: int, buckets: int, hot: np.ndarray):
             x = np.diff(np.append(start, len(middle)))[None]
             middle, third = middle[start], third[start]
             to = bucket_of(np.where(np.isin(middle, hot), third, middle), buckets)
-            yield from dealt(SUFFIX, to, bucket, middle, third, x)
+            yield from dealt(SUFFIX, to, bucket, buckets, middle, third, x)
             # to a bucket that has words
             yield (int(to[0]), bucket, TRIPLE_TOTALS,
                    np.array([(total == k).sum() for k in (1, 2, 3, 4)], np.float64).tobytes(), None, None, None)
@@ -470,14 +499,14 @@ def add_up_triples(rows, bucket: int, buckets: int, hot: np.ndarray):
                _numbers(np.concatenate([n[None], context]).ravel()))
 
 
-def dealt(kind: int, to: np.ndarray, bucket: int, v: np.ndarray, w: np.ndarray, x: np.ndarray):
+def dealt(kind: int, to: np.ndarray, bucket: int, buckets: int, v: np.ndarray, w: np.ndarray, x: np.ndarray):
     """Messages about sorted pairs of words, counts of a pair in a column of ``x``."""
     by = by_list(to)
     cuts = _starts(to[by])
     for p in np.split(by, cuts[1:]):
         first = _starts(v[p])
-        yield (int(to[p[0]]), bucket, kind, _ids(v[p][first]), _numbers(np.diff(np.append(first, len(p)))), _ids(w[p]),
-               _numbers(x[:, p].ravel()))
+        yield (int(to[p[0]]), bucket, kind, _rising(v[p][first], buckets), _numbers(np.diff(np.append(first, len(p)))),
+               _ids(w[p]), _numbers(x[:, p].ravel()))
 
 
 def add_up_pairs_of_triples(rows, bucket: int, buckets: int):
@@ -491,7 +520,7 @@ def add_up_pairs_of_triples(rows, bucket: int, buckets: int):
         elif kind in (PAIR_PLACES, HOT_PLACES):
             asked.append((src, PAIR_ANSWER if kind == PAIR_PLACES else HOT_ANSWER, a))
         elif kind in (SUFFIX, PAIR_CONTEXT):
-            pieces.append((kind, both_of(np.repeat(_from_ids(a), _read(b)), _from_ids(c)), _read(d)))
+            pieces.append((kind, both_of(np.repeat(_from_rising(a, buckets), _read(b)), _from_ids(c)), _read(d)))
         else:
             yield row
     if v is None:
@@ -527,7 +556,7 @@ def add_up_words(rows, bucket: int, buckets: int):
         elif kind == CONTEXT:
             ctx.append((_from_ids(a), _read(b).reshape(4, -1)))
         elif kind == CONTINUATION:
-            cont.append((_from_ids(a), _read(b)))
+            cont.append((_from_steps(a, bucket, buckets), _read(b)))
         elif kind == TOTALS:
             pairs += np.frombuffer(a)
         elif kind == TRIPLE_TOTALS:
@@ -582,10 +611,11 @@ def _at_places(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """For every key the value at its place among the distinct sorted keys;
     read in order, so that mapped pages are read once."""
     order = np.argsort(keys)
-    steps = np.zeros(len(keys), np.int64)
-    steps[_starts(keys[order])] = 1
+    place = np.zeros(len(keys), np.int32)
+    place[_starts(keys[order])[1:]] = 1
+    np.cumsum(place, out=place)
     out = np.empty(len(keys))
-    out[order] = values[np.cumsum(steps) - 1]
+    out[order] = values[place]
     return out
 
 
@@ -594,8 +624,8 @@ def score_block(block: Block, answers, stats: np.ndarray):
     n_train, vocab, n_cont = stats[0], stats[1], stats[2]
     m, n = stats[3:7], stats[8:12]
     table = np.zeros((6, len(block.words)), np.int64)
-    total = np.zeros((5 if block.order == 3 else 1, len(block.pairs)), np.int64)
-    triple = np.zeros(len(block.triples) if block.order == 3 else 0, np.int64)
+    total = np.zeros((5 if block.order == 3 else 1, len(block.pairs)), np.uint32)  # as in messages
+    triple = np.zeros(len(block.triples) if block.order == 3 else 0, np.uint32)
     got = 0
     for bucket, kind, a in answers:
         x = _read(a)
@@ -613,6 +643,7 @@ def score_block(block: Block, answers, stats: np.ndarray):
             got += len(p)
     if got != len(block.pairs) + len(block.words) + len(triple):
         raise RuntimeError("a block's answers do not match its words")
+    block.forget_lists()
     d1 = np.concatenate(([0.0], discounts(m)))
     cont = table[1]
     left = (d1[1] * m[0] + d1[2] * m[1] + d1[3] * stats[7]) / n_cont if n_cont else 1.0
@@ -704,7 +735,7 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
             t, cuts = t.take(pa.array(by)), np.append(_starts(to[by]), len(by))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                     out.write_table(t.slice(a, b - a).combine_chunks())
                 yield pa.RecordBatch.from_arrays([pa.array([to[by[a]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
                                                  names=["block", "piece"])
@@ -769,7 +800,8 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
 
     parts = answers.groupBy("block").applyInArrow(add, "one int, s array<double>")
     stats = parts.groupBy("one").agg(F.array(*[F.sum(F.element_at("s", i + 1)) for i in range(16)]).alias("stats"))
-    with_stats = answers.where(F.col("kind") != TOTALS).crossJoin(F.broadcast(stats.select("stats")))  # one row
+    # no filter here: with one the answers would be computed and shuffled twice
+    with_stats = answers.crossJoin(F.broadcast(stats.select("stats")))  # one row
 
     out_schema = ", ".join(f"{a} {f.dataType.simpleString()}" for a, f in zip(cols, named.schema.fields)) \
         + ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -779,7 +811,7 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
             return None
         s = np.array(right.column("stats")[0].as_py())
         got = ((k, kind, a.as_py()) for k, kind, a in zip(right.column("src").to_pylist(), right.column("kind").to_pylist(),
-                                                          right.column("a")) if kind != NUMBERS)
+                                                          right.column("a")) if kind not in (NUMBERS, TOTALS))
         left = documents(left)
         rows = list(score_block(read(left, right), got, s))
         kept = [left.column(a).combine_chunks() for a in cols]

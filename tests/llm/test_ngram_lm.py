@@ -4,10 +4,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm.common import doc_crc
-from tessera.llm.ngram_lm import discounts, mapped, score
+from tessera.llm.ngram_lm import (START, TRIPLES, Block, _from_hashes, _from_ids, _from_rising, _hashes, _ids, _numbers,
+                                  _read, _rising, discounts, hot_numbers, list_words, mapped, number_words, score)
 
 def held():
     return doc_crc() % 10 == 0
@@ -93,6 +95,43 @@ def test_mapped_arrays():
     assert (x == a).all() and (y == b).all() and not len(z)
 
 
+def test_word_numbers_are_distinct_and_hot_words_known():
+    texts = [b"a a a b c", b"b d e f", b"g a"]
+    buckets, words = 3, [b"a", b"b", START]
+    hot = np.sort(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64))
+    asked = [r for k, t in enumerate(texts) for r in list_words([t], k, buckets)]
+    got = {}
+    for b in range(buckets):
+        mine = [r for r in asked if r[0] == b]
+        for to, src, _, a, *_ in number_words(mine, b, buckets, hot) if mine else ():
+            h = _from_hashes(next(r[3] for r in mine if r[1] == to))
+            for x, place in zip(h.tolist(), _from_ids(a).tolist()):
+                assert got.setdefault(x, place * buckets + src) == place * buckets + src  # all blocks get the same
+    assert len(set(got.values())) == len(got) == 9  # a to g, start and end
+    assert sorted(got[xxhash.xxh64_intdigest(w)] for w in words) == sorted(hot_numbers(hot, buckets).tolist())
+
+
+def test_lists_come_back():
+    for x in ([], [0], [3, 200, 255, 256, 70_000, 2 ** 32 - 1]):
+        x = np.array(x, np.uint64)
+        assert (_from_ids(_ids(x)) == x).all() and (_read(_numbers(x)) == x).all()
+        assert (_from_rising(_rising(x, 7), 7) == x).all()
+        h = x << np.uint64(31)
+        assert (_from_hashes(_hashes(h)) == h).all()
+
+
+def test_lists_of_frequent_words_are_short(docs):
+    """A list of triples costs far less than six bytes each; the texts' pieces and
+    everything that follows had 7.5 times the input before words had numbers."""
+    texts = [(r["text"] or "").encode() for r in docs.collect()]
+    hot = np.empty(0, np.uint64)
+    asked = list(list_words(texts, 0, 1))
+    places = {src: a for _, src, _, a, *_ in number_words(asked, 0, 1, hot)}
+    block = Block(texts, np.ones(len(texts), bool), 1, hot, places, 3)
+    sent = sum(len(c) for _, _, kind, _, c, *_ in block.messages(0) if kind == TRIPLES)
+    assert 0 < sent < 4 * len(block.triples)
+
+
 def _three(rows):
     """Scores of order 3 by plain dictionaries: pairs count the distinct words
     before them, those of the start their occurrences."""
