@@ -16,8 +16,8 @@ blocks, and the model into buckets by word hash:
 3. The bucket of a word adds these up and answers in the same way.
 4. A block puts the answers beside its own sorted pairs, which is the part of
    the model that its documents need, writes these arrays to a scratch file,
-   maps it into memory and scores its documents in sorted order.  The file is
-   unlinked as soon as it is mapped.
+   each number in as few bytes as the largest needs, maps it into memory and
+   scores its documents.  The file is unlinked as soon as it is mapped.
 
 Every message's size follows the data, not the number of occurrences of any
 word.  Pairs of a frequent first word would all meet in one bucket; they are
@@ -30,24 +30,26 @@ the pair are frequent, triples are dealt by their own hash and the pieces of
 the context are added up in step 2.  A pair then counts the distinct words
 before it (its occurrences, at the start of a text), as Kneser-Ney asks.
 
-Documents travel in compressed pieces, those of one block in a part of the
-input together; three steps read a block's pieces.
+Texts are split into words once.  Documents travel in compressed pieces, those
+of one block in a part of the input together: the distinct words, and for every
+token its word's place among them.  Three steps read a block's pieces.
 """
 
 from __future__ import annotations
 
 import mmap
 import tempfile
-from collections import Counter, defaultdict
-from itertools import count
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batches_of, rows_of, stream
+from tessera.llm.common import batches_of, rows_of
 
 #: Tokens per block and entries per bucket (about); hot first words at most.
 BLOCK_TOKENS, MAX_HOT = 3_000_000, 65_536
@@ -55,13 +57,18 @@ BLOCK_TOKENS, MAX_HOT = 3_000_000, 65_536
 START, END = b" start", b" end"
 MESSAGE = pa.schema([("to", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()),
                      ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+PIECE = pa.schema([("block", pa.int32()), ("piece", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())])
 MESSAGE_SQL = "to int, src int, kind int, a binary, b binary, c binary, d binary"
 PAIRS, HOT_PAIRS, WORDS, PLACES, PAIR_ANSWER, HOT_ANSWER, CONTEXT, CONTINUATION, TOTALS, WORD_ANSWER = range(10)
 #: Order 3.  Lists of triples follow PAIRS, HOT_PAIRS or none; their answers come in the same order of kinds.
 TRIPLES, HOT_TRIPLES, FREE_TRIPLES, TRIPLE_ANSWER, HOT_TRIPLE_ANSWER, FREE_ANSWER = range(10, 16)
 PAIR_TABLE, PAIR_PLACES, HOT_PLACES, SUFFIX, PAIR_CONTEXT, TRIPLE_TOTALS, NUMBERS = range(16, 23)
+#: What goes to the blocks from step 2.  The rest goes to the buckets of step 3.
+TO_BLOCKS = {PAIR_ANSWER, HOT_ANSWER, TRIPLE_ANSWER, HOT_TRIPLE_ANSWER, FREE_ANSWER}
 #: Bytes of documents that a task holds to compress them by block.
 PIECE_BYTES = 48_000_000
+#: Pairs or triples whose probabilities are reckoned at a time.
+SCORE_STEP = 500_000
 
 
 def _packed(x: bytes | np.ndarray) -> bytes:
@@ -143,6 +150,38 @@ def by_list(x: np.ndarray) -> np.ndarray:
     return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 65_536 else x, kind="stable")
 
 
+def sort_places(x: np.ndarray) -> np.ndarray:
+    """Sort unsigned 64-bit numbers in place; returns their former places.  If a
+    number and its place fit 64 bits, both are sorted as one, which is several
+    times faster than an indirect sort."""
+    bits, step = len(x).bit_length(), 1 << 20
+    if not len(x) or int(x.max()).bit_length() + bits > 64:
+        by = np.argsort(x, kind="stable")
+        x[:] = x[by]
+        return by
+    x <<= np.uint64(bits)
+    for a in range(0, len(x), step):
+        x[a:a + step] |= np.arange(a, min(a + step, len(x)), dtype=np.uint64)
+    x.sort()
+    by = np.empty(len(x), np.int32 if bits < 32 else np.int64)
+    for a in range(0, len(x), step):
+        by[a:a + step] = x[a:a + step] & np.uint64((1 << bits) - 1)
+    x >>= np.uint64(bits)
+    return by
+
+
+def order_of(keys: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
+    """Order of whole numbers from 0 on, by ``low`` where they are equal."""
+    x = keys.astype(np.uint64)
+    if low is not None and len(x):
+        bits = int(low.max()).bit_length()
+        if int(x.max()).bit_length() + bits > 64:
+            return np.lexsort((low, keys))
+        x <<= np.uint64(bits)
+        x |= low.astype(np.uint64)
+    return sort_places(x)
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64-bit hash of two columns of numbers."""
     x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -159,19 +198,75 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def read_words(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Every text as places in the list of distinct words (start and end
-    included), and the words' hashes."""
-    ids: dict[bytes, int] = defaultdict(count().__next__)
-    ids[START], ids[END]
-    rows = []
-    for t in texts:
-        words = t.lower().split()
-        row = np.empty(len(words) + 2, dtype=np.int32)
-        row[0], row[-1] = 0, 1
-        row[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-        rows.append(row)
-    return rows, np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))
+class Words(NamedTuple):
+    """Texts in words: every token's place in a list of distinct words (start
+    and end of each text included), every text's tokens (with its end, without
+    its start), and the words' hashes."""
+    flat: np.ndarray
+    sizes: np.ndarray
+    hashes: np.ndarray
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Lower-cased (A-Z) words of all texts as places in the list of distinct
+    words, the number of words of every text, and that list."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes, words = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+    if not full.all():
+        before = np.concatenate(([0], np.cumsum(full)))
+        sizes = np.diff(before[np.concatenate(([0], np.cumsum(sizes)))])
+        words = words.filter(pa.array(full))
+    found = words.dictionary_encode()
+    return found.indices.to_numpy(), sizes, found.dictionary
+
+
+def with_ends(flat: np.ndarray, sizes: np.ndarray, words: list[bytes]) -> Words:
+    """Words of texts, with the start and the end of each.  ``words`` may repeat."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, [START, END, *words]), np.uint64, len(words) + 2)
+    h, place = np.unique(h, return_inverse=True)
+    place = place.astype(np.int32)
+    sizes = sizes.astype(np.int64) + 1
+    ends = np.cumsum(sizes + 1)
+    out = np.empty(len(flat) + 2 * len(sizes), np.int32)
+    word = np.ones(len(out), bool)
+    word[ends - 1] = word[ends - sizes - 1] = False
+    out[word] = place[2:][flat]
+    out[ends - 1], out[ends - sizes - 1] = place[1], place[0]
+    return Words(out, sizes, h)
+
+
+def read_words(texts: list[bytes] | Words) -> Words:
+    """Words of some texts, unless they are read already."""
+    if isinstance(texts, Words):
+        return texts
+    flat, sizes, words = split_words(pa.array(texts, pa.string()))
+    return with_ends(flat, sizes, words.cast(pa.binary()).to_pylist())
+
+
+def pack_words(flat: np.ndarray, words: pa.Array) -> tuple[bytes, bytes]:
+    """Tokens, given as places in the sorted ``words``, for a message: the words
+    that occur, frequent ones first, and the tokens' places among them."""
+    by = order_of(flat)
+    start = _starts(flat[by])
+    n = np.diff(np.append(start, len(by)))
+    own = flat[by[start]]
+    frequent = np.argsort(-n, kind="stable")  # words of one count stay sorted and compress well
+    rank = np.empty(len(own), np.uint32)
+    rank[frequent] = np.arange(len(own))
+    places = np.empty(len(flat), np.uint32)
+    places[by] = np.repeat(rank, n)
+    text = pc.binary_join(pa.ListArray.from_arrays([0, len(own)], words.take(pa.array(own[frequent]))), " ")[0].as_py().encode()
+    return len(text).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(text, asbytes=True), _ids(places)
+
+
+def unpack_words(messages: list[tuple[bytes, bytes]], sizes: np.ndarray) -> Words:
+    """The words of texts from one or more messages, in the order of the texts."""
+    flat, words = [], []
+    for text, places in messages:
+        flat.append(_from_ids(places).astype(np.int32) + len(words))
+        words += bytes(_unpacked(text[8:], int.from_bytes(text[:8], "little"))).split()
+    return with_ends(np.concatenate(flat), sizes, words)
 
 
 def lists_of(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,10 +276,10 @@ def lists_of(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(of[order], np.arange(buckets + 1))
 
 
-def list_words(texts: list[bytes], block: int, buckets: int):
+def list_words(texts: list[bytes] | Words, block: int, buckets: int):
     """Step 0: a block's words by hash, and how often they occur."""
-    rows, h = read_words(texts)
-    n = np.bincount(np.concatenate(rows), minlength=len(h))
+    flat, _, h = read_words(texts)
+    n = np.bincount(flat, minlength=len(h))
     order, cuts = lists_of(h, buckets)
     for k in range(buckets):
         x = order[cuts[k]:cuts[k + 1]]
@@ -213,76 +308,65 @@ class Block:
     """Distinct words, word pairs and (order 3) triples of some documents,
     sorted by number.  ``places`` are the buckets' answers to ``list_words``."""
 
-    def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int, hot: np.ndarray, places: dict[int, bytes],
-                 order: int = 2):
-        rows, h = read_words(texts)
+    def __init__(self, texts: list[bytes] | Words, train: np.ndarray, buckets: int, hot: np.ndarray,
+                 places: dict[int, bytes], order: int = 2):
+        flat, self.sizes, h = read_words(texts)  # sizes: tokens, with the end
+        del texts
         by, cuts = lists_of(h, buckets)
+        numbers = np.empty_like(h)
         for k, a in places.items():
-            h[by[cuts[k]:cuts[k + 1]]] = _from_ids(a) * np.uint64(buckets) + np.uint64(k)
+            numbers[by[cuts[k]:cuts[k + 1]]] = _from_ids(a) * np.uint64(buckets) + np.uint64(k)
         if sum(cuts[k + 1] - cuts[k] for k in places) != len(h):
             raise RuntimeError("a block's words have no numbers")
-        by = np.argsort(h)
-        rank = np.empty(len(h), dtype=np.int64)
+        by = np.argsort(numbers)
+        rank = np.empty(len(h), dtype=np.int32)
         rank[by] = np.arange(len(h))
-        self.words = h[by]
-        self.sizes = np.array([len(r) - 1 for r in rows])  # tokens, with the end
-        flat = rank[np.concatenate(rows)]
-        del rows
+        self.words = numbers[by]
+        flat = rank[flat]
+        start = flat[0]
         ends = np.cumsum(self.sizes + 1)
-        first = np.ones(len(flat), bool)
-        first[ends - 1] = False  # nothing follows an end
-        at = np.flatnonzero(first)
-        self.second = flat[at + 1]
-        self.keys = flat[at] * len(h) + self.second
+        side = np.ones(len(flat), bool)
+        side[ends - self.sizes - 1] = False  # nothing precedes a start
+        self.second = flat[side]
+        side[:] = True
+        side[ends - 1] = False  # nothing follows an end
+        first = flat[side]
+        del flat, side
         learned = np.repeat(train, self.sizes)
-        both = self.keys * 2 + learned
-        both.sort()
-        pair = both >> 1
-        start = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-        self.pairs = pair[start]
-        self.pair_counts = np.add.reduceat(both & 1, start)
-        del flat, at, first, both, pair, start
+        # pair: each token's place among the pairs
+        self.pair_counts, at, self.pair = _counted(first, self.second, len(h), learned)
+        self.v, self.w = first[at], self.second[at]
+        del first, at
         self.word_counts = np.bincount(self.second[learned], minlength=len(h))
-        self.v = self.pairs // len(h)
-        self.w = self.pairs - self.v * len(h)
         own = bucket_of(self.words, buckets)
         is_hot = np.isin(self.words, hot)
         self.followers = np.where(is_hot, 0, np.bincount(self.v, minlength=len(h)))
         by_second = is_hot[self.v]
         part = np.where(by_second, own[self.w] * 2 + 1, own[self.v] * 2)  # two lists for each bucket
-        self.pair_order = by_list(part)  # by list, then numbers
+        self.pair_order = by_list(part).astype(np.int32)  # by list, then numbers
         self.pair_cuts = np.searchsorted(part[self.pair_order], np.arange(2 * buckets + 1))
         self.word_order = by_list(own)
         self.word_cuts = np.searchsorted(own[self.word_order], np.arange(buckets + 1))
         self.order = order
         if order == 3:
-            self.pair_counts = np.where(self.v == rank[0], self.pair_counts, 0)  # others count the words before them
+            self.pair_counts = np.where(self.v == start, self.pair_counts, 0)  # others count the words before them
             self._triples(learned, is_hot, by_second, part, buckets, hot)
 
     def _triples(self, learned, is_hot, by_second, part, buckets: int, hot: np.ndarray) -> None:
-        size = len(self.words)
-        pair = np.searchsorted(self.pairs, self.keys)
-        self.later = np.ones(len(pair), bool)  # tokens with two before them
+        self.later = np.ones(len(self.pair), bool)  # tokens with two before them
         self.later[np.concatenate(([0], np.cumsum(self.sizes)[:-1]))] = False
-        at = np.flatnonzero(self.later)
-        self.before = pair[at - 1].astype(np.int32)
-        self.triple_keys = pair[at - 1] * size + self.second[at]
-        del pair
-        both = self.triple_keys * 2 + learned[at]
-        both.sort()
-        triple = both >> 1
-        start = _starts(triple)
-        self.triples = triple[start]
-        self.triple_counts = (np.add.reduceat(both & 1, start) if len(start) else start).astype(np.int32)
-        del both, triple, start
-        first = self.triples // size
-        self.third = (self.triples - first * size).astype(np.int32)
+        before = self.pair[:-1][self.later[1:]]
+        third = self.second[self.later]
+        self.triple_counts, at, self.triple = _counted(before, third, len(self.words), learned[self.later])
+        self.begin, self.triples = before[at], third[at]  # a triple is a pair and the word after it
+        self.end = self.pair[self.later][at]  # the pair that it ends with
+        del before, third, at
+        first = self.begin
         free = by_second[first] & is_hot[self.w[first]]
-        self.pair_followers = np.bincount(first[~free], minlength=len(self.pairs))
+        self.pair_followers = np.bincount(first[~free], minlength=len(self.v)).astype(np.int32)
         self.hot_of = np.searchsorted(hot, self.words)  # the place among hot words, if it is one
-        self.begin = first.astype(np.int32)
         number = self.hot_of[self.v[first]] * (len(hot) + 1) + self.hot_of[self.w[first]]
-        free_to = bucket_of_hash(mix(number, self.words[self.third]), buckets)
+        free_to = bucket_of_hash(mix(number, self.words[self.triples]), buckets)
         list_of = np.where(free, 2 * buckets + free_to, part[first])
         del first, free, number, free_to
         self.triple_order = by_list(list_of).astype(np.int32)
@@ -290,8 +374,8 @@ class Block:
 
     def forget_lists(self) -> None:
         """Drop what only the lists and their answers need: memory for the scores."""
-        self.pairs = self.pair_counts = self.pair_order = self.word_order = self.w = self.followers = None
-        self.triples = self.triple_counts = self.triple_order = self.third = self.hot_of = None
+        self.pair_counts = self.pair_order = self.word_order = self.followers = None
+        self.triples = self.triple_counts = self.triple_order = self.hot_of = None
 
     def triple_list(self, bucket: int, kind: int) -> np.ndarray:
         k = 2 * bucket + kind if kind < 2 else 2 * (len(self.word_cuts) - 1) + bucket
@@ -309,7 +393,7 @@ class Block:
                 else:
                     f = self.begin[x]
                     a = _ids(np.concatenate([self.hot_of[self.v[f]], self.hot_of[self.w[f]]]))
-                yield k, block, TRIPLES + kind, a, _ids(self.words[self.third[x]]), _numbers(self.triple_counts[x]), None
+                yield k, block, TRIPLES + kind, a, _ids(self.words[self.triples[x]]), _numbers(self.triple_counts[x]), None
 
     def messages(self, block: int):
         buckets = len(self.word_cuts) - 1
@@ -332,12 +416,34 @@ class Block:
             yield from self.triple_messages(block)
 
 
+def _counted(a: np.ndarray, b: np.ndarray, size: int, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the sorted distinct pairs of numbers, those of ``b`` below ``size``: how
+    many of each count and where one of each stands; and every pair's place among them."""
+    keys = a.astype(np.uint64)
+    keys *= np.uint64(2 * size)
+    keys += b.astype(np.uint32) * np.uint64(2)
+    keys += counts
+    by = sort_places(keys)
+    n = keys.astype("<u8", copy=False).view(np.uint8)[::8] & 1
+    keys >>= np.uint64(1)
+    start = _starts(keys)
+    del keys
+    new = np.zeros(len(by), np.int32)
+    new[start[1:]] = 1
+    place = np.empty(len(by), np.int32)
+    place[by] = np.cumsum(new, out=new)
+    return np.add.reduceat(n, start, dtype=np.int32) if len(start) else by, by[start], place
+
+
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys and, for each, the sums of ``values``."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return (keys[start], *(np.add.reduceat(x[order].astype(np.int64), start) if len(start) else x[:0] for x in values))
+    order = order_of(keys)
+    return _sums_of_sorted(keys[order], *(x[order] for x in values))
+
+
+def _sums_of_sorted(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    start = _starts(keys)
+    return (keys[start], *(np.add.reduceat(x, start, dtype=np.int64) if len(start) else x[:0] for x in values))
 
 
 def _steps(words: np.ndarray, buckets: int) -> bytes:
@@ -376,10 +482,12 @@ def add_up_own(rows, bucket: int, buckets: int, own: dict):
         yield bucket, src, PLACES, _numbers(np.diff(np.searchsorted(words, h), prepend=0)), None, None, None
 
 
-def add_up_pairs(rows, bucket: int, buckets: int):
-    """Step 2 for one bucket."""
+def add_up_pairs(rows, bucket: int, buckets: int, answers: bool):
+    """Step 2 for one bucket: its answers to blocks, or what it passes on."""
     asked, v, w, n, own = [], [], [], [], {}
-    yield from add_up_own(rows, bucket, buckets, own)
+    passed = list(add_up_own(rows, bucket, buckets, own))
+    if not answers:
+        yield from passed
     for _, src, kind, a, b, c, d in rows:
         if kind != WORDS:
             w.append(_from_ids(c))
@@ -389,20 +497,21 @@ def add_up_pairs(rows, bucket: int, buckets: int):
     if not asked:
         return
     v, w, n = np.concatenate(v), np.concatenate(w), np.concatenate(n).astype(np.int64)
-    keys = both_of(v, w)
-    order = np.argsort(keys)
-    keys = keys[order]
+    order = order_of(v, w)
+    keys = both_of(v, w)[order]
     new = np.concatenate(([True], keys[1:] != keys[:-1]))
     start = np.flatnonzero(new)
     total = np.add.reduceat(n[order], start)
+    if not answers:
+        known = total > 0
+        yield from known_pairs(v[order[start]][known], w[order[start]][known], total[known], bucket, buckets)
+        return
     answer = np.empty(len(n), np.int64)
     answer[order] = total[np.cumsum(new) - 1]
     at = 0
     for src, kind, size in asked:
-        yield bucket, src, kind, _numbers(answer[at:at + size]), None, None, None
+        yield src, bucket, kind, _numbers(answer[at:at + size]), None, None, None
         at += size
-    known = total > 0
-    yield from known_pairs(v[order[start]][known], w[order[start]][known], total[known], bucket, buckets)
 
 
 def known_pairs(v: np.ndarray, w: np.ndarray, total: np.ndarray, bucket: int, buckets: int):
@@ -428,16 +537,16 @@ def add_up_triples(rows, bucket: int, buckets: int, hot: np.ndarray):
     yield from add_up_own(rows, bucket, buckets, own)
     for _, src, kind, a, b, c, d in rows:
         if kind in (PAIRS, HOT_PAIRS):
-            v = np.repeat(own[src] if kind == PAIRS else _from_ids(a), _read(b))
-            lists[src, kind] = v, _from_ids(c), _read(d).astype(np.int64)
+            v = np.repeat((own[src] if kind == PAIRS else _from_ids(a)).astype(np.uint32), _read(b))
+            lists[src, kind] = v, _from_ids(c).astype(np.uint32), _read(d)
     # the bucket's pairs once, sorted, and every block's list as steps through them
-    v, w, n = (np.concatenate(x) for x in zip(*lists.values())) if lists else (np.empty(0, np.uint64),) * 3
-    order = np.argsort(both_of(v, w))
+    v, w, n = (np.concatenate(x) for x in zip(*lists.values())) if lists else (np.empty(0, np.uint32),) * 3
+    order = order_of(v, w)
     start = _starts(v[order], w[order])
-    number = np.empty(len(v), np.int64)
-    number[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(v))))
-    n = np.add.reduceat(n[order].astype(np.int64), start) if len(start) else np.empty(0, np.int64)
-    v, w = v[order[start]], w[order[start]]
+    number = np.empty(len(v), np.int64 if len(v) >> 31 else np.int32)
+    number[order] = np.repeat(np.arange(len(start), dtype=number.dtype), np.diff(np.append(start, len(v))))
+    n = np.add.reduceat(n[order], start) if len(start) else n
+    v, w = v[order[start]].astype(np.uint64), w[order[start]].astype(np.uint64)
     at, of = 0, {}
     for (src, kind), x in lists.items():
         of[src, kind] = number[at:at + len(x[0])]
@@ -446,36 +555,43 @@ def add_up_triples(rows, bucket: int, buckets: int, hot: np.ndarray):
         yield bucket, src, PAIR_PLACES if kind == PAIRS else HOT_PLACES, _numbers(steps), None, None, None
     del lists, number, order
     asked, one, third, count = [], [], [], []
+    small = np.int32 if len(v) + len(hot) ** 2 < 1 << 31 else np.int64
     for _, src, kind, a, b, c, _ in rows:
         if kind in (TRIPLES, HOT_TRIPLES, FREE_TRIPLES):
             if kind == FREE_TRIPLES:  # numbered after the bucket's pairs
                 x = _from_ids(a).reshape(2, -1).astype(np.int64)
-                one.append(len(v) + x[0] * len(hot) + x[1])
+                one.append((len(v) + x[0] * len(hot) + x[1]).astype(small))
             else:
-                one.append(np.repeat(of[src, PAIRS if kind == TRIPLES else HOT_PAIRS], _read(a)))
-            third.append(_from_ids(b))
+                one.append(np.repeat(of[src, PAIRS if kind == TRIPLES else HOT_PAIRS].astype(small), _read(a)))
+            third.append(_from_ids(b).astype(np.uint32))
             count.append(_read(c))
             asked.append((src, kind - TRIPLES + TRIPLE_ANSWER, len(count[-1])))
-    context = np.zeros((4, len(v)), np.int64)
+    context = np.zeros((4, len(v)), np.uint32)  # as in messages
     if asked:
-        one, third, count = np.concatenate(one), np.concatenate(third), np.concatenate(count).astype(np.int64)
-        order = np.lexsort((third, one)) if one.max() >> 32 else np.argsort(both_of(one, third))
-        start = _starts(one[order], third[order])
-        total = np.add.reduceat(count[order], start)
-        answer = np.empty(len(count), np.int64)
+        del of
+        one = np.concatenate(one)
+        third = np.concatenate(third)
+        count = np.concatenate(count)
+        order = order_of(one, third)
+        one, third = one[order], third[order]
+        start = _starts(one, third)
+        total = np.add.reduceat(count[order], start, dtype=np.int64)
+        answer = np.empty(len(count), np.uint32)  # as in messages
         answer[order] = np.repeat(total, np.diff(np.append(start, len(count))))
         at = 0
         for src, kind, size in asked:
             yield bucket, src, kind, _numbers(answer[at:at + size]), None, None, None
             at += size
         known = total > 0
-        one, third, total = one[order[start]][known], third[order[start]][known], total[known]
+        one, third, total = one[start][known], third[start][known], total[known]
         del order, start, answer, count
-        got = _sums(one, total, total == 1, total == 2, total >= 3)
+        got = _sums_of_sorted(one, total, total == 1, total == 2, total >= 3)
         cold = got[0] < len(v)
-        context[:, got[0][cold]] = np.stack(got[1:])[:, cold]
+        for row, x in zip(context, got[1:]):
+            row[got[0][cold]] = x[cold]
         i = got[0][~cold] - len(v)
         if len(i):  # pieces, to the bucket of the pair, which is that of its second word
+            i = i.astype(np.int64)
             first, second, x = hot[i // len(hot)], hot[i % len(hot)], np.stack(got[1:])[:, ~cold]
             yield from dealt(PAIR_CONTEXT, bucket_of(second, buckets), bucket, buckets, first, second, x)
         if len(one):
@@ -483,7 +599,7 @@ def add_up_triples(rows, bucket: int, buckets: int, hot: np.ndarray):
             middle = hot[j % len(hot)] if len(hot) else np.zeros(len(one), np.uint64)
             if len(v):
                 middle = np.where(one < len(v), w[np.minimum(one, len(v) - 1)], middle)
-            order = np.argsort(both_of(middle, third))
+            order = order_of(middle, third)
             middle, third = middle[order], third[order]
             start = _starts(middle, third)
             x = np.diff(np.append(start, len(middle)))[None]
@@ -509,8 +625,9 @@ def dealt(kind: int, to: np.ndarray, bucket: int, buckets: int, v: np.ndarray, w
                _ids(w[p]), _numbers(x[:, p].ravel()))
 
 
-def add_up_pairs_of_triples(rows, bucket: int, buckets: int):
-    """Step 2 for one bucket, with order 3."""
+def add_up_pairs_of_triples(rows, bucket: int, buckets: int, answers: bool):
+    """Step 2 for one bucket, with order 3: its answers to blocks (of triples
+    too), or what it passes on."""
     asked, pieces, v = [], [], None
     for row in rows:
         _, src, kind, a, b, c, d = row
@@ -521,13 +638,15 @@ def add_up_pairs_of_triples(rows, bucket: int, buckets: int):
             asked.append((src, PAIR_ANSWER if kind == PAIR_PLACES else HOT_ANSWER, a))
         elif kind in (SUFFIX, PAIR_CONTEXT):
             pieces.append((kind, both_of(np.repeat(_from_rising(a, buckets), _read(b)), _from_ids(c)), _read(d)))
-        else:
+        elif kind in TO_BLOCKS:
+            if answers:
+                yield src, bucket, kind, a, None, None, None
+        elif not answers:
             yield row
     if v is None:
         return
-    keys = both_of(v, w)
-    order = np.argsort(keys)
-    keys = keys[order]
+    order = order_of(v, w)
+    keys = both_of(v, w)[order]
     for kind, key, x in pieces:
         at = order[np.minimum(np.searchsorted(keys, key), len(keys) - 1)]
         if (both_of(v[at], w[at]) != key).any():
@@ -537,19 +656,19 @@ def add_up_pairs_of_triples(rows, bucket: int, buckets: int):
             table[0, at] += x[0]
         else:
             table[1:, at] += x
-    for src, kind, a in asked:
-        yield bucket, src, kind, _numbers(table[:, np.cumsum(_read(a), dtype=np.int64)]), None, None, None
-    known = table[0] > 0
-    yield from known_pairs(v[known], w[known], table[0][known], bucket, buckets)
+    if answers:
+        for src, kind, a in asked:
+            yield src, bucket, kind, _numbers(table[:, np.cumsum(_read(a), dtype=np.int64)]), None, None, None
+    else:
+        known = table[0] > 0
+        yield from known_pairs(v[known], w[known], table[0][known], bucket, buckets)
 
 
 def add_up_words(rows, bucket: int, buckets: int):
-    """Step 3 for one bucket; answers go to their blocks."""
+    """Step 3 for one bucket."""
     asked, ctx, cont, pairs, triples = [], [], [], np.zeros(4), np.zeros(4)
     for _, src, kind, a, b, _, _ in rows:
-        if kind in (PAIR_ANSWER, HOT_ANSWER, TRIPLE_ANSWER, HOT_TRIPLE_ANSWER, FREE_ANSWER):
-            yield src, bucket, kind, a, None, None, None
-        elif kind == WORDS:
+        if kind == WORDS:
             words, n = _from_steps(a, bucket, buckets), _read(b).astype(np.int64)
         elif kind == PLACES:
             asked.append((src, np.cumsum(_read(a), dtype=np.int64)))
@@ -607,16 +726,13 @@ def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _at_places(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For every key the value at its place among the distinct sorted keys;
-    read in order, so that mapped pages are read once."""
-    order = np.argsort(keys)
-    place = np.zeros(len(keys), np.int32)
-    place[_starts(keys[order])[1:]] = 1
-    np.cumsum(place, out=place)
-    out = np.empty(len(keys))
-    out[order] = values[place]
-    return out
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(x.max())) if x.size else x
+
+
+def _discounted(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.maximum(n - d[np.minimum(n, 3)], 0)
 
 
 def score_block(block: Block, answers, stats: np.ndarray):
@@ -624,7 +740,7 @@ def score_block(block: Block, answers, stats: np.ndarray):
     n_train, vocab, n_cont = stats[0], stats[1], stats[2]
     m, n = stats[3:7], stats[8:12]
     table = np.zeros((6, len(block.words)), np.int64)
-    total = np.zeros((5 if block.order == 3 else 1, len(block.pairs)), np.uint32)  # as in messages
+    total = np.zeros((5 if block.order == 3 else 1, len(block.v)), np.uint32)  # as in messages
     triple = np.zeros(len(block.triples) if block.order == 3 else 0, np.uint32)
     got = 0
     for bucket, kind, a in answers:
@@ -641,7 +757,7 @@ def score_block(block: Block, answers, stats: np.ndarray):
             p = block.word_order[block.word_cuts[bucket]:block.word_cuts[bucket + 1]]
             table[:, p] = x.reshape(6, -1)
             got += len(p)
-    if got != len(block.pairs) + len(block.words) + len(triple):
+    if got != len(block.v) + len(block.words) + len(triple):
         raise RuntimeError("a block's answers do not match its words")
     block.forget_lists()
     d1 = np.concatenate(([0.0], discounts(m)))
@@ -649,22 +765,28 @@ def score_block(block: Block, answers, stats: np.ndarray):
     left = (d1[1] * m[0] + d1[2] * m[1] + d1[3] * stats[7]) / n_cont if n_cont else 1.0
     p_word = np.maximum(cont - d1[np.minimum(cont, 3)], 0) / max(1, n_cont) + left / (vocab + 1)
     d2 = np.concatenate(([0.0], discounts(n)))
-    total, context = total[0], total[1:]
+    d3 = np.concatenate(([0.0], discounts(stats[12:16])))
     seen = np.maximum(table[2], 1)
     back = np.where(table[2] > 0, (table[3:].T @ d2[1:]) / seen, 1.0)
-    pair_p, word_p, gamma, base, known = mapped([
-        np.maximum(total - d2[np.minimum(total, 3)], 0) / seen[block.v], p_word, back,
-        np.log10((table[0] + 0.1) / (n_train + 0.1 * (vocab + 1))), table[0] > 0])
-    p = _at_places(block.keys, pair_p)
-    w = block.second
-    p = p + gamma[block.keys // len(block.words)] * word_p[w]
+    seen, gamma, word_p, base, known, triple, *total = mapped([
+        narrow(seen), back, p_word, np.log10((table[0] + 0.1) / (n_train + 0.1 * (vocab + 1))), table[0] > 0,
+        narrow(triple), *map(narrow, total)])
+    total, *context = total
+    del table, back, p_word
+    pair_p = np.empty(len(total))
+    for a in range(0, len(total), SCORE_STEP):
+        b = slice(a, a + SCORE_STEP)
+        pair_p[b] = _discounted(total[b], d2) / seen[block.v[b]] + gamma[block.v[b]] * word_p[block.w[b]]
+    w, p = block.second, pair_p[block.pair]
     if block.order == 3:
-        d3 = np.concatenate(([0.0], discounts(stats[12:16])))
-        seen = np.maximum(context[0], 1)
-        triple_p, gamma = mapped([
-            np.maximum(triple - d3[np.minimum(triple, 3)], 0) / seen[block.begin],
-            np.where(context[0] > 0, (context[1:].T @ d3[1:]) / seen, 1.0)])
-        p[block.later] = _at_places(block.triple_keys, triple_p) + gamma[block.before] * p[block.later]
+        triple_p = np.empty(len(triple))
+        for a in range(0, len(triple), SCORE_STEP):
+            b = slice(a, a + SCORE_STEP)
+            n, *kinds = (x[block.begin[b]] for x in context)
+            seen = np.maximum(n, 1)
+            left = np.where(n > 0, sum(x * y for x, y in zip(kinds, d3[1:])) / seen, 1.0)
+            triple_p[b] = _discounted(triple[b], d3) / seen + left * pair_p[block.end[b]]
+        p[block.later] = triple_p[block.triple]
     p = np.log10(p)
     start = np.concatenate(([0], np.cumsum(block.sizes)[:-1]))
     yield from zip(block.sizes.tolist(), np.add.reduceat(known[w].astype(np.int64), start).tolist(),
@@ -674,22 +796,23 @@ def score_block(block: Block, answers, stats: np.ndarray):
 def frequent_words(docs: DataFrame, text: str) -> tuple[int, list[tuple[int, int]]]:
     """Tokens in all rows, and the words (by hash) with a notable share of some
     partition.  They decide where pairs meet and nothing else."""
-    def tally(rows):
+    def tally(batches):
         seen, n = Counter(), 0
-        for t, in rows:
-            words = (t or b"").lower().split()
-            seen.update(words)
-            seen[START] += 1
-            n += len(words) + 1
+        for batch in batches:
+            flat, sizes, words = split_words(batch.column(0).fill_null(""))
+            seen.update(dict(zip(words.cast(pa.binary()).to_pylist(), np.bincount(flat, minlength=len(words)).tolist())))
+            seen[START] += len(sizes)
+            n += len(flat) + len(sizes)
             if len(seen) > 400_000:
                 seen = Counter({w: k for w, k in seen.items() if k * 100_000 > n})
-        yield 0, n, True
+        rows = [(0, n, True)]
         for w, k in seen.items():
             if k * 100_000 > n:
                 h = xxhash.xxh64_intdigest(w)
-                yield (h - (1 << 64) if h >> 63 else h), k, False
+                rows.append((h - (1 << 64) if h >> 63 else h, k, False))
+        yield from batches_of(rows, pa.schema([("h", pa.int64()), ("n", pa.int64()), ("total", pa.bool_())]))
 
-    got = stream(docs.select(F.col(text)), tally, "h long, n long, total boolean", binary=(0,))
+    got = docs.select(F.col(text)).mapInArrow(tally, "h long, n long, total boolean")
     rows = got.groupBy("h", "total").agg(F.sum("n").alias("n")).orderBy(F.col("total").desc(), F.col("n").desc()) \
         .limit(MAX_HOT).collect()
     total = sum(r["n"] for r in rows if r["total"])
@@ -730,15 +853,24 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
 
         def pieces():
             t = pa.Table.from_batches(held)
+            held.clear()
             to = t.column("block").to_numpy()
             by = np.argsort(to, kind="stable")
-            t, cuts = t.take(pa.array(by)), np.append(_starts(to[by]), len(by))
+            to, t = to[by], t.take(pa.array(by))
+            flat, sizes, words = split_words(t.column("_text").combine_chunks())
+            by = pc.sort_indices(words).to_numpy()
+            rank = np.empty(len(by), np.int32)
+            rank[by] = np.arange(len(by))
+            flat, words = rank[flat], words.take(pa.array(by))
+            t = t.drop_columns(["block", "_text"]).append_column("_n", pa.array(sizes, pa.int32()))
+            cuts, ends = np.append(_starts(to), len(to)), np.concatenate(([0], np.cumsum(sizes)))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                     out.write_table(t.slice(a, b - a).combine_chunks())
-                yield pa.RecordBatch.from_arrays([pa.array([to[by[a]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                                                 names=["block", "piece"])
+                row = to[a], sink.getvalue().to_pybytes(), *pack_words(flat[ends[a]:ends[b]], words)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, PIECE)], schema=PIECE)
+            pa.default_memory_pool().release_unused()  # the worker stays for other steps
 
         for batch in batches:
             if batch.num_rows:
@@ -746,30 +878,32 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
                 size += batch.nbytes
             if size >= PIECE_BYTES:
                 yield from pieces()
-                held, size = [], 0
+                size = 0
         if held:
             yield from pieces()
 
-    pieces = dealt.mapInArrow(pack, "block int, piece binary").groupBy("block")
+    pieces = dealt.mapInArrow(pack, "block int, piece binary, words binary, tokens binary").groupBy("block")
 
     def documents(table: pa.Table) -> pa.Table:
         return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("piece")])
 
-    def texts_of(docs: pa.Table) -> list[bytes]:
-        return [x.as_py() for x in docs.column("_text").cast(pa.binary())]
+    def words_of(table: pa.Table, docs: pa.Table) -> Words:
+        return unpack_words([(x.as_py(), y.as_py()) for x, y in zip(table.column("words"), table.column("tokens"))],
+                            docs.column("_n").to_numpy())
 
-    def read(docs: pa.Table, answers: pa.Table) -> Block:
+    def read(table: pa.Table, docs: pa.Table, answers: pa.Table) -> Block:
         places = {k: a.as_py() for k, kind, a in zip(answers.column("src").to_pylist(), answers.column("kind").to_pylist(),
                                                      answers.column("a")) if kind == NUMBERS}
-        return Block(texts_of(docs), docs.column("_train").to_numpy(zero_copy_only=False).astype(bool), n, hot_ids, places, order)
+        train = docs.column("_train").to_numpy(zero_copy_only=False).astype(bool)
+        return Block(words_of(table, docs), train, n, hot_ids, places, order)
 
     def name(table: pa.Table) -> pa.Table:
         k = table.column("block")[0].as_py()
-        return pa.Table.from_batches(batches_of(list_words(texts_of(documents(table)), k, n), MESSAGE, 64), MESSAGE)
+        return pa.Table.from_batches(batches_of(list_words(words_of(table, documents(table)), k, n), MESSAGE, 64), MESSAGE)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         k = left.column("block")[0].as_py()
-        return pa.Table.from_batches(batches_of(read(documents(left), right).messages(k), MESSAGE, 64), MESSAGE)
+        return pa.Table.from_batches(batches_of(read(left, documents(left), right).messages(k), MESSAGE, 64), MESSAGE)
 
     def in_bucket(fn):
         def run(batches):
@@ -786,11 +920,14 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
         asked = asked.repartitionById(n, F.col("to")).mapInArrow(
             in_bucket(lambda rows, k: add_up_triples(rows, k, n, hot_ids)), MESSAGE_SQL)
     step_2 = add_up_pairs_of_triples if order == 3 else add_up_pairs
-    pairs = asked.repartitionById(n, F.col("to")).mapInArrow(
-        in_bucket(lambda rows, k: step_2(rows, k, n)), MESSAGE_SQL)
+    in_buckets = asked.repartitionById(n, F.col("to"))
+    # read twice, for a second sum costs less than the answers' way through the buckets of step 3
+    pairs = in_buckets.mapInArrow(in_bucket(lambda rows, k: step_2(rows, k, n, False)), MESSAGE_SQL)
+    pair_answers = in_buckets.mapInArrow(in_bucket(lambda rows, k: step_2(rows, k, n, True)), MESSAGE_SQL)
     answers = pairs.repartitionById(n, F.col("to")).mapInArrow(
         in_bucket(lambda rows, k: add_up_words(rows, k, n)), MESSAGE_SQL)
-    answers = answers.select(*answer).unionByName(named_words.select(*answer)).repartition("block")
+    answers = answers.select(*answer).unionByName(pair_answers.select(*answer)).unionByName(named_words.select(*answer)) \
+        .repartition("block")
 
     def add(table: pa.Table) -> pa.Table:
         raw = [x.as_py() for x, k in zip(table.column("a"), table.column("kind").to_pylist()) if k == TOTALS]
@@ -812,9 +949,9 @@ def score(docs: DataFrame, train: Column, keep: list[Column], row_id: str = "doc
         s = np.array(right.column("stats")[0].as_py())
         got = ((k, kind, a.as_py()) for k, kind, a in zip(right.column("src").to_pylist(), right.column("kind").to_pylist(),
                                                           right.column("a")) if kind not in (NUMBERS, TOTALS))
-        left = documents(left)
-        rows = list(score_block(read(left, right), got, s))
-        kept = [left.column(a).combine_chunks() for a in cols]
+        docs = documents(left)
+        rows = list(score_block(read(left, docs, right), got, s))
+        kept = [docs.column(a).combine_chunks() for a in cols]
         c = list(zip(*rows))
         more = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array([int(s[0])] * len(rows), pa.int64()),
                 pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64())]
